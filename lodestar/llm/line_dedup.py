@@ -145,11 +145,11 @@ def kept_text(text: str | None, bitmap: bytes | None) -> tuple[str, int, int]:
 
 
 def _with_bitmaps(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
-    """docs with _id (no nulls), _key and _bitmap."""
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_key": F.xxhash64("text")})
-    maps = dropped(keyed.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), "text"), least_chars, least_docs)
-    maps = maps.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("bitmap").alias("_bitmap"))
-    return keyed.join(maps, ["_id", "_key"], "left")
+    """docs with __id (no nulls), __key and __bitmap."""
+    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(NULL_ID)), "__key": F.xxhash64("text")})
+    maps = dropped(keyed.select(F.col("__id").alias("doc_id"), F.col("__key").alias("text_key"), "text"), least_chars, least_docs)
+    maps = maps.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("bitmap").alias("__bitmap"))
+    return keyed.join(maps, ["__id", "__key"], "left")
 
 
 def line_report(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -171,13 +171,13 @@ def line_report(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(shas, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = _with_bitmaps(docs.select("doc_id", "text"), least_chars, least_docs).select("doc_id", "text", "_bitmap")
+    rows = _with_bitmaps(docs.select("doc_id", "text"), least_chars, least_docs).select("doc_id", "text", "__bitmap")
     return rows.mapInArrow(report, f"doc_id {kind}, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
 def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """docs with their repeated lines dropped from text, and n_chars (if there) counted anew; null texts stay null."""
-    rows = _with_bitmaps(docs, least_chars, least_docs).select(*docs.columns, "_bitmap")
+    rows = _with_bitmaps(docs, least_chars, least_docs).select(*docs.columns, "__bitmap")
     place = docs.columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

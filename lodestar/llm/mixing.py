@@ -12,6 +12,8 @@ from lodestar.llm.common import cut
 #: What counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_TIMES = 3
+#: The columns that mix() adds.
+ADDED = ("size", "source_size", "target", "copies", "taken")
 #: Buckets that the documents of one source and length are ranked in.
 BUCKETS = 1024
 #: Words of budget that dynamic programming fits; the rest is filled by length before.
@@ -95,7 +97,7 @@ def _quotas(rows: pd.DataFrame) -> pd.DataFrame:
     budget = int(round(target)) - passes * size
     if passes < MOST_TIMES and budget > 0 and some.any():
         extra[some] = subset(length[some], have[some], budget)
-    return rows.assign(passes=passes, extra=extra)[["_source", "size", "source_size", "target", "passes", "extra"]]
+    return rows.assign(passes=passes, extra=extra)[["__source", "size", "source_size", "target", "passes", "extra"]]
 
 
 def mix(docs: DataFrame, seed: int = 3) -> DataFrame:
@@ -112,29 +114,28 @@ def mix(docs: DataFrame, seed: int = 3) -> DataFrame:
     A target is missed by less than the shortest document that could still be added. An
     empty table gives an empty result; clashing columns of docs are replaced.
     """
-    mine = ["size", "source_size", "target", "copies", "taken"]
-    columns = [c for c in docs.columns if c not in mine]
+    columns = [c for c in docs.columns if c not in ADDED]
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = docs.select(*columns).withColumns(
         {
             "size": words(F.col("text")),
-            "_source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")),  # null apart from ""
-            "_draw": draw,
-            "_bucket": F.pmod(F.shiftright(draw, 20), F.lit(BUCKETS)),
-            "_tie": F.xxhash64(F.lit(seed), F.col("text")),
+            "__source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")),  # null apart from ""
+            "__draw": draw,
+            "__bucket": F.pmod(F.shiftright(draw, 20), F.lit(BUCKETS)),
+            "__tie": F.xxhash64(F.lit(seed), F.col("text")),
         }
     )
-    keys = ["_source", "size", "_bucket"]
+    keys = ["__source", "size", "__bucket"]
     buckets = cut(sized.groupBy(*keys).agg(F.count("*").alias("n"), F.first("source").alias("source")))
-    counts = buckets.groupBy("_source", "size").agg(F.sum("n").alias("n"), F.first("source").alias("source"))
-    sizes = counts.groupBy("_source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.first("source").alias("source"))
-    schema = "_source string, size bigint, source_size bigint, target double, passes int, extra bigint"
-    quotas = counts.drop("source").join(targets(sizes).drop("source"), "_source").groupBy("_source").applyInPandas(_quotas, schema)
+    counts = buckets.groupBy("__source", "size").agg(F.sum("n").alias("n"), F.first("source").alias("source"))
+    sizes = counts.groupBy("__source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.first("source").alias("source"))
+    schema = "__source string, size bigint, source_size bigint, target double, passes int, extra bigint"
+    quotas = counts.drop("source").join(targets(sizes).drop("source"), "__source").groupBy("__source").applyInPandas(_quotas, schema)
     # the chosen documents of a length fill its buckets in their order
-    before = Window.partitionBy("_source", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    places = buckets.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "source")
-    share = places.join(quotas, ["_source", "size"]).withColumn("_extra", F.col("extra") - F.col("_before")).drop("_before", "extra")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_draw", "_tie"))
-    copies = (F.col("passes") + (rank <= F.col("_extra")).cast("int")).alias("copies")
+    before = Window.partitionBy("__source", "size").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    places = buckets.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "source")
+    share = places.join(quotas, ["__source", "size"]).withColumn("__extra", F.col("extra") - F.col("__before")).drop("__before", "extra")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__draw", "__tie"))
+    copies = (F.col("passes") + (rank <= F.col("__extra")).cast("int")).alias("copies")
     mixed = sized.join(share, keys).select(*columns, "size", "source_size", "target", copies)
     return mixed.withColumn("taken", F.col("size") * F.col("copies"))

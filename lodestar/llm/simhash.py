@@ -167,9 +167,9 @@ def _rooted(docs: DataFrame, most_in_signature: int) -> DataFrame:
 def keep_one(docs: DataFrame, most_in_signature: int = MOST_IN_SIGNATURE) -> DataFrame:
     """The rows of docs without near-duplicates: of each component one row, of its smallest doc_id."""
     found = _rooted(docs, most_in_signature).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("_key"))
-    kept = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "_key").distinct()
-    rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_key": F.xxhash64("text")})
+    kept = found.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("__key"))
+    kept = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), "__key").distinct()
+    rows = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(NULL_ID)), "__key": F.xxhash64("text")})
     # equal rows are one document: of each id and text the first stays
-    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
-    return rows.join(kept, ["_id", "_key"]).withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(0)))
+    return rows.join(kept, ["__id", "__key"]).withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
