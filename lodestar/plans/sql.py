@@ -237,7 +237,7 @@ SQL: dict[str, str] = NORMALIZED | {
     "q1_first_text": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN concat('v ', c_name) WHEN 2 THEN concat('a ', c_name) END AS text, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN concat('i ', c_name) WHEN 2 THEN concat('a ', c_name) END AS reference FROM customer",
     "q6_bounding_box": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN concat_ws(',', c_custkey % 90, 1, 2, 3) WHEN 1 THEN concat_ws(',', c_custkey % 90, -4, 5, 6) END AS box FROM customer",
     "r0_resources": f"{R} SELECT original_id, count(n) AS resources, coalesce(sum(field_count), 0)::BIGINT AS fields FROM lines GROUP BY 1",
-    "r_shapes": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN concat('ods title|||', o_orderkey) WHEN 1 THEN 'sheet|JSON|application/json|https://data.example.org/resource/abcd-1234.json'
+    "r_shapes": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN concat('ods title|||;|||', o_orderkey) WHEN 1 THEN 'sheet|JSON|application/json|https://data.example.org/resource/abcd-1234.json'
       WHEN 2 THEN 'svc|Feature Service||https://svc.example.org' WHEN 3 THEN 'A|||https://x/a;b||text/csv|https://x/b' ELSE 'AG,F,1|SDMX-CSV|application/vnd.sdmx.data+csv|https://sdmx/data' END AS resources FROM orders""",
     "u1_upsert": f"""{C} SELECT original_id, CASE WHEN doc_id % 3 = 0 THEN concat('new ', title) ELSE title END AS title, embedding IS NOT NULL AS embedded, first_seen_at,
       CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '2026-06-01' ELSE last_updated_at END AS last_updated_at, is_stale AND doc_id % 3 <> 0 AS is_stale FROM catalog
