@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Segments of each resolution, coarse to fine.
 RESOLUTIONS = (1, 4, 16)
 #: Queries and candidates that meet in one step.
-QUERY_BLOCK, ROW_BLOCK = 2048, 8192
+QUERY_BLOCK, ROW_BLOCK = 1024, 8192
 NO_ID = 2**63 - 1
 #: Largest magnitude of a component; sums of products of more need more than 64 bits.
 MOST = 2**31 - 1
@@ -77,36 +77,47 @@ class Search:
         self.score = np.zeros((len(ids), 0), np.int64)
         self.best = np.zeros((len(ids), 0), np.int64)
         self.own = np.zeros(len(ids), np.int64)  # rows equal to the query, itself included
-        self.pruned = self.seen = 0
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Compare all queries with more rows: coarse bounds, finer ones, then exact products of what is left."""
         stats = _segments(x.astype(np.float64))
+        fine = self.stats[-1] @ stats[-1].T
+        floor = self._floor(fine, ids, x)[:, None]
+        near = fine + self._slack(fine) >= floor
+        for mine, theirs in zip(self.stats[:-1], stats[:-1], strict=True):
+            if not near.any():
+                break
+            bound = mine @ theirs.T
+            near &= bound + self._slack(bound) >= floor
+        most = float(np.abs(self.x).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
+        if near.mean() > 0.02 and most < 2**53:  # so many are left that one product of matrices is cheaper
+            exact = self.x.astype(np.float64) @ x.astype(np.float64).T
+            q, r = np.nonzero(near & (exact >= floor))
+            score = exact[q, r].astype(np.int64)
+        else:
+            q, r = np.nonzero(near)
+            score = np.concatenate([_exact(self.x[q[i : i + 200_000]], x[r[i : i + 200_000]]) for i in range(0, len(q), 200_000)] or [np.zeros(0, np.int64)])
+        same = np.flatnonzero(ids[r] == self.ids[q])
+        equal = same[(self.x[q[same]] == x[r[same]]).all(axis=1)]
+        np.add.at(self.own, q[equal], 1)
+        stay = score >= floor[q, 0]
+        stay[equal] = False
+        self._merge(q[stay], ids[r[stay]], score[stay])
+
+    def _floor(self, fine: np.ndarray, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """A score for each query that k rows reach: that of the k-th best so far, or of the rows of the best bounds.
+
+        It is never above the query's product with itself, so that equal rows are always met.
+        """
         floor = self.score[:, -1].astype(np.float64) if self.score.shape[1] >= self.k else np.full(len(self.ids), -np.inf)
-        if not np.isfinite(floor).all() and len(ids) > 4 * self.k:  # a first floor from the rows of the best fine bounds
-            bound = self.stats[-1] @ stats[-1].T
-            top = np.argpartition(-bound, 2 * self.k, axis=1)[:, : 2 * self.k]
+        if len(ids) > 4 * self.k:
+            top = np.argpartition(-fine, 2 * self.k, axis=1)[:, : 2 * self.k]
             q = np.repeat(np.arange(len(self.ids)), top.shape[1])
-            exact = _exact(self.x[q], x[top.ravel()]).reshape(top.shape)
-            exact = np.where(ids[top] == self.ids[:, None], -(2**62), exact)
-            floor = np.maximum(floor, np.sort(exact, axis=1)[:, -self.k].astype(np.float64))
-        bound = self.stats[0] @ stats[0].T
-        q, r = np.nonzero(bound + self._slack(bound) >= floor[:, None])
-        for mine, theirs in zip(self.stats[1:], stats[1:], strict=True):
-            bound = np.concatenate([np.einsum("ij,ij->i", mine[q[i : i + 500_000]], theirs[r[i : i + 500_000]]) for i in range(0, len(q), 500_000)] or [np.zeros(0)])
-            near = bound + self._slack(bound) >= floor[q]
-            q, r = q[near], r[near]
-        self.seen += bound.size if bound.ndim > 1 else len(self.ids) * len(ids)
-        score = np.concatenate([_exact(self.x[q[i : i + 200_000]], x[r[i : i + 200_000]]) for i in range(0, len(q), 200_000)] or [np.zeros(0, np.int64)])
-        same = ids[r] == self.ids[q]
-        if same.any():
-            equal = np.flatnonzero(same)
-            equal = equal[(self.x[q[equal]] == x[r[equal]]).all(axis=1)]
-            np.add.at(self.own, q[equal], 1)
-            stay = np.ones(len(q), bool)
-            stay[equal] = False
-            q, r, score = q[stay], r[stay], score[stay]
-        near = score >= floor[q]
-        self._merge(q[near], ids[r[near]], score[near])
+            exact = _exact(self.x[q], x[top.ravel()]).reshape(top.shape).astype(np.float64)
+            exact[ids[top] == self.ids[:, None]] = -np.inf
+            floor = np.maximum(floor, np.sort(exact, axis=1)[:, -self.k])
+        own = _exact(self.x, self.x).astype(np.float64)
+        return np.minimum(floor, own)
 
     @staticmethod
     def _slack(bound: np.ndarray) -> np.ndarray:
