@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode white space for Java patterns.
-WHITE = r"(?U)^\s+|\s+$"
+#: The signs with the Unicode property White_Space (fixed values).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Service names in the order in which they are looked for (fixed values).
 SERVICES = [
     ("wmts", "web map tile service"),
@@ -20,7 +20,7 @@ SERVICES = [
 
 def trimmed(value: Column) -> Column:
     """The text without Unicode white space at its ends."""
-    return F.regexp_replace(value, WHITE, "")
+    return F.btrim(value, F.lit(WHITE))
 
 
 def non_blank(value: Column) -> Column:

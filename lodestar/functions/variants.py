@@ -22,6 +22,11 @@ def parsed(json: Column) -> Column:
     return F.try_parse_json(json)
 
 
+def sign(value: Column) -> Column:
+    """The first sign of a variant's JSON, which tells its shape: a quote, {, [, n(ull) or another."""
+    return F.substring(F.to_json(value), 1, 1)
+
+
 def at(value: Column, path: str) -> Column:
     """Q3: the part at a path (`a.b`), as a variant; null where it is absent."""
     return F.try_variant_get(value, "$." + path, "variant")
@@ -29,7 +34,7 @@ def at(value: Column, path: str) -> Column:
 
 def string_of(value: Column) -> Column:
     """The text of a variant that is a string, null for any other."""
-    return let(value, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+    return let(value, lambda v: F.when(sign(v) == '"', F.try_variant_get(v, "$", "string")))
 
 
 def string_at(value: Column, path: str) -> Column:
@@ -38,7 +43,7 @@ def string_at(value: Column, path: str) -> Column:
 
 def list_of(value: Column) -> Column:
     """The elements of a variant that is a list, null for any other."""
-    return let(value, lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>")))
+    return let(value, lambda v: F.when(sign(v) == "[", F.try_variant_get(v, "$", "array<variant>")))
 
 
 def entries_of(value: Column) -> Column:
@@ -49,11 +54,11 @@ def entries_of(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+    return F.coalesce(sign(value) == "{", F.lit(False))
 
 
 def is_list(value: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("ARRAY")), F.lit(False))
+    return F.coalesce(sign(value) == "[", F.lit(False))
 
 
 def present(value: Column, path: str) -> Column:
@@ -67,14 +72,17 @@ def _first(values: Column) -> Column:
 
 def _string(bound: Column) -> Column:
     """string_of for a value that is already bound to a name."""
-    return F.when(F.schema_of_variant(bound) == "STRING", F.try_variant_get(bound, "$", "string"))
+    return F.when(sign(bound) == '"', F.try_variant_get(bound, "$", "string"))
 
 
 def _usable(bound: Column, keys: tuple[str, ...]) -> Column:
     """The non-blank text of a bound string, or of an object's first key that has one, or of a list's first such element."""
-    parts = F.coalesce(F.when(is_list(bound), F.try_variant_get(bound, "$", "array<variant>")), F.array(bound))
-    candidates = F.flatten(F.transform(parts, lambda v: F.array(*[at(v, k) for k in keys if k < "@value"], v, *[at(v, k) for k in keys if k >= "@value"])))
-    return _first(F.filter(F.transform(candidates, lambda v: non_blank(_string(v))), lambda t: t.isNotNull()))
+    plain = non_blank(F.try_variant_get(bound, "$", "string"))
+    shape = sign(bound)
+    of_object = lambda v: F.coalesce(*[non_blank(_string(at(v, k))) for k in keys])
+    element = lambda v: F.when(sign(v) == '"', non_blank(F.try_variant_get(v, "$", "string"))).otherwise(of_object(v))
+    of_list = _first(F.filter(F.transform(F.try_variant_get(bound, "$", "array<variant>"), element), lambda t: t.isNotNull()))
+    return F.when(shape == '"', plain).when(shape == "{", of_object(bound)).when(shape == "[", of_list)
 
 
 def usable_text(value: Column) -> Column:
@@ -90,7 +98,8 @@ def reference(value: Column) -> Column:
 def first_usable(values: list[Column], *, references: bool = False) -> Column:
     """The first usable text (or reference) of several variants; the rule stands once in the plan, not once for each."""
     keys = ("@id", "@value") if references else ("@value",)
-    return _first(F.filter(F.transform(F.array(*values), lambda v: _usable(v, keys)), lambda t: t.isNotNull()))
+    there = F.filter(F.array(*values), lambda v: v.isNotNull())
+    return _first(F.filter(F.transform(there, lambda v: _usable(v, keys)), lambda t: t.isNotNull()))
 
 
 def first_text(value: Column, keys: list[str]) -> Column:

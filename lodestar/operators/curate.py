@@ -128,7 +128,7 @@ def snapshot_rows(catalog: DataFrame, portals: DataFrame) -> DataFrame:
         X.rfc3339(F.col("first_seen_at")).alias("first_seen_at"),
         F.col("portal_language").alias("language"),
         "is_duplicate",
-        F.coalesce(resources.summaries(resources.resources(m)), F.array().cast("array<struct<name:string,format:string,media_type:string,url:string,field_count:bigint>>")).alias("resources"),
+        resources.summaries(resources.resources_of(facts, "__m")).alias("resources"),
         "portal_type",
         "portal_profile",
         "content_hash",

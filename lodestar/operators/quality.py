@@ -42,7 +42,7 @@ def coverage(snapshot: DataFrame) -> DataFrame:
 
 def resource_buckets(snapshot: DataFrame) -> DataFrame:
     """Number of resources of each format and media type as published; nulls aren't counted."""
-    each = snapshot.select(F.explode("resources").alias("r"))
+    each = snapshot.select(F.explode_outer("resources").alias("r"))  # the inner form would derive the resources once more for a filter
     pairs = each.select(F.explode(F.array(F.struct(F.lit("format").alias("facet"), F.col("r.format").alias("bucket")), F.struct(F.lit("media_type").alias("facet"), F.col("r.media_type").alias("bucket")))).alias("p"))
     return pairs.select("p.facet", "p.bucket").where("bucket is not null").groupBy("facet", "bucket").agg(F.count("*").alias("n")).orderBy("facet", F.col("n").desc(), "bucket")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +17,29 @@ RESOURCE = f"struct<name:string,format:string,media_type:string,url:string,descr
 LISTS = ["resources", "distribution", "dcat:distribution", "distributions", "online_resources", "attachments", "alternative_exports"]
 
 
-def _at(value: Column, key: str) -> Column:
-    """A field whose name may hold a colon."""
-    return F.try_variant_get(value, f"$['{key}']", "variant") if ":" in key else V.at(value, key)
+class Fields:
+    """The fields of a JSON object, taken apart once; a field that is absent is null."""
+
+    def __init__(self, fields: Column) -> None:
+        self.fields = fields
+
+    def __getitem__(self, key: str) -> Column:
+        return F.try_element_at(self.fields, F.lit(key))
 
+    def text(self, *keys: str) -> Column:
+        return V.first_usable([self[k] for k in keys])
 
-def _text(value: Column, keys: list[str]) -> Column:
-    return V.first_usable([_at(value, k) for k in keys])
+    def reference(self, *keys: str) -> Column:
+        return V.first_usable([self[k] for k in keys], references=True)
 
+    def has(self, key: str) -> Column:
+        return self[key].isNotNull()
 
-def _reference(value: Column, keys: list[str]) -> Column:
-    return V.first_usable([_at(value, k) for k in keys], references=True)
+
+def _apart(value: Column, use: Callable[[Fields], Column]) -> Column:
+    """use() of an object's fields; all of them are null if the value is no object."""
+    fields = V.let(value, lambda v: F.when(V.is_object(v), F.try_variant_get(v, "$", V.Entry)))
+    return V.let(fields, lambda m: use(Fields(m)))
 
 
 def _none(kind: str = "string") -> Column:
@@ -45,14 +60,14 @@ def _no_resources() -> Column:
 
 def field_list(nodes: Column) -> Column:
     """Column descriptions with a name from a list of nodes."""
-    one = lambda n: F.struct(_text(n, ["name", "id"]).alias("name"), _text(n, ["type", "datastore_type"]).alias("type"), _text(n, ["description", "title", "label"]).alias("description"))
-    return F.coalesce(F.filter(F.transform(nodes, one), lambda f: f["name"].isNotNull()), _no_fields())
+    one = lambda n: F.struct(n.text("name", "id").alias("name"), n.text("type", "datastore_type").alias("type"), n.text("description", "title", "label").alias("description"))
+    described = F.transform(nodes, lambda n: _apart(n, one))
+    return F.coalesce(F.filter(described, lambda f: f["name"].isNotNull()), _no_fields())
 
 
-def fields_of(node: Column) -> Column:
+def fields_of(node: Fields) -> Column:
     """Schema.fields of a resource node, else its fields."""
-    inner, outer = V.list_of(V.at(node, "schema.fields")), V.list_of(V.at(node, "fields"))
-    return field_list(F.coalesce(inner, outer))
+    return field_list(F.coalesce(V.list_of(V.at(node["schema"], "fields")), V.list_of(node["fields"])))
 
 
 def is_informative(resource: Column) -> Column:
@@ -63,16 +78,16 @@ def is_informative(resource: Column) -> Column:
 
 def from_node(node: Column) -> Column:
     """One resource or distribution node."""
-    return V.let(_text(node, ["protocol"]), lambda protocol: _node(node, protocol))
+    return _apart(node, lambda n: V.let(n.text("protocol"), lambda protocol: _node(n, protocol)))
 
 
-def _node(node: Column, protocol: Column) -> Column:
+def _node(node: Fields, protocol: Column) -> Column:
     return _resource(
-        _text(node, ["name", "title", "dct:title"]),
-        F.coalesce(X.short_format(_reference(node, ["format", "dct:format"])), X.protocol_format(protocol)),
-        F.coalesce(_reference(node, ["mimetype", "mediaType", "mediatype", "media_type", "dcat:mediaType"]), X.protocol_media_type(protocol)),
-        _reference(node, ["url", "downloadURL", "accessURL", "dcat:downloadURL", "dcat:accessURL"]),
-        _text(node, ["description", "dct:description"]),
+        node.text("name", "title", "dct:title"),
+        F.coalesce(X.short_format(node.reference("format", "dct:format")), X.protocol_format(protocol)),
+        F.coalesce(node.reference("mimetype", "mediaType", "mediatype", "media_type", "dcat:mediaType"), X.protocol_media_type(protocol)),
+        node.reference("url", "downloadURL", "accessURL", "dcat:downloadURL", "dcat:accessURL"),
+        node.text("description", "dct:description"),
         fields_of(node),
     )
 
@@ -86,63 +101,79 @@ def _one(condition: Column, resource: Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), _kept(F.array(resource))).otherwise(_no_resources())
 
 
-def opendatasoft_table(metadata: Column) -> Column:
+def opendatasoft_table(metadata: Fields) -> Column:
     """R2: the table that an OpenDataSoft dataset is."""
-    dataset = V.string_at(metadata, "dataset_id")
-    name = F.coalesce(_text(V.at(metadata, "metas.default"), ["title"]), dataset)
-    made = _resource(name, _none(), _none(), _none(), _none(), field_list(V.list_of(V.at(metadata, "fields"))))
-    return F.filter(_one(dataset.isNotNull() & V.is_object(V.at(metadata, "metas")), made), lambda r: F.size(r["fields"]) > 0)
+    dataset = V.string_of(metadata["dataset_id"])
+    name = F.coalesce(V.usable_text(V.at(metadata["metas"], "default.title")), dataset)
+    made = _resource(name, _none(), _none(), _none(), _none(), field_list(V.list_of(metadata["fields"])))
+    return F.filter(_one(dataset.isNotNull() & V.is_object(metadata["metas"]), made), lambda r: F.size(r["fields"]) > 0)
 
 
-def socrata_table(metadata: Column) -> Column:
+def socrata_table(metadata: Fields) -> Column:
     """The table of a Socrata entry; a link only for four-by-four ids."""
-    domain = X.non_blank(V.string_at(metadata, "metadata.domain"))
-    link = F.coalesce(F.when(F.contains(V.string_at(metadata, "link"), F.lit("://")), V.string_at(metadata, "link")), V.string_at(metadata, "permalink"), F.lit(""))
+    domain = X.non_blank(V.string_at(metadata["metadata"], "domain"))
+    link, permalink = V.string_of(metadata["link"]), V.string_of(metadata["permalink"])
+    scheme = X.url_scheme(F.coalesce(F.when(F.contains(link, F.lit("://")), link), permalink, F.lit("")))
 
-    def made(resource: Column) -> Column:
-        key = _text(resource, ["id"])
-        url = F.when(X.is_four_by_four(key), F.concat(X.url_scheme(link), F.lit("://"), domain, F.lit("/resource/"), key, F.lit(".json")))
-        table = V.let(url, lambda u: _resource(_text(resource, ["name"]), F.when(u.isNotNull(), "JSON"), F.when(u.isNotNull(), "application/json"), u, _none(), V.zipped_columns(resource)))
-        return _one(V.is_object(resource) & domain.isNotNull(), table)
+    def made(resource: Fields) -> Column:
+        key = resource.text("id")
+        url = F.when(X.is_four_by_four(key), F.concat(scheme, F.lit("://"), domain, F.lit("/resource/"), key, F.lit(".json")))
+        table = V.let(url, lambda u: _resource(resource.text("name"), F.when(u.isNotNull(), "JSON"), F.when(u.isNotNull(), "application/json"), u, _none(), V.zipped_columns(metadata["resource"])))
+        return _one(V.is_object(metadata["resource"]) & domain.isNotNull(), table)
 
-    return V.let(V.at(metadata, "resource"), made)
+    return _apart(metadata["resource"], made)
 
 
-def arcgis_service(metadata: Column) -> Column:
+def arcgis_service(metadata: Fields) -> Column:
     """The service behind an ArcGIS item, if it has a url."""
 
-    def made(p: Column) -> Column:
-        service = _resource(_text(p, ["name"]), _text(p, ["type"]), _none(), _text(p, ["url"]), _none(), _no_fields())
-        return _one(V.is_object(p) & (V.present(p, "orgId") | V.present(p, "typeKeywords")), service)
+    def made(p: Fields) -> Column:
+        service = _resource(p.text("name"), p.text("type"), _none(), p.text("url"), _none(), _no_fields())
+        return _one(p.has("orgId") | p.has("typeKeywords"), service)
 
-    return F.filter(V.let(V.at(metadata, "properties"), made), lambda r: r["url"].isNotNull())
+    return F.filter(_apart(metadata["properties"], made), lambda r: r["url"].isNotNull())
 
 
-def stac_assets(metadata: Column) -> Column:
+def stac_assets(metadata: Fields) -> Column:
     """The assets of a STAC collection, by key."""
-    assets = F.filter(V.entries_of(V.at(metadata, "assets")), lambda e: V.is_object(e["value"]))
-    one = lambda e: _resource(
-        F.coalesce(_text(e["value"], ["title"]), F.nullif(e["key"], F.lit(""))), _none(), _text(e["value"], ["type"]), _text(e["value"], ["href"]), _text(e["value"], ["description"]), _no_fields()
+    assets = F.filter(V.entries_of(metadata["assets"]), lambda e: V.is_object(e["value"]))
+    one = lambda e: _apart(
+        e["value"],
+        lambda a: _resource(F.coalesce(a.text("title"), F.nullif(e["key"], F.lit(""))), _none(), a.text("type"), a.text("href"), a.text("description"), _no_fields()),
     )
-    return F.when(V.string_at(metadata, "stac_version").isNotNull(), _kept(F.transform(assets, one))).otherwise(_no_resources())
+    return F.when(V.string_of(metadata["stac_version"]).isNotNull(), _kept(F.transform(assets, one))).otherwise(_no_resources())
 
 
-def sdmx_endpoint(metadata: Column) -> Column:
+def sdmx_endpoint(metadata: Fields) -> Column:
     """The data endpoint of an SDMX dataflow."""
 
-    def made(flow: Column) -> Column:
-        endpoint = _resource(_text(flow, ["flow_ref"]), F.lit("SDMX-CSV"), F.lit("application/vnd.sdmx.data+csv"), _text(flow, ["data_url"]), _none(), _no_fields())
-        return _one(V.is_object(flow) & V.string_at(flow, "agency_id").isNotNull() & V.string_at(flow, "dataflow_id").isNotNull(), endpoint)
+    def made(flow: Fields) -> Column:
+        endpoint = _resource(flow.text("flow_ref"), F.lit("SDMX-CSV"), F.lit("application/vnd.sdmx.data+csv"), flow.text("data_url"), _none(), _no_fields())
+        return _one(V.string_of(flow["agency_id"]).isNotNull() & V.string_of(flow["dataflow_id"]).isNotNull(), endpoint)
 
-    return F.filter(V.let(V.at(metadata, "sdmx"), made), lambda r: r["url"].isNotNull())
+    return F.filter(_apart(metadata["sdmx"], made), lambda r: r["url"].isNotNull())
 
 
 def resources(metadata: Column) -> Column:
     """All resources of a metadata variant, in a fixed order of shapes."""
-    table = V.let(opendatasoft_table(metadata), lambda ods: F.when(F.size(ods) > 0, ods).otherwise(socrata_table(metadata)))
-    nodes = F.concat(*[F.coalesce(V.list_of(_at(metadata, k)), F.array().cast("array<variant>")) for k in LISTS])
-    listed = _kept(F.transform(F.filter(nodes, V.is_object), from_node))
-    return F.concat(table, stac_assets(metadata), arcgis_service(metadata), sdmx_endpoint(metadata), listed)
+
+    def derived(m: Fields) -> Column:
+        table = V.let(opendatasoft_table(m), lambda ods: F.when(F.size(ods) > 0, ods).otherwise(socrata_table(m)))
+        lists = F.filter(F.array(*[V.list_of(m[k]) for k in LISTS]), lambda x: x.isNotNull())
+        listed = _kept(F.transform(F.filter(F.flatten(lists), V.is_object), from_node))
+        return F.concat(table, stac_assets(m), arcgis_service(m), sdmx_endpoint(m), listed)
+
+    return F.coalesce(_apart(metadata, derived), _no_resources())
+
+
+@cache
+def _resources_of(name: str, application: str) -> Column:
+    return resources(F.col(name))
+
+
+def resources_of(rows: DataFrame, name: str) -> Column:
+    """resources() of a column, built once for each session: it is a large expression."""
+    return _resources_of(name, rows.sparkSession.sparkContext.applicationId)
 
 
 def with_resources(catalog: DataFrame) -> DataFrame:
@@ -151,7 +182,7 @@ def with_resources(catalog: DataFrame) -> DataFrame:
     All shapes are column expressions, so the derivation needs neither Python nor a shuffle.
     """
     parsed = catalog.withColumn("__metadata", V.parsed(F.col("metadata")))
-    return parsed.withColumn("resources", F.coalesce(resources(F.col("__metadata")), _no_resources())).drop("__metadata")
+    return parsed.withColumn("resources", resources_of(parsed, "__metadata")).drop("__metadata")
 
 
 def summaries(full: Column) -> Column:

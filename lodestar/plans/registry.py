@@ -21,7 +21,7 @@ from lodestar.streaming import ingest
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ROW = ["id", "original_id", "source_portal", "title", "last_updated_at", "is_stale"]
-NOW = F.expr("timestamp'2026-06-01 00:00:00'")
+NOW = "timestamp'2026-06-01 00:00:00'"
 
 
 def query(f: Query) -> Query:
@@ -254,7 +254,7 @@ def p3_details(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_schema(spark: SparkSession, d: str) -> DataFrame:
-    rows = _resource_snapshot(spark, d).select("original_id", F.explode("resources").alias("r"))
+    rows = _resource_snapshot(spark, d).select("original_id", F.explode_outer("resources").alias("r")).where("r is not null")
     return rows.select("original_id", "r.name", "r.format", "r.media_type", "r.url", "r.field_count")
 
 
@@ -307,7 +307,7 @@ def j11_excluded(spark: SparkSession, d: str) -> DataFrame:
 @query
 def j14_touch(spark: SparkSession, d: str) -> DataFrame:
     rows = fixtures.catalog(spark, d)
-    return store.touch(rows, rows.where("doc_id % 4 = 0"), NOW).select("original_id", "last_updated_at", "is_stale")
+    return store.touch(rows, rows.where("doc_id % 4 = 0"), F.expr(NOW)).select("original_id", "last_updated_at", "is_stale")
 
 
 # aggregations
@@ -608,7 +608,7 @@ def u1_upsert(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("array<float>")
     changed = rows.where("doc_id % 3 = 0").withColumn("title", F.concat(F.lit("new "), "title")).withColumn("embedding", none)
     added = rows.where("doc_id % 50 = 1").withColumn("original_id", F.concat(F.lit("added-"), "original_id")).withColumn("embedding", none)
-    out = store.upsert(rows, changed.unionByName(added), NOW)
+    out = store.upsert(rows, changed.unionByName(added), F.expr(NOW))
     return out.select("original_id", "title", F.col("embedding").isNotNull().alias("embedded"), "first_seen_at", "last_updated_at", "is_stale")
 
 
@@ -654,7 +654,7 @@ def u9_sync_plan(spark: SparkSession, d: str) -> DataFrame:
 def u11_embedding(spark: SparkSession, d: str) -> DataFrame:
     rows = fixtures.catalog(spark, d)
     todo = rows.where(curate.is_pending())
-    out = search.write_back(rows, search.embed(todo, search.length_provider()), NOW)
+    out = search.write_back(rows, search.embed(todo, search.length_provider()), F.expr(NOW))
     first = F.when(F.size("embedding") == 8, F.round(F.col("embedding")[0].cast("double"), 4))
     return out.select("original_id", "record_kind", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("size"), first.alias("first"), "content_hash")
 
