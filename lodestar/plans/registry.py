@@ -656,7 +656,7 @@ def u11_embedding(spark: SparkSession, d: str) -> DataFrame:
     todo = rows.where(curate.is_pending())
     out = search.write_back(rows, search.embed(todo, search.length_provider()), F.expr(NOW))
     first = F.when(F.size("embedding") == 8, F.round(F.col("embedding")[0].cast("double"), 4))
-    return out.select("original_id", "record_kind", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("size"), first.alias("first"), "content_hash")
+    return out.select("original_id", "record_kind", F.when(F.col("embedding").isNotNull(), F.size("embedding")).otherwise(0).alias("size"), first.alias("first"), "content_hash")
 
 
 @query

@@ -148,7 +148,7 @@ SQL: dict[str, str] = NORMALIZED | {
     "s15_collisions": f"{CP} SELECT count(*) AS rows, count(DISTINCT (source_portal, original_id)) AS keys, count(*) - count(DISTINCT (source_portal, original_id)) AS collisions FROM previous",
     "s17_portals": f"{_with(PORTALS)} SELECT name, url, type, profile, language FROM portals WHERE enabled",
     "s7_dataset_nodes": f"{L} SELECT page::INTEGER AS page, count(*) AS datasets FROM d GROUP BY page",
-    "s14_count_mismatch": f"{L} SELECT 'https://csw.example.org/' AS portal_url, count(*) + 1 AS declared, count(*) AS parsed FROM d WHERE page % 7 = 6 GROUP BY page",
+    "s14_count_mismatch": f"{L} SELECT DISTINCT 'https://csw.example.org/' AS portal_url, count(*) + 1 AS declared, count(*) AS parsed FROM d WHERE page % 7 = 6 GROUP BY page",
     "k1_jsonl": f"{C} SELECT id, original_id, title, description, strftime(first_seen_at, '%Y-%m-%dT%H:%M:%S+00:00') AS first_seen_at FROM catalog",
     "k2_json_array": f"{C} SELECT count(*) + 2 AS lines, count(*) - 1 AS commas FROM catalog",
     "k3_csv": f"{C} SELECT id, original_id, source_portal, url, title, description, strftime(first_seen_at, '%Y-%m-%dT%H:%M:%SZ') AS first_seen_at, strftime(last_updated_at, '%Y-%m-%dT%H:%M:%SZ') AS last_updated_at FROM catalog",
@@ -253,7 +253,7 @@ SQL: dict[str, str] = NORMALIZED | {
     "u9_sync_plan": f"""{JD} SELECT p.name, CASE WHEN s.portal_url IS NULL THEN 'first_full' WHEN p.type = 'stac' THEN 'full' ELSE 'incremental' END AS plan,
       CASE WHEN s.portal_url IS NOT NULL AND p.type <> 'stac' THEN s.last_successful_sync END AS since FROM portals p LEFT JOIN status s ON s.portal_url = p.url""",
     "u11_embedding": f"""{C}, e AS (SELECT *, strlen(trim(concat(title, ' ', coalesce(description, '')))) AS bytes, embedding IS NULL AND NOT is_stale AND record_kind IN ('dataset', 'series') AND trim(concat(title, ' ', coalesce(description, ''))) <> '' AS todo FROM catalog)
-      SELECT original_id, record_kind, CASE WHEN todo THEN 8 ELSE len(embedding) END AS size, CASE WHEN todo THEN round(bytes / 1000.0::DOUBLE, 4) END AS first, CASE WHEN todo THEN coalesce(content_hash, sha256(concat(title, chr(10), coalesce(description, '')))) ELSE content_hash END AS content_hash FROM e""",
+      SELECT original_id, record_kind, CASE WHEN todo THEN 8 WHEN embedding IS NULL THEN 0 ELSE len(embedding) END::INTEGER AS size, CASE WHEN todo THEN round(bytes / 1000.0::DOUBLE, 4) END AS first, CASE WHEN todo THEN coalesce(content_hash, sha256(concat(title, chr(10), coalesce(description, '')))) ELSE content_hash END AS content_hash FROM e""",
     "u12_dimension": f"{C} SELECT count(embedding) AS vectors, count(*) FILTER (WHERE embedding IS NOT NULL AND len(embedding) <> 64) AS wrong FROM catalog",
     "v1_harvest_status": f"{J} SELECT id, portal_url, status, created_at, (SELECT count(*) FROM jobs WHERE status = 'pending') AS pending, (SELECT count(*) FROM jobs WHERE status = 'running') AS running FROM jobs ORDER BY created_at DESC, id DESC LIMIT 20",
     "v3_portal_stats": f"""{JD} SELECT p.name, s.sync_status, (SELECT count(*) FROM catalog WHERE NOT is_stale AND rtrim(source_portal, '/') = p.url) AS datasets FROM portals p LEFT JOIN status s ON s.portal_url = p.url WHERE p.name = 'src5'""",
