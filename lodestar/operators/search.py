@@ -13,6 +13,8 @@ from lodestar.functions.text import content_hash
 from lodestar.operators.curate import is_pending, is_searchable
 
 DEFAULT_LIMIT, MOST_LIMIT = 10, 100
+#: Queries that are sent to every task as one broadcast; more of them are joined by shuffle.
+BROADCAST_QUERIES = 1000
 PROJECTION = ["id", "title", "description", "url", "source_portal", "record_kind"]
 
 
@@ -34,13 +36,20 @@ def with_norm(vectors: DataFrame) -> DataFrame:
 def search(catalog: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """For each query (query_id, query) the searchable rows of the largest cosine, score as float.
 
-    Ties go to the smaller id. At most MOST_LIMIT rows for each query. queries is a small
-    stated set: every task keeps the best rows of each query before anything is shuffled.
+    Ties go to the smaller id. At most MOST_LIMIT rows for each query. Queries that are
+    counted to be few are broadcast; more go to each slot that the rows are dealt to. Every
+    task keeps the best rows of each query before these are shuffled.
     """
     limit = max(1, min(limit, MOST_LIMIT))
     rows = with_norm(catalog.where(is_searchable()))
     asked = queries.withColumn("query_norm", F.sqrt(dot(F.col("query"), F.col("query"))))
-    met = rows.join(F.broadcast(asked), F.size("embedding") == F.size("query"))
+    if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        met = rows.join(F.broadcast(asked), F.size("embedding") == F.size("query"))
+    else:
+        slots = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sent = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        dealt = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int"))
+        met = dealt.join(sent, "slot").where(F.size("embedding") == F.size("query"))
     score = (dot(F.col("embedding"), F.col("query")) / F.nullif(F.col("norm") * F.col("query_norm"), F.lit(0.0))).cast("float")
     scored = met.select("query_id", *PROJECTION, score.alias("similarity_score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc_nulls_last(), "id"))

@@ -105,12 +105,8 @@ def write_snapshot(catalog: DataFrame, portals: DataFrame, folder: str, date: st
 
 
 def _write_text(catalog: DataFrame, path: str, content: str) -> None:
-    """Write one small file with the file system of the path."""
-    jvm = catalog.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(catalog.sparkSession._jsc.hadoopConfiguration()).create(target, True)
-    stream.write(bytearray(content.encode()))
-    stream.close()
+    """Write one small document as a folder of one text file."""
+    catalog.sparkSession.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def _table(title: str, header: tuple[str, str], rows: list[tuple]) -> list[str]:

@@ -151,6 +151,15 @@ def test_search_leaves_out_rows_without_vector(spark):
     assert {r.query_id: r.similarity_score for r in found}[0] == pytest.approx(1)
 
 
+def test_many_queries_give_the_same_result(spark, monkeypatch):
+    vector = F.array(*[F.lit(float(i)) * F.length("title") + F.ascii("original_id") for i in range(3)]).cast("array<float>")
+    rows = spark.createDataFrame([_row(str(i), "p", "x" * (i + 1)) for i in range(9)], CATALOG).withColumn("embedding", vector)
+    asked = spark.createDataFrame([(i, [1.0, float(i), 2.0]) for i in range(5)], "query_id int, query array<float>")
+    want = sorted(map(tuple, search.search(rows, asked, 4).collect()))
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 0)
+    assert sorted(map(tuple, search.search(rows, asked, 4).collect())) == want
+
+
 def test_provider_must_answer_every_text(spark):
     rows = spark.createDataFrame([_row("1", "p", "x")], CATALOG)
     with pytest.raises(Exception, match="0 vectors for 1 texts"):
@@ -164,11 +173,12 @@ def test_snapshot_folder(spark, tmp_path):
     assert manifest["rows"] == 20
     assert scans.previous_snapshot_id(spark, str(tmp_path)) == manifest["snapshot_id"]
     assert scans.previous_snapshot_id(spark, str(tmp_path / "missing")) is None
-    assert json.loads((tmp_path / "changelog.json").read_text())["compared"] is False
-    assert json.loads((tmp_path / "reports.json").read_text())["excluded_portals"] == ["none"]
+    document = lambda name: json.loads(spark.read.text(str(tmp_path / name), wholetext=True).first()[0])
+    assert document("changelog.json")["compared"] is False
+    assert document("reports.json")["excluded_portals"] == ["none"]
     again = sinks.write_snapshot(rows, portals, str(tmp_path / "second"), "2026-01-01", spark.read.parquet(f"{tmp_path}/identity.parquet"))
     assert again["content_digest"] == manifest["content_digest"]
-    assert json.loads((tmp_path / "second/changelog.json").read_text())["total"]["unchanged"] == 20
+    assert document("second/changelog.json")["total"]["unchanged"] == 20
 
 
 def test_file_name_collision_fails(spark, tmp_path):
