@@ -27,6 +27,8 @@ WHITE = (
 )
 #: Code points that one task lays out at a time.
 CHUNK_CHARS = 1_000_000
+#: Most rows and about as many bytes of an Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +48,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, with the session's Arrow batches kept to a few megabytes: texts can be long.
+
+    An executor holds several batches for each of its tasks, in and out of Python.
+    """
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text is divisible by 5; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

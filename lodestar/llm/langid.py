@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import LETTER, Layout, chunks, classes, held_out, mixed
+from lodestar.llm.common import LETTER, Layout, chunks, classes, held_out, mixed, small_batches
 
 BITS = 16
 #: About so many documents of each language are learnt.
@@ -131,7 +131,7 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
         return Model([], np.zeros((1 << BITS, 0), np.float32))
     rate = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, docs_per_language / v))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    sample = learnt.where(draw < rate[F.col("lang")]).select("lang", "text")
+    sample = small_batches(learnt).where(draw < rate[F.col("lang")]).select("lang", "text")
     place = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,4 +171,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(shares.astype(np.float64))], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(apply, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return small_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(apply, f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import NULL_ID, cut
+from lodestar.llm.common import NULL_ID, cut, small_batches
 
 #: Code points that a key must have, and documents that must hold it.
 LEAST_CHARS, LEAST_DOCS = 20, 3
@@ -31,24 +31,30 @@ def keys_of(text: str | None, least: int = LEAST_CHARS) -> tuple[list[bytes], li
     return hashes, places
 
 
+def _hashed(texts: list[str | None], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Halves of the hash, text and position of each line that counts."""
+    owner, hashes, places = [], [], []
+    for i, text in enumerate(texts):
+        h, p = keys_of(text, least)
+        owner += [i] * len(h)
+        hashes += h
+        places += p
+    halves = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
+    return halves, np.array(owner, np.int64), np.array(places, np.int32)
+
+
 def occurrences(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """h, g (the halves of a line's hash), doc_id, text_key and pos of every line that counts."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, hashes, places = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                h, p = keys_of(text, least)
-                owner += [i] * len(h)
-                hashes += h
-                places += p
-            halves = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
-            at = pa.array(owner, pa.int64())
-            columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32())]
+            halves, owner, places = _hashed(batch.column(2).to_pylist(), least)
+            at = pa.array(owner)
+            columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(0).take(at), batch.column(1).take(at), pa.array(places)]
             yield pa.RecordBatch.from_arrays(columns, ["h", "g", "doc_id", "text_key", "pos"])
 
     schema = "h bigint, g bigint, doc_id bigint, text_key bigint, pos int"
-    return docs.select("doc_id", "text_key", "text").mapInArrow(apply, schema)
+    return small_batches(docs).select("doc_id", "text_key", "text").mapInArrow(apply, schema)
 
 
 def _top_docs(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
@@ -65,7 +71,7 @@ def _top_docs(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     return kept.assign(n=np.where(first, n[kept.index], 0))
 
 
-def repeated(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def repeated(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """h, g, keeper (the largest document) and n (occurrences) of the keys in at least least_docs documents.
 
     Each map task first reduces its keys to their least_docs largest documents, which is
@@ -76,11 +82,12 @@ def repeated(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """
     columns = ["h", "g", "doc_id", "n"]
 
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                pdf = pdf.sort_values(["h", "g", "doc_id"], ascending=[True, True, False], ignore_index=True)
-                yield _top_docs(pdf, least_docs)[columns]
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves, owner, _ = _hashed(batch.column(1).to_pylist(), least_chars)
+            pdf = pd.DataFrame({"h": halves[:, 0], "g": halves[:, 1], "doc_id": batch.column(0).to_numpy()[owner], "n": np.int64(1)})
+            pdf = pdf.sort_values(["h", "g", "doc_id"], ascending=[True, True, False], ignore_index=True)
+            yield pa.RecordBatch.from_pandas(_top_docs(pdf, least_docs)[columns], preserve_index=False)
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -101,8 +108,8 @@ def repeated(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
         found = top.groupby(["h", "g"], sort=False).agg(keeper=("doc_id", "first"), docs=("doc_id", "size"), n=("n", "sum"))
         return found[found["docs"] >= least_docs].reset_index()[["h", "g", "keeper", "n"]]
 
-    few = lines.select("h", "g", "doc_id", F.lit(1).cast("bigint").alias("n")).mapInPandas(combine, "h bigint, g bigint, doc_id bigint, n bigint")
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = small_batches(docs).select("doc_id", "text").mapInArrow(combine, "h bigint, g bigint, doc_id bigint, n bigint")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # hashes are uniform, so equal ranges of them are equal shares
     share = F.floor((F.shiftrightunsigned(F.col("h"), 1).cast("double") / 2.0**63) * parts)
     dealt = few.repartitionById(parts, F.least(share, F.lit(parts - 1)).cast("int"))
@@ -116,9 +123,8 @@ def dropped(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = L
     hold doc_id (no nulls), text_key and text. A key of many occurrences makes a large
     partition of the join with the repeated keys, which adaptive execution splits.
     """
-    lines = occurrences(docs, least_chars)
-    keys = cut(repeated(lines, least_docs))
-    lost = lines.join(keys, ["h", "g"]).where("doc_id <> keeper")
+    keys = cut(repeated(docs, least_chars, least_docs))
+    lost = occurrences(docs, least_chars).join(keys, ["h", "g"]).where("doc_id <> keeper")
     places = lost.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("places"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

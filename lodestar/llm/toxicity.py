@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Layout, chunks, held_out, mixed, run_hashes, words_of
+from lodestar.llm.common import Layout, chunks, held_out, mixed, run_hashes, small_batches, words_of
 
 #: Hash space of the features; the bias has the index after the last.
 BITS = 20
@@ -32,7 +32,7 @@ class Weights:
     trained: bool
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Probability of label 1 for each text; 0 for all if no label 1 was there to learn."""
+        """Probability of label 1 for each text; 0 for all if there weren't both labels to learn."""
         total = np.full(len(texts), self.bias)
         if not self.trained:
             return np.zeros(len(texts))
@@ -80,8 +80,10 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, least_docs: i
     """Per-coordinate FTRL-proximal over the rows in their order; the coordinates left by L1."""
     bias = 1 << BITS
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
-    met = np.bincount(np.concatenate([x for x, _ in rows]), minlength=bias) >= least_docs
-    rows = [(x[met[x]], y) for x, y in rows]
+    met = np.zeros(bias, np.int32)
+    for index, _ in rows:
+        met[index] += 1  # a row's indices are distinct
+    rows = [(x[met[x] >= least_docs], y) for x, y in rows]
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
@@ -116,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLA
     labelled = labelled.where(~held_out(F.col("doc_id"))).withColumn("rank", F.xxhash64("doc_id"))
     kept = [labelled.where(F.col("label") == y).orderBy("rank", "doc_id").limit(most_per_class) for y in (0, 1)]
     sample = kept[0].unionByName(kept[1])
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+    texts = small_batches(docs).select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
     texts = texts.groupBy("doc_id", "label", "rank").agg(F.max("text").alias("text"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLA
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
-            sets = [np.frombuffer(x, np.int32).astype(np.int64) for x in batch.column("set").to_pylist()]
+            sets = [np.frombuffer(x, np.int32) for x in batch.column("set").to_pylist()]
             ids, ranks = batch.column("doc_id").to_pylist(), batch.column("rank").to_pylist()
             rows += zip(ranks, ids, sets, batch.column("label").to_pylist(), strict=True)
         rows.sort(key=lambda r: r[:2])
-        if any(r[3] for r in rows):
+        if {r[3] for r in rows} == {0, 1}:
             found = ftrl([r[2:] for r in rows], epochs)
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.float64())], ["i", "w"])
 
@@ -149,7 +151,7 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
     Whole texts; a null or empty text gets the score of a text without features. Rows are
     independent: repeated rows and null ids come back as they are (the checksum of a null
     id is that of empty text), other columns are left out, an empty table gives an
-    empty result. If the labels hold no toxic document, every score is 0.
+    empty result. If the labels lack toxic or clean documents, every score is 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -159,7 +161,7 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(apply, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return small_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(apply, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, weights: Weights, threshold: float = 0.5) -> DataFrame:
@@ -172,4 +174,4 @@ def keep_clean(docs: DataFrame, weights: Weights, threshold: float = 0.5) -> Dat
             scores = shared.value.scores([x or "" for x in batch.column(place).to_pylist()])
             yield batch.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(apply, docs.schema)
+    return small_batches(docs).mapInArrow(apply, docs.schema)
