@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Layout, chunks, cut, run_hashes
-from lodestar.llm.pretokens import special, strange, tokenizer, word_level
+from lodestar.llm.common import Layout, chunks, cut, run_hashes, small_batches
+from lodestar.llm.pretokens import Known, special, strange, tokenizer, word_level
 
 LENGTH = 4096
 END = 2
@@ -28,14 +29,16 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool, self.at, self.size = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = Known()
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids: list[list[int]] = []
+        for i in range(0, len(words), 4096):  # the library's results are large
+            ids += [e.ids for e in self.tokenizer.encode_batch(words[i : i + 4096], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.known.update(zip(keys, range(len(self.size), len(self.size) + len(keys)), strict=True))
+        self.known.add(keys, np.arange(len(self.size), len(self.size) + len(keys)))
         self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
         self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))))
@@ -63,8 +66,7 @@ class Encoder:
         codes, unique = pd.factorize(run_hashes(layout.cp, start, end))
         if len(self.known) > MOST_CACHED:
             self._forget()
-        keys = unique.tolist()
-        place = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
+        place = self.known.get(unique)
         new = np.flatnonzero(place < 0)
         if len(new):
             firsts = np.empty(len(unique), np.int64)
@@ -72,7 +74,7 @@ class Encoder:
             cp = layout.cp.tobytes()
             spans = zip((start[firsts[new]] * 4).tolist(), (end[firsts[new]] * 4).tolist(), strict=True)
             place[new] = np.arange(len(self.size), len(self.size) + len(new))
-            self._learn([keys[i] for i in new.tolist()], [cp[a:b].decode("utf-32-le") for a, b in spans])
+            self._learn(unique[new], [cp[a:b].decode("utf-32-le") for a, b in spans])
         token = place[codes]
         size = self.size[token]
         ends = np.cumsum(size)
@@ -82,6 +84,12 @@ class Encoder:
         return np.split(ids, np.append(0, ends)[cuts])
 
 
+@cache
+def encoder_of(name: str) -> Encoder:
+    """One encoder for all tasks of a worker, so that what it knows outlives a task."""
+    return Encoder(name)
+
+
 def normal(text: str) -> str:
     """NFC and lower case, code point by code point."""
     if not text.isascii():
@@ -95,7 +103,7 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", length: int =
     """doc_id, start, length, ids_crc32, doc_tokens: each document cut at multiples of length."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             owner, start, size, crc, total = [], [], [], [], []
@@ -112,7 +120,7 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", length: int =
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(split, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(split, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

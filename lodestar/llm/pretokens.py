@@ -43,6 +43,30 @@ def special(name: str) -> tuple[re.Pattern, dict[str, int]]:
     return re.compile("|".join(map(re.escape, longest_first)) or r"(?!)"), ids
 
 
+class Known:
+    """A table from 64-bit hashes to numbers, as two sorted arrays: a few bytes for each entry."""
+
+    def __init__(self) -> None:
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the keys, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add keys that aren't known yet."""
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values)
+
+
 def runs(layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and class of each run of one class; the edges between texts are runs of their own."""
     kind = classes()[layout.cp]

@@ -12,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lodestar.llm.common import Layout, chunks, run_hashes
-from lodestar.llm.pretokens import byte_level, file_of, special, strange, tokenizer
+from lodestar.llm.common import Layout, chunks, run_hashes, small_batches
+from lodestar.llm.pretokens import Known, byte_level, file_of, special, strange, tokenizer
 
 NONE = np.int32(2**31 - 1)
 #: Pre-tokens whose counts a worker remembers; a full memory is emptied.
@@ -105,7 +105,7 @@ class Counter:
     """Counts tokens, remembering the pre-tokens that it has met."""
 
     def __init__(self, name: str) -> None:
-        self.name, self.merges, self.known = name, merges_of(name), {}
+        self.name, self.merges, self.known = name, merges_of(name), Known()
 
     def of_words(self, words: list[str]) -> np.ndarray:
         return self.merges.survivors([w.encode("utf-8", "replace") for w in words])
@@ -137,19 +137,24 @@ class Counter:
         firsts = np.empty(len(unique), np.int64)
         firsts[codes[::-1]] = np.arange(len(codes))[::-1]
         if len(self.known) > MOST_CACHED:
-            self.known.clear()
-        keys = unique.tolist()
-        counts = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
+            self.known = Known()
+        counts = self.known.get(unique)
         new = np.flatnonzero(counts < 0)
         if len(new):
             cp = layout.cp.tobytes()
             spans = zip((start[firsts[new]] * 4).tolist(), (end[firsts[new]] * 4).tolist(), strict=True)
             counts[new] = self.of_words([cp[a:b].decode("utf-32-le") for a, b in spans])
-            self.known.update(zip((keys[i] for i in new.tolist()), counts[new].tolist(), strict=True))
+            self.known.add(unique[new], counts[new])
         owner = np.searchsorted(layout.first, start + 1, side="right") - 1
         return np.bincount(np.maximum(owner, 0), weights=counts[codes], minlength=len(texts)).astype(np.int64)
 
 
+@cache
+def counter_of(name: str) -> Counter:
+    """One counter for all tasks of a worker, so that what it knows outlives a task."""
+    return Counter(name)
+
+
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs (doc_id, text, ...).
 
@@ -159,7 +164,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary)
+        counter = counter_of(vocabulary)
         for batch in batches:
             text = pc.fill_null(batch.column(1), "")
             tokens = counter.counts(text.to_pylist())
@@ -170,4 +175,4 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean"
-    return docs.select("doc_id", "text").mapInArrow(count, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(count, schema)
