@@ -49,37 +49,37 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def subset(lengths: np.ndarray, have: np.ndarray, budget: int) -> np.ndarray:
-    """How many items of each length (have[i] at most) to take so that their sum comes nearest below the budget.
+def subset(lengths: np.ndarray, have: np.ndarray, times: int, budget: int) -> np.ndarray:
+    """How many items of each length to take (have[i] different ones, each up to `times`) for a sum next to the budget.
 
     First the same share of every length, then one more of each from the longest while more
-    than ROOM words are left; the last words are fitted by bounded-knapsack dynamic
-    programming over bit sets of reachable sums.
+    than ROOM words are left. The last words are fitted by bounded-knapsack dynamic
+    programming over bit sets of reachable sums: with items not taken yet, and only if
+    these don't meet the budget, with items a further time.
     """
     total = int((lengths * have).sum())
-    if budget >= total:
-        return have.copy()
-    take = np.array([int(n) * budget // total for n in have.tolist()], np.int64)
+    take = np.array([int(n) * min(budget, times * total) // total for n in have.tolist()], np.int64)
     left = budget - int((lengths * take).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order.tolist():
-        more = min(int(have[i] - take[i]), max(0, left - ROOM) // int(lengths[i]))
+    order = np.argsort(-lengths, kind="stable").tolist()
+    for i in order:
+        more = min(int(have[i] - take[i]), max(0, left - ROOM) // int(lengths[i])) if take[i] < have[i] else 0
         take[i] += more
         left -= more * int(lengths[i])
-    goal = min(left, 4 * ROOM)
+    goal = max(0, min(left, 4 * ROOM))
+    mask = (1 << (2 * goal + 1)) - 1
     reach, steps = 1, []
-    mask = (1 << (goal + 1)) - 1
-    for i in order[::-1].tolist():
-        free, times = int(have[i] - take[i]), 1
-        free = min(free, goal // int(lengths[i]))
-        while free > 0 and not reach >> goal & 1:
-            k = min(times, free)
-            steps.append((reach, i, k))
-            reach |= reach << k * int(lengths[i]) & mask
-            free, times = free - k, times * 2
-        if reach >> goal & 1:
-            break
-    at = reach.bit_length() - 1
+    for free_of in (np.maximum(have - take, 0), times * have - np.maximum(take, have)):
+        for i in order[::-1]:
+            length = int(lengths[i])
+            free, k = min(int(free_of[i]), 2 * goal // length), 1
+            while free > 0 and not reach >> goal & 1:
+                k = min(k, free)
+                steps.append((reach, i, k))
+                reach |= reach << k * length & mask
+                free, k = free - k, k * 2
+    under, over = (reach & (1 << goal + 1) - 1).bit_length() - 1, reach >> goal + 1
+    above = goal + (over & -over).bit_length() if over else 3 * goal + 1
+    at = under if goal - under <= above - goal else above
     for before, i, k in reversed(steps):
         if not before >> at & 1:
             take[i] += k
@@ -96,8 +96,9 @@ def _quotas(rows: pd.DataFrame) -> pd.DataFrame:
     extra, some = np.zeros(len(rows), np.int64), length > 0
     budget = int(round(target)) - passes * size
     if passes < MOST_TIMES and budget > 0 and some.any():
-        extra[some] = subset(length[some], have[some], budget)
-    return rows.assign(passes=passes, extra=extra)[["__source", "size", "source_size", "target", "passes", "extra"]]
+        extra[some] = subset(length[some], have[some], MOST_TIMES - passes, budget)
+    whole = extra // np.maximum(have, 1)
+    return rows.assign(passes=passes + whole, extra=extra - whole * have)[["__source", "size", "source_size", "target", "passes", "extra"]]
 
 
 def mix(docs: DataFrame, seed: int = 3) -> DataFrame:
@@ -111,8 +112,9 @@ def mix(docs: DataFrame, seed: int = 3) -> DataFrame:
     source sees one row for each distinct length.
 
     Null sources are one source, the last. Repeated rows count and are taken one by one.
-    A target is missed by less than the shortest document that could still be added. An
-    empty table gives an empty result; clashing columns of docs are replaced.
+    A source of many documents meets its target exactly; one of few comes as near as sums of
+    its lengths allow. An empty table gives an empty result; clashing columns of docs are
+    replaced.
     """
     columns = [c for c in docs.columns if c not in ADDED]
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
