@@ -203,9 +203,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                ids, x = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_x"], "<i8").reshape(-1, dim)
+                ids = np.frombuffer(row["q_ids"], "<i8")
+                x = np.frombuffer(row["q_x"], "<i8").reshape(len(ids), dim)
                 found = Search(ids, x, k)
-                found.add(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["x"], "<i8").reshape(-1, dim))
+                row_ids = np.frombuffer(row["ids"], "<i8")
+                found.add(row_ids, np.frombuffer(row["x"], "<i8").reshape(len(row_ids), dim))
                 hits = list(found.result())
                 own = np.flatnonzero(found.own)
                 q = np.array([h[0] for h in hits], np.int64)
