@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import NULL_ID, connected_components, cut
+from lodestar.llm.common import NULL_ID, connected_components, cut, small_batches
 
 SEED = 42
 SHINGLE = 3
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(apply, f"doc_id {kind}, text_key bigint, fp bigint")
+    return small_batches(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(apply, f"doc_id {kind}, text_key bigint, fp bigint")
 
 
 def _signatures(fps: DataFrame) -> DataFrame:
@@ -132,7 +132,9 @@ def _large(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, most_in_signature: int = MOST_IN_SIGNATURE) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (fp) at BITS or fewer differing bits."""
-    signatures = _signatures(fps)
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes become many rows here, so the partitions must not be merged by their size
+    signatures = _signatures(fps.repartition(parts, F.xxhash64("fp")))
     sizes = signatures.groupBy("sig", "rest").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(signatures.join(sizes, ["sig", "rest"]).select("sig", "rest", "fp", "n"))
     few = shared.where(F.col("n") <= most_in_signature).select("sig", "rest", "fp")
