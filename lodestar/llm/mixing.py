@@ -18,6 +18,8 @@ ADDED = ("size", "source_size", "target", "copies", "taken")
 BUCKETS = 1024
 #: Words of budget that dynamic programming fits; the rest is filled by length before.
 ROOM = 16384
+#: Sums that the search over the whole budget tells apart, at most and at least, and its sums times steps.
+SUMS, FEWEST, WORK = 1 << 20, 1 << 16, 1 << 31
 
 
 def words(text: Column) -> Column:
@@ -55,7 +57,9 @@ def subset(lengths: np.ndarray, have: np.ndarray, times: int, budget: int) -> np
     First the same share of every length, then one more of each from the longest while more
     than ROOM words are left. The last words are fitted by bounded-knapsack dynamic
     programming over bit sets of reachable sums: with items not taken yet, and only if
-    these don't meet the budget, with items a further time.
+    these don't meet the budget, with items a further time. If the sum is then further off
+    than the lengths' common divisor explains, as with a few long items, all items are
+    fitted to the whole budget instead, if that comes nearer.
     """
     total = int((lengths * have).sum())
     take = np.array([int(n) * min(budget, times * total) // total for n in have.tolist()], np.int64)
@@ -84,6 +88,59 @@ def subset(lengths: np.ndarray, have: np.ndarray, times: int, budget: int) -> np
         if not before >> at & 1:
             take[i] += k
             at -= k * int(lengths[i])
+    miss = abs(budget - int((lengths * take).sum()))
+    other = _nearest(lengths, have, times, budget, miss)
+    return take if other is None else other
+
+
+def _nearest(lengths: np.ndarray, have: np.ndarray, times: int, budget: int, miss: int) -> np.ndarray | None:
+    """How many items of each length to take for the sum nearest to the budget; None if none is nearer than miss.
+
+    One reached sum is held for each of many equal ranges up to budget + miss: exact if a range is
+    one word wide, else near to within some ranges. A sum keeps the step that reached it
+    first, so the way back needs no more. Items are first taken once, then, unless these meet
+    the budget, further times.
+    """
+    divisor = int(np.gcd.reduce(lengths))
+    least = min(budget % divisor, -budget % divisor)
+    if miss <= least:
+        return None
+    items = []
+    for free_of in (have, (times - 1) * have):
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            free, k = int(free_of[i]), 1
+            while free > 0:
+                k = min(k, free)
+                items.append((i, k, k * int(lengths[i])))
+                free, k = free - k, k * 2
+    top = budget + miss  # sums from here on are no nearer
+    items = [x for x in items if x[2] < top]
+    width = -(-top // min(SUMS, max(FEWEST, WORK // max(1, len(items)))))
+    sums, step = np.full(-(-top // width), -1, np.int64), np.full(-(-top // width), -1, np.int32)
+    sums[0], best = 0, (abs(budget), 0, -1)
+    for t, (_, _, more) in enumerate(items):
+        new = sums[: (top - 1 - more) // width + 1]
+        new = new[new >= 0] + more
+        new = new[new < top]
+        if not len(new):
+            continue
+        off = np.abs(new - budget)
+        if int(off.min()) < best[0]:
+            best = int(off.min()), int(new[off.argmin()]), t
+        place = new // width
+        fresh = sums[place] < 0
+        place, new = place[fresh], new[fresh]
+        sums[place], step[place] = new, t
+        if best[0] <= least:
+            break
+    if best[0] >= miss:
+        return None
+    take, (_, at, t) = np.zeros(len(lengths), np.int64), best
+    while at:
+        i, k, more = items[t]
+        take[i] += k
+        at -= more
+        t = int(step[at // width])
     return take
 
 
@@ -113,7 +170,8 @@ def mix(docs: DataFrame, seed: int = 3) -> DataFrame:
 
     Null sources are one source, the last. Repeated rows count and are taken one by one.
     A source of many documents meets its target exactly; one of few comes as near as sums of
-    its lengths allow. An empty table gives an empty result; clashing columns of docs are
+    its lengths allow (if its budget is beyond half of SUMS words, to within a few of its SUMS-th
+    parts, or FEWEST-th if it has many lengths). An empty table gives an empty result; clashing columns of docs are
     replaced.
     """
     columns = [c for c in docs.columns if c not in ADDED]

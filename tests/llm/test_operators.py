@@ -240,6 +240,38 @@ def test_subset_reaches_budgets():
         assert abs(budget - total) <= max(50, budget - under)
 
 
+@pytest.mark.parametrize(
+    ("lengths", "have", "budget", "times", "best"),
+    [
+        ([100, 1_000_000], [100, 1], 950_000, 1, 1_000_000),
+        ([150_000], [4], 590_000, 1, 600_000),
+        ([150_000, 180_000], [4, 1], 480_000, 1, 480_000),
+        ([500_000, 600_000], [2, 1], 1_000_000, 1, 1_000_000),
+        ([200_000, 900_000], [1, 1], 1_090_000, 3, 1_100_000),
+        ([300_000, 700_000], [1, 1], 900_000, 3, 900_000),
+    ],
+)
+def test_subset_of_long_items(lengths, have, budget, times, best):
+    take = mixing.subset(np.array(lengths), np.array(have), times, budget)
+    assert ((take >= 0) & (take <= times * np.array(have))).all()
+    assert int((np.array(lengths) * take).sum()) == best
+
+
+def test_subset_of_few_long_items_is_near_the_best():
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 5, 8):
+        for _ in range(20):
+            lengths = np.unique(rng.integers(1, 2_000_000, n))
+            budget = int(rng.integers(1, lengths.sum()))
+            sums = {0}
+            for length in lengths.tolist():
+                sums |= {s + length * k for s in sums for k in (1, 2)}
+            want = min(abs(budget - s) for s in sums)
+            took = mixing.subset(lengths, np.ones(len(lengths), np.int64), 2, budget)
+            assert ((took >= 0) & (took <= 2)).all()
+            assert abs(budget - int((lengths * took).sum())) <= want + 1e-4 * budget
+
+
 # 4: SimHash
 
 
