@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that only states a copyright, after lower-casing.
 COPYRIGHT = r"(^|\n)[\x20\x09]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A copyright statement by name, before lower-casing; and by sign or year, after it. Running text that a
+#: line break puts behind 'copyright' ('copyright notice', 'copyright holders') is none.
+STATED_NAME = r"(^|\n)[\x20\x09]*Copyright[\x20\x09]+[A-Z][^\n]*"
+STATED = r"(^|\n)[\x20\x09]*(copyright[\x20\x09:,]*(\(c\)|©|&copy;|[\[<{(]?([0-9]{4}|year|yyyy))|\(c\)[\x20\x09]*(copyright|©|[\[<{]?([0-9]{4}|year|yyyy))|©|all rights reserved)[^\n]*"
+#: List markers at the beginning of a line or sentence.
+MARKERS = r"(^|\n|[.:;][\x20\x09]+)[\x20\x09]*(•|\(?[0-9]{1,2}[.)]|\(?[a-z]\))(?=[\x20\x09\n])"
+#: Lower-cased texts without these have the same wrapped form as canonical form.
+WRAPPED = rf"(^|\n)[\x20\x09]*(copyright|\(c\))|{MARKERS}"
 #: Punctuation and blanks, but no line feed.
 SIGNS = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x20\x09\x0B-\x0D«»‘’“”–—©®]+"
 #: Equivalent spellings and the form kept (fixed values).
@@ -139,24 +147,44 @@ def known_texts() -> list[tuple[str, str]]:
     return whole + [(i, form.format(name, id=i)) for i, name in NAMES for form in FORMS]
 
 
+def _lower(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+
+
+def _lines(lower: Column) -> Column:
+    """The lines, without empty ones, of a lower-cased text: one blank for punctuation, equivalent spellings unified."""
+    out = F.regexp_replace(lower, SIGNS, " ")
+    for other, kept in SPELLINGS:
+        out = F.replace(out, F.lit(other), F.lit(kept))
+    return F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def canonical_lines(text: Column) -> Column:
     """The lines of a text in canonical form: lower case, one blank for punctuation, equivalent spellings unified.
 
     Lines that state a copyright become empty.
     """
-    out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT, "$1")
-    out = F.regexp_replace(out, SIGNS, " ")
-    for other, kept in SPELLINGS:
-        out = F.replace(out, F.lit(other), F.lit(kept))
-    return F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return _lines(F.regexp_replace(_lower(text), COPYRIGHT, "$1"))
+
+
+def wrapped_lines(text: Column) -> Column:
+    """Like canonical_lines(), but without list markers, and running text that begins a line with 'copyright' stays.
+
+    So a text has the same words however it is wrapped and its clauses are marked.
+    """
+    out = _lower(F.regexp_replace(text, STATED_NAME, "$1"))
+    return _lines(F.regexp_replace(F.regexp_replace(out, STATED, "$1"), MARKERS, "$1"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id, notices and n_notices of every row of docs (doc_id, text, ...).
 
     digest is the SHA-256 of the whole text in canonical form, license_id the known
-    licence that has the same one (null: none; of several the smallest). notices are the
+    licence that has the same one (of several the smallest), else the one that has the same
+    form by wrapped_lines(), if only one has (null: none). The default table holds the whole
+    texts of TEXTS (MIT, ISC, 0BSD, BSD-2-Clause, BSD-3-Clause, Zlib) and the notices of
+    NAMES; the whole texts of Apache-2.0, GPL-2.0, GPL-3.0, LGPL-3.0, AGPL-3.0, MPL-2.0 and
+    the CC licences aren't in it and get no license_id unless known brings them. notices are the
     licences, ascending and joined by commas, of which a whole line is a known text, and
     n_notices the number of such lines. The digests of known (license_id, text; default:
     known_texts()) are broadcast: the table comes with the program, not with the data.
@@ -167,25 +195,30 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     if known is None:
         known = docs.sparkSession.createDataFrame(known_texts(), "license_id string, text string")
-    table = known.select("license_id", F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("key"))
-    table = table.groupBy("key").agg(F.min("license_id").alias("license"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", canonical_lines(F.col("text")).alias("lines"))
+    # keys of the wrapped form begin with ~
+    digest, wrapped = (F.sha2(F.array_join(f(F.col("text")), " "), 256) for f in (canonical_lines, wrapped_lines))
+    table = known.select("license_id", digest.alias("key")).groupBy("key").agg(F.min("license_id").alias("license"))
+    loose = known.select("license_id", F.concat(F.lit("~"), wrapped).alias("key")).groupBy("key")
+    table = table.unionByName(loose.agg(F.min("license_id").alias("license"), F.max("license_id").alias("last")).where("license = last").drop("last"))
+    differs = F.when(F.rlike(_lower(F.col("text")), F.lit(WRAPPED)), wrapped)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", canonical_lines(F.col("text")).alias("lines"), differs.alias("wrapped"))
     digests = rows.select(
-        "row", "doc_id", F.sha2(F.array_join("lines", " "), 256).alias("digest"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("lines")
+        "row", "doc_id", F.sha2(F.array_join("lines", " "), 256).alias("digest"), "wrapped", F.transform("lines", lambda x: F.sha2(x, 256)).alias("lines")
     )
-    # the whole text is unit -1, its lines are 0, 1, ...
-    units = digests.select("row", "doc_id", "digest", F.posexplode(F.concat(F.array("digest"), "lines")).alias("unit", "key"))
+    whole = F.array("digest", F.concat(F.lit("~"), F.coalesce("wrapped", "digest")))
+    # the whole text is units 0 and 1, its lines are 2, 3, ...
+    units = digests.select("row", "doc_id", "digest", F.posexplode(F.concat(whole, "lines")).alias("unit", "key"))
     met = units.join(F.broadcast(table), "key", "left")
-    line = F.col("unit") > 0
+    line = F.col("unit") > 1
     return met.groupBy("row", "doc_id", "digest").agg(
-        F.max(F.when(~line, F.col("license"))).alias("license_id"),
+        F.coalesce(*[F.max(F.when(F.col("unit") == i, F.col("license"))) for i in (0, 1)]).alias("license_id"),
         F.array_join(F.array_sort(F.collect_set(F.when(line, F.col("license")))), ",").alias("notices"),
         F.count(F.when(line, F.col("license"))).alias("n_notices"),
     ).drop("row")
 
 
 def scan_sql() -> str:
-    """DuckDB SQL for scan() over the table documents."""
+    """DuckDB SQL for scan() over the table documents, without the lookup by wrapped form."""
     quoted = [(i, text.replace("'", "''")) for i, text in known_texts()]
     values = ", ".join(f"('{i}', '{text}')" for i, text in quoted)
     out = f"regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{COPYRIGHT}', '\\1', 'g')"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -383,6 +384,26 @@ def test_license_texts_and_notices(spark):
     assert licenses.scan(make(spark, EDGE)).count() == len(EDGE)
 
 
+@pytest.mark.parametrize("width", [30, 47, 60, 72, 80, 100])
+def test_license_texts_in_any_wrapping(spark, width):
+    wrap = lambda text: "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n"))
+    data = []
+    for license_id, text in licenses.TEXTS:
+        starred = re.sub(r"(?m)^[0-9]\. ", "* ", text)
+        for form in (text, starred, re.sub(r"(?m)^([0-9])\. ", r"(\1) ", text), " ".join(text.split())):
+            for head in ("", "Copyright (c) 2020 Some Body\n\n", "Copyright 2019-2020, Some Body\nAll rights reserved.\n\n", "Copyright Some Body\n\n"):
+                data.append((license_id, head + wrap(form), "en", "a"))
+    numbered = [(i, *x[1:]) for i, x in enumerate(data)]
+    got = {r.doc_id: r.license_id for r in licenses.scan(make(spark, numbered)).collect()}
+    assert [got[i] for i in range(len(data))] == [x[0] for x in data]
+
+
+def test_license_texts_that_differ_stay_apart(spark):
+    known = spark.createDataFrame([("A", "1. Keep this.\n2. Keep that."), ("B", "2. Keep this.\n1. Keep that.")], "license_id string, text string")
+    data = [(1, "1. Keep this.\n2. Keep that.", "en", "a"), (2, "2. Keep this.\n1. Keep that.", "en", "a"), (3, "* Keep this.\n* Keep that.", "en", "a"), (4, licenses.ISC_GRANT, "en", "a")]
+    assert {r.doc_id: r.license_id for r in licenses.scan(make(spark, data), known).collect()} == {1: "A", 2: "B", 3: None, 4: None}
+
+
 # 7, 10: vectors
 
 
