@@ -346,9 +346,9 @@ def csw(records: DataFrame) -> DataFrame:
     return _catalog(rows, ["original_id"])
 
 
-def count_mismatches(records: DataFrame) -> DataFrame:
-    """Pages whose declared number of records isn't the parsed one."""
-    return records.where("declared <> parsed").select("portal_url", "declared", "parsed").distinct()
+def count_mismatches(counts: DataFrame) -> DataFrame:
+    """Each page whose declared number of records isn't the parsed one, also if it holds none (of csw_counts())."""
+    return counts.where("declared <> parsed").select("portal_url", "page", "declared", "parsed")
 
 
 #: The job of each family over its records.

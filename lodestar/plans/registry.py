@@ -107,7 +107,13 @@ def s7_dataset_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def s14_count_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    return normalize.count_mismatches(xml.csw_records(payload_fixtures.csw_pages(spark, d)))
+    """The distinct pairs of counts; s14_mismatching_pages has the pages."""
+    return s14_mismatching_pages(spark, d).select("portal_url", "declared", "parsed").distinct()
+
+
+@query
+def s14_mismatching_pages(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.count_mismatches(xml.csw_counts(payload_fixtures.csw_pages(spark, d)))
 
 
 @query

@@ -149,6 +149,7 @@ SQL: dict[str, str] = NORMALIZED | {
     "s17_portals": f"{_with(PORTALS)} SELECT name, url, type, profile, language FROM portals WHERE enabled",
     "s7_dataset_nodes": f"{L} SELECT page::INTEGER AS page, count(*) AS datasets FROM d GROUP BY page",
     "s14_count_mismatch": f"{L} SELECT DISTINCT 'https://csw.example.org/' AS portal_url, count(*) + 1 AS declared, count(*) AS parsed FROM d WHERE page % 7 = 6 GROUP BY page",
+    "s14_mismatching_pages": f"{L} SELECT 'https://csw.example.org/' AS portal_url, page::INTEGER AS page, count(*) + 1 AS declared, count(*) AS parsed FROM d WHERE page % 7 = 6 GROUP BY page",
     "k1_jsonl": f"{C} SELECT id, original_id, title, description, strftime(first_seen_at, '%Y-%m-%dT%H:%M:%S+00:00') AS first_seen_at FROM catalog",
     "k2_json_array": f"{C} SELECT count(*) + 2 AS lines, count(*) - 1 AS commas FROM catalog",
     "k3_csv": f"{C} SELECT id, original_id, source_portal, url, title, description, strftime(first_seen_at, '%Y-%m-%dT%H:%M:%SZ') AS first_seen_at, strftime(last_updated_at, '%Y-%m-%dT%H:%M:%SZ') AS last_updated_at FROM catalog",

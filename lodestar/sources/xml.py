@@ -156,6 +156,35 @@ def _dublin_core(x: ElementTree.Element) -> dict:
     return {"identifier": first("identifier"), "title": first("title"), "description": first("abstract", "description"), "scope": first("type"), "modified": first("modified", "date"), "links": [k for k in links if k], "keywords": [t for k in _all(x, "subject") if (t := _text(k))], "bbox": box, "organization": first("publisher", "creator")}
 
 
+def _csw(body: str | None) -> tuple[int, list[ElementTree.Element]]:
+    """The number of records that a GetRecords page says it returns, and those that it holds."""
+    root = ElementTree.fromstring(body or "")
+    results = next(_all(root, "SearchResults"), None)
+    if local(root) != "GetRecordsResponse" or results is None:
+        raise ValueError(f"no GetRecords response but {local(root)}")
+    found = [x for x in results if local(x) in ("MD_Metadata", "Record", "SummaryRecord")]
+    return int(results.get("numberOfRecordsReturned") or len(found)), found
+
+
+def csw_counts(pages: DataFrame) -> DataFrame:
+    """portal_url, page, declared and parsed (see csw_records()) of each GetRecords page, with error where it doesn't parse."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for body in batch.column(2).to_pylist():
+                try:
+                    declared, found = _csw(body)
+                    rows.append((declared, len(found), None))
+                except (ElementTree.ParseError, ValueError) as problem:
+                    rows.append((None, None, str(problem)))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["portal_url", "page", "declared", "parsed", "error"])
+
+    kind = pages.schema["page"].dataType.simpleString()
+    return pages.select("portal_url", "page", "body").mapInArrow(count, f"portal_url string, page {kind}, declared bigint, parsed bigint, error string")
+
+
 def csw_records(pages: DataFrame) -> DataFrame:
     """One row for each metadata record of a GetRecords page, ISO 19139 or Dublin Core.
 
@@ -169,12 +198,8 @@ def csw_records(pages: DataFrame) -> DataFrame:
             for page in batch.to_pylist():
                 base = {"portal_url": page["portal_url"], "language": page["language"]}
                 try:
-                    root = ElementTree.fromstring(page["body"] or "")
-                    results = next(_all(root, "SearchResults"), None)
-                    if local(root) != "GetRecordsResponse" or results is None:
-                        raise ValueError(f"no GetRecords response but {local(root)}")
-                    found = [x for x in results if local(x) in ("MD_Metadata", "Record", "SummaryRecord")]
-                    counts = {"declared": int(results.get("numberOfRecordsReturned") or len(found)), "parsed": len(found)}
+                    declared, found = _csw(page["body"])
+                    counts = {"declared": declared, "parsed": len(found)}
                     rows += [base | counts | (_iso(x, page["language"]) if local(x) == "MD_Metadata" else _dublin_core(x)) for x in found]
                 except (ElementTree.ParseError, ValueError) as problem:
                     rows.append(base | {"error": str(problem)})

@@ -136,6 +136,16 @@ def test_xml_pages_that_do_not_parse(spark):
     assert {r.error is not None for r in xml.csw_records(pages).collect()} == {True}
 
 
+def test_each_page_of_a_wrong_count_is_reported(spark):
+    page = lambda declared, n: f'<GetRecordsResponse><SearchResults numberOfRecordsReturned="{declared}">{"<Record/>" * n}</SearchResults></GetRecordsResponse>'
+    bodies = [page(2, 1), page(2, 1), page(2, 2), page(50, 0), page(0, 0), "<a", page(2, 3)]
+    pages = spark.createDataFrame([("p", "en", i, b) for i, b in enumerate(bodies)], "portal_url string, language string, page int, body string")
+    counts = xml.csw_counts(pages)
+    assert counts.count() == len(bodies)
+    assert [r.page for r in counts.where("error is not null").collect()] == [5]
+    assert {(r.page, r.declared, r.parsed) for r in normalize.count_mismatches(counts).collect()} == {(0, 2, 1), (1, 2, 1), (3, 50, 0), (6, 2, 3)}
+
+
 def test_redaction_at_any_depth(spark):
     text = '{"a":[{"Secret_x":1,"keep":{"TOKEN":2,"b":3}}]}'
     got = spark.createDataFrame([(text,), ("no json",), (None,)], "m string").select(redact.deep(F.col("m"), ["secret_*", "token"]).alias("m")).collect()
