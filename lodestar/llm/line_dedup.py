@@ -59,10 +59,13 @@ def occurrences(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
 
 def _top_docs(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     """Of each key of a sorted batch its largest `most` distinct documents, with the number of occurrences in n."""
-    new_key = (pdf["h"].diff() != 0) | (pdf["g"].diff() != 0)
-    new_key.iloc[:1] = True
+    h, g, doc = (pdf[c].to_numpy(np.int64) for c in ("h", "g", "doc_id"))
+    new_key = np.ones(len(pdf), bool)
+    new_key[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    new_doc = new_key.copy()
+    new_doc[1:] |= doc[1:] != doc[:-1]  # in 64 bits: doubles take neighbouring ids for one
+    new_key, new_doc = pd.Series(new_key, pdf.index), pd.Series(new_doc, pdf.index)
     group = new_key.cumsum()
-    new_doc = new_key | (pdf["doc_id"] != pdf["doc_id"].shift())
     rank = new_doc.cumsum()
     rank = rank - rank.where(new_key).ffill() + 1
     n = pdf["n"].groupby(group).transform("sum")

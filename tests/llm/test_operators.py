@@ -363,6 +363,13 @@ def test_lines_held_by_two_documents_stay(spark):
     assert line_dedup.line_report(make(spark, data)).where("n_dropped > 0").count() == 0
 
 
+def test_lines_of_neighbouring_large_ids(spark):
+    line = "A line that three documents of large ids hold"
+    data = [(2**60 + i, line, "en", "a") for i in range(3)] + [(-(2**60) - i, "Another line that three documents hold", "en", "a") for i in range(3)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_report(make(spark, data)).collect()}
+    assert got == {2**60: 1, 2**60 + 1: 1, 2**60 + 2: 0, -(2**60): 0, -(2**60) - 1: 1, -(2**60) - 2: 1}
+
+
 def test_bitmaps_are_small(spark):
     data = [(i, "\n".join(f"line number {j} that all documents hold" for j in range(500)), "en", "a") for i in range(3)]
     maps = line_dedup.dropped(make(spark, data).select("doc_id", F.xxhash64("text").alias("text_key"), "text")).collect()
