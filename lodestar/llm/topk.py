@@ -20,18 +20,18 @@ RESOLUTIONS = (1, 4, 16)
 #: Queries and candidates that meet in one step.
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
 NO_ID = 2**63 - 1
-#: Largest magnitude of a component; sums of products of more need more than 64 bits.
-MOST = 2**31 - 1
+#: Scaled components are below this in magnitude, so that their floors fit into a long.
+MOST = 2**63
 
 
 def integers(vectors: DataFrame, scale: int) -> DataFrame:
     """vec_id and x, the components floor(scale * component), of the vectors that take part.
 
     Vectors that are null or hold null or non-finite components don't, nor do those with a
-    component beyond MOST after scaling.
+    component of at least MOST after scaling, whose floor no long holds.
     """
     scaled = F.transform("embedding", lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
-    bad = F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) > float(MOST) / scale))
+    bad = F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(F.lit(float(scale)) * c.cast("double")) >= F.lit(float(MOST))))
     return vectors.where("embedding is not null").where(~F.coalesce(bad, F.lit(True))).select("vec_id", scaled.alias("x"))
 
 
@@ -65,7 +65,7 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64)).astype(np.int64)
     if most < 2**63:
         return np.einsum("ij,ij->i", a, b)
-    return np.array([sum(int(u) * int(v) for u, v in zip(x, y, strict=True)) for x, y in zip(a, b, strict=True)], object).clip(-(2**63), 2**63 - 1).astype(np.int64)
+    return np.array([sum(int(u) * int(v) for u, v in zip(x, y, strict=True)) for x, y in zip(a, b, strict=True)], object).clip(-(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
 class Search:
@@ -83,12 +83,13 @@ class Search:
         stats = _segments(x.astype(np.float64))
         fine = self.stats[-1] @ stats[-1].T
         floor = self._floor(fine, ids, x)[:, None]
-        near = fine + self._slack(fine) >= floor
+        slack = self._slack(x)
+        near = fine + slack >= floor
         for mine, theirs in zip(self.stats[:-1], stats[:-1], strict=True):
             if not near.any():
                 break
             bound = mine @ theirs.T
-            near &= bound + self._slack(bound) >= floor
+            near &= bound + slack >= floor
         most = float(np.abs(self.x).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
         if near.mean() > 0.02 and most < 2**53:  # so many are left that one product of matrices is cheaper
             exact = self.x.astype(np.float64) @ x.astype(np.float64).T
@@ -119,9 +120,10 @@ class Search:
         own = _exact(self.x, self.x).astype(np.float64)
         return np.minimum(floor, own)
 
-    @staticmethod
-    def _slack(bound: np.ndarray) -> np.ndarray:
-        return np.abs(bound) * 1e-9 + 1e-6
+    def _slack(self, x: np.ndarray) -> np.ndarray:
+        """More than the rounding errors of a query's bounds, which grow with the vectors' norms, not with the bound."""
+        norms = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)).max(initial=0)
+        return (np.sqrt((self.x.astype(np.float64) ** 2).sum(axis=1)) * norms * 1e-9 + 1e-6)[:, None]
 
     def _merge(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         old = np.repeat(np.arange(len(self.ids)), self.score.shape[1])
@@ -185,7 +187,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     block holds a bounded number of vectors, and each pair of blocks returns at most k rows
     for each query.
 
-    Vectors that are null or hold null or non-finite components take no part. A null vec_id
+    Vectors that are null or hold null or non-finite components take no part, nor do those
+    with a component whose floor doesn't fit into a long (2^63 / scale or more). A score that
+    doesn't fit is given, and compared, as the nearest long above -2^63. A null vec_id
     is no query and comes after all ids among equal scores. A repeated row is another row:
     it is a candidate for its copies and, if a query, answered as often as it is there.
     Other columns are left out; an empty table gives an empty result.

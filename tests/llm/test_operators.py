@@ -434,6 +434,19 @@ def test_top_k_by_brute_force(spark):
     assert Counter(map(tuple, topk.top_k(vectors(spark, data)).collect())) == want
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(10)
+    data = [(int(i), [float(9_000_000 * (-1) ** (i // 7) - i), *(rng.normal(size=7) * 2e5).round().tolist()], 0) for i in range(150)] + [(151, [2.0**56] * 8, 0), (152, [1e30] * 8, 0), (153, [float("inf")] * 8, 0)]
+    fine = {v: [int(np.floor(256 * np.float64(np.float32(c)))) for c in x] for v, x, _ in data if v < 151}
+    got = defaultdict(list)
+    for r in topk.top_k(vectors(spark, [x for x in data if x[0] != 151])).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True))
+    assert got == {q: sorted(((v, dot(fine[q], y)) for v, y in fine.items() if v != q), key=lambda p: (-p[1], p[0]))[:5] for q in (0, 50, 100)}
+    assert {r.vec_id for r in topk.integers(vectors(spark, data), 256).collect()} == set(fine)
+    assert topk.integers(vectors(spark, [(1, [2.0**54, -(2.0**54)], 0)]), 256).first().x == [2**62, -(2**62)]
+
+
 def test_top_k_in_many_blocks(spark, monkeypatch):
     vec = spark.read.parquet(f"{SF}/embeddings.parquet")
     want = Counter(map(tuple, topk.top_k(vec).collect()))
