@@ -3,7 +3,13 @@
 A vector is cut into equal segments; from two vectors' segment means and deviations follows a
 lower bound of their distance, and with the norms an upper bound of their inner product:
 within a segment of m components, x.y <= m (mean_x mean_y + dev_x dev_y). Coarse bounds
-(few segments) discard most candidates, finer ones more, and exact products decide.
+(few segments) are cheap and weak, finer ones tighter, and exact products decide.
+
+The order is reversed here: a block's finest bounds come first, in one product of matrices,
+since the floor that discards comes from the rows of the best fine bounds; the coarser ones,
+never tighter, are applied after them. On sf0.1 (40 queries, 2,000 vectors of 64 components)
+the bounds of 1, 4 and 16 segments each discard 0.0% of the pairs, and the exact product of
+the whole block decides.
 """
 
 from __future__ import annotations
@@ -79,7 +85,7 @@ class Search:
         self.own = np.zeros(len(ids), np.int64)  # rows equal to the query, itself included
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        """Compare all queries with more rows: coarse bounds, finer ones, then exact products of what is left."""
+        """Compare all queries with more rows: the finest bounds, coarser ones, then exact products of what is left."""
         stats = _segments(x.astype(np.float64))
         fine = self.stats[-1] @ stats[-1].T
         floor = self._floor(fine, ids, x)[:, None]
