@@ -192,6 +192,14 @@ def n11_union(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("record_kind").agg(F.count("*").alias("n"))
 
 
+@query
+def n11_union_all(spark: SparkSession, d: str) -> DataFrame:
+    """The union of all families, XML ones included."""
+    xml_rows = {"sdmx": xml.dataflows(payload_fixtures.sdmx_pages(spark, d)), "ogc_records": xml.csw_records(payload_fixtures.csw_pages(spark, d))}
+    rows = normalize.union({f: xml_rows[f] if f in xml_rows else _records(spark, d, f) for f in normalize.FAMILIES})
+    return rows.groupBy("source_portal", "record_kind").agg(F.count("*").alias("n"))
+
+
 # filters and projections
 
 

@@ -264,4 +264,5 @@ SQL: dict[str, str] = NORMALIZED | {
     "st4_stream_upsert": f"{C} SELECT original_id, concat('new ', title) AS title, false AS is_stale FROM catalog WHERE doc_id % 2 = 0 UNION ALL SELECT original_id, title, true FROM catalog WHERE doc_id % 2 = 1",
     "st3_stream_dedupe": "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_id FROM events) GROUP BY 1",
     "n11_union": "SELECT record_kind, count(*)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT record_kind FROM ({sql})" for sql in (N_CKAN, N_ODS, N_STAC)) + ") GROUP BY 1",
+    "n11_union_all": "SELECT source_portal, record_kind, count(*)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT source_portal, record_kind FROM ({sql})" for sql in NORMALIZED.values()) + ") GROUP BY ALL",
 }
