@@ -229,3 +229,12 @@ def test_observed_counts(spark):
     rows, watch = ingest.observed(outcomes, "counts")
     rows.collect()
     assert (watch.get["rows"], watch.get["created"]) == (3, 2)
+
+
+def test_stream_of_a_folder_of_late_files(spark, tmp_path):
+    from lodestar.plans import registry
+
+    for day in (9, 1, 5):  # the newest lands first, and event 0 comes again in each
+        rows = spark.range(3).selectExpr(f"if(id = 0, 0, id + {10 * day}) AS event_id", f"timestamp'2026-01-01 00:00:00' + make_dt_interval({day}) AS ts", "1L AS user_id")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in registry.st3_stream_dedupe(spark, str(tmp_path)).collect()] == [(1, 7)]
