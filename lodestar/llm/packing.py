@@ -13,12 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Layout, chunks, cut, run_hashes, small_batches
-from lodestar.llm.pretokens import Known, special, strange, tokenizer, word_level
+from lodestar.llm.common import Layout, chunks, cut, small_batches
+from lodestar.llm.pretokens import MOST_BYTES, Known, Words, distinct, special, strange, tokenizer, word_level
 
 LENGTH = 4096
 END = 2
-MOST_CACHED = 400_000
 
 
 class Encoder:
@@ -33,15 +32,17 @@ class Encoder:
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids: list[list[int]] = []
-        for i in range(0, len(words), 4096):  # the library's results are large
-            ids += [e.ids for e in self.tokenizer.encode_batch(words[i : i + 4096], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.known.add(keys, np.arange(len(self.size), len(self.size) + len(keys)))
+    def _learn(self, words: Words) -> None:
+        texts = words.texts()
+        ids, size = [], np.zeros(len(words), np.int64)
+        for i in range(0, len(texts), 4096):  # the library's results are large
+            found = self.tokenizer.encode(texts[i : i + 4096], is_pretokenized=True, add_special_tokens=False)
+            size[i : i + 4096] = np.bincount(np.array(found.word_ids, np.int64), minlength=len(texts[i : i + 4096]))
+            ids.append(np.array(found.ids, np.uint32))
+        self.known.add(words, np.arange(len(self.size), len(self.size) + len(words)))
         self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))))
+        self.flat = np.concatenate((self.flat, *ids))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them."""
@@ -63,18 +64,14 @@ class Encoder:
         start, end = word_level(layout)
         if not len(start):
             return [np.zeros(0, np.uint32)] * len(texts)
-        codes, unique = pd.factorize(run_hashes(layout.cp, start, end))
-        if len(self.known) > MOST_CACHED:
+        codes, words = distinct(layout, start, end)
+        if max(self.known.size, 4 * len(self.flat)) > MOST_BYTES:
             self._forget()
-        place = self.known.get(unique)
+        place = self.known.get(words)
         new = np.flatnonzero(place < 0)
         if len(new):
-            firsts = np.empty(len(unique), np.int64)
-            firsts[codes[::-1]] = np.arange(len(codes))[::-1]
-            cp = layout.cp.tobytes()
-            spans = zip((start[firsts[new]] * 4).tolist(), (end[firsts[new]] * 4).tolist(), strict=True)
             place[new] = np.arange(len(self.size), len(self.size) + len(new))
-            self._learn(unique[new], [cp[a:b].decode("utf-32-le") for a, b in spans])
+            self._learn(words.take(new))
         token = place[codes]
         size = self.size[token]
         ends = np.cumsum(size)

@@ -7,16 +7,21 @@ numbers, other signs, and white space.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 
-from lodestar.llm.common import DIGIT, EDGE, LETTER, OTHER, SPACE, UNKNOWN, Layout, classes
+from lodestar.llm.common import DIGIT, EDGE, LETTER, OTHER, SPACE, UNKNOWN, Layout, classes, run_hashes
 
 APOSTROPHE, BLANK = ord("'"), ord(" ")
 #: Letters that end a contraction after one sign, and pairs of letters (fixed values).
 ONE = tuple(map(ord, "stmd"))
 TWO = (("r", "e"), ("v", "e"), ("l", "l"))
+#: Places for the words that a worker remembers, and the bytes at which it forgets them all.
+PLACE_BITS, MOST_BYTES = 22, 64_000_000
 
 
 def file_of(name: str) -> str:
@@ -43,28 +48,90 @@ def special(name: str) -> tuple[re.Pattern, dict[str, int]]:
     return re.compile("|".join(map(re.escape, longest_first)) or r"(?!)"), ids
 
 
-class Known:
-    """A table from 64-bit hashes to numbers, as two sorted arrays: a few bytes for each entry."""
+@dataclass
+class Words:
+    """Words as one array of code points."""
 
-    def __init__(self) -> None:
-        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    cp: np.ndarray  # uint32
+    edge: np.ndarray  # where each word begins, and the last one ends
 
     def __len__(self) -> int:
-        return len(self.keys)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The numbers of the keys, -1 for unknown ones."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], -1)
-
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Add keys that aren't known yet."""
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values)
+        return len(self.edge) - 1
+
+    def take(self, at: np.ndarray) -> Words:
+        size = np.diff(self.edge)[at]
+        edge = np.append(0, np.cumsum(size))
+        return Words(self.cp[np.arange(edge[-1]) + np.repeat(self.edge[at] - edge[:-1], size)], edge)
+
+    def texts(self) -> list[str]:
+        cp, edge = self.cp.tobytes(), (self.edge * 4).tolist()
+        return [cp[a:b].decode("utf-32-le") for a, b in pairwise(edge)]
+
+    def equal(self, other: Words) -> np.ndarray:
+        """Whether each word equals the one at the same place of as many others."""
+        out = np.diff(self.edge) == np.diff(other.edge)
+        at = np.flatnonzero(out)
+        mine, theirs = (self, other) if len(at) == len(out) else (self.take(at), other.take(at))
+        if len(at):
+            out[at] = np.logical_and.reduceat(mine.cp == theirs.cp, mine.edge[:-1])
+        return out
+
+
+def distinct(layout: Layout, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, Words]:
+    """For each span its place among the distinct ones, which are compared as bytes, and those.
+
+    The spans don't overlap and aren't empty; what lies between them counts as words, too.
+    """
+    cut = np.zeros(len(layout.cp) + 1, bool)
+    cut[start] = True
+    cut[end] = True
+    edges = np.flatnonzero(cut)
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges * 4), pa.py_buffer(layout.cp)])
+    coded = parts.dictionary_encode()
+    codes = coded.indices.to_numpy()[(np.cumsum(cut, dtype=np.int32) - 1)[start]]
+    _, edge, cp = coded.dictionary.buffers()
+    edge = np.frombuffer(edge, np.int64)[: len(coded.dictionary) + 1] // 4
+    return codes, Words(np.frombuffer(cp, np.uint32)[: edge[-1]], edge)
+
+
+class Known:
+    """Numbers of the words that a worker remembers.
+
+    A word is looked for at the place that its hash gives and compared there by its code
+    points, so that no two words are taken for one. A word whose place is taken isn't
+    remembered.
+    """
+
+    def __init__(self) -> None:
+        self.place = np.full(1 << PLACE_BITS, -1, np.int32)
+        self.words, self.number = Words(np.zeros(0, np.uint32), np.zeros(1, np.int64)), np.zeros(0, np.int64)
+
+    @property
+    def size(self) -> int:
+        return 4 * len(self.words.cp) + 16 * len(self.words)
+
+    def _places(self, words: Words) -> np.ndarray:
+        return (run_hashes(words.cp, words.edge[:-1], words.edge[1:]) >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+
+    def get(self, words: Words) -> np.ndarray:
+        """The numbers of the words, -1 for unknown ones."""
+        out = np.full(len(words), -1)
+        at = self.place[self._places(words)]
+        some = np.flatnonzero(at >= 0)
+        same = words.take(some).equal(self.words.take(at[some]))
+        out[some[same]] = self.number[at[some[same]]]
+        return out
+
+    def add(self, words: Words, numbers: np.ndarray) -> None:
+        """Remember distinct words that aren't known yet, where their places are free."""
+        place = self._places(words)
+        place, first = np.unique(place, return_index=True)
+        first = first[self.place[place] < 0]
+        more = words.take(first)
+        self.place[self._places(more)] = np.arange(len(self.words), len(self.words) + len(first))
+        edge = np.append(self.words.edge, len(self.words.cp) + more.edge[1:])
+        self.words = Words(np.append(self.words.cp, more.cp), edge)
+        self.number = np.append(self.number, numbers[first])
 
 
 def runs(layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,17 +7,14 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lodestar.llm.common import Layout, chunks, run_hashes, small_batches
-from lodestar.llm.pretokens import Known, byte_level, file_of, special, strange, tokenizer
+from lodestar.llm.common import Layout, chunks, small_batches
+from lodestar.llm.pretokens import MOST_BYTES, Known, byte_level, distinct, file_of, special, strange, tokenizer
 
 NONE = np.int32(2**31 - 1)
-#: Pre-tokens whose counts a worker remembers; a full memory is emptied.
-MOST_CACHED = 1_500_000
 
 
 class Merges:
@@ -132,19 +129,15 @@ class Counter:
         start, end = byte_level(layout)
         if not len(start):
             return np.zeros(len(texts), np.int64)
-        hashes = run_hashes(layout.cp, start, end)
-        codes, unique = pd.factorize(hashes)
-        firsts = np.empty(len(unique), np.int64)
-        firsts[codes[::-1]] = np.arange(len(codes))[::-1]
-        if len(self.known) > MOST_CACHED:
+        codes, words = distinct(layout, start, end)
+        if self.known.size > MOST_BYTES:
             self.known = Known()
-        counts = self.known.get(unique)
+        counts = self.known.get(words)
         new = np.flatnonzero(counts < 0)
         if len(new):
-            cp = layout.cp.tobytes()
-            spans = zip((start[firsts[new]] * 4).tolist(), (end[firsts[new]] * 4).tolist(), strict=True)
-            counts[new] = self.of_words([cp[a:b].decode("utf-32-le") for a, b in spans])
-            self.known.add(unique[new], counts[new])
+            unknown = words.take(new)
+            counts[new] = self.of_words(unknown.texts())
+            self.known.add(unknown, counts[new])
         owner = np.searchsorted(layout.first, start + 1, side="right") - 1
         return np.bincount(np.maximum(owner, 0), weights=counts[codes], minlength=len(texts)).astype(np.int64)
 

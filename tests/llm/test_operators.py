@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestar.llm import embed_dedup, langid, licenses, line_dedup, mixing, packing, queries, simhash, token_counts, topk, toxicity
+from lodestar.llm import embed_dedup, langid, licenses, line_dedup, mixing, packing, pretokens, queries, simhash, token_counts, topk, toxicity
 from lodestar.llm.common import connected_components
 from lodestar.llm.pretokens import tokenizer
 from tests.conftest import SF
@@ -127,6 +127,40 @@ def test_counts_and_ids_equal_the_libraries(text):
     assert packing.encoder_of("word_bpe_49k.json").encode([text])[0].tolist() == tokenizer("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_counts_and_ids_of_words_that_polynomial_hashes_take_for_one(size):
+    for a, b in ("ab", "xq", "é1", "'s", "<|"):
+        swaps = [bin(i).count("1") % 2 for i in range(size)]
+        texts = ["".join(b if s else a for s in swaps), "".join(a if s else b for s in swaps)] * 2
+        texts += [texts[0] + " " + texts[1], texts[1] + "\n" + texts[0]]
+        byte, word = tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
+        assert token_counts.Counter("byte_bpe_50k.json").counts(texts).tolist() == [len(byte.encode(t, add_special_tokens=False).ids) for t in texts]
+        encoder = packing.Encoder("word_bpe_49k.json")
+        for _ in range(2):  # then from memory
+            assert [x.tolist() for x in encoder.encode(texts)] == [word.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("hashes", ["all equal", "few"])
+def test_counts_and_ids_where_all_hashes_collide(monkeypatch, docs, hashes):
+    few = lambda cp, start, end: (end - start).astype(np.uint64) << np.uint64(62 if hashes == "few" else 63) << np.uint64(1)
+    monkeypatch.setattr(pretokens, "run_hashes", few)
+    texts = [r.text or "" for r in docs.limit(60).collect()]
+    counter, encoder = token_counts.Counter("byte_bpe_50k.json"), packing.Encoder("word_bpe_49k.json")
+    byte, word = tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
+    for part in (texts[:20], texts[20:], texts):
+        assert counter.counts(part).tolist() == [len(byte.encode(t, add_special_tokens=False).ids) for t in part]
+        assert [x.tolist() for x in encoder.encode(part)] == [word.encode(t, add_special_tokens=False).ids for t in part]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from(["aA ", "ab1 '\n", "éΣσ中 <|>", "xyz\t\u3000.,"]))
+def test_counts_and_ids_of_long_texts(seed, signs):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(signs) for _ in range(10_000))
+    assert token_counts.Counter("byte_bpe_50k.json").counts([text])[0] == len(tokenizer("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids)
+    assert packing.Encoder("word_bpe_49k.json").encode([text])[0].tolist() == tokenizer("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
+
+
 def test_counts_of_repeated_letters():
     words = ["a" * n for n in range(1, 40)] + ["ab" * n for n in range(1, 30)]
     assert token_counts.Counter("byte_bpe_50k.json").counts(words).tolist() == [len(tokenizer("byte_bpe_50k.json").encode(w).ids) for w in words]
