@@ -536,8 +536,31 @@ def test_embedding_dedup_recall_near_the_threshold(spark):
         v -= (v @ u) * u
         v /= np.linalg.norm(v)
         data += [(2 * i, u.tolist(), 0), (2 * i + 1, (0.935 * u + np.sqrt(1 - 0.935**2) * v).tolist(), 0)]
-    found = embed_dedup.near_duplicates(vectors(spark, data)).where("n_links > 0").count()
-    assert found >= 0.95 * 800
+    for plan in (None, embed_dedup.Plan(2, 0.6, 24), embed_dedup.Plan(3, 0.5, 36)):
+        found = embed_dedup.near_duplicates(vectors(spark, data), plan=plan).where("n_links > 0").count()
+        assert found >= 0.95 * 800
+
+
+def test_embedding_dedup_comparisons_do_not_grow_with_the_table():
+    rng = np.random.default_rng(11)
+    meets = []
+    for n in (2500, 10_000, 40_000):
+        x = rng.normal(size=(n, 64))
+        keys = embed_dedup.cells(x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(n, np.int64), embed_dedup.plan_for(n))
+        together = 0
+        for t in range(keys.shape[1]):
+            filed = np.unique(np.stack((np.repeat(np.arange(n), 2), keys[:, t].ravel()), axis=1), axis=0)
+            _, size = np.unique(filed[:, 1], return_counts=True)
+            together += (size * (size - 1)).sum()
+        meets.append(together / n)
+    assert max(meets) <= 8
+
+
+def test_embedding_dedup_of_doubles_beyond_floats(spark):
+    rows_ = [(1, [1e200, 0.0], 0), (2, [1e200, 1e198], 0), (3, [1e-200, 0.0], 0), (4, [0.0, 5.0], 0), (5, [5.0, 0.1], 1)]
+    d = spark.createDataFrame(rows_, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(d).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
 
 
 def test_e8_points_are_nearest():
