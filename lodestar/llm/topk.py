@@ -3,13 +3,13 @@
 A vector is cut into equal segments; from two vectors' segment means and deviations follows a
 lower bound of their distance, and with the norms an upper bound of their inner product:
 within a segment of m components, x.y <= m (mean_x mean_y + dev_x dev_y). Coarse bounds
-(few segments) are cheap and weak, finer ones tighter, and exact products decide.
+(few segments) are cheap and weak, finer ones tighter. They are applied coarse to fine, each
+to the queries and rows of which a pair is left, and exact products decide among the survivors.
+A query's floor, which a pair's bound must reach, is the k-th best score so far, raised at each
+resolution by the exact scores of the rows of its best bounds.
 
-The order is reversed here: a block's finest bounds come first, in one product of matrices,
-since the floor that discards comes from the rows of the best fine bounds; the coarser ones,
-never tighter, are applied after them. On sf0.1 (40 queries, 2,000 vectors of 64 components)
-the bounds of 1, 4 and 16 segments each discard 0.0% of the pairs, and the exact product of
-the whole block decides.
+How much the bounds discard depends on the vectors, see the README: on vectors without
+structure nothing, on clustered ones most.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 RESOLUTIONS = (1, 4, 16)
 #: Queries and candidates that meet in one step.
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+#: Blocks of queries that a task keeps between blocks of rows, with the best rows so far.
+MOST_KEPT = 32
+#: Share of pairs left above which one product of matrices costs less than pair by pair.
+DENSE = 0.02
 NO_ID = 2**63 - 1
 #: Scaled components are below this in magnitude, so that their floors fit into a long.
 MOST = 2**63
@@ -83,53 +87,61 @@ class Search:
         self.score = np.zeros((len(ids), 0), np.int64)
         self.best = np.zeros((len(ids), 0), np.int64)
         self.own = np.zeros(len(ids), np.int64)  # rows equal to the query, itself included
+        self.self_score = _exact(x, x).astype(np.float64)
+        self.left = np.zeros(len(RESOLUTIONS) + 1, np.int64)  # pairs: all, and after each resolution
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        """Compare all queries with more rows: the finest bounds, coarser ones, then exact products of what is left."""
-        stats = _segments(x.astype(np.float64))
-        fine = self.stats[-1] @ stats[-1].T
-        floor = self._floor(fine, ids, x)[:, None]
+        """Compare all queries with more rows: bounds coarse to fine, then exact products of what is left."""
+        floor = np.full(len(self.ids), -np.inf)
+        if self.score.shape[1] >= self.k:
+            last = self.score[:, self.k - 1]
+            floor = np.where(last > -(2**63), np.minimum(last.astype(np.float64), self.self_score), -np.inf)
         slack = self._slack(x)
-        near = fine + slack >= floor
-        for mine, theirs in zip(self.stats[:-1], stats[:-1], strict=True):
-            if not near.any():
-                break
-            bound = mine @ theirs.T
-            near &= bound + slack >= floor
-        most = float(np.abs(self.x).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
-        if near.mean() > 0.02 and most < 2**53:  # so many are left that one product of matrices is cheaper
-            exact = self.x.astype(np.float64) @ x.astype(np.float64).T
-            q, r = np.nonzero(near & (exact >= floor))
-            score = exact[q, r].astype(np.int64)
-        else:
-            q, r = np.nonzero(near)
-            score = np.concatenate([_exact(self.x[q[i : i + 200_000]], x[r[i : i + 200_000]]) for i in range(0, len(q), 200_000)] or [np.zeros(0, np.int64)])
+        qs, rs = np.arange(len(self.ids)), np.arange(len(ids))
+        near = np.ones((len(qs), len(rs)), bool)
+        self.left[0] += near.size
+        for level, (mine, theirs) in enumerate(zip(self.stats, _segments(x.astype(np.float64)), strict=True), 1):
+            bound = mine[qs] @ theirs[rs].T + slack[qs, None]
+            bound[~near] = -np.inf
+            floor[qs] = np.maximum(floor[qs], self._reached(bound, qs, rs, ids, x))
+            near &= bound >= floor[qs, None]
+            self.left[level] += int(near.sum())
+            some_q, some_r = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            qs, rs, near = qs[some_q], rs[some_r], near[np.ix_(some_q, some_r)]
+        q, r, score = self._scores(qs, rs, near, x)
         same = np.flatnonzero(ids[r] == self.ids[q])
         equal = same[(self.x[q[same]] == x[r[same]]).all(axis=1)]
         np.add.at(self.own, q[equal], 1)
-        stay = score >= floor[q, 0]
+        stay = score >= floor[q]
         stay[equal] = False
         self._merge(q[stay], ids[r[stay]], score[stay])
 
-    def _floor(self, fine: np.ndarray, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """A score for each query that k rows reach: that of the k-th best so far, or of the rows of the best bounds.
+    def _reached(self, bound: np.ndarray, qs: np.ndarray, rs: np.ndarray, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """A score that k rows reach for each query of qs, from the rows of the best bounds.
 
         It is never above the query's product with itself, so that equal rows are always met.
         """
-        floor = self.score[:, -1].astype(np.float64) if self.score.shape[1] >= self.k else np.full(len(self.ids), -np.inf)
-        if len(ids) > 4 * self.k:
-            top = np.argpartition(-fine, 2 * self.k, axis=1)[:, : 2 * self.k]
-            q = np.repeat(np.arange(len(self.ids)), top.shape[1])
-            exact = _exact(self.x[q], x[top.ravel()]).reshape(top.shape).astype(np.float64)
-            exact[ids[top] == self.ids[:, None]] = -np.inf
-            floor = np.maximum(floor, np.sort(exact, axis=1)[:, -self.k])
-        own = _exact(self.x, self.x).astype(np.float64)
-        return np.minimum(floor, own)
+        if len(rs) <= 4 * self.k:
+            return np.full(len(qs), -np.inf)
+        top = np.argpartition(-bound, 2 * self.k, axis=1)[:, : 2 * self.k]
+        exact = _exact(self.x[np.repeat(qs, top.shape[1])], x[rs[top.ravel()]]).reshape(top.shape).astype(np.float64)
+        exact[ids[rs[top]] == self.ids[qs, None]] = -np.inf
+        return np.minimum(np.sort(exact, axis=1)[:, -self.k], self.self_score[qs])
+
+    def _scores(self, qs: np.ndarray, rs: np.ndarray, near: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and exact score of the pairs that are left."""
+        most = float(np.abs(self.x).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
+        a, b = np.nonzero(near)
+        if near.size and len(a) > DENSE * near.size and most < 2**53:
+            return qs[a], rs[b], (self.x[qs].astype(np.float64) @ x[rs].astype(np.float64).T)[a, b].astype(np.int64)
+        q, r = qs[a], rs[b]
+        parts = [_exact(self.x[q[i : i + 200_000]], x[r[i : i + 200_000]]) for i in range(0, len(q), 200_000)]
+        return q, r, np.concatenate(parts or [np.zeros(0, np.int64)])
 
     def _slack(self, x: np.ndarray) -> np.ndarray:
         """More than the rounding errors of a query's bounds, which grow with the vectors' norms, not with the bound."""
         norms = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)).max(initial=0)
-        return (np.sqrt((self.x.astype(np.float64) ** 2).sum(axis=1)) * norms * 1e-9 + 1e-6)[:, None]
+        return np.sqrt((self.x.astype(np.float64) ** 2).sum(axis=1)) * norms * 1e-9 + 1e-6
 
     def _merge(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         old = np.repeat(np.arange(len(self.ids)), self.score.shape[1])
@@ -148,14 +160,30 @@ class Search:
         self.best[q[top], rank[top]] = ids[top]
         self.score[q[top], rank[top]] = score[top]
 
-    def result(self) -> Iterator[tuple[int, int, int, int]]:
-        """Query (its place in the block), vec_id, score and number of equal rows of each hit."""
+    def result(self) -> pa.RecordBatch:
+        """The best rows of each query, and for queries met in rows equal to them the number of those in own."""
         q, rank = np.nonzero(self.score > -(2**63))
-        yield from zip(q.tolist(), self.best[q, rank].tolist(), self.score[q, rank].tolist(), strict=True)
+        own = np.flatnonzero(self.own)
+        columns = [
+            pa.array(np.concatenate((self.ids[q], self.ids[own])), pa.int64()),
+            pa.array(np.concatenate((self.best[q, rank], self.ids[own])), pa.int64()),
+            pa.array(np.concatenate((self.score[q, rank], _exact(self.x[own], self.x[own]))), pa.int64()),
+            pa.array(np.concatenate((np.zeros(len(q), np.int64), self.own[own])), pa.int64()),
+            pa.array([self.x[i].astype("<i8").tobytes() for i in [*q.tolist(), *own.tolist()]], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "own", "x"])
 
 
 def _packed(dim: int, ids: np.ndarray, x: np.ndarray) -> dict:
-    return {"dim": dim, "ids": ids.astype("<i8").tobytes(), "x": x.astype("<i8").tobytes()}
+    """A block as bytes; components of 32 bits where all fit."""
+    small = np.abs(x).max(initial=0) < 2**31
+    return {"dim": dim, "ids": ids.astype("<i8").tobytes(), "x": x.astype("<i4" if small else "<i8").tobytes()}
+
+
+def _unpacked(dim: int, ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, "<i8")
+    kind = "<i4" if len(x) == 4 * dim * len(ids) else "<i8"
+    return ids, np.frombuffer(x, kind).astype(np.int64).reshape(len(ids), dim)
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -206,29 +234,21 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     queries = _blocks(asked.select("vec_id", "x"), QUERY_BLOCK)
     blocks = _blocks(rows, ROW_BLOCK).withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(spread)))
     # every block of queries goes to all slots, a block of rows to one
-    sent = queries.select("dim", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))).alias("slot"))
-    pairs = blocks.join(sent, ["slot", "dim"]).select("dim", "q_ids", "q_x", "ids", "x")
+    sent = queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))).alias("slot"))
+    pairs = blocks.join(sent, ["slot", "dim"]).select("dim", "q_block", "q_ids", "q_x", "ids", "x")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, Search] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                dim = row["dim"]
-                ids = np.frombuffer(row["q_ids"], "<i8")
-                x = np.frombuffer(row["q_x"], "<i8").reshape(len(ids), dim)
-                found = Search(ids, x, k)
-                row_ids = np.frombuffer(row["ids"], "<i8")
-                found.add(row_ids, np.frombuffer(row["x"], "<i8").reshape(len(row_ids), dim))
-                hits = list(found.result())
-                own = np.flatnonzero(found.own)
-                q = np.array([h[0] for h in hits], np.int64)
-                columns = [
-                    pa.array(np.concatenate((ids[q], ids[own])), pa.int64()),
-                    pa.array(np.concatenate((np.array([h[1] for h in hits], np.int64), ids[own])), pa.int64()),
-                    pa.array(np.concatenate((np.array([h[2] for h in hits], np.int64), _exact(x[own], x[own]))), pa.int64()),
-                    pa.array(np.concatenate((np.zeros(len(hits), np.int64), found.own[own])), pa.int64()),
-                    pa.array([x[i].astype("<i8").tobytes() for i in [*q.tolist(), *own.tolist()]], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "own", "x"])
+                block, dim = row["q_block"], row["dim"]
+                if block not in kept:
+                    if len(kept) >= MOST_KEPT:
+                        yield kept.pop(next(iter(kept))).result()
+                    kept[block] = Search(*_unpacked(dim, row["q_ids"], row["q_x"]), k)
+                kept[block].add(*_unpacked(dim, row["ids"], row["x"]))
+        for found in kept.values():
+            yield found.result()
 
     hits = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint, own bigint, x binary")
     # rows equal to the query come as counts; one of them is the query itself
