@@ -1,4 +1,7 @@
-"""Line deduplication by range-partitioned line hashes with a secondary sort by document."""
+"""Line deduplication: line hashes dealt by range with a secondary sort by document and position.
+
+First occurrences are streamed and come back as compressed bitmaps of the lines to keep.
+"""
 
 from __future__ import annotations
 
@@ -44,98 +47,115 @@ def _hashed(texts: list[str | None], least: int) -> tuple[np.ndarray, np.ndarray
 
 
 def occurrences(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """h, g (the halves of a line's hash), doc_id, text_key and pos of every line that counts."""
+    """h, g (the halves of a line's hash), doc_id, pos, text_key and n_lines (of the text) of every line that counts."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            halves, owner, places = _hashed(batch.column(2).to_pylist(), least)
+            texts = batch.column(2).to_pylist()
+            halves, owner, places = _hashed(texts, least)
+            lines = np.fromiter(((x or "").count("\n") + 1 for x in texts), np.int32, len(texts))
             at = pa.array(owner)
-            columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(0).take(at), batch.column(1).take(at), pa.array(places)]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "g", "doc_id", "text_key", "pos"])
+            columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(0).take(at), pa.array(places), batch.column(1).take(at), pa.array(lines[owner])]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "g", "doc_id", "pos", "text_key", "n_lines"])
 
-    schema = "h bigint, g bigint, doc_id bigint, text_key bigint, pos int"
+    schema = "h bigint, g bigint, doc_id bigint, pos int, text_key bigint, n_lines int"
     return small_batches(docs).select("doc_id", "text_key", "text").mapInArrow(apply, schema)
 
 
-def _top_docs(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Of each key of a sorted batch its largest `most` distinct documents, with the number of occurrences in n."""
+def _ranks(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of sorted occurrences the number of its key, from 0, and of its document within the key, from 1."""
     h, g, doc = (pdf[c].to_numpy(np.int64) for c in ("h", "g", "doc_id"))
     new_key = np.ones(len(pdf), bool)
     new_key[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
     new_doc = new_key.copy()
     new_doc[1:] |= doc[1:] != doc[:-1]  # in 64 bits: doubles take neighbouring ids for one
-    new_key, new_doc = pd.Series(new_key, pdf.index), pd.Series(new_doc, pdf.index)
-    group = new_key.cumsum()
-    rank = new_doc.cumsum()
-    rank = rank - rank.where(new_key).ffill() + 1
-    n = pdf["n"].groupby(group).transform("sum")
-    kept = pdf[new_doc & (rank <= most)]
-    first = new_key[kept.index]
-    return kept.assign(n=np.where(first, n[kept.index], 0))
-
-
-def repeated(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """h, g, keeper (the largest document) and n (occurrences) of the keys in at least least_docs documents.
-
-    Each map task first reduces its keys to their least_docs largest documents, which is
-    all that the decision needs: a key that a third of all documents hold then sends a few
-    rows from each task. The hashes are dealt by range, and a task streams its keys in the
-    order of hash and falling document: a key's first document keeps it, the last needed
-    one proves it repeated.
-    """
-    columns = ["h", "g", "doc_id", "n"]
+    key, docs = np.cumsum(new_key) - 1, np.cumsum(new_doc)
+    return key, docs - docs[new_key][key] + 1
 
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            halves, owner, _ = _hashed(batch.column(1).to_pylist(), least_chars)
-            pdf = pd.DataFrame({"h": halves[:, 0], "g": halves[:, 1], "doc_id": batch.column(0).to_numpy()[owner], "n": np.int64(1)})
-            pdf = pdf.sort_values(["h", "g", "doc_id"], ascending=[True, True, False], ignore_index=True)
-            yield pa.RecordBatch.from_pandas(_top_docs(pdf, least_docs)[columns], preserve_index=False)
+
+def _ends(batches: Iterator[pd.DataFrame], least_docs: int) -> Iterator[pd.DataFrame]:
+    """h, g and doc_id of the largest least_docs documents of a sorted partition's first and last key."""
+    first = last = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        now = pdf[["h", "g", "doc_id"]] if last is None else pd.concat((last, pdf[["h", "g", "doc_id"]]), ignore_index=True)
+        key, rank = _ranks(now)
+        few = rank <= least_docs
+        few[1:] &= (key[1:] != key[:-1]) | (rank[1:] != rank[:-1])  # one row of each document
+        last = now[few & (key == key[-1])]
+        head = now[few & (key == 0)]
+        if first is None:
+            first, done = head, key[-1] > 0
+        elif not done:  # the first key goes on
+            first, done = head, key[-1] > 0
+    if last is not None:
+        yield pd.concat((first, last), ignore_index=True)
+
+
+def lost(dealt: DataFrame, ends: dict[tuple[int, int], int | None], least_docs: int) -> DataFrame:
+    """doc_id, text_key, pos and n_lines of the lines that go, from partitions sorted by key, falling document and position.
+
+    A task streams its partition: a key's first document keeps its lines, the following
+    ones lose theirs once least_docs documents are met. What a task holds is a key's lines
+    of fewer documents than that. ends has the keys at partitions' ends, which may lie in
+    several: their keeper, or None if they aren't repeated.
+    """
+    columns = ["doc_id", "text_key", "pos", "n_lines"]
+    shared = dealt.sparkSession.sparkContext.broadcast(ends)
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, settled = None, None
         for pdf in batches:
             if not len(pdf):
                 continue
-            pdf = pdf if held is None else pd.concat((held, pdf), ignore_index=True)
-            last = (pdf["h"] == pdf["h"].iloc[-1]) & (pdf["g"] == pdf["g"].iloc[-1])
-            held = _top_docs(pdf[last].reset_index(drop=True), least_docs)[columns]  # the last key may go on
-            yield decide(pdf[~last])
-        if held is not None:
-            yield decide(held)
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({"h": [], "g": [], "keeper": [], "n": []}, dtype="int64")
-        top = _top_docs(pdf.reset_index(drop=True), least_docs)
-        found = top.groupby(["h", "g"], sort=False).agg(keeper=("doc_id", "first"), docs=("doc_id", "size"), n=("n", "sum"))
-        return found[found["docs"] >= least_docs].reset_index()[["h", "g", "keeper", "n"]]
-
-    few = small_batches(docs).select("doc_id", "text").mapInArrow(combine, "h bigint, g bigint, doc_id bigint, n bigint")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # hashes are uniform, so equal ranges of them are equal shares
-    share = F.floor((F.shiftrightunsigned(F.col("h"), 1).cast("double") / 2.0**63) * parts)
-    dealt = few.repartitionById(parts, F.least(share, F.lit(parts - 1)).cast("int"))
-    return dealt.sortWithinPartitions("h", "g", F.col("doc_id").desc()).mapInPandas(stream, "h bigint, g bigint, keeper bigint, n bigint")
-
-
-def dropped(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """doc_id, text_key and bitmap of the documents that lose lines: bit i stands for line i, set if it is dropped.
-
-    Bitmaps are compressed bytes, the lowest bit first, cut after the last set bit. docs must
-    hold doc_id (no nulls), text_key and text. A key of many occurrences makes a large
-    partition of the join with the repeated keys, which adaptive execution splits.
+            now = pdf if held is None else pd.concat((held, pdf), ignore_index=True)
+            key, rank = _ranks(now)
+            docs = np.maximum.reduceat(rank, np.flatnonzero(np.append(True, key[1:] != key[:-1])))
+            gone = (docs[key] >= least_docs) & (rank > 1)
+            heads = [(0, "first"), (key[-1], "last")]
+            for k, place in heads:
+                own = key == k
+                name = tuple(int(x) for x in now[own].iloc[0][["h", "g"]])
+                if name in shared.value:
+                    keeper = shared.value[name]
+                    gone[own] = False if keeper is None else now["doc_id"].to_numpy()[own] != keeper
+                elif name == settled:
+                    gone[own] = True
+                if place == "last":
+                    tail, known = own, name in shared.value or name == settled or docs[-1] >= least_docs
+                    settled = name if known and name not in shared.value else None
+            held = None if known else now[tail]
+            yield now.loc[gone if known else gone & ~tail, columns]
+
+    return dealt.mapInPandas(stream, "doc_id bigint, text_key bigint, pos int, n_lines int")
+
+
+def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """doc_id, text_key and bitmap of the documents that lose lines: bit i stands for line i, set if it stays.
+
+    Bitmaps are compressed bytes, the lowest bit first. docs must hold doc_id (no nulls),
+    text_key and text. Lines are dealt by ranges of hash, falling document and position,
+    so that a line that a third of all documents hold is spread over several tasks; of
+    each partition's first and last key the driver learns the largest least_docs documents,
+    a few rows for each partition.
     """
-    keys = cut(repeated(docs, least_chars, least_docs))
-    lost = occurrences(docs, least_chars).join(keys, ["h", "g"]).where("doc_id <> keeper")
-    places = lost.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("places"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["h", "g", F.col("doc_id").desc(), "pos"]
+    dealt = cut(occurrences(docs, least_chars).repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    found = dealt.mapInPandas(lambda batches: _ends(batches, least_docs), "h bigint, g bigint, doc_id bigint").distinct().collect()
+    holders: dict[tuple[int, int], set[int]] = {}
+    for r in found:
+        holders.setdefault((r.h, r.g), set()).add(r.doc_id)
+    ends = {key: max(ids) if len(ids) >= least_docs else None for key, ids in holders.items()}
+    places = lost(dealt, ends, least_docs).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("places"), F.max("n_lines").alias("n_lines"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             maps = []
-            for at in batch.column(2).to_pylist():
-                bits = np.zeros(max(at) + 1, np.uint8)
-                bits[at] = 1
+            for at, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                bits = np.ones(n, np.uint8)
+                bits[at] = 0
                 maps.append(zlib.compress(np.packbits(bits, bitorder="little").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], ["doc_id", "text_key", "bitmap"])
 
@@ -143,20 +163,18 @@ def dropped(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = L
 
 
 def kept_text(text: str | None, bitmap: bytes | None) -> tuple[str, int, int]:
-    """The text without its dropped lines, the number of lines before, and of those dropped."""
+    """The text's lines that stay, the number of lines before, and of those dropped; without a bitmap all stay."""
     lines = (text or "").split("\n")
     if bitmap is None:
         return text or "", len(lines), 0
-    drop = np.zeros(len(lines), bool)
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), bitorder="little")[: len(lines)]
-    drop[: len(bits)] = bits
-    return "\n".join(x for x, gone in zip(lines, drop.tolist(), strict=True) if not gone), len(lines), int(drop.sum())
+    stay = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), bitorder="little", count=len(lines))
+    return "\n".join(x for x, stays in zip(lines, stay.tolist(), strict=True) if stays), len(lines), int(len(lines) - stay.sum())
 
 
 def _with_bitmaps(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
     """docs with __id (no nulls), __key and __bitmap."""
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(NULL_ID)), "__key": F.xxhash64("text")})
-    maps = dropped(keyed.select(F.col("__id").alias("doc_id"), F.col("__key").alias("text_key"), "text"), least_chars, least_docs)
+    maps = keep_bitmaps(keyed.select(F.col("__id").alias("doc_id"), F.col("__key").alias("text_key"), "text"), least_chars, least_docs)
     maps = maps.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("bitmap").alias("__bitmap"))
     return keyed.join(maps, ["__id", "__key"], "left")
 

@@ -385,7 +385,8 @@ def test_lines(spark):
     got = Counter(map(tuple, line_dedup.line_report(make(spark, data)).collect()))
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     want = [(1, 2, 1, sha("own 1")), (2, 3, 2, sha("own 2")), (3, 4, 0, sha(f"x\n{long}\n{long}\n")), (4, 1, 0, sha("")), (None, 1, 1, sha("")), (5, 1, 0, sha("")), (1, 1, 0, sha("another text of the same id")), (6, 4, 0, sha("short line\n" * 3)), (7, 1, 0, sha("short line")), (8, 1, 0, sha("short line"))]
-    assert got == Counter(want)
+    assert got == Counter(want) == _lines_by_hand(data)
+    assert Counter(map(tuple, line_dedup.line_report(make(spark, EDGE)).collect())) == _lines_by_hand(EDGE)
     kept = line_dedup.drop_lines(make(spark, data))
     assert kept.columns == make(spark, data).columns
     assert {(r.doc_id, r.text, r.n_chars) for r in kept.where("doc_id = 2 or doc_id = 5").collect()} == {(2, "own 2", 5), (5, None, 0)}
@@ -404,9 +405,45 @@ def test_lines_of_neighbouring_large_ids(spark):
     assert got == {2**60: 1, 2**60 + 1: 1, 2**60 + 2: 0, -(2**60): 0, -(2**60) - 1: 1, -(2**60) - 2: 1}
 
 
+def _lines_by_hand(data):
+    holders = defaultdict(set)
+    key = lambda line: line.strip(" \t\n\v\f\r").translate({i: i + 32 for i in range(65, 91)})
+    for doc, text, *_ in data:
+        for line in (text or "").split("\n"):
+            holders[key(line)].add(-(2**63) if doc is None else doc)
+    out = Counter()
+    for doc, text, *_ in data:
+        lines = (text or "").split("\n")
+        own = -(2**63) if doc is None else doc
+        stay = [x for x in lines if len(key(x)) < 20 or len(holders[key(x)]) < 3 or own == max(holders[key(x)])]
+        out[(doc, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest())] += 1
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_lines_by_brute_force(spark, parts):
+    """Hot lines over several partitions and Arrow batches, lines at partitions' ends, repeated rows and a very long text."""
+    rng = random.Random(parts)
+    pool = [f"Line {i} of the pool, long enough to count" for i in range(60)]
+    hot = "A line that a third of all documents hold, and some hold it often"
+    data = []
+    for i in range(900):
+        lines = [rng.choice(pool) + rng.choice(["", " ", "\t"]) for _ in range(rng.randrange(4))] + [f"own {i} " * rng.randrange(6)]
+        lines += [hot.upper() if i % 2 else hot] * rng.randrange(1, 4) if i % 3 == 0 else []
+        rng.shuffle(lines)
+        data.append((i, "\n".join(lines), "en", "a"))
+    data += data[:20] + [(None, hot, "en", "a"), (2**61, "\n".join([hot] * 5000 + pool + ["x" * 500_000]), "en", "a"), (2**61 + 1, "\n".join(pool * 2), "en", "a"), (7, None, "en", "a")]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert Counter(map(tuple, line_dedup.line_report(make(spark, data)).collect())) == _lines_by_hand(data)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_bitmaps_are_small(spark):
     data = [(i, "\n".join(f"line number {j} that all documents hold" for j in range(500)), "en", "a") for i in range(3)]
-    maps = line_dedup.dropped(make(spark, data).select("doc_id", F.xxhash64("text").alias("text_key"), "text")).collect()
+    maps = line_dedup.keep_bitmaps(make(spark, data).select("doc_id", F.xxhash64("text").alias("text_key"), "text")).collect()
     assert {r.doc_id for r in maps} == {0, 1}
     assert all(len(r.bitmap) < 30 for r in maps)
 
@@ -489,6 +526,25 @@ def test_top_k_in_many_blocks(spark, monkeypatch):
     assert Counter(map(tuple, topk.top_k(vec).collect())) == want
 
 
+def test_bounds_discard_pairs_of_structured_vectors():
+    rng = np.random.default_rng(12)
+    x = np.cumsum(rng.normal(size=(6000, 64)), axis=1)
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    ids = np.arange(len(x))
+    asked = ids[::50]
+    found = topk.Search(asked, x[asked], 5)
+    for i in range(0, len(x), 1500):
+        found.add(ids[i : i + 1500], x[i : i + 1500])
+    share = found.left / found.left[0]
+    assert (np.diff(share) < 0).all()
+    assert share[-1] < 0.05
+    exact = x[asked] @ x.T
+    exact[np.arange(len(asked)), asked] = -(2**62)
+    for i in range(len(asked)):
+        order = np.lexsort((ids, -exact[i]))[:5]
+        assert (found.best[i].tolist(), found.score[i].tolist()) == (order.tolist(), exact[i][order].tolist())
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(6)
     for d in (1, 3, 64):
