@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import non_blank
 
 Entry = "map<string,variant>"
+#: Beginnings of what a number, a truth value, an object or a list is read as; any other text was a string.
+UNSURE = r"^([-0-9{\[]|true$|false$)"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -96,10 +98,15 @@ def reference(value: Column) -> Column:
 
 
 def first_usable(values: list[Column], *, references: bool = False) -> Column:
-    """The first usable text (or reference) of several variants; the rule stands once in the plan, not once for each."""
+    """The first usable text (or reference) of several variants; the rule stands once in the plan, not once for each.
+
+    What is read as a string tells most strings at once; only what might be another shape is looked at closer.
+    """
     keys = ("@id", "@value") if references else ("@value",)
     there = F.filter(F.array(*values), lambda v: v.isNotNull())
-    return _first(F.filter(F.transform(there, lambda v: _usable(v, keys)), lambda t: t.isNotNull()))
+    read = F.transform(there, lambda v: F.struct(v.alias("v"), F.try_variant_get(v, "$", "string").alias("t")))
+    text = lambda p: F.when(p["t"].rlike(UNSURE), _usable(p["v"], keys)).otherwise(non_blank(p["t"]))
+    return _first(F.filter(F.transform(read, text), lambda t: t.isNotNull()))
 
 
 def first_text(value: Column, keys: list[str]) -> Column:

@@ -102,9 +102,11 @@ def with_portal_facts(canonical: DataFrame, portals: DataFrame) -> DataFrame:
     ).drop("__url", "__name", "__language", "__type")
 
 
-def snapshot_rows(catalog: DataFrame, portals: DataFrame) -> DataFrame:
+def snapshot_rows(catalog: DataFrame, portals: DataFrame, *, resource_lists: bool = True) -> DataFrame:
     """The curated catalog: duplicates flagged over all rows, noise left out, one flat row each.
 
+    Without resource_lists the column resources, a large expression, is neither planned nor there.
+
     The alias and portal dimensions are joined by broadcast if counted small; the one
     shuffle is that of the duplicate titles.
     """
@@ -112,6 +114,7 @@ def snapshot_rows(catalog: DataFrame, portals: DataFrame) -> DataFrame:
     clean = flagged.where(~is_noise(F.col("title"), F.col("description")))
     facts = with_portal_facts(clean, portals).withColumn("__m", V.parsed(F.col("metadata")))
     m = F.col("__m")
+    derived = [resources.summaries(resources.resources_of("__m")).alias("resources")] if resource_lists else []
     return facts.select(
         "original_id",
         F.col("canonical_portal").alias("source_portal"),
@@ -128,7 +131,7 @@ def snapshot_rows(catalog: DataFrame, portals: DataFrame) -> DataFrame:
         X.rfc3339(F.col("first_seen_at")).alias("first_seen_at"),
         F.col("portal_language").alias("language"),
         "is_duplicate",
-        resources.summaries(resources.resources_of(facts, "__m")).alias("resources"),
+        *derived,
         "portal_type",
         "portal_profile",
         "content_hash",

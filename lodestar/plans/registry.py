@@ -47,8 +47,8 @@ def _canonical(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.with_canonical_portal(fixtures.catalog(spark, d), fixtures.portals(spark, d))
 
 
-def _snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return curate.snapshot_rows(fixtures.catalog(spark, d), fixtures.portals(spark, d))
+def _snapshot(spark: SparkSession, d: str, *, resource_lists: bool = False) -> DataFrame:
+    return curate.snapshot_rows(fixtures.catalog(spark, d), fixtures.portals(spark, d), resource_lists=resource_lists)
 
 
 def _resource_snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +258,7 @@ def f8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p1_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return _snapshot(spark, d).drop("resources", "portal_type", "portal_profile", "content_hash")
+    return _snapshot(spark, d).drop("portal_type", "portal_profile", "content_hash")
 
 
 @query
@@ -373,7 +373,7 @@ def a9_resource_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def a10_completeness(spark: SparkSession, d: str) -> DataFrame:
-    return quality.completeness(_snapshot(spark, d))
+    return quality.completeness(_snapshot(spark, d, resource_lists=True))
 
 
 @query
