@@ -154,11 +154,11 @@ def dcat_us_text(value: Column, language: Column) -> Column:
 
 
 def language_text(texts: Column, language: Column) -> Column:
-    """L4: of a map language -> text the one whose language starts with the base language, English, else any by key."""
+    """L4: of a map language -> text the one of the same base language, of English, else any, each time the first by key."""
     entries = F.array_sort(F.map_entries(texts))
-    base = F.split_part(F.lower(language), F.lit("-"), F.lit(1))
-    of = lambda k: _first(F.filter(entries, lambda e: F.startswith(F.lower(e["key"]), k)))["value"]
-    return F.coalesce(of(base), of(F.lit("en")), _first(entries)["value"])
+    base = lambda k: F.split(F.lower(k), "[-_]")[0]
+    of = lambda k: _first(F.filter(entries, lambda e: base(e["key"]) == k))["value"]
+    return F.coalesce(of(base(language)), of(F.lit("en")), _first(entries)["value"])
 
 
 def text_list(value: Column) -> Column:

@@ -20,9 +20,11 @@ COLUMNS = ["original_id", "source_portal", "url", "title", "description", "recor
 UPDATE_ANNOTATIONS = ["UPDATE_DATA", "LAST_UPDATE", "UPDATE_STRUCTURE", "CREATED"]
 
 
-def _catalog(rows: DataFrame, required: list[str]) -> DataFrame:
-    """Rows with the hash, without those that miss a required column."""
+def _catalog(rows: DataFrame, required: list[str], *, across_pages: bool = False) -> DataFrame:
+    """Rows with the hash, without those that miss a required column; across_pages: of an id only the first of a run."""
     kept = rows.dropna(subset=required)
+    if across_pages:
+        kept = keep_first(kept, ["source_portal", "original_id"], [F.col("page"), F.col("pos")])
     hashed = X.content_hash(F.col("title"), F.col("description"), F.col("language"))
     return kept.withColumn("content_hash", hashed).select(*COLUMNS)
 
@@ -44,8 +46,9 @@ def _no_date() -> Column:
 
 
 def _select(records: DataFrame, **columns: Column) -> DataFrame:
-    """The named columns, the portal as it is and the language."""
-    return records.select(F.col("portal_url").alias("source_portal"), "language", *[c.alias(k) for k, c in columns.items()])
+    """The named columns, the portal as it is, the language, and a record's page and position where it has them."""
+    place = [c for c in ("page", "pos") if c in records.columns]
+    return records.select(F.col("portal_url").alias("source_portal"), "language", *place, *[c.alias(k) for k, c in columns.items()])
 
 
 def ckan(records: DataFrame) -> DataFrame:
@@ -90,7 +93,7 @@ def socrata(records: DataFrame) -> DataFrame:
         url=F.coalesce(valid("link"), valid("permalink"), F.concat(X.url_scheme(F.col("portal_url")), F.lit("://"), domain, F.lit("/d/"), key)), record_kind=F.lit("dataset"),
         metadata=F.to_json(n), modified=_first_date(resource, ["updatedAt", "metadata_updated_at", "data_updated_at"]),
     )
-    return _catalog(rows, ["original_id", "title"])
+    return _catalog(rows, ["original_id", "title"], across_pages=True)
 
 
 def socrata_facets(records: DataFrame) -> DataFrame:
@@ -117,7 +120,7 @@ def opendatasoft(records: DataFrame) -> DataFrame:
         url=F.concat(_base(F.col("portal_url")), F.lit("/explore/dataset/"), key, F.lit("/")), record_kind=F.lit("dataset"),
         metadata=F.to_json(n), modified=X.parsed_date(V.string_at(metas, "modified")),
     )
-    return _catalog(rows, ["original_id"])
+    return _catalog(rows, ["original_id"], across_pages=True)
 
 
 def opendatasoft_facets(records: DataFrame) -> DataFrame:
@@ -142,7 +145,7 @@ def arcgis(records: DataFrame) -> DataFrame:
         url=F.concat(_base(F.col("portal_url")), F.lit("/datasets/"), key), record_kind=F.lit("dataset"),
         metadata=F.to_json(n), modified=X.from_millis(F.try_variant_get(p, "$.modified", "bigint")),
     )
-    return _catalog(rows, ["original_id"])
+    return _catalog(rows, ["original_id"], across_pages=True)
 
 
 def arcgis_facets(records: DataFrame) -> DataFrame:
@@ -233,38 +236,49 @@ def term(node: Column, key: str) -> Column:
     return F.when(t.isNotNull(), F.struct(V.string_at(t, "value").alias("value"), V.string_at(t, "type").alias("type"), lang.alias("lang"), datatype.alias("datatype")))
 
 
+def binding_json(node: Column) -> Column:
+    """Q4: a binding as JSON: its variables in order, each a term with its value, type, language and datatype where it has them."""
+    terms = V.entries_of(node)
+    one = lambda e: F.struct(*[V.string_at(e["value"], k).alias(k) for k in ("type", "value", "datatype")], F.try_variant_get(e["value"], "$['xml:lang']", "string").alias("lang"))
+    parts = F.transform(terms, lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), V.term_json(one(e))))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+
 #: Languages that stand in for each other (fixed values).
 SIBLINGS = ["nb", "nn", "no"]
 
 
 def language_rank(lang: Column, preferred: Column) -> Column:
-    """3 for the preferred language, 2 for a sibling of it, 1 for English, else 0."""
-    base = lambda c: F.split_part(F.lower(F.coalesce(c, F.lit(""))), F.lit("-"), F.lit(1))
-    a, b = base(lang), base(preferred)
-    return F.when(a == b, 3).when(a.isin(SIBLINGS) & b.isin(SIBLINGS), 2).when(a == "en", 1).otherwise(0)
+    """3 for the preferred language's tag, 2 for a sibling of it, 1 for English, else 0."""
+    return F.when(lang == preferred, 3).when(lang.isin(SIBLINGS) & preferred.isin(SIBLINGS), 2).when(lang == "en", 1).otherwise(0)
 
 
 def sparql(bindings: DataFrame) -> DataFrame:
     """One row for each dataset URI of language-tagged bindings.
 
-    The best title and description are chosen independently by language rank (equal ranks:
-    the larger text); the identifier is the first non-empty one, else the URI's last
-    segment; of URIs with one identifier the first stays, datasets without title go.
+    The best title and description are chosen independently among the texts that aren't
+    empty, by language rank (equal ranks: the last binding's); the identifier is the first
+    non-empty one, else the URI's last segment; of URIs with one identifier the first
+    stays, datasets without title go. metadata is the first binding with the chosen title,
+    its terms without their null parts (Q4).
     """
     n, lang = F.col("node"), F.col("language")
     flat = bindings.select(
         "portal_url", "language", "page", "pos", term(n, "dataset")["value"].alias("uri"), term(n, "title").alias("t"), term(n, "description").alias("d"),
-        F.nullif(term(n, "identifier")["value"], F.lit("")).alias("i"), term(n, "modified")["value"].alias("m"),
+        F.nullif(term(n, "identifier")["value"], F.lit("")).alias("i"), term(n, "modified")["value"].alias("m"), binding_json(n).alias("json"),
     ).where("uri is not null")
-    order = lambda c: F.when(F.col(c)["value"].isNotNull(), F.struct(language_rank(F.col(c)["lang"], lang), F.col(c)["value"]))
+    order = lambda c: F.when(F.col(c)["value"] != "", F.struct(language_rank(F.col(c)["lang"], lang), "page", "pos"))
     place = F.struct("page", "pos")
+    # the first binding of each title; which title is chosen is known only after the grouping
+    texts = flat.groupBy("portal_url", "language", "uri", F.col("t.value").alias("title")).agg(F.min_by("json", place).alias("json"))
     grouped = flat.groupBy("portal_url", "language", "uri").agg(
         F.max_by(F.col("t.value"), order("t")).alias("title"), F.max_by(F.col("d.value"), order("d")).alias("description"),
         F.min_by("i", F.when(F.col("i").isNotNull(), place)).alias("i"), F.max("m").alias("m"), F.min(place).alias("place"),
     )
     named = grouped.withColumn("original_id", F.coalesce("i", X.last_segment(F.col("uri"))))
     first = keep_first(named.where("title is not null and title <> ''"), ["portal_url", "original_id"], [F.col("place"), F.col("uri")])
-    rows = _select(first, original_id=F.col("original_id"), url=F.col("uri"), title=F.col("title"), description=F.nullif(F.col("description"), F.lit("")), record_kind=F.lit("dataset"), metadata=F.to_json(F.struct("uri")), modified=X.parsed_date(F.col("m")))
+    first = first.join(texts, ["portal_url", "language", "uri", "title"], "left")
+    rows = _select(first, original_id=F.col("original_id"), url=F.col("uri"), title=F.col("title"), description=F.nullif(F.col("description"), F.lit("")), record_kind=F.lit("dataset"), metadata=F.col("json"), modified=X.parsed_date(F.col("m")))
     return _catalog(rows, ["original_id"])
 
 
@@ -317,19 +331,30 @@ def dataset_count(bindings: DataFrame) -> DataFrame:
 
 
 def sdmx(flows: DataFrame) -> DataFrame:
-    """SDMX dataflows. modified is that of the annotation of the best priority whose date parses."""
-    f = flows.where("error is null and agency is not null and flow_id is not null")
-    key = F.concat("agency", F.lit(":"), "flow_id")
+    """SDMX dataflows. modified is that of the annotation of the best priority whose title parses.
+
+    A url template's {id}, {agency}, {version} and {flow_ref} are filled in (X9); without one
+    the landing page is the structure's URL. metadata holds the dataflow's names, texts and
+    references as published.
+    """
+    f = flows.where("error is null and flow_id is not null").withColumn("agency", F.coalesce("agency", F.lit("all"))).withColumn("version", F.coalesce("version", F.lit("latest")))
     ranks = F.array(*map(F.lit, UPDATE_ANNOTATIONS))
-    dated = F.transform("annotations", lambda a: F.struct(F.array_position(ranks, a["type"]).alias("rank"), X.parsed_date(a["text"], bare_offset=True).alias("date")))
+    dated = F.transform("annotations", lambda a: F.struct(F.array_position(ranks, F.upper(a["type"])).alias("rank"), X.parsed_date(F.trim(a["title"]), bare_offset=True).alias("date")))
     best = F.array_min(F.filter(dated, lambda d: (d["rank"] > 0) & d["date"].isNotNull()))["date"]
-    base, version = _base(F.col("portal_url")), F.coalesce("version", F.lit("latest"))
-    flow_ref = F.concat("agency", F.lit(","), "flow_id", F.lit(","), version)
-    data_url = F.concat(base, F.lit("/data/"), flow_ref)
-    metadata = F.to_json(F.struct(F.struct(F.col("agency").alias("agency_id"), F.col("flow_id").alias("dataflow_id"), flow_ref.alias("flow_ref"), data_url.alias("data_url")).alias("sdmx")))
+    base = _base(F.col("portal_url"))
+    f = f.withColumns({"flow_ref": F.concat_ws(",", "agency", "flow_id", "version"), "modified": best})
+    f = f.withColumn("structure_url", F.coalesce("structure_url", F.concat_ws("/", base, F.lit("dataflow"), "agency", "flow_id", "version")))
+    own = F.struct(
+        F.col("agency").alias("agency_id"), F.col("flow_id").alias("dataflow_id"), "version", "flow_ref", "urn", "is_final", "structure_url",
+        F.concat(base, F.lit("/data/"), "flow_ref").alias("data_url"), F.col("structure").alias("data_structure"),
+    )
+    head = (F.lit("series").alias("catalog_record_kind"), F.lit("application/vnd.sdmx.structure+xml").alias("source_format"))
+    metadata = F.to_json(F.struct(*head, own.alias("sdmx"), "names", "descriptions", "annotations", X.rfc3339(F.col("modified")).alias("modified")), {"ignoreNullFields": "false"})
+    template = F.col("url_template") if "url_template" in flows.columns else F.lit(None).cast("string")
+    filled = X.filled_template(template, {"id": F.col("flow_id"), "agency": F.col("agency"), "version": F.col("version"), "flow_ref": F.col("flow_ref")})
     rows = _select(
-        f, original_id=key, url=F.concat(base, F.lit("/dataflow/"), "agency", F.lit("/"), "flow_id", F.lit("/"), version), title=F.coalesce(V.language_text(F.col("names"), F.col("language")), key),
-        description=V.language_text(F.col("descriptions"), F.col("language")), record_kind=F.lit("series"), metadata=metadata, modified=best,
+        f, original_id=F.concat_ws(":", "agency", "flow_id"), url=F.coalesce(filled, "structure_url"), title=F.coalesce(V.language_text(F.col("names"), F.col("language")), "flow_id"),
+        description=V.language_text(F.col("descriptions"), F.col("language")), record_kind=F.lit("series"), metadata=metadata, modified=F.col("modified"),
     )
     return _catalog(rows, ["original_id"])
 

@@ -47,12 +47,29 @@ def resource_buckets(snapshot: DataFrame) -> DataFrame:
     return pairs.select("p.facet", "p.bucket").where("bucket is not null").groupBy("facet", "bucket").agg(F.count("*").alias("n")).orderBy("facet", F.col("n").desc(), "bucket")
 
 
-def resource_quality(snapshot: DataFrame) -> DataFrame:
-    """For each portal its datasets, those with resources and with a field schema, and its resources."""
+def resource_quality(snapshot: DataFrame, *, buckets: bool = False) -> DataFrame:
+    """For each portal its datasets, those with resources and with a field schema, and its resources.
+
+    With buckets also by_format and by_media_type: key and count, largest first, then by key.
+    """
     some = F.exists("resources", lambda r: r["field_count"] > 0)
-    return snapshot.groupBy("source_portal").agg(
+    counted = snapshot.groupBy("source_portal").agg(
         F.count("*").alias("datasets"), F.count_if(F.size("resources") > 0).alias("with_resources"), F.count_if(some).alias("with_fields"), F.sum(F.size("resources")).alias("resources")
     )
+    if not buckets:
+        return counted
+    sizes = portal_buckets(snapshot)
+    entry = F.struct((-F.col("n")).alias("less"), F.col("bucket").alias("key"))
+    of = lambda facet: F.transform(F.array_sort(F.collect_list(F.when(F.col("facet") == facet, entry))), lambda e: F.struct(e["key"].alias("key"), (-e["less"]).alias("count"))).alias(f"by_{facet}")
+    return counted.join(sizes.groupBy("source_portal").agg(of("format"), of("media_type")), "source_portal", "left")
+
+
+def portal_buckets(snapshot: DataFrame) -> DataFrame:
+    """Resources of each portal, facet (format or media_type) and bucket as published; nulls aren't counted."""
+    each = snapshot.select("source_portal", F.explode_outer("resources").alias("r"))
+    pair = lambda facet: F.struct(F.lit(facet).alias("facet"), F.col(f"r.{facet}").alias("bucket"))
+    pairs = each.select("source_portal", F.explode(F.array(pair("format"), pair("media_type"))).alias("p")).select("source_portal", "p.facet", "p.bucket")
+    return pairs.where("bucket is not null").groupBy("source_portal", "facet", "bucket").agg(F.count("*").alias("n"))
 
 
 def completeness(snapshot: DataFrame) -> DataFrame:

@@ -80,7 +80,16 @@ def invalid_portals(portals: DataFrame) -> DataFrame:
     return portals.withColumn("reason", reason).where("reason is not null")
 
 
+#: The options of a portal's entry (fixed values).
+OPTIONS = ["name", "url", "type", "profile", "language", "enabled", "aliases", "sparql_endpoint", "ogc_endpoint", "url_template"]
+
+
 def config_checksum(portals: DataFrame) -> DataFrame:
-    """SHA-256 of the configured portals, in their order."""
-    rows = portals.agg(F.array_sort(F.collect_list(F.struct("config_index", "name", "url", "type"))).alias("all"))
-    return rows.select(F.sha2(F.array_join(F.transform("all", lambda p: F.concat_ws("|", p["name"], p["url"], p["type"])), "\n"), 256).alias("checksum"))
+    """SHA-256 of the configured portals with all their options, in their order, one JSON object a line.
+
+    Options that the table hasn't got or that are null are left out.
+    """
+    options = [c for c in OPTIONS if c in portals.columns]
+    entry = F.to_json(F.struct(*options))
+    lines = portals.agg(F.array_sort(F.collect_list(F.struct("config_index", entry.alias("json")))).alias("all"))
+    return lines.select(F.sha2(F.array_join(F.transform("all", lambda p: p["json"]), "\n"), 256).alias("checksum"))

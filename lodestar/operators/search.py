@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -67,36 +68,49 @@ def pending_count(catalog: DataFrame) -> DataFrame:
     return catalog.where(is_pending(any_kind=True)).agg(F.count("*").alias("pending"))
 
 
-Provider = Callable[[list[str]], np.ndarray]
+@dataclass(frozen=True)
+class Provider:
+    """An embedding provider: its name, the vectors' dimension, the most texts that it takes at once, and the call itself."""
 
+    name: str
+    dimension: int
+    max_batch_size: int
+    generate: Callable[[list[str]], np.ndarray]
 
-def length_provider(dimension: int = 8) -> Provider:
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        """One vector for each text, in calls of at most max_batch_size texts."""
+        vectors = []
+        for i in range(0, len(texts), self.max_batch_size):
+            part = texts[i : i + self.max_batch_size]
+            found = np.asarray(self.generate(part), np.float32)
+            if len(found) != len(part):
+                raise ValueError(f"{self.name}: {len(found)} vectors for {len(part)} texts")
+            if found.ndim != 2 or found.shape[1] != self.dimension:
+                raise ValueError(f"{self.name}: vectors of shape {found.shape[1:]} instead of {self.dimension} components")
+            vectors.append(found)
+        return np.concatenate(vectors) if vectors else np.zeros((0, self.dimension), np.float32)
+
+
+def length_provider(dimension: int = 8, max_batch_size: int = 500) -> Provider:
     """A deterministic stand-in for a model: component i of a text is (its UTF-8 length + i) / 1000."""
 
     def embed(texts: list[str]) -> np.ndarray:
         sizes = np.array([len(t.encode()) for t in texts], np.float64)
         return ((sizes[:, None] + np.arange(dimension)) / 1000).astype(np.float32)
 
-    return embed
+    return Provider("length", dimension, max_batch_size, embed)
 
 
-def embed(rows: DataFrame, provider: Provider, batch: int = 500) -> DataFrame:
+def embed(rows: DataFrame, provider: Provider) -> DataFrame:
     """Id, embedding and content_hash (kept, or computed where it is null) of the rows.
 
     Texts are title and description. A provider that returns another number of vectors than
-    it got texts fails the batch.
+    it got texts, or vectors of another dimension than its own, fails the batch.
     """
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            vectors = []
-            for i in range(0, len(pdf), batch):
-                texts = pdf["text"].iloc[i : i + batch].tolist()
-                found = provider(texts)
-                if len(found) != len(texts):
-                    raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
-                vectors += found.tolist()
-            yield pdf[["id", "content_hash"]].assign(embedding=vectors)[["id", "embedding", "content_hash"]]
+            yield pdf[["id", "content_hash"]].assign(embedding=provider(pdf["text"].tolist()).tolist())[["id", "embedding", "content_hash"]]
 
     hashed = F.coalesce("content_hash", content_hash(F.col("title"), F.col("description")))
     texts = rows.select("id", hashed.alias("content_hash"), F.trim(F.concat(F.col("title"), F.lit(" "), F.coalesce("description", F.lit("")))).alias("text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.dedupe import keep_first
+
 KEY = ["source_portal", "original_id"]
 
 
@@ -22,19 +24,30 @@ def with_outcome(incoming: DataFrame, existing: DataFrame, *, always: bool = Fal
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
-    """Counts of each outcome for each portal, their total and the successful ones. A dry run ends here."""
+    """A4: counts of each outcome for each portal, their total and the successful ones."""
     counted = outcomes.groupBy("source_portal").agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("unchanged", "updated", "created", "failed", "skipped")])
     good = F.col("unchanged") + F.col("updated") + F.col("created")
     return counted.withColumn("total", good + F.col("failed") + F.col("skipped")).withColumn("successful", good)
 
 
-def upsert(catalog: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+def dry_run(incoming: DataFrame, existing: DataFrame, *, always: bool = False) -> DataFrame:
+    """What a run would do, as outcome_counts: of a key that comes more than once the first by hash counts, nothing is written."""
+    first = keep_first(incoming, KEY, [F.col("content_hash")])
+    return outcome_counts(with_outcome(first, existing, always=always))
+
+
+#: What an incoming row brings besides its key.
+VALUES = ["url", "title", "description", "record_kind", "metadata", "content_hash", "embedding"]
+
+
+def upsert(catalog: DataFrame, incoming: DataFrame, now: Column, first: Column | None = None) -> DataFrame:
     """The catalog after the incoming rows; a key must come once (see dedupe.keep_first).
 
     Incoming values replace stored ones, but a stored embedding outlives an incoming null
-    and first_seen_at stays; replaced rows are fresh again.
+    and first_seen_at stays; replaced rows are fresh again. now and first (when a new row was
+    first seen, default now) may be columns of the incoming rows.
     """
-    new = incoming.select(*KEY, F.struct("url", "title", "description", "record_kind", "metadata", "content_hash", "embedding").alias("__new"))
+    new = incoming.select(*KEY, F.struct(*VALUES, now.alias("now"), (now if first is None else first).alias("first")).alias("__new"))
     old = catalog.select(*KEY, F.struct(*[c for c in catalog.columns if c not in KEY]).alias("__old"))
     both = old.join(new, KEY, "full")
     come = F.col("__new").isNotNull()
@@ -43,8 +56,8 @@ def upsert(catalog: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
         *KEY,
         *[pick(c) for c in ("url", "title", "description", "record_kind", "metadata", "content_hash")],
         F.coalesce("__new.embedding", "__old.embedding").alias("embedding"),
-        F.coalesce("__old.first_seen_at", now).alias("first_seen_at"),
-        F.when(come, now).otherwise(F.col("__old.last_updated_at")).alias("last_updated_at"),
+        F.coalesce("__old.first_seen_at", "__new.first").alias("first_seen_at"),
+        F.when(come, F.col("__new.now")).otherwise(F.col("__old.last_updated_at")).alias("last_updated_at"),
         F.when(come, F.lit(False)).otherwise(F.col("__old.is_stale")).alias("is_stale"),
     )
 

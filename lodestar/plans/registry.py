@@ -38,8 +38,12 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder in the folder that all executors share; a session without one gets its own."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder in the folder that all executors share; only a local session without one gets its own."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root}/{name}-{uuid.uuid4()}"
 
 
@@ -128,9 +132,12 @@ def s15_collisions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def s17_portals(spark: SparkSession, d: str) -> DataFrame:
-    portals = fixtures.portals(spark, d)
-    bad = runlog.invalid_portals(portals).select("url")
-    return portals.where("enabled").join(bad, "url", "left_anti").select("name", "url", "type", "profile", "language")
+    """Enabled portals, and why an entry isn't valid: each seventh has a profile, each fifth an endpoint of either kind."""
+    i = F.col("config_index")
+    options = {"profile": F.when(i % 7 == 0, "udata").otherwise(F.col("profile")), "sparql_endpoint": F.when(i % 5 == 1, "https://s"), "ogc_endpoint": F.when(i % 5 == 2, "https://o")}
+    portals = fixtures.portals(spark, d).withColumns(options)
+    bad = runlog.invalid_portals(portals).select("url", "reason")
+    return portals.where("enabled").join(bad, "url", "left").select("name", "url", "type", "profile", "language", "reason")
 
 
 @query
@@ -138,7 +145,23 @@ def s18_snapshot_files(spark: SparkSession, d: str) -> DataFrame:
     """Writes a snapshot folder and lists its Parquet files with their checksums."""
     folder = _shared(spark, "snapshot")
     sinks.write_snapshot(fixtures.catalog(spark, d), fixtures.portals(spark, d), folder, "2026-06-01", scans.identity(fixtures.previous(spark, d)))
-    return scans.files(spark, folder, "*.parquet").withColumn("snapshot_id", F.lit(scans.previous_snapshot_id(spark, folder)))
+    return scans.files(spark, folder, "*.parquet").drop("path").withColumn("snapshot_id", F.lit(scans.previous_snapshot_id(spark, folder)))
+
+
+@query
+def k9_snapshot_changelog(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot, then another against the identity file of the first: rows gone, changed and new, and repeats under a folded alias."""
+    rows, portals = fixtures.catalog(spark, d), fixtures.portals(spark, d)
+    first, second = _shared(spark, "snapshot"), _shared(spark, "snapshot")
+    sinks.write_snapshot(rows, portals, first, "2026-06-01")
+    changed = F.when(F.col("doc_id") % 8 == 2, F.concat(F.lit("changed"), "content_hash")).otherwise(F.col("content_hash"))
+    now = rows.where("doc_id % 9 <> 4").withColumn("content_hash", changed)
+    added = rows.where("doc_id % 31 = 5").withColumn("original_id", F.concat("original_id", F.lit("n")))
+    repeats = now.where("doc_id % 6 = 0 and source_portal like 'https://src0.example.org%'").withColumn("source_portal", F.lit("https://src1.example.org"))
+    previous = spark.read.parquet(f"{first}/identity.parquet")
+    sinks.write_snapshot(now.unionByName(added).unionByName(repeats), portals, second, "2026-06-02", previous)
+    log = spark.read.schema("portals array<struct<source_portal:string,added:bigint,changed:bigint,removed:bigint,unchanged:bigint>>").json(f"{second}/changelog.json")
+    return log.select(F.explode("portals").alias("p")).select("p.*")
 
 
 # sinks
@@ -155,8 +178,12 @@ def k1_jsonl(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def k2_json_array(spark: SparkSession, d: str) -> DataFrame:
-    lines = sinks.json_array_rows(fixtures.catalog(spark, d))
-    return lines.agg(F.count("*").alias("lines"), F.count_if(F.endswith("value", F.lit("},"))).alias("commas"))
+    """Written, its lines put together in the files' order and read as one array again; every element comes back."""
+    folder = _shared(spark, "array")
+    sinks.write_json_array(fixtures.catalog(spark, d), folder)
+    lines = spark.read.text(folder)
+    inner = lines.where("value not in ('[', ']')").select(F.endswith("value", F.lit(",")).alias("comma"), F.from_json(F.regexp_replace("value", ",$", ""), "id string, original_id string, title string, description string, last_updated_at string").alias("r"))
+    return inner.select("r.*", "comma")
 
 
 @query
@@ -186,6 +213,40 @@ _normalized("n9_sdmx", lambda spark, d: normalize.sdmx(xml.dataflows(payload_fix
 _normalized("n10_csw", lambda spark, d: normalize.csw(xml.csw_records(payload_fixtures.csw_pages(spark, d))))
 
 
+#: For each family a value of the metadata that its records have.
+PROBES = {
+    "ckan": "$.metadata_modified", "data_json": "$.modified", "socrata": "$.resource.name", "opendatasoft": "$.metas.default.title", "arcgis": "$.properties.title", "stac": "$.assets.a.title",
+    "dcat": "$.distributions[0].downloadURL['@id']", "sparql": "$.title.value", "sdmx": "$.names.en", "ogc_records": "$.online_resources[0].url",
+}
+
+
+@query
+def n_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What n1-n10 leave out: time of change of every family's records, a value of their metadata, and its number of fields."""
+    out = None
+    for family, path in PROBES.items():
+        rows = normalize.FAMILIES[family](_family_records(spark, d, family)).withColumn("m", V.parsed(F.col("metadata")))
+        fields = F.size(F.try_variant_get("m", "$", V.Entry))
+        each = rows.select(F.lit(family).alias("family"), "original_id", "modified", F.try_variant_get("m", path, "string").alias("value"), fields.alias("fields"))
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+@query
+def n9_sdmx_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Dataflows with a landing-page template; their references and annotations."""
+    pages = payload_fixtures.sdmx_pages(spark, d).withColumn("url_template", F.lit("https://t.example.org/{agency}/{id}?v={version}&f={flow_ref}"))
+    m = V.parsed(F.col("metadata"))
+    paths = {"version": "$.sdmx.version", "structure": "$.sdmx.data_structure.id", "data_url": "$.sdmx.data_url", "structure_url": "$.sdmx.structure_url", "kind": "$.catalog_record_kind", "note": "$.annotations[0].type", "fr": "$.names.fr", "modified": "$.modified"}
+    return normalize.sdmx(xml.dataflows(pages)).select("original_id", "url", *[F.try_variant_get(m, p, "string").alias(k) for k, p in paths.items()])
+
+
+def _family_records(spark: SparkSession, d: str, family: str) -> DataFrame:
+    if family == "sdmx":
+        return xml.dataflows(payload_fixtures.sdmx_pages(spark, d))
+    return xml.csw_records(payload_fixtures.csw_pages(spark, d)) if family == "ogc_records" else _records(spark, d, family)
+
+
 @query
 def n11_union(spark: SparkSession, d: str) -> DataFrame:
     rows = normalize.union({f: _records(spark, d, f) for f in ("ckan", "opendatasoft", "stac")})
@@ -195,8 +256,7 @@ def n11_union(spark: SparkSession, d: str) -> DataFrame:
 @query
 def n11_union_all(spark: SparkSession, d: str) -> DataFrame:
     """The union of all families, XML ones included."""
-    xml_rows = {"sdmx": xml.dataflows(payload_fixtures.sdmx_pages(spark, d)), "ogc_records": xml.csw_records(payload_fixtures.csw_pages(spark, d))}
-    rows = normalize.union({f: xml_rows[f] if f in xml_rows else _records(spark, d, f) for f in normalize.FAMILIES})
+    rows = normalize.union({f: _family_records(spark, d, f) for f in normalize.FAMILIES})
     return rows.groupBy("source_portal", "record_kind").agg(F.count("*").alias("n"))
 
 
@@ -263,13 +323,18 @@ def p1_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p3_details(spark: SparkSession, d: str) -> DataFrame:
-    return redact.details(fixtures.catalog(spark, d), ["doc"]).where(~F.contains("metadata", F.lit('"doc"'))).select("id", "original_id", "title", "record_kind")
+    shown = redact.details(fixtures.catalog(spark, d), ["doc", "license*"])
+    m = V.parsed(F.col("metadata"))
+    parts = [F.concat_ws(",", F.map_keys(F.try_variant_get(m, "$", "map<string,variant>"))).alias("keys"), V.string_at(m, "language").alias("language"), V.string_at(m, "organization.name").alias("organization")]
+    return shown.select("id", "original_id", "title", "record_kind", *parts)
 
 
 @query
 def p4_schema(spark: SparkSession, d: str) -> DataFrame:
-    rows = _resource_snapshot(spark, d).select("original_id", F.explode_outer("resources").alias("r")).where("r is not null")
-    return rows.select("original_id", "r.name", "r.format", "r.media_type", "r.url", "r.field_count")
+    full = resources.with_resources(fixtures.resource_payloads(spark, d))
+    rows = full.select("original_id", F.explode_outer("resources").alias("r")).where("r is not null")
+    fields = F.array_join(F.transform("r.fields", lambda f: F.concat_ws(":", f["name"], f["type"])), ",")
+    return rows.select("original_id", "r.name", "r.format", "r.media_type", "r.url", "r.description", fields.alias("fields"))
 
 
 # joins
@@ -351,6 +416,11 @@ def a4_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return store.outcome_counts(_outcomes(spark, d))
 
 
+@query
+def u10_dry_run(spark: SparkSession, d: str) -> DataFrame:
+    return store.dry_run(fixtures.catalog(spark, d), scans.identity(fixtures.previous(spark, d)))
+
+
 @query
 def a5_batch_summary(spark: SparkSession, d: str) -> DataFrame:
     return runlog.batch_summary(fixtures.jobs(spark, d))
@@ -371,6 +441,14 @@ def a9_resource_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.resource_quality(_resource_snapshot(spark, d))
 
 
+@query
+def a9_portal_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Formats and media types of each portal's resources, taken from the lists of its quality row."""
+    rows = quality.resource_quality(_resource_snapshot(spark, d), buckets=True)
+    of = lambda facet: rows.select("source_portal", F.lit(facet).alias("facet"), F.posexplode(f"by_{facet}").alias("pos", "b"))
+    return of("format").unionByName(of("media_type")).select("source_portal", "facet", "pos", F.col("b.key").alias("bucket"), F.col("b.count").alias("n"))
+
+
 @query
 def a10_completeness(spark: SparkSession, d: str) -> DataFrame:
     return quality.completeness(_snapshot(spark, d, resource_lists=True))
@@ -460,8 +538,9 @@ def x1_html_to_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def x2_non_blank(spark: SparkSession, d: str) -> DataFrame:
-    blank = F.concat(F.lit("  "), "description", F.lit(" "))
-    return fixtures.catalog(spark, d).where("description is null or description = '   '").select("original_id", X.non_blank(blank).alias("description"))
+    """Descriptions, blank and null ones among them, between signs of white space."""
+    around = F.concat(F.lit("\u3000 \t"), F.coalesce("description", F.lit("\u00a0")), F.lit(" \n\u2003"))
+    return fixtures.catalog(spark, d).select("original_id", X.non_blank(around).alias("description"), X.non_blank(F.col("description")).alias("plain"))
 
 
 @query
@@ -660,7 +739,8 @@ def u8_stale_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def u9_sync_plan(spark: SparkSession, d: str) -> DataFrame:
-    plan = store.sync_plan(fixtures.portals(spark, d), runlog.sync_status(fixtures.jobs(spark, d)), curate.policy_of(F.col("type")))
+    runs = fixtures.jobs(spark, d).select("portal_url", F.col("status").alias("sync_status"), F.col("created_at").alias("started_at"))
+    plan = ingest.sync_plan(fixtures.portals(spark, d), runs, curate.policy_of(F.col("type")))
     return plan.select("name", "plan", "since")
 
 
@@ -729,12 +809,28 @@ def st4_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """ST1, ST4-ST6: landed changes as a stream of upserts, then a complete run retires what wasn't seen."""
     rows = fixtures.catalog(spark, d)
     base, land, seen = _shared(spark, "catalog"), _shared(spark, "landed"), _shared(spark, "seen")
-    table = ingest.Catalog(spark, base)
+    table = ingest.Catalog(spark, base, merge_every=2)
     table.write(rows.drop("doc_id", "id", "language"), 0)
     columns = [*store.KEY, "url", "title", "description", "record_kind", "metadata", "content_hash", "embedding"]
     changed = rows.where("doc_id % 2 = 0").withColumn("title", F.concat(F.lit("new "), "title")).select(*columns)
     changed.repartition(4).write.parquet(land)
     stream = ingest.landed(spark, land, changed.schema, files_per_batch=2)
-    query_ = ingest.run(stream, ingest.upsert_batch(table, seen, order=["content_hash"]), _shared(spark, "progress"))
+    query_ = ingest.run(stream, ingest.upsert_batch(table, seen, order=["content_hash"], now=F.expr(NOW)), _shared(spark, "progress"))
     final = ingest.finish(table, query_.lastProgress["batchId"] + 1, seen, complete=True)
     return store.stale_by_exclusion(final, spark.read.parquet(seen), final.select("source_portal")).select("original_id", "title", "is_stale")
+
+
+@query
+def st5_partial_run(spark: SparkSession, d: str) -> DataFrame:
+    """A truncated stream with bad records: its good rows are kept, bad ones skipped, its status is partial and nothing is retired."""
+    rows = fixtures.catalog(spark, d)
+    land, seen = _shared(spark, "landed"), _shared(spark, "seen")
+    table = ingest.Catalog(spark, _shared(spark, "catalog"))
+    table.write(rows.drop("doc_id", "id", "language"), 0)
+    bad = F.when(F.col("doc_id") % 10 == 0, F.lit(None)).otherwise(F.col("original_id"))
+    landed = rows.where("doc_id % 5 = 0").withColumn("original_id", bad).select(*store.KEY, *store.VALUES)
+    landed.repartition(3).write.parquet(land)
+    done = ingest.run(ingest.landed(spark, land, landed.schema), ingest.upsert_batch(table, seen, order=["content_hash"], now=F.expr(NOW)), _shared(spark, "progress"))
+    status = ingest.run_status(spark, seen, truncated=True)
+    final = ingest.finish(table, done.lastProgress["batchId"] + 1, seen, complete=status.first()["may_retire"])
+    return status.join(final.agg(F.count("*").alias("rows"), F.count_if("is_stale").alias("stale"), F.count_if(F.col("last_updated_at") == F.expr(NOW)).alias("fresh")), F.lit(True))

@@ -137,7 +137,31 @@ N_CSW = _family(
 )
 NORMALIZED = {"n1_ckan": N_CKAN, "n2_dcat": N_DCAT, "n3_sparql": N_SPARQL, "n4_data_json": N_DATA_JSON, "n5_socrata": N_SOCRATA, "n6_opendatasoft": N_ODS, "n7_arcgis": N_ARCGIS, "n8_stac": N_STAC, "n9_sdmx": N_SDMX, "n10_csw": N_CSW}
 
+def _probe(family: str, key: str, modified: str, value: str, fields: str, where: str = "true") -> str:
+    return f"SELECT '{family}' AS family, {key} AS original_id, CAST({modified} AS TIMESTAMP) AS modified, {value} AS value, CAST({fields} AS INTEGER) AS fields FROM d WHERE {where}"
+
+
+_DAY = "lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0')"
+_SPARQL_KEY = "CASE WHEN doc_id % 3 = 0 THEN concat('i', doc_id // 2) ELSE CAST(doc_id AS VARCHAR) END"
+N_METADATA = L + " " + " UNION ALL ".join([
+    _probe("ckan", "CAST(doc_id AS VARCHAR)", f"concat('2026-01-', {_DAY}, ' 10:00:00')", f"concat('2026-01-', {_DAY}, 'T10:00:00Z')", "1 + CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END"),
+    _probe("data_json", "CASE WHEN doc_id % 5 = 0 THEN concat('https://id.example.org/', doc_id) ELSE CAST(doc_id AS VARCHAR) END", "CASE doc_id % 3 WHEN 0 THEN '2026-01-15' WHEN 1 THEN '2026-01-15 08:00:00' END",
+           "CASE doc_id % 3 WHEN 0 THEN '2026-01-15' WHEN 1 THEN '2026-01-15T10:00:00+02:00' ELSE 'soon' END", "3 + CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END"),
+    _probe("socrata", FOUR, "'2026-02-01'", "t", "4 + CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END"),
+    _probe("opendatasoft", "concat('ods-', doc_id)", "'2026-03-01'", "CASE WHEN doc_id % 6 = 0 THEN '  ' ELSE t END", "3"),
+    _probe("arcgis", "concat('a', doc_id)", "make_timestamp((1700000000 + doc_id) * 1000000)", "CASE WHEN doc_id % 5 = 0 THEN '   ' ELSE t END", "1 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END"),
+    _probe("stac", "concat('s', doc_id)", "NULL", "'A'", "5 + CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END"),
+    _probe("dcat", "CASE WHEN doc_id % 4 = 0 THEN concat('i', doc_id) ELSE concat('d', doc_id) END", "NULL", "concat('https://x/', doc_id, '.csv')", "5 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END"),
+    _probe("sparql", _SPARQL_KEY, "NULL", "t", "4 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END", f"true QUALIFY row_number() OVER (PARTITION BY {_SPARQL_KEY} ORDER BY page, doc_id) = 1"),
+    _probe("sdmx", "concat('AG:F', doc_id)", "CASE WHEN doc_id % 2 = 0 THEN '2026-01-05 08:00:00' ELSE '2020-01-01' END", "t", "7", "page % 11 <> 10"),
+    _probe("ogc_records", "concat('c', doc_id)", "concat('2026-01-0', doc_id % 9 + 1)", "CASE WHEN page % 2 = 1 THEN concat('https://x/page/', doc_id) ELSE concat('https://x/', doc_id, '.zip') END", "2"),
+])
+
 SQL: dict[str, str] = NORMALIZED | {
+    "n_metadata": N_METADATA,
+    "n9_sdmx_metadata": f"""{L} SELECT concat('AG:F', doc_id) AS original_id, concat('https://t.example.org/AG/F', doc_id, '?v=1.', doc_id % 3, '&f=AG,F', doc_id, ',1.', doc_id % 3) AS url, concat('1.', doc_id % 3) AS version,
+      concat('S', doc_id) AS structure, concat('https://sdmx.example.org/data/AG,F', doc_id, ',1.', doc_id % 3) AS data_url, concat('https://sdmx.example.org/dataflow/AG/F', doc_id, '/1.', doc_id % 3) AS structure_url,
+      'series' AS kind, 'CREATED' AS note, 'F' AS fr, CASE WHEN doc_id % 2 = 0 THEN '2026-01-05T08:00:00+00:00' ELSE '2020-01-01T00:00:00+00:00' END AS modified FROM d WHERE page % 11 <> 10""",
     "flagship_curated_portals": f"{CD} SELECT source_portal, portal_name, portal_type, portal_profile, count(*) AS n, count(*) FILTER (WHERE is_duplicate) AS duplicates FROM snapshot GROUP BY ALL",
     "s1_scan_newest": f"{C} SELECT {ROW} FROM catalog ORDER BY last_updated_at DESC, id LIMIT 50",
     "s2_bounded_list": f"{C} SELECT {ROW} FROM catalog WHERE source_portal = 'https://src3.example.org' ORDER BY last_updated_at DESC, id LIMIT 10000",
@@ -146,12 +170,21 @@ SQL: dict[str, str] = NORMALIZED | {
     "s5_ckan_declared": f"{L} SELECT DISTINCT page::INTEGER AS page, 1000::BIGINT AS declared FROM d",
     "s15_identity": f"{CP} SELECT source_portal, original_id, content_hash FROM identity",
     "s15_collisions": f"{CP} SELECT count(*) AS rows, count(DISTINCT (source_portal, original_id)) AS keys, count(*) - count(DISTINCT (source_portal, original_id)) AS collisions FROM previous",
-    "s17_portals": f"{_with(PORTALS)} SELECT name, url, type, profile, language FROM portals WHERE enabled",
+    "s17_portals": f"""{_with(PORTALS)}, p2 AS (SELECT * EXCLUDE (profile), CASE WHEN config_index % 7 = 0 THEN 'udata' ELSE profile END AS profile FROM portals)
+      SELECT name, url, type, profile, language, CASE WHEN profile IS NOT NULL AND type <> 'dcat' THEN 'profile is only for dcat'
+        WHEN config_index % 5 = 1 AND type <> 'sparql' THEN 'sparql_endpoint is only for sparql' WHEN config_index % 5 = 2 THEN 'ogc_endpoint is only for ogc_records' END AS reason
+      FROM p2 WHERE enabled""",
     "s7_dataset_nodes": f"{L} SELECT page::INTEGER AS page, count(*) AS datasets FROM d GROUP BY page",
     "s14_count_mismatch": f"{L} SELECT DISTINCT 'https://csw.example.org/' AS portal_url, count(*) + 1 AS declared, count(*) AS parsed FROM d WHERE page % 7 = 6 GROUP BY page",
     "s14_mismatching_pages": f"{L} SELECT 'https://csw.example.org/' AS portal_url, page::INTEGER AS page, count(*) + 1 AS declared, count(*) AS parsed FROM d WHERE page % 7 = 6 GROUP BY page",
     "k1_jsonl": f"{C} SELECT id, original_id, title, description, strftime(first_seen_at, '%Y-%m-%dT%H:%M:%S+00:00') AS first_seen_at FROM catalog",
-    "k2_json_array": f"{C} SELECT count(*) + 2 AS lines, count(*) - 1 AS commas FROM catalog",
+    "k2_json_array": f"{C} SELECT id, original_id, title, description, strftime(last_updated_at, '%Y-%m-%dT%H:%M:%S+00:00') AS last_updated_at, row_number() OVER (ORDER BY id DESC) > 1 AS comma FROM catalog",
+    "k9_snapshot_changelog": f"""{CD}, s1 AS (SELECT source_portal, original_id, content_hash AS was FROM snapshot), s2 AS (
+        SELECT source_portal, original_id, CASE WHEN CAST(original_id AS BIGINT) % 8 = 2 THEN 'changed' || content_hash ELSE content_hash END AS now FROM snapshot WHERE CAST(original_id AS BIGINT) % 9 <> 4
+        UNION ALL SELECT source_portal, original_id || 'n', content_hash FROM snapshot WHERE CAST(original_id AS BIGINT) % 31 = 5)
+      SELECT source_portal, count(*) FILTER (WHERE s1.original_id IS NULL) AS added, count(*) FILTER (WHERE s1.original_id IS NOT NULL AND s2.original_id IS NOT NULL AND now IS DISTINCT FROM was) AS changed,
+        count(*) FILTER (WHERE s2.original_id IS NULL) AS removed, count(*) FILTER (WHERE s1.original_id IS NOT NULL AND s2.original_id IS NOT NULL AND now IS NOT DISTINCT FROM was) AS unchanged
+      FROM s1 FULL JOIN s2 USING (source_portal, original_id) GROUP BY source_portal""",
     "k3_csv": f"{C} SELECT id, original_id, source_portal, url, title, description, strftime(first_seen_at, '%Y-%m-%dT%H:%M:%SZ') AS first_seen_at, strftime(last_updated_at, '%Y-%m-%dT%H:%M:%SZ') AS last_updated_at FROM catalog",
     "k5_file_collisions": f"{CD} SELECT regexp_replace(lower(portal_name), '[^a-z0-9-]', '-', 'g') AS file, count(DISTINCT source_portal) AS portals FROM snapshot GROUP BY 1 HAVING count(DISTINCT source_portal) > 1",
     "f1_noise": f"{CD} SELECT original_id, noise FROM flagged",
@@ -166,8 +199,10 @@ SQL: dict[str, str] = NORMALIZED | {
     "f7_kinds": f"{C} SELECT original_id, CASE record_kind WHEN 'dataset' THEN 'dataset' WHEN 'series' THEN 'series' WHEN 'service' THEN 'service' WHEN 'map' THEN 'map' ELSE 'other' END AS by_scope, record_kind AS stored FROM catalog",
     "f8_redacted": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS had_secret, 0 AS has_secret, 1 AS keeps_doc FROM documents",
     "p1_snapshot": f"{CD} SELECT * EXCLUDE (portal_type, portal_profile, content_hash) FROM snapshot",
-    "p3_details": f"{C} SELECT id, original_id, title, record_kind FROM catalog",
-    "p4_schema": f"{R} SELECT original_id, name, format, media_type, url, field_count FROM lines WHERE n IS NOT NULL",
+    "p3_details": f"""{C} SELECT id, original_id, title, record_kind, concat_ws(',', 'language', CASE WHEN doc_id % 7 < 4 THEN 'metadata_modified' END, CASE WHEN doc_id % 4 < 3 THEN 'organization' END, CASE WHEN doc_id % 3 < 2 THEN 'tags' END) AS keys,
+      upper(lang) AS language, CASE doc_id % 4 WHEN 1 THEN source WHEN 2 THEN 'x' END AS organization FROM catalog""",
+    "p4_schema": f"""{R} SELECT original_id, name, format, media_type, url, NULL::VARCHAR AS description,
+      CASE n % 3 WHEN 0 THEN '' WHEN 1 THEN 'f1:int' ELSE 'f1:int,f2:int' END AS fields FROM lines WHERE n IS NOT NULL""",
     "j1_aliases": f"{CD} SELECT original_id, canonical_portal FROM canonical",
     "j2_portal_facts": f"{CD} SELECT original_id, p.name AS portal_name, p.language AS portal_language, p.type AS portal_type, p.profile AS portal_profile FROM canonical c LEFT JOIN portals p ON p.url = c.canonical_portal",
     "j4_duplicate_flag": f"{CD} SELECT original_id, is_duplicate FROM flagged",
@@ -183,10 +218,19 @@ SQL: dict[str, str] = NORMALIZED | {
     "a4_outcomes": f"""{CP} SELECT c.source_portal, count(*) FILTER (WHERE o = 'unchanged') AS unchanged, count(*) FILTER (WHERE o = 'updated') AS updated, count(*) FILTER (WHERE o = 'created') AS created,
       0::BIGINT AS failed, 0::BIGINT AS skipped, count(*) AS total, count(*) AS successful
       FROM (SELECT c.source_portal, {OUTCOME} AS o FROM catalog c LEFT JOIN identity p ON c.source_portal = p.source_portal AND c.original_id = p.original_id) c GROUP BY 1""",
+    "u10_dry_run": f"""{CP} SELECT c.source_portal, count(*) FILTER (WHERE o = 'unchanged') AS unchanged, count(*) FILTER (WHERE o = 'updated') AS updated, count(*) FILTER (WHERE o = 'created') AS created,
+      0::BIGINT AS failed, 0::BIGINT AS skipped, count(*) AS total, count(*) AS successful
+      FROM (SELECT c.source_portal, {OUTCOME} AS o FROM catalog c LEFT JOIN identity p ON c.source_portal = p.source_portal AND c.original_id = p.original_id) c GROUP BY 1""",
     "a5_batch_summary": f"{J} SELECT status, count(DISTINCT portal_url) AS portals, count(*) AS runs, sum(created + updated + unchanged)::BIGINT AS datasets FROM jobs GROUP BY status",
     "a7_coverage": f"""{CD} SELECT 'type' AS dimension, portal_type AS bucket, count(*) AS n FROM snapshot GROUP BY 2 UNION ALL SELECT 'profile', coalesce(portal_profile, 'none'), count(*) FROM snapshot GROUP BY 2
       UNION ALL SELECT 'language', language, count(*) FROM snapshot GROUP BY 2 UNION ALL SELECT 'portal', portal_name, count(*) FROM snapshot GROUP BY 2""",
     "a8_resource_buckets": f"{R} SELECT 'format' AS facet, format AS bucket, count(*) AS n FROM lines WHERE format IS NOT NULL GROUP BY 2 UNION ALL SELECT 'media_type', media_type, count(*) FROM lines WHERE media_type IS NOT NULL GROUP BY 2",
+    "a9_portal_buckets": f"""{R}, buckets AS (
+        SELECT source_portal, 'format' AS facet, format AS bucket, count(*) AS n FROM lines WHERE format IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT source_portal, 'media_type', media_type, count(*) FROM lines WHERE media_type IS NOT NULL GROUP BY ALL)
+      SELECT source_portal, facet, row_number() OVER (PARTITION BY source_portal, facet ORDER BY n DESC, bucket) - 1 AS pos, bucket, n FROM buckets""",
+    "g4_config_checksum": f"""{_with(PORTALS)} SELECT sha256(string_agg(concat('{{"name":"', name, '","url":"', url, '","type":"', type, '"', CASE WHEN profile IS NOT NULL THEN concat(',"profile":"', profile, '"') ELSE '' END,
+        ',"language":"', language, '","enabled":', enabled, ',"aliases":[', CASE WHEN name = 'src0' THEN '"https://src1.example.org"' ELSE '' END, ']}}'), chr(10) ORDER BY config_index)) AS checksum FROM portals""",
     "a9_resource_quality": f"""{R} SELECT source_portal, count(*) AS datasets, count(*) FILTER (WHERE r > 0) AS with_resources, count(*) FILTER (WHERE f > 0) AS with_fields, sum(r)::BIGINT AS resources
       FROM (SELECT source_portal, original_id, count(n) AS r, count(*) FILTER (WHERE field_count > 0) AS f FROM lines GROUP BY 1, 2) GROUP BY 1""",
     "a10_completeness": f"""{CD}, n AS (SELECT count(*) AS total FROM snapshot), c AS (
@@ -217,7 +261,7 @@ SQL: dict[str, str] = NORMALIZED | {
     "x1_html_to_text": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
       regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
       '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages""",
-    "x2_non_blank": f"{C} SELECT original_id, nullif(trim(description), '') AS description FROM catalog WHERE description IS NULL OR description = '   '",
+    "x2_non_blank": f"{C} SELECT original_id, nullif(trim(coalesce(description, ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160), chr(12288), chr(8195))), '') AS description, nullif(trim(description, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160), chr(12288), chr(8195))), '') AS plain FROM catalog",
     "x6_formats": "SELECT p_partkey, p_name AS plain, p_brand AS short FROM part",
     "x7_protocols": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'WFS' WHEN 1 THEN 'WMTS' WHEN 4 THEN 'CSW' END AS format, CASE WHEN p_partkey % 6 = 2 THEN 'image/png' END AS media_type FROM part""",
     "x10_urns": "SELECT s_suppkey, concat('AG', s_nationkey) AS agency, concat('F', s_suppkey) AS id, '1.0' AS version FROM supplier",
@@ -261,6 +305,8 @@ SQL: dict[str, str] = NORMALIZED | {
     "v4_outcome": f"{J} SELECT portal_url, count(*) FILTER (WHERE status IN ('failed', 'cancelled')) AS bad, count(*) FILTER (WHERE status IN ('failed', 'cancelled')) = 0 AS success FROM jobs GROUP BY 1",
     "v5_title_overlap": f"""{CD}, t AS (SELECT DISTINCT lower(title) AS title_key, canonical_portal FROM canonical) SELECT t.canonical_portal, count(*) AS titles, count(d.title_key) AS shared, round(count(d.title_key) / count(*)::DOUBLE, 4) AS share
       FROM t LEFT JOIN duplicates d ON d.title_key = t.title_key GROUP BY 1""",
+    "st5_partial_run": f"""{C} SELECT 'partial' AS status, count(*) FILTER (WHERE doc_id % 10 = 5) AS synced, count(*) FILTER (WHERE doc_id % 10 = 0) AS skipped, 0 AS failed, false AS may_retire,
+      count(*) AS rows, count(*) FILTER (WHERE is_stale AND doc_id % 10 <> 5) AS stale, count(*) FILTER (WHERE doc_id % 10 = 5) AS fresh FROM catalog""",
     "st4_stream_upsert": f"{C} SELECT original_id, concat('new ', title) AS title, false AS is_stale FROM catalog WHERE doc_id % 2 = 0 UNION ALL SELECT original_id, title, true FROM catalog WHERE doc_id % 2 = 1",
     "st3_stream_dedupe": "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_id FROM events) GROUP BY 1",
     "n11_union": "SELECT record_kind, count(*)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT record_kind FROM ({sql})" for sql in (N_CKAN, N_ODS, N_STAC)) + ") GROUP BY 1",

@@ -26,8 +26,9 @@ def hashes(catalog: DataFrame, portal: Column) -> DataFrame:
 
 
 def identity(snapshot: DataFrame) -> DataFrame:
-    """The first row of each key of an identity file."""
-    return keep_first(snapshot, ["source_portal", "original_id"], [F.col("pos"), F.col("content_hash")])
+    """The first row of each key of an identity file, by its position (pos); without positions by hash."""
+    order = [F.col(c) for c in ("pos", "content_hash") if c in snapshot.columns]
+    return keep_first(snapshot, ["source_portal", "original_id"], order)
 
 
 def collisions(snapshot: DataFrame) -> DataFrame:
@@ -48,6 +49,9 @@ def previous_snapshot_id(spark: SparkSession, folder: str) -> str | None:
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of each file below a folder."""
+    """Path, name, size and SHA-256 of each file below a folder.
+
+    A file is read as one value, so it must be below 2 GB; write_snapshot bounds its parts' rows.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

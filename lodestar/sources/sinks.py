@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import csv_time, file_name, rfc3339
-from lodestar.operators import curate, quality, store
+from lodestar.operators import curate, quality, runlog, store
+from lodestar.sources import catalog as scans
 from lodestar.sources.catalog import files
 
 JSON_FIELDS = ["id", "original_id", "source_portal", "url", "title", "description", "metadata", "first_seen_at", "last_updated_at"]
 CSV_FIELDS = ["id", "original_id", "source_portal", "url", "title", "description", "first_seen_at", "last_updated_at"]
 BUCKETS_SHOWN = 15
+#: Version of the manifest and of the rows.
+SCHEMA_VERSION = "1"
+#: Rows of a written Parquet part, so that its bytes can be read as one value for its checksum.
+MOST_RECORDS = 500_000
+#: Formats and media types that reports.json lists; resource_buckets.json has all.
+MOST_BUCKETS = 1000
 
 
 def json_rows(catalog: DataFrame) -> DataFrame:
@@ -34,13 +43,19 @@ def write_jsonl(catalog: DataFrame, path: str) -> None:
 def json_array_rows(catalog: DataFrame) -> DataFrame:
     """K2: the lines of a JSON array over all rows, by id: brackets as lines of their own, a comma after all but the last row.
 
-    The order is kept by a range sort; only the last id is fetched.
+    The order is kept by a range sort; only the last id and its last row are looked up. The
+    brackets' places sort before and after all ids.
     """
-    rows = catalog.select("id", _as_json().alias("value"))
-    last = rows.agg(F.max("id").alias("last"))
-    body = rows.join(F.broadcast(last), F.lit(True)).select(F.lit(1).alias("part"), "id", F.when(F.col("id") < F.col("last"), F.concat("value", F.lit(","))).otherwise(F.col("value")).alias("value"))
-    ends = catalog.sparkSession.createDataFrame([(0, "", "["), (2, "", "]")], "part int, id string, value string")
-    return body.unionByName(ends).orderBy("part", "id").select("value")
+    rows = catalog.select(F.lit(1).alias("part"), "id", F.monotonically_increasing_id().alias("row"), _as_json().alias("value"))
+    last = rows.agg(F.max(F.struct("id", "row")).alias("last"))
+    ended = rows.join(F.broadcast(last), F.lit(True)).withColumn("value", F.when(F.struct("id", "row") < F.col("last"), F.concat("value", F.lit(","))).otherwise(F.col("value")))
+    ends = catalog.sparkSession.createDataFrame([(0, "", 0, "["), (2, "", 0, "]")], "part int, id string, row bigint, value string")
+    return ended.select("part", "id", "row", "value").unionByName(ends).orderBy("part", "id", "row").select("value")
+
+
+def write_json_array(catalog: DataFrame, path: str) -> None:
+    """K2: a folder of text parts that are one JSON array when read in the order of their names."""
+    json_array_rows(catalog).write.mode("overwrite").text(path)
 
 
 def csv_rows(catalog: DataFrame) -> DataFrame:
@@ -59,45 +74,89 @@ def file_collisions(snapshot: DataFrame) -> DataFrame:
     return named.groupBy("file").agg(F.count("*").alias("portals")).where("portals > 1")
 
 
-def content_digest(rows: DataFrame) -> DataFrame:
-    """An order-independent digest of a table: its rows, and the sum of their hashes."""
-    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
-
-
 def snapshot_id(date: str, checksum: str) -> str:
-    """G3."""
+    """From the date and the first twelve hex digits of the canonical file's SHA-256."""
     return f"snapshot-{date}-{checksum[:12]}"
 
 
-def write_snapshot(catalog: DataFrame, portals: DataFrame, folder: str, date: str, previous: DataFrame | None = None) -> dict:
-    """K4-K9: a snapshot folder: all.parquet, by_portal, identity.parquet, manifest, report and changelog.
+def canonical_checksum(parts: list[str]) -> str:
+    """SHA-256 of a file that is a folder of parts: over their checksums in ascending order, whatever the parts' names."""
+    return hashlib.sha256("\n".join(sorted(parts)).encode()).hexdigest()
+
+
+def _data_files(spark: SparkSession, folder: str) -> list[dict]:
+    """Path below the folder, kind, rows, bytes and SHA-256 of every Parquet part of a snapshot."""
+    found = files(spark, folder, "*.parquet")
+    rows = None
+    for name in ("all.parquet", "by_portal", "identity.parquet"):
+        each = spark.read.parquet(f"{folder}/{name}").groupBy(F.input_file_name().alias("path")).agg(F.count("*").alias("row_count"))
+        rows = each if rows is None else rows.unionByName(each)
+    tail = lambda c: F.regexp_extract(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), r"/((all\.parquet|identity\.parquet|by_portal)/.*)$", 1)
+    named = found.select(tail(F.col("path")).alias("path"), F.col("bytes").alias("size_bytes"), "sha256").join(rows.select(tail(F.col("path")).alias("path"), "row_count"), "path", "left")
+    kind = F.when(F.startswith("path", F.lit("all")), "canonical").when(F.startswith("path", F.lit("identity")), "identity").otherwise("portal")
+    return [r.asDict() for r in named.select("path", kind.alias("kind"), F.coalesce("row_count", F.lit(0)).alias("row_count"), "size_bytes", "sha256").orderBy("path").collect()]
+
+
+def write_snapshot(catalog: DataFrame, portals: DataFrame, folder: str, date: str, previous: DataFrame | None = None, generated_at: str | None = None) -> dict:
+    """K4-K9: a snapshot folder: all.parquet, by_portal, identity.parquet, manifest, reports and changelog.
 
     Rows and reports come from the written all.parquet, so that the catalog is read once.
-    The manifest's checksum is over the rows, not over files whose bytes may differ. What
-    comes to the driver are the reports' aggregates: at most one row for each portal.
+    identity.parquet holds every written row's key and hash with its position (pos); the
+    changelog compares the first row of each key on both sides (W3), so a record that a
+    folded alias repeats counts once. previous is an earlier identity file, as scans.identity
+    reads it. What comes to the driver are the reports' aggregates, a few rows for each
+    portal, and a row for each file; the buckets of formats and media types, which data may
+    make many, are written by Spark (resource_buckets.json, resource_quality.json).
     """
     spark = catalog.sparkSession
-    snapshot = curate.snapshot_rows(catalog, portals)
-    snapshot.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/all.parquet")
+    generated_at = generated_at or datetime.now(UTC).isoformat(timespec="seconds")
+    parquet = {"compression": "zstd", "maxRecordsPerFile": str(MOST_RECORDS)}
+    curate.snapshot_rows(catalog, portals).write.mode("overwrite").options(**parquet).parquet(f"{folder}/all.parquet")
     written = spark.read.parquet(f"{folder}/all.parquet")
     if clash := file_collisions(written).first():
         raise ValueError(f"{clash['portals']} portals share the file name {clash['file']}")
     by_portal = written.withColumn("portal_file", file_name(F.col("portal_name"))).repartition("portal_file", F.pmod(F.xxhash64("original_id"), F.lit(8)))
-    by_portal.write.mode("overwrite").partitionBy("portal_file").option("compression", "zstd").parquet(f"{folder}/by_portal")
-    identity = written.select(*store.KEY, "content_hash")
-    identity.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/identity.parquet")
-    digest = content_digest(written.select(*curate.SNAPSHOT)).first()
-    name = snapshot_id(date, f"{abs(int(digest['digest'])):x}".rjust(12, "0"))
-    counts = [r.asDict() for r in quality.per_portal(written).collect()]
-    manifest = {"snapshot_id": name, "date": date, "rows": digest["rows"], "content_digest": digest["digest"], "portals": counts, "files": [r.asDict() for r in files(spark, f"{folder}/all.parquet", "*.parquet").collect()]}
-    reports = {
-        "coverage": [r.asDict() for r in quality.coverage(written).collect()],
+    by_portal.write.mode("overwrite").partitionBy("portal_file").options(**parquet).parquet(f"{folder}/by_portal")
+    keys = written.select(*store.KEY, "content_hash").withColumn("pos", F.monotonically_increasing_id())
+    keys.write.mode("overwrite").options(**parquet).parquet(f"{folder}/identity.parquet")
+    identity = spark.read.parquet(f"{folder}/identity.parquet")
+    data = _data_files(spark, folder)
+    name = snapshot_id(date, canonical_checksum([f["sha256"] for f in data if f["kind"] == "canonical"]))
+
+    counts = written.agg(F.count("*").alias("exported"), F.count_if("is_duplicate").alias("duplicate_flagged")).first().asDict()
+    raw = catalog.count()
+    curation = {"raw": raw, "exported": counts["exported"], "filtered": raw - counts["exported"], "duplicate_flagged": counts["duplicate_flagged"]}
+    rule = {"method": "title-exact-ci-cross-portal", "version": "1", "alias_groups": quality.alias_groups(portals).first()[0], "note": "Equal titles on several portals; a hint, not an identity."}
+    excluded = [r["name"] for r in quality.excluded_portals(portals, written).collect()]
+    repeats = scans.collisions(identity).first()["collisions"] or 0
+    warnings = [f"{repeats} rows repeat a key, of which the first counts"] * (repeats > 0) + [f"no rows of {len(excluded)} enabled portals"] * bool(excluded)
+    per_portal = [r.asDict() | {"status": "included", "file": f"by_portal/portal_file={r['file']}"} for r in quality.per_portal(written).withColumn("file", file_name(F.col("portal_name"))).collect()]
+    head = {"schema_version": SCHEMA_VERSION, "snapshot_id": name, "snapshot_date": date, "generated_at": generated_at}
+    manifest = head | {
+        "dataset_schema": {"version": SCHEMA_VERSION, "columns": [{"name": f.name, "type": f.dataType.simpleString()} for f in written.schema]},
+        "portal_config": {"sha256": runlog.config_checksum(portals).first()[0]},
+        "duplicate_detection": rule,
+        "row_counts": curation,
+        "canonical_file": "all.parquet",
+        "files": data,
+        "portals": per_portal,
+        "warnings": warnings,
+    }
+    quality.resource_buckets(written).write.mode("overwrite").json(f"{folder}/resource_buckets.json")
+    quality.resource_quality(written, buckets=True).write.mode("overwrite").json(f"{folder}/resource_quality.json")
+    coverage = [r.asDict() for r in quality.coverage(written).collect()]
+    for facet in ("format", "media_type"):  # the largest; resource_buckets.json has all
+        top = quality.resource_buckets(written).where(F.col("facet") == facet).limit(MOST_BUCKETS)
+        coverage += [{"dimension": facet, "bucket": r["bucket"], "n": r["n"]} for r in top.collect()]
+    reports = head | {
+        "curation": curation | {"duplicate_detection_method": rule["method"], "duplicate_detection_version": rule["version"], "excluded_portals": excluded},
+        "coverage": coverage,
         "completeness": [r.asDict() for r in quality.completeness(written).collect()],
-        "excluded_portals": [r["name"] for r in quality.excluded_portals(portals, written).collect()],
+        "resource_quality_by_portal": [r.asDict() for r in quality.resource_quality(written).orderBy("source_portal").collect()],
     }
-    log: dict = {"compared": previous is not None, "portals": []}
+    log: dict = head | {"compared": previous is not None, "portals": []}
     if previous is not None:
-        log["portals"] = [r.asDict() for r in store.changelog(store.changes(identity, previous)).collect()]
+        log["portals"] = [r.asDict() for r in store.changelog(store.changes(scans.identity(identity), scans.identity(previous))).collect()]
         log["total"] = {k: sum(p[k] for p in log["portals"]) for k in ("added", "changed", "removed", "unchanged")}
     for file, content in (("metadata.json", json.dumps(manifest)), ("reports.json", json.dumps(reports)), ("changelog.json", json.dumps(log)), ("report.md", report_markdown(name, reports)), ("changelog.md", changelog_markdown(name, log))):
         _write_text(catalog, f"{folder}/{file}", content)
@@ -119,9 +178,12 @@ def _table(title: str, header: tuple[str, str], rows: list[tuple]) -> list[str]:
 def report_markdown(name: str, reports: dict) -> str:
     """K8."""
     out = [f"# Snapshot {name}", ""]
-    for dimension in ("type", "profile", "language", "portal"):
+    c = reports["curation"]
+    out += _table("Curation", ("outcome", "rows"), [(k, c[k]) for k in ("raw", "exported", "filtered", "duplicate_flagged")])
+    for dimension in ("type", "profile", "language", "portal", "format", "media_type"):
         out += _table(f"Rows by {dimension}", (dimension, "rows"), [(r["bucket"], r["n"]) for r in reports["coverage"] if r["dimension"] == dimension])
-    return "\n".join(out + _table("Completeness", ("facet", "rate"), [(r["facet"], r["rate"]) for r in reports["completeness"]]))
+    out += _table("Completeness", ("facet", "rate"), [(r["facet"], r["rate"]) for r in reports["completeness"]])
+    return "\n".join(out + _table("Datasets with resources", ("portal", "datasets with resources of all"), [(r["source_portal"], f"{r['with_resources']} of {r['datasets']}") for r in reports["resource_quality_by_portal"]]))
 
 
 def changelog_markdown(name: str, log: dict) -> str:

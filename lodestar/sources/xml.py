@@ -12,13 +12,15 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FLOW = "portal_url string, language string, agency string, flow_id string, version string, names map<string,string>, descriptions map<string,string>, annotations array<struct<type:string,text:string>>, structure_id string, error string"
+FLOW = "portal_url string, language string, agency string, flow_id string, version string, names map<string,string>, descriptions map<string,string>, annotations array<struct<id:string,type:string,title:string,url:string,texts:map<string,string>>>, urn string, is_final boolean, structure_url string, structure struct<id:string,agency_id:string,version:string,class:string,urn:string>, url_template string, error string"
 RECORD = "portal_url string, language string, declared bigint, parsed bigint, identifier string, title string, description string, scope string, modified string, links array<struct<url:string,name:string,protocol:string,downloadable:boolean>>, keywords array<string>, bbox array<double>, organization string, error string"
 _LINK = pa.struct([("url", pa.string()), ("name", pa.string()), ("protocol", pa.string()), ("downloadable", pa.bool_())])
 _FLOW = pa.schema(
     [("portal_url", pa.string()), ("language", pa.string()), ("agency", pa.string()), ("flow_id", pa.string()), ("version", pa.string()),
      ("names", pa.map_(pa.string(), pa.string())), ("descriptions", pa.map_(pa.string(), pa.string())),
-     ("annotations", pa.list_(pa.struct([("type", pa.string()), ("text", pa.string())]))), ("structure_id", pa.string()), ("error", pa.string())]
+     ("annotations", pa.list_(pa.struct([*((k, pa.string()) for k in ("id", "type", "title", "url")), ("texts", pa.map_(pa.string(), pa.string()))]))),
+     ("urn", pa.string()), ("is_final", pa.bool_()), ("structure_url", pa.string()), ("structure", pa.struct([(k, pa.string()) for k in ("id", "agency_id", "version", "class", "urn")])),
+     ("url_template", pa.string()), ("error", pa.string())]
 )
 _RECORD = pa.schema(
     [("portal_url", pa.string()), ("language", pa.string()), ("declared", pa.int64()), ("parsed", pa.int64()), ("identifier", pa.string()), ("title", pa.string()),
@@ -57,7 +59,7 @@ def _first(element: ElementTree.Element, *path: str) -> ElementTree.Element | No
 def _language_map(elements: list[ElementTree.Element]) -> dict[str, str]:
     found = {}
     for x in elements:
-        lang = next((v for k, v in x.attrib.items() if k.rpartition("}")[2] == "lang"), "en")
+        lang = next((v for k, v in x.attrib.items() if k.rpartition("}")[2] == "lang"), "").lower()
         if (text := _text(x)) and lang not in found:
             found[lang] = text
     return found
@@ -70,13 +72,23 @@ def _flow(x: ElementTree.Element) -> dict:
         head, _, tail = urn.rpartition("=")[2].partition("(")
         a, _, i = head.partition(":")
         agency, flow, version = agency or a or None, flow or i or None, version or tail.rstrip(")") or None
-    notes = [{"type": _text(next(_all(n, "AnnotationType"), None)), "text": _text(next(iter([*_all(n, "AnnotationText"), *_all(n, "AnnotationTitle")]), None))} for n in _all(x, "Annotation")]
-    reference = _first(x, "Structure", "Ref")
-    return {"agency": agency, "flow_id": flow, "version": version, "names": list(_language_map(_children(x, "Name")).items()), "descriptions": list(_language_map(_children(x, "Description")).items()), "annotations": notes, "structure_id": reference.get("id") if reference is not None else None}
+    child = lambda n, name: _text(next(iter(_children(n, name)), None))
+    notes = [
+        {"id": n.get("id"), "type": child(n, "AnnotationType"), "title": child(n, "AnnotationTitle"), "url": child(n, "AnnotationURL"), "texts": list(_language_map(_children(n, "AnnotationText")).items())}
+        for group in _children(x, "Annotations") for n in _children(group, "Annotation")
+    ]
+    structure = next(iter(_children(x, "Structure")), None)
+    reference = next(iter(_children(structure, "Ref")), None) if structure is not None else None
+    refers = lambda name: reference.get(name) if reference is not None else None
+    return {
+        "agency": agency, "flow_id": flow, "version": version, "urn": urn or None, "is_final": None if x.get("isFinal") is None else x.get("isFinal") == "true", "structure_url": x.get("structureURL"),
+        "names": list(_language_map(_children(x, "Name")).items()), "descriptions": list(_language_map(_children(x, "Description")).items()), "annotations": notes,
+        "structure": None if structure is None else {"id": refers("id"), "agency_id": refers("agencyID"), "version": refers("version"), "class": refers("class"), "urn": _text(structure)},
+    }
 
 
 def dataflows(pages: DataFrame) -> DataFrame:
-    """One row for each Dataflow below Dataflows of a page (portal_url, language, body).
+    """One row for each Dataflow below Dataflows of a page (portal_url, language, body, and url_template if there).
 
     Pages that don't parse, are error messages or have another root give one row with error.
     """
@@ -85,7 +97,7 @@ def dataflows(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for page in batch.to_pylist():
-                base = {"portal_url": page["portal_url"], "language": page["language"]}
+                base = {"portal_url": page["portal_url"], "language": page["language"], "url_template": page.get("url_template")}
                 try:
                     root = ElementTree.fromstring(page["body"] or "")
                     if local(root) != "Structure":
@@ -95,7 +107,8 @@ def dataflows(pages: DataFrame) -> DataFrame:
                     rows.append(base | {"error": str(problem)})
             yield pa.RecordBatch.from_pylist(rows, _FLOW)
 
-    return pages.select("portal_url", "language", "body").mapInArrow(split, FLOW)
+    template = ["url_template"] if "url_template" in pages.columns else []
+    return pages.select("portal_url", "language", "body", *template).mapInArrow(split, FLOW)
 
 
 def _localised(element: ElementTree.Element | None, language: str) -> str | None:

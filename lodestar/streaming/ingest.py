@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -24,39 +24,66 @@ def without_repeats(stream: DataFrame, keys: list[str], time: str, delay: str) -
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def _version(folder: str, number: int) -> str:
-    return f"{folder}/version={number}"
-
-
 class Catalog:
-    """A catalog table as version folders: a batch reads one version and writes the next.
+    """A catalog table as a base and the changes of each batch since; a batch costs what it brings, not what is stored.
 
-    The version's number is the batch's, so a batch that is run again after a failure writes
-    the same folder anew from the same predecessor.
+    Batch n writes the changes of version n + 1. Every merge_every versions they are merged
+    into a new base, so that reading a version takes one base and a bounded number of
+    changes. A batch that is run again after a failure writes the same folders anew from the
+    same predecessors.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, merge_every: int = 16) -> None:
+        self.spark, self.folder, self.merge_every = spark, folder, merge_every
 
-    def read(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(_version(self.folder, version))
+    def _base(self, version: int) -> str:
+        return f"{self.folder}/base/version={version}"
 
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(_version(self.folder, version))
+    def _changes(self, version: int) -> str:
+        return f"{self.folder}/changes/version={version}"
 
+    def read(self, version: int) -> DataFrame:
+        """The table at a version: the base before it, and of each key since then the last values, the last vector and the first time."""
+        start = version - version % self.merge_every
+        base = self.spark.read.parquet(self._base(start))
+        if version == start:
+            return base
+        paths = [self._changes(v) for v in range(start + 1, version + 1)]
+        changes = self.spark.read.parquet(*paths)
+        last = F.max_by(F.struct(*[c for c in store.VALUES if c != "embedding"], "now"), "number").alias("last")
+        vector = F.max_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("number"))).alias("embedding")
+        folded = changes.groupBy(*store.KEY).agg(last, vector, F.min_by("now", "number").alias("first")).select(*store.KEY, "last.*", "embedding", "first")
+        return store.upsert(base, folded, F.col("now"), F.col("first"))
 
-def upsert_batch(catalog: Catalog, seen: str, *, order: list[str]) -> Callable[[DataFrame, int], None]:
+    def write(self, rows: DataFrame, version: int) -> None:
+        """Write a whole table as version 0 or another base."""
+        if version % self.merge_every:
+            raise ValueError(f"version {version} is no base")
+        rows.write.mode("overwrite").parquet(self._base(version))
+
+    def apply(self, rows: DataFrame, number: int, now: Column) -> None:
+        """Write a batch's rows (each key once) as the changes that make version number + 1."""
+        version = number + 1
+        stamped = rows.select(*store.KEY, *store.VALUES).withColumns({"number": F.lit(version), "now": now})
+        stamped.write.mode("overwrite").parquet(self._changes(version))
+        if version % self.merge_every == 0:
+            before = self.read(number)
+            merged = store.upsert(before, self.spark.read.parquet(self._changes(version)), F.col("now"))
+            merged.write.mode("overwrite").parquet(self._base(version))
+
+
+def upsert_batch(catalog: Catalog, seen: str, *, order: list[str], now: Column) -> Callable[[DataFrame, int], None]:
     """ST4, ST6: a foreachBatch function: keep the first of each key, upsert, and record the seen keys.
 
     Version 0 must exist; batch n makes version n + 1 and writes its keys to seen/batch=n.
-    Rows with a null key go to quarantine/batch=n (ST5).
+    Rows with a null key go to quarantine/batch=n (ST5). now is the run's time, the same
+    for all its batches, so that a batch run again gives the same rows.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         bad = F.col(store.KEY[0]).isNull() | F.col(store.KEY[1]).isNull()
         good = keep_first(batch.where(~bad), store.KEY, [F.col(c) for c in order])
-        now = F.expr(f"timestamp'2026-06-01 00:00:00' + make_interval(0, 0, 0, 0, 0, {number})")
-        catalog.write(store.upsert(catalog.read(number), good, now), number + 1)
+        catalog.apply(good, number, now)
         good.select(*store.KEY).write.mode("overwrite").parquet(f"{seen}/batch={number}")
         batch.where(bad).write.mode("overwrite").parquet(f"{seen}-quarantine/batch={number}")
 
@@ -70,8 +97,21 @@ def run(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint:
     return query
 
 
+def run_status(spark: SparkSession, seen: str, *, mode: str = "full", cancelled: bool = False, truncated: bool = False, failed: int = 0) -> DataFrame:
+    """ST5, U13: one row for a run: status, synced and skipped rows, and whether it may retire rows (U8).
+
+    A truncated run keeps its good rows and is partial; rows in quarantine count as skipped,
+    and either forbids retiring.
+    """
+    synced = spark.read.parquet(seen).agg(F.count("*").alias("synced"))
+    counts = synced.join(F.broadcast(spark.read.parquet(f"{seen}-quarantine").agg(F.count("*").alias("skipped"))), F.lit(True))
+    ended = (F.lit(cancelled), F.lit(truncated))
+    allowed = store.stale_allowed(F.lit(mode), *ended, F.lit(failed), F.col("skipped"))
+    return counts.select(store.final_status(*ended).alias("status"), "synced", "skipped", F.lit(failed).cast("bigint").alias("failed"), allowed.alias("may_retire"))
+
+
 def finish(catalog: Catalog, version: int, seen: str, *, complete: bool) -> DataFrame:
-    """ST5, U8: the catalog at the end of a run; rows not seen are retired only if the run was complete."""
+    """ST5, U8: the catalog at the end of a run; rows not seen are retired only if the run was complete (run_status: may_retire)."""
     rows = catalog.read(version)
     if not complete:
         return rows
@@ -80,14 +120,20 @@ def finish(catalog: Catalog, version: int, seen: str, *, complete: bool) -> Data
 
 
 def high_water_mark(runs: DataFrame) -> DataFrame:
-    """ST2: for each portal the start of its last completed run."""
+    """ST2: for each portal the start of its last completed run (portal_url, sync_status, started_at)."""
     return runs.where("sync_status = 'completed'").groupBy("portal_url").agg(F.max("started_at").alias("since"))
 
 
+def sync_plan(portals: DataFrame, runs: DataFrame, policy: Column, *, force_full: bool = False) -> DataFrame:
+    """ST2, U9: the plan of each portal's next sync from its runs: incremental ones begin at the high-water mark."""
+    marks = high_water_mark(runs).withColumnRenamed("since", "last_successful_sync")
+    return store.sync_plan(portals, marks, policy, force_full=force_full)
+
+
 def observed(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """ST7: outcome rows, and an observation that holds their counts once an action has run."""
     watch = Observation(name)
-    counts = [F.count_if(F.col("outcome") == x).alias(x) for x in ("created", "updated", "unchanged")]
+    counts = [F.count_if(F.col("outcome") == x).alias(x) for x in ("created", "updated", "unchanged", "failed", "skipped")]
     return rows.observe(watch, F.count(F.lit(1)).alias("rows"), *counts), watch
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,22 +176,40 @@ def test_many_queries_give_the_same_result(spark, monkeypatch):
 def test_provider_must_answer_every_text(spark):
     rows = spark.createDataFrame([_row("1", "p", "x")], CATALOG)
     with pytest.raises(Exception, match="0 vectors for 1 texts"):
-        search.embed(rows, lambda texts: search.length_provider(2)([])).collect()
+        search.embed(rows, search.Provider("none", 2, 10, lambda texts: np.zeros((0, 2)))).collect()
+    with pytest.raises(Exception, match="instead of 3 components"):
+        search.embed(rows, search.Provider("short", 3, 10, lambda texts: np.zeros((len(texts), 2)))).collect()
+    calls = []
+    many = search.Provider("counting", 1, 4, lambda texts: calls.append(len(texts)) or np.zeros((len(texts), 1)))
+    assert many([str(i) for i in range(10)]).shape == (10, 1)
+    assert calls == [4, 4, 2]
 
 
 def test_snapshot_folder(spark, tmp_path):
     portals = spark.createDataFrame([("a", "https://a", "ckan", None, "en", True, [], 0), ("none", "https://none", "ckan", None, "en", True, [], 1)], PORTAL)
     rows = spark.createDataFrame([_row(str(i), "https://a", f"title {i}") for i in range(20)] + [_row("x", "https://a", "abc")], CATALOG)
     manifest = sinks.write_snapshot(rows, portals, str(tmp_path), "2026-01-01")
-    assert manifest["rows"] == 20
+    assert manifest["row_counts"] == {"raw": 21, "exported": 20, "filtered": 1, "duplicate_flagged": 0}
+    listed = {f["path"]: f for f in manifest["files"]}
+    data = {str(f.relative_to(tmp_path)): f for f in tmp_path.rglob("*.parquet") if f.is_file()}
+    assert set(listed) == set(data)
+    assert all(listed[k]["sha256"] == hashlib.sha256(f.read_bytes()).hexdigest() and listed[k]["size_bytes"] == f.stat().st_size for k, f in data.items())
+    rows_of = lambda kind: sum(f["row_count"] for f in manifest["files"] if f["kind"] == kind)
+    assert (rows_of("canonical"), rows_of("portal"), rows_of("identity")) == (20, 20, 20)
+    canonical = sinks.canonical_checksum([f["sha256"] for f in manifest["files"] if f["kind"] == "canonical"])
+    assert manifest["snapshot_id"] == f"snapshot-2026-01-01-{canonical[:12]}"
     assert scans.previous_snapshot_id(spark, str(tmp_path)) == manifest["snapshot_id"]
     assert scans.previous_snapshot_id(spark, str(tmp_path / "missing")) is None
     document = lambda name: json.loads(spark.read.text(str(tmp_path / name), wholetext=True).first()[0])
     assert document("changelog.json")["compared"] is False
-    assert document("reports.json")["excluded_portals"] == ["none"]
-    again = sinks.write_snapshot(rows, portals, str(tmp_path / "second"), "2026-01-01", spark.read.parquet(f"{tmp_path}/identity.parquet"))
-    assert again["content_digest"] == manifest["content_digest"]
-    assert document("second/changelog.json")["total"]["unchanged"] == 20
+    assert document("reports.json")["curation"]["excluded_portals"] == ["none"]
+    assert "| raw | 21 |" in spark.read.text(str(tmp_path / "report.md"), wholetext=True).first()[0]
+    mirror = portals.where("name = 'a'").withColumn("aliases", F.array(F.lit("https://mirror")))
+    both = rows.unionByName(rows.limit(3).withColumn("source_portal", F.lit("https://mirror"))).unionByName(spark.createDataFrame([_row("new", "https://a", "title new"), _row("new", "https://mirror", "title new")], CATALOG))
+    again = sinks.write_snapshot(both, mirror, str(tmp_path / "second"), "2026-01-01", spark.read.parquet(f"{tmp_path}/identity.parquet"))
+    assert again["row_counts"]["exported"] == 25
+    assert again["warnings"] == ["4 rows repeat a key, of which the first counts"]
+    assert document("second/changelog.json")["total"] == {"added": 1, "changed": 0, "removed": 0, "unchanged": 20}
 
 
 def test_file_name_collision_fails(spark, tmp_path):
@@ -216,8 +237,15 @@ def test_incomplete_run_saves_rows_but_retires_none(spark, tmp_path):
     stream = ingest.landed(spark, str(tmp_path / "landed"), rows.schema, files_per_batch=100)
     progress = ingest.Progress()
     spark.streams.addListener(progress)
-    ingest.run(stream, ingest.upsert_batch(table, str(tmp_path / "seen"), order=["title"]), str(tmp_path / "check"))
+    ingest.run(stream, ingest.upsert_batch(table, str(tmp_path / "seen"), order=["title"], now=F.current_timestamp()), str(tmp_path / "check"))
+    for _ in range(100):  # events come a little later
+        if progress.ended:
+            break
+        time.sleep(0.1)
     spark.streams.removeListener(progress)
+    assert [number for number, n in progress.batches if n] == [0]
+    status = ingest.run_status(spark, str(tmp_path / "seen"), truncated=True).first().asDict()
+    assert status == {"status": "partial", "synced": 1, "skipped": 1, "failed": 0, "may_retire": False}
     state = lambda complete: {r.original_id: (r.title, r.is_stale) for r in ingest.finish(table, 1, str(tmp_path / "seen"), complete=complete).collect()}
     assert state(False) == {"1": ("new", False), "2": ("y", False)}
     assert state(True) == {"1": ("new", False), "2": ("y", True)}
@@ -238,3 +266,71 @@ def test_stream_of_a_folder_of_late_files(spark, tmp_path):
         rows = spark.range(3).selectExpr(f"if(id = 0, 0, id + {10 * day}) AS event_id", f"timestamp'2026-01-01 00:00:00' + make_dt_interval({day}) AS ts", "1L AS user_id")
         rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in registry.st3_stream_dedupe(spark, str(tmp_path)).collect()] == [(1, 7)]
+
+
+def test_changes_fold_into_bases(spark, tmp_path):
+    """Versions read from a base and changes equal plain upserts, whenever they are merged; a batch run again changes nothing."""
+    from datetime import datetime, timedelta
+
+    start = spark.createDataFrame([_row(str(i), "p", "old", stale=i == 1) for i in range(4)], CATALOG).drop("id")
+    batches = [[("1", "a"), ("9", "b")], [("9", "c"), ("2", "d")], [], [("9", "e"), ("1", "f")], [("7", "g")]]
+    tables = [ingest.Catalog(spark, str(tmp_path / str(n)), merge_every=n) for n in (1, 2, 16)]
+    want = start
+    for t in tables:
+        t.write(start, 0)
+    for n, batch in enumerate(batches):
+        now = F.lit(datetime(2026, 2, 1) + timedelta(days=n))
+        rows = spark.createDataFrame([_row(k, "p", title) for k, title in batch], CATALOG).withColumn("embedding", F.when(F.col("title").isin("b", "d"), F.array(F.lit(1.0).cast("float"))))
+        want = store.upsert(want, rows, now)
+        for t in tables:
+            t.apply(rows, n, now)
+            t.apply(rows, n, now)
+            key = lambda df: sorted(str(r.asDict()) for r in df.select(sorted(df.columns)).collect())
+            assert key(t.read(n + 1)) == key(want)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kathmandu"])
+def test_times_do_not_depend_on_the_sessions_zone(spark, zone):
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        at = F.timestamp_micros(F.col("m"))
+        rows = spark.createDataFrame([(1_700_000_000_000_000,), (1_700_000_000_120_000,), (1_700_000_000_000_001,)], "m bigint").select(X.rfc3339(at), X.csv_time(at))
+        assert [tuple(r) for r in rows.collect()] == [(f"2023-11-14T22:13:20{f}+00:00", "2023-11-14T22:13:20Z") for f in ("", ".120", ".000001")]
+        assert _value(spark, X.rfc3339(X.parsed_date(F.col("t"))), t="2026-03-08") == "2026-03-08T00:00:00+00:00"
+        assert _value(spark, X.rfc3339(X.parsed_date(F.col("t"))), t="2026-03-08T02:30:00-05:00") == "2026-03-08T07:30:00+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
+def test_entities(spark):
+    import html
+
+    texts = ["Caf&eacute; &#8217;s &#233; &#x41;&#X42;", "a &amp;lt; b && c &bogus; &", "&nbsp;x&nbsp;&nbsp;y", "&#146;&#0;&#55296;&#1114112;", "&copy 2020", "&equals;&semi;&NotEqualTilde;", "&", ""]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, h string").orderBy("i").select(X.html_to_text(F.col("h"))).collect()]
+    assert got == [" ".join(html.unescape(t).split()) for t in texts]
+
+
+def test_options_change_the_config_checksum(spark):
+    from lodestar.operators import runlog
+
+    base = spark.createDataFrame([("a", "https://a", "ckan", None, "en", True, ["https://m"], 0)], PORTAL)
+    other = [base.withColumn(c, v) for c, v in (("profile", F.lit("p")), ("language", F.lit("fr")), ("enabled", F.lit(False)), ("aliases", F.array().cast("array<string>")), ("sparql_endpoint", F.lit("https://s")))]
+    sums = [runlog.config_checksum(x).first()[0] for x in (base, *other)]
+    assert len(set(sums)) == 6
+    assert runlog.config_checksum(base.withColumn("sparql_endpoint", F.lit(None).cast("string"))).first()[0] == sums[0]
+
+
+def test_equal_language_ranks_go_to_the_last_binding(spark):
+    one = lambda title, lang: '{"dataset":{"type":"uri","value":"https://x/d/1"},"title":{"type":"literal","value":"%s"%s}}' % (title, f',"xml:lang":"{lang}"' if lang else "")  # noqa: E731, UP031
+    body = '{"results":{"bindings":[' + ",".join([one("zz", "en"), one("aa", "en"), one("", "en"), one("de", "de"), one("british", "en-GB")]) + "]}}"
+    page = spark.createDataFrame([("https://x", "en", None, 0, body)], "portal_url string, language string, url_template string, page int, body string")
+    row = normalize.sparql(payloads.records(page, "sparql")).first()
+    assert row.title == "aa"
+    assert json.loads(row.metadata) == {"dataset": {"type": "uri", "value": "https://x/d/1"}, "title": {"type": "literal", "value": "aa", "xml:lang": "en"}}
+
+
+def test_an_id_on_two_pages_stays_once(spark):
+    record = lambda title: '{"resource":{"id":"abcd-1234","name":"%s"}}' % title  # noqa: E731, UP031
+    pages = spark.createDataFrame([("https://s", "en", None, p, '{"results":[%s]}' % record(t)) for p, t in ((1, "later"), (0, "first"))], "portal_url string, language string, url_template string, page int, body string")  # noqa: UP031
+    assert [r.title for r in normalize.socrata(payloads.records(pages, "socrata")).collect()] == ["first"]
