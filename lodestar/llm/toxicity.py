@@ -22,7 +22,9 @@ EPOCHS = 6
 LEAST_DOCS = 5
 ALPHA, BETA, L2 = 1.0, 1.0, 1.0
 #: L1 for each root of the number of rows: the gradients' noise on a neutral feature grows so.
-L1 = 0.25
+L1 = 0.5
+#: Letters of a word's stem; a longer word counts as its stem, too, so that rare forms of a word are known by it.
+STEM = 6
 
 
 @dataclass
@@ -50,13 +52,16 @@ class Weights:
 
 
 def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index and text of each word, bigram, trigram and skip-gram (one and two words left out)."""
+    """Index and text of each word, stem, bigram, trigram and skip-gram (one and two words left out)."""
     layout = Layout.of([x.lower() for x in texts])
     start, end = words_of(layout)
     h = run_hashes(layout.cp, start, end)
     owner = layout.owner(start)
     shift = np.uint64(64 - BITS)
     yield (h >> shift).astype(np.int64), owner
+    long = end - start > STEM
+    stem = mixed(run_hashes(layout.cp, start[long], start[long] + STEM) + np.uint64(STEM))
+    yield (stem >> shift).astype(np.int64), owner[long]
     for salt, gaps in enumerate(((1,), (2,), (3,), (1, 2)), 1):
         far = gaps[-1]
         if len(h) <= far:
@@ -80,7 +85,10 @@ def feature_sets(texts: list[str]) -> list[np.ndarray]:
 
 
 def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, least_docs: int = LEAST_DOCS) -> dict[int, float]:
-    """Per-coordinate FTRL-proximal over the rows in their order; the coordinates left by L1."""
+    """Per-coordinate FTRL-proximal over the rows in their order; the coordinates left by L1.
+
+    A toxic row weighs as much as the root of the number of clean rows for each toxic one.
+    """
     bias = 1 << BITS
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
     met = np.zeros(bias, np.int32)
@@ -88,6 +96,8 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, least_docs: i
         met[index] += 1  # a row's indices are distinct
     rows = [(x[met[x] >= least_docs], y) for x, y in rows]
     sparse = L1 * len(rows) ** 0.5
+    toxic = sum(y for _, y in rows)
+    weigh = {0: 1.0, 1: max(1.0, (len(rows) - toxic) / max(1, toxic)) ** 0.5}
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
@@ -100,7 +110,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, least_docs: i
             i = np.append(index, bias)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-            g = p - label
+            g = (p - label) * weigh[label]
             root = np.sqrt(n[i])
             n[i] += g * g
             z[i] += g - (np.sqrt(n[i]) - root) / ALPHA * w

@@ -69,6 +69,68 @@ def test_toxicity_held_out(spark, docs):
     assert sum(clean) <= 0.05 * len(clean)
 
 
+def test_toxicity_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    found = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out").join(labels.where("toxic is not null"), "doc_id")
+    bad = F.col("toxic") > 0
+    n = found.agg(F.count_if(bad).alias("bad"), F.count_if(bad & (F.col("predicted") == 1)).alias("caught"), F.count_if(~bad).alias("clean"), F.count_if(~bad & (F.col("predicted") == 1)).alias("alarms")).first()
+    assert n.bad > 50
+    assert n.caught >= 0.9 * n.bad
+    assert n.alarms <= 0.005 * n.clean
+
+
+@pytest.mark.parametrize("least_docs", [1, 3])
+def test_ftrl_equals_a_plain_loop(monkeypatch, least_docs):
+    monkeypatch.setattr(toxicity, "L1", 0.05)
+    rng = np.random.default_rng(3)
+    rows_ = [(np.unique(rng.integers(0, 40, 12)), int(rng.random() < 0.3)) for _ in range(120)]
+    got = toxicity.ftrl(rows_, epochs=3, least_docs=least_docs)
+    seen = Counter(int(i) for x, _ in rows_ for i in x)
+    bias, toxic = 1 << toxicity.BITS, sum(y for _, y in rows_)
+    z, n = defaultdict(float), defaultdict(float)
+    strength = lambda i: 0.0 if i == bias else 0.05 * len(rows_) ** 0.5
+
+    def weight(i):
+        if abs(z[i]) <= strength(i):
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * strength(i)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for x, y in rows_:
+            own = [i for i in x.tolist() if seen[i] >= least_docs] + [bias]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            g *= ((len(rows_) - toxic) / toxic) ** 0.5 if y else 1.0
+            for i in own:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    assert set(got) == set(want)
+    assert all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_toxicity_features_are_words_stems_and_grams():
+    one = lambda t: set(toxicity.feature_sets([t])[0].tolist())
+    assert len(one("a b c d")) == 4 + 3 + 2 + 2 + 1  # words, pairs, pairs over one and two, triples
+    assert len(one("longerword")) == 2
+    assert len(one("longerword") & one("longerwards")) == 1
+    assert one("") == set()
+    assert one("Same same") == one("same SAME")
+
+
+def test_toxicity_of_ties_and_repeated_rows(spark):
+    data = [(i, "good words here" if i % 2 else "vile words here", "en", "a") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    weights = toxicity.train(make(spark, data), labels)
+    twice = toxicity.train(make(spark, data + data), labels.unionByName(labels))
+    assert (weights.index.tolist(), weights.weight.tolist(), weights.bias) == (twice.index.tolist(), twice.weight.tolist(), twice.bias)
+    got = Counter((r.doc_id, r.score) for r in toxicity.score(make(spark, data + data), weights).collect())
+    assert set(got.values()) == {2}
+    assert len({s for i, s in got if i % 2}) == 1
+
+
 def test_toxicity_learns_and_forgets_ids(spark):
     rng = random.Random(1)
     text = lambda bad: " ".join(rng.choice("alpha beta gamma delta omega".split()) for _ in range(40)) + (" vile awful insult" if bad else "")
@@ -98,6 +160,40 @@ def test_language_held_out(spark, docs):
     assert sum(a == b for a, b in checked) >= 0.9 * len(checked)
 
 
+def test_language_sets_equal_enumeration():
+    """EM over every set of languages, each by a plain loop: the chosen one has the best penalised likelihood."""
+    rng = np.random.default_rng(13)
+    for _ in range(30):
+        k, n = 3, int(rng.integers(5, 40))
+        true = rng.dirichlet(np.ones(k) * 0.4)
+        words = rng.normal(-12, 1, (n, k))
+        words[np.arange(n), rng.choice(k, n, p=true)] += 6
+        words = words.astype(np.float32)
+        best = (-np.inf, None, None)
+        for members in range(1, 1 << k):
+            own = [i for i in range(k) if members >> i & 1]
+            share = np.zeros(k)
+            share[own] = 1 / len(own)
+            like = np.exp(words.astype(np.float64))
+            for _ in range(300):
+                joint = like * share
+                share = (joint / joint.sum(axis=1, keepdims=True)).mean(axis=0)
+            value = np.log((like * share).sum(axis=1)).sum() - langid.PENALTY * np.log(n + 1.0) * (len(own) - 1)
+            if value > best[0]:
+                best = (value, own, share)
+        got = langid.mixture(words, np.array([0]), np.array([n]))[0]
+        assert np.flatnonzero(got > 1e-3).tolist() == np.flatnonzero(best[2] > 1e-3).tolist()
+        assert got == pytest.approx(best[2], abs=0.05)
+
+
+def test_language_of_ties_and_repeated_rows(spark):
+    data = [(i, "bako bilu" if i % 2 else "zyx qyz", "aa" if i % 2 else "zz", "s") for i in range(60)]
+    model = langid.train(make(spark, data))
+    assert langid.Model(["aa", "zz"], np.zeros((1 << langid.BITS, 2), np.float32)).predict(["any words"])[0] == ["aa"]
+    got = Counter(map(tuple, langid.identify(make(spark, data + data[:10]), model).collect()))
+    assert got == Counter({(i, held(i), "aa" if i % 2 else "zz", 1.0): 1 + (i < 10) for i in range(60)})
+
+
 def test_language_mixture_and_edges(spark):
     words = {"aa": ["bako", "bilu", "banu", "bobi"], "zz": ["zyx", "zwex", "xyzz", "qyz"]}
     rng = random.Random(2)
