@@ -38,12 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the folder that all executors share and forget its lineage.
 
-    The folder is the one of spark.checkpoint.dir; only a session without one (a test)
-    gets a folder of its own.
+    The folder is the one of spark.checkpoint.dir; only a local session without one (a test)
+    gets a folder of its own, a cluster's fails.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 

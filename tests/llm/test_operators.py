@@ -8,6 +8,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -572,6 +573,28 @@ def test_license_texts_in_any_wrapping(spark, width):
     assert [got[i] for i in range(len(data))] == [x[0] for x in data]
 
 
+LONG_TEXTS = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.parametrize("file", sorted(LONG_TEXTS))
+def test_long_license_texts(spark, file):
+    path = Path("/usr/share/common-licenses", file)
+    if not path.exists():
+        pytest.skip("no installed licence texts")
+    text = path.read_text()
+    own = lambda p: re.search(r"(?m)^\s*Copyright", p)  # noqa: E731  # a line that states a copyright stays one
+    wrap = lambda width: "\n\n".join(p if own(p) else textwrap.fill(" ".join(p.split()), width) for p in re.split(r"\n\s*\n", text))
+    forms = [text, text.upper(), text.replace("license", "licence"), wrap(66), wrap(100), text.replace("\n", "\r\n"), text.split("END OF TERMS AND CONDITIONS")[0], text.replace("warranty", "guaranty", 1)]
+    got = {r.doc_id: r.license_id for r in licenses.scan(make(spark, [(i, t, "en", "a") for i, t in enumerate(forms)])).collect()}
+    same = text == forms[7]
+    assert [got[i] for i in range(8)] == [LONG_TEXTS[file]] * 7 + [LONG_TEXTS[file] if same else None]
+
+
+def test_licenses_of_edge_rows(spark):
+    got = Counter((r.doc_id, r.license_id, r.notices, r.n_notices) for r in licenses.scan(make(spark, EDGE)).collect())
+    assert got == Counter((i, None, "CC-BY-4.0" if i == 4 else "", int(i == 4)) for i, *_ in EDGE)
+
+
 def test_license_texts_that_differ_stay_apart(spark):
     known = spark.createDataFrame([("A", "1. Keep this.\n2. Keep that."), ("B", "2. Keep this.\n1. Keep that.")], "license_id string, text string")
     data = [(1, "1. Keep this.\n2. Keep that.", "en", "a"), (2, "2. Keep this.\n1. Keep that.", "en", "a"), (3, "* Keep this.\n* Keep that.", "en", "a"), (4, licenses.ISC_GRANT, "en", "a")]
