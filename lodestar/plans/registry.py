@@ -446,7 +446,7 @@ def a9_portal_buckets(spark: SparkSession, d: str) -> DataFrame:
     """Formats and media types of each portal's resources, taken from the lists of its quality row."""
     rows = quality.resource_quality(_resource_snapshot(spark, d), buckets=True)
     of = lambda facet: rows.select("source_portal", F.lit(facet).alias("facet"), F.posexplode(f"by_{facet}").alias("pos", "b"))
-    return of("format").unionByName(of("media_type")).select("source_portal", "facet", "pos", F.col("b.key").alias("bucket"), F.col("b.count").alias("n"))
+    return of("format").unionByName(of("media_type")).select("source_portal", "facet", F.col("pos").cast("bigint").alias("pos"), F.col("b.key").alias("bucket"), F.col("b.count").alias("n"))
 
 
 @query

@@ -258,9 +258,9 @@ SQL: dict[str, str] = NORMALIZED | {
     "t10_config_order": f"{JD} SELECT p.name, p.config_index, s.sync_status, s.datasets_synced FROM status s JOIN portals p ON p.url = s.portal_url",
     "x_urls": f"""{C} SELECT original_id, rtrim(source_portal, '/') AS trimmed, replace(concat(source, '.example.org'), '.', '-') AS portal_name,
       regexp_replace(lower(title), '[^a-z0-9-]', '-', 'g') AS file_name, original_id AS last_segment, 'https' AS scheme, true AS safe, true AS valid FROM catalog""",
-    "x1_html_to_text": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+    "x1_html_to_text": r"""SELECT page_id, trim(regexp_replace(replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
       regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-      '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages""",
+      '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp([^A-Za-z0-9;]|$)', '&amp;\1', 'g'), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages""",
     "x2_non_blank": f"{C} SELECT original_id, nullif(trim(coalesce(description, ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160), chr(12288), chr(8195))), '') AS description, nullif(trim(description, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160), chr(12288), chr(8195))), '') AS plain FROM catalog",
     "x6_formats": "SELECT p_partkey, p_name AS plain, p_brand AS short FROM part",
     "x7_protocols": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'WFS' WHEN 1 THEN 'WMTS' WHEN 4 THEN 'CSW' END AS format, CASE WHEN p_partkey % 6 = 2 THEN 'image/png' END AS media_type FROM part""",
@@ -305,7 +305,7 @@ SQL: dict[str, str] = NORMALIZED | {
     "v4_outcome": f"{J} SELECT portal_url, count(*) FILTER (WHERE status IN ('failed', 'cancelled')) AS bad, count(*) FILTER (WHERE status IN ('failed', 'cancelled')) = 0 AS success FROM jobs GROUP BY 1",
     "v5_title_overlap": f"""{CD}, t AS (SELECT DISTINCT lower(title) AS title_key, canonical_portal FROM canonical) SELECT t.canonical_portal, count(*) AS titles, count(d.title_key) AS shared, round(count(d.title_key) / count(*)::DOUBLE, 4) AS share
       FROM t LEFT JOIN duplicates d ON d.title_key = t.title_key GROUP BY 1""",
-    "st5_partial_run": f"""{C} SELECT 'partial' AS status, count(*) FILTER (WHERE doc_id % 10 = 5) AS synced, count(*) FILTER (WHERE doc_id % 10 = 0) AS skipped, 0 AS failed, false AS may_retire,
+    "st5_partial_run": f"""{C} SELECT 'partial' AS status, count(*) FILTER (WHERE doc_id % 10 = 5) AS synced, count(*) FILTER (WHERE doc_id % 10 = 0) AS skipped, CAST(0 AS BIGINT) AS failed, false AS may_retire,
       count(*) AS rows, count(*) FILTER (WHERE is_stale AND doc_id % 10 <> 5) AS stale, count(*) FILTER (WHERE doc_id % 10 = 5) AS fresh FROM catalog""",
     "st4_stream_upsert": f"{C} SELECT original_id, concat('new ', title) AS title, false AS is_stale FROM catalog WHERE doc_id % 2 = 0 UNION ALL SELECT original_id, title, true FROM catalog WHERE doc_id % 2 = 1",
     "st3_stream_dedupe": "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_id FROM events) GROUP BY 1",
