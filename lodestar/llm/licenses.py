@@ -169,6 +169,10 @@ DIGESTS = [
 ]
 
 
+#: Every known text holds one of these, so a text without any can't have the form of one.
+CUES = ["licen", "permission", "redistribution", "released", "distributed"]
+
+
 def known_texts() -> list[tuple[str, str]]:
     """License id and text of every known licence (with and without its title) and notice; about a hundred rows."""
     whole = [(i, text) for i, text in TEXTS] + [(i, f"{TITLES[i]}\n\n{text}") for i, text in TEXTS]
@@ -223,7 +227,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     back as often as they are there; a null doc_id stays null; other columns are left out;
     an empty table gives an empty result.
     """
-    spark, digested = docs.sparkSession, DIGESTS if known is None else []
+    spark, known_given = docs.sparkSession, known is not None
+    digested = [] if known_given else DIGESTS
     if known is None:
         known = spark.createDataFrame(known_texts(), "license_id string, text string")
     fixed = spark.createDataFrame([(key, i) for i, _, canonical, wrapped in digested for key in (canonical, "~" + wrapped)], "key string, license string")
@@ -233,7 +238,10 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     loose = known.select("license_id", F.concat(F.lit("~"), wrapped).alias("key")).groupBy("key")
     table = table.unionByName(loose.agg(F.min("license_id").alias("license"), F.max("license_id").alias("last")).where("license = last").drop("last"))
     table = table.unionByName(fixed.join(table, "key", "left_anti"))
-    differs = F.when(F.rlike(_lower(F.col("text")), F.lit(WRAPPED)), wrapped)
+    cues = F.lit(bool(known_given))
+    for cue in CUES:
+        cues = cues | F.contains(_lower(F.col("text")), F.lit(cue))
+    differs = F.when(cues & F.rlike(_lower(F.col("text")), F.lit(WRAPPED)), wrapped)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", canonical_lines(F.col("text")).alias("lines"), differs.alias("wrapped"))
     digests = rows.select(
         "row", "doc_id", F.sha2(F.array_join("lines", " "), 256).alias("digest"), "wrapped", F.transform("lines", lambda x: F.sha2(x, 256)).alias("lines")

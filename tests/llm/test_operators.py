@@ -590,6 +590,11 @@ def test_long_license_texts(spark, file):
     assert [got[i] for i in range(8)] == [LONG_TEXTS[file]] * 7 + [LONG_TEXTS[file] if same else None]
 
 
+def test_every_known_license_text_has_a_cue():
+    texts = [t for _, t in licenses.known_texts()] + [p.read_text() for f in LONG_TEXTS if (p := Path("/usr/share/common-licenses", f)).exists()]
+    assert all(any(cue in " ".join(t.lower().split()) for cue in licenses.CUES) for t in texts)
+
+
 def test_licenses_of_edge_rows(spark):
     got = Counter((r.doc_id, r.license_id, r.notices, r.n_notices) for r in licenses.scan(make(spark, EDGE)).collect())
     assert got == Counter((i, None, "CC-BY-4.0" if i == 4 else "", int(i == 4)) for i, *_ in EDGE)
