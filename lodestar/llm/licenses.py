@@ -169,6 +169,8 @@ DIGESTS = [
 ]
 
 
+#: Known texts that are sent to every task; more are joined by shuffle.
+MOST_BROADCAST = 20_000
 #: Every known text holds one of these, so a text without any can't have the form of one.
 CUES = ["licen", "permission", "redistribution", "released", "distributed"]
 
@@ -221,7 +223,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     unless known brings them. notices are the
     licences, ascending and joined by commas, of which a whole line is a known text, and
     n_notices the number of such lines. The digests of known (license_id, text; default:
-    known_texts()) are broadcast: the table comes with the program, not with the data.
+    known_texts()) are broadcast if they are at most MOST_BROADCAST, else joined by shuffle.
 
     A null or empty text has the digest of an empty text and no licence. Repeated rows come
     back as often as they are there; a null doc_id stays null; other columns are left out;
@@ -249,7 +251,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     whole = F.array("digest", F.concat(F.lit("~"), F.coalesce("wrapped", "digest")))
     # the whole text is units 0 and 1, its lines are 2, 3, ...
     units = digests.select("row", "doc_id", "digest", F.posexplode(F.concat(whole, "lines")).alias("unit", "key"))
-    met = units.join(F.broadcast(table), "key", "left")
+    few = not known_given or known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    met = units.join(F.broadcast(table) if few else table, "key", "left")
     line = F.col("unit") > 1
     return met.groupBy("row", "doc_id", "digest").agg(
         F.coalesce(*[F.max(F.when(F.col("unit") == i, F.col("license"))) for i in (0, 1)]).alias("license_id"),
