@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,11 +167,12 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", length: int = L
     groups = max(1, -(-parts.count() // group_pieces))
     dealt = parts.withColumn("bunch", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups))).drop("row")
 
-    def fit(bunch: pd.DataFrame) -> pd.DataFrame:
-        bunch = bunch.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        bins, offsets = first_fit_decreasing(bunch["length"].to_numpy(np.int64), length)
-        return bunch.assign(sequence_id=bunch["bunch"] * 2**32 + bins, offset=offsets).drop(columns="bunch")
+    def fit(bunch: pa.Table) -> pa.Table:
+        bunch = bunch.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        bins, offsets = first_fit_decreasing(bunch["length"].to_numpy(), length)
+        group = bunch["bunch"].to_numpy()
+        return bunch.drop_columns("bunch").append_column("sequence_id", pa.array(group * 2**32 + bins)).append_column("offset", pa.array(offsets))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return dealt.groupBy("bunch").applyInPandas(fit, schema)
+    return dealt.groupBy("bunch").applyInArrow(fit, schema)

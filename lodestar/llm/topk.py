@@ -29,7 +29,8 @@ QUERY_BLOCK, ROW_BLOCK = 1024, 8192
 MOST_KEPT = 32
 #: Share of pairs left above which one product of matrices costs less than pair by pair.
 DENSE = 0.02
-NO_ID = 2**63 - 1
+#: Score of a place that no row has taken; scores of rows are above it.
+EMPTY = -(2**63)
 #: Scaled components are below this in magnitude, so that their floors fit into a long.
 MOST = 2**63
 
@@ -45,15 +46,15 @@ def integers(vectors: DataFrame, scale: int) -> DataFrame:
     return vectors.where("embedding is not null").where(~F.coalesce(bad, F.lit(True))).select("vec_id", scaled.alias("x"))
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Dimension, ids and matrix of the vectors of each length in a batch (vec_id, x)."""
-    x = batch.column("x")
-    ids = batch.column("vec_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Dimension, ids, whether they are null, and matrix of the vectors of each length in a batch (vec_id, x)."""
+    x, own = batch.column("x"), batch.column("vec_id")
+    ids, none = own.fill_null(0).to_numpy(zero_copy_only=False), own.is_null().to_numpy(zero_copy_only=False)
     offsets = x.offsets.to_numpy()
     sizes, flat = np.diff(offsets), x.values.to_numpy(zero_copy_only=False)
     for d in np.unique(sizes):
         at = np.flatnonzero(sizes == d)
-        yield int(d), ids[at], flat[offsets[at][:, None] + np.arange(d)].astype(np.int64)
+        yield int(d), ids[at], none[at], flat[offsets[at][:, None] + np.arange(d)].astype(np.int64)
 
 
 def _segments(x: np.ndarray) -> list[np.ndarray]:
@@ -86,16 +87,21 @@ class Search:
         self.stats = _segments(x.astype(np.float64))
         self.score = np.zeros((len(ids), 0), np.int64)
         self.best = np.zeros((len(ids), 0), np.int64)
+        self.none = np.zeros((len(ids), 0), bool)  # best rows without an id
         self.own = np.zeros(len(ids), np.int64)  # rows equal to the query, itself included
         self.self_score = _exact(x, x).astype(np.float64)
         self.left = np.zeros(len(RESOLUTIONS) + 1, np.int64)  # pairs: all, and after each resolution
 
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        """Compare all queries with more rows: bounds coarse to fine, then exact products of what is left."""
+    def add(self, ids: np.ndarray, x: np.ndarray, none: np.ndarray | None = None) -> None:
+        """Compare all queries with more rows: bounds coarse to fine, then exact products of what is left.
+
+        none tells rows without an id, whatever stands in ids for it, from those of any 64-bit id.
+        """
+        none = np.zeros(len(ids), bool) if none is None else none
         floor = np.full(len(self.ids), -np.inf)
         if self.score.shape[1] >= self.k:
             last = self.score[:, self.k - 1]
-            floor = np.where(last > -(2**63), np.minimum(last.astype(np.float64), self.self_score), -np.inf)
+            floor = np.where(last > EMPTY, np.minimum(last.astype(np.float64), self.self_score), -np.inf)
         slack = self._slack(x)
         qs, rs = np.arange(len(self.ids)), np.arange(len(ids))
         near = np.ones((len(qs), len(rs)), bool)
@@ -103,20 +109,20 @@ class Search:
         for level, (mine, theirs) in enumerate(zip(self.stats, _segments(x.astype(np.float64)), strict=True), 1):
             bound = mine[qs] @ theirs[rs].T + slack[qs, None]
             bound[~near] = -np.inf
-            floor[qs] = np.maximum(floor[qs], self._reached(bound, qs, rs, ids, x))
+            floor[qs] = np.maximum(floor[qs], self._reached(bound, qs, rs, ids, none, x))
             near &= bound >= floor[qs, None]
             self.left[level] += int(near.sum())
             some_q, some_r = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
             qs, rs, near = qs[some_q], rs[some_r], near[np.ix_(some_q, some_r)]
         q, r, score = self._scores(qs, rs, near, x)
-        same = np.flatnonzero(ids[r] == self.ids[q])
+        same = np.flatnonzero((ids[r] == self.ids[q]) & ~none[r])
         equal = same[(self.x[q[same]] == x[r[same]]).all(axis=1)]
         np.add.at(self.own, q[equal], 1)
         stay = score >= floor[q]
         stay[equal] = False
-        self._merge(q[stay], ids[r[stay]], score[stay])
+        self._merge(q[stay], ids[r[stay]], none[r[stay]], score[stay])
 
-    def _reached(self, bound: np.ndarray, qs: np.ndarray, rs: np.ndarray, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def _reached(self, bound: np.ndarray, qs: np.ndarray, rs: np.ndarray, ids: np.ndarray, none: np.ndarray, x: np.ndarray) -> np.ndarray:
         """A score that k rows reach for each query of qs, from the rows of the best bounds.
 
         It is never above the query's product with itself, so that equal rows are always met.
@@ -125,7 +131,7 @@ class Search:
             return np.full(len(qs), -np.inf)
         top = np.argpartition(-bound, 2 * self.k, axis=1)[:, : 2 * self.k]
         exact = _exact(self.x[np.repeat(qs, top.shape[1])], x[rs[top.ravel()]]).reshape(top.shape).astype(np.float64)
-        exact[ids[rs[top]] == self.ids[qs, None]] = -np.inf
+        exact[(ids[rs[top]] == self.ids[qs, None]) & ~none[rs[top]]] = -np.inf
         return np.minimum(np.sort(exact, axis=1)[:, -self.k], self.self_score[qs])
 
     def _scores(self, qs: np.ndarray, rs: np.ndarray, near: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,30 +149,32 @@ class Search:
         norms = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)).max(initial=0)
         return np.sqrt((self.x.astype(np.float64) ** 2).sum(axis=1)) * norms * 1e-9 + 1e-6
 
-    def _merge(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+    def _merge(self, q: np.ndarray, ids: np.ndarray, none: np.ndarray, score: np.ndarray) -> None:
         old = np.repeat(np.arange(len(self.ids)), self.score.shape[1])
-        keep = self.best.ravel() >= -(2**62) if self.best.size else np.zeros(0, bool)
-        keep &= self.score.ravel() > -(2**63)
+        keep = self.score.ravel() > EMPTY
         q = np.concatenate((old[keep], q))
         ids = np.concatenate((self.best.ravel()[keep], ids))
+        none = np.concatenate((self.none.ravel()[keep], none))
         score = np.concatenate((self.score.ravel()[keep], score))
-        order = np.lexsort((ids, -score, q))
-        q, ids, score = q[order], ids[order], score[order]
+        order = np.lexsort((ids, none, -score, q))
+        q, ids, none, score = q[order], ids[order], none[order], score[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         top = rank < self.k
         width = min(self.k, int(rank.max(initial=-1)) + 1)
-        self.best = np.full((len(self.ids), width), NO_ID, np.int64)
-        self.score = np.full((len(self.ids), width), -(2**63), np.int64)
+        self.best = np.zeros((len(self.ids), width), np.int64)
+        self.none = np.zeros((len(self.ids), width), bool)
+        self.score = np.full((len(self.ids), width), EMPTY, np.int64)
         self.best[q[top], rank[top]] = ids[top]
+        self.none[q[top], rank[top]] = none[top]
         self.score[q[top], rank[top]] = score[top]
 
     def result(self) -> pa.RecordBatch:
         """The best rows of each query, and for queries met in rows equal to them the number of those in own."""
-        q, rank = np.nonzero(self.score > -(2**63))
+        q, rank = np.nonzero(self.score > EMPTY)
         own = np.flatnonzero(self.own)
         columns = [
             pa.array(np.concatenate((self.ids[q], self.ids[own])), pa.int64()),
-            pa.array(np.concatenate((self.best[q, rank], self.ids[own])), pa.int64()),
+            pa.array(np.concatenate((self.best[q, rank], self.ids[own])), pa.int64(), mask=np.append(self.none[q, rank], np.zeros(len(own), bool))),
             pa.array(np.concatenate((self.score[q, rank], _exact(self.x[own], self.x[own]))), pa.int64()),
             pa.array(np.concatenate((np.zeros(len(q), np.int64), self.own[own])), pa.int64()),
             pa.array([self.x[i].astype("<i8").tobytes() for i in [*q.tolist(), *own.tolist()]], pa.binary()),
@@ -174,10 +182,10 @@ class Search:
         return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "own", "x"])
 
 
-def _packed(dim: int, ids: np.ndarray, x: np.ndarray) -> dict:
+def _packed(dim: int, ids: np.ndarray, none: np.ndarray, x: np.ndarray) -> dict:
     """A block as bytes; components of 32 bits where all fit."""
     small = np.abs(x).max(initial=0) < 2**31
-    return {"dim": dim, "ids": ids.astype("<i8").tobytes(), "x": x.astype("<i4" if small else "<i8").tobytes()}
+    return {"dim": dim, "ids": ids.astype("<i8").tobytes(), "none": np.packbits(none).tobytes(), "x": x.astype("<i4" if small else "<i8").tobytes()}
 
 
 def _unpacked(dim: int, ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -187,28 +195,26 @@ def _unpacked(dim: int, ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most `size` vectors of one dimension: block, dim, ids, x (bytes)."""
+    """Blocks of at most `size` vectors of one dimension: block, dim, ids, none (bits), x (bytes)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list, int]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
         def out(dim: int) -> pa.RecordBatch:
-            ids, x, _ = held.pop(dim)
-            return pa.RecordBatch.from_pylist([_packed(dim, np.concatenate(ids), np.concatenate(x))], schema)
+            return pa.RecordBatch.from_pylist([_packed(dim, *map(np.concatenate, zip(*held.pop(dim), strict=True)))], schema)
 
         for batch in batches:
-            for dim, ids, x in _rows(batch):
-                for i in range(0, len(ids), size):
-                    part = ids[i : i + size], x[i : i + size]
-                    if dim in held and held[dim][2] + len(part[0]) > size:
+            for dim, *block in _rows(batch):
+                for i in range(0, len(block[0]), size):
+                    part = tuple(a[i : i + size] for a in block)
+                    if dim in held and sum(len(p[0]) for p in held[dim]) + len(part[0]) > size:
                         yield out(dim)
-                    have = held.setdefault(dim, ([], [], 0))
-                    held[dim] = ([*have[0], part[0]], [*have[1], part[1]], have[2] + len(part[0]))
+                    held.setdefault(dim, []).append(part)
         for dim in list(held):
             yield out(dim)
 
-    schema = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("x", pa.binary())])
-    return rows.mapInArrow(pack, "dim int, ids binary, x binary").withColumn("block", F.monotonically_increasing_id())
+    schema = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("none", pa.binary()), ("x", pa.binary())])
+    return rows.mapInArrow(pack, "dim int, ids binary, none binary, x binary").withColumn("block", F.monotonically_increasing_id())
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
@@ -235,7 +241,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     blocks = _blocks(rows, ROW_BLOCK).withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(spread)))
     # every block of queries goes to all slots, a block of rows to one
     sent = queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))).alias("slot"))
-    pairs = blocks.join(sent, ["slot", "dim"]).select("dim", "q_block", "q_ids", "q_x", "ids", "x")
+    pairs = blocks.join(sent, ["slot", "dim"]).select("dim", "q_block", "q_ids", "q_x", "ids", "none", "x")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, Search] = {}
@@ -246,7 +252,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
                     if len(kept) >= MOST_KEPT:
                         yield kept.pop(next(iter(kept))).result()
                     kept[block] = Search(*_unpacked(dim, row["q_ids"], row["q_x"]), k)
-                kept[block].add(*_unpacked(dim, row["ids"], row["x"]))
+                ids, x = _unpacked(dim, row["ids"], row["x"])
+                none = np.unpackbits(np.frombuffer(row["none"], np.uint8), count=len(ids)).astype(bool)
+                kept[block].add(ids, x, none)
         for found in kept.values():
             yield found.result()
 
@@ -255,8 +263,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     copies = hits.where("own > 0").groupBy("query_id", "x", "vec_id", "score").agg(F.sum("own").alias("times"))
     again = copies.where("times > 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.col("times") - 1, F.lit(k)).cast("int"))))
     everything = hits.where("own = 0").select("query_id", "x", "vec_id", "score").unionByName(again.select("query_id", "x", "vec_id", "score"))
-    rank = F.row_number().over(Window.partitionBy("query_id", "x").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "x").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
     best = everything.withColumn("rank", rank).where(F.col("rank") <= k)
     out = best.join(copies.select("query_id", "x", "times"), ["query_id", "x"])
     repeated = out.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return repeated.select("query_id", "rank", F.nullif(F.col("vec_id"), F.lit(NO_ID)).alias("vec_id"), "score")
+    return repeated.select("query_id", "rank", "vec_id", "score")

@@ -332,6 +332,12 @@ def _targets(sizes: dict) -> dict:
     return out
 
 
+def test_packing_keeps_large_ids_beside_nulls(spark):
+    ids = [2**60 + 1, 2**60 + 2, None, -(2**63), 2**63 - 1]
+    got = packing.pack(make(spark, [(i, "one two three", "en", "a") for i in ids])).collect()
+    assert Counter(r.doc_id for r in got) == Counter(ids)
+
+
 @pytest.mark.parametrize("which", ["documents", "edge", "capped"])
 def test_mixing(spark, docs, which):
     capped = [(i, "w " * (1 + i % 9), "en", s) for i, s in enumerate(["a"] * 300 + ["b"] * 5 + ["c"] * 3 + [None] * 40)]
@@ -650,6 +656,29 @@ def test_top_k_in_many_blocks(spark, monkeypatch):
     assert Counter(map(tuple, topk.top_k(vec).collect())) == want
 
 
+def test_top_k_keeps_ids_of_all_64_bits(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    rng = np.random.default_rng(14)
+    ids = [-(2**63), 2**63 - 1, -(2**62) - 1, 0, 50, *(rng.integers(-(2**63), 2**63, 400) // 50 * 50).tolist(), None, None]
+    data = [(i, rng.integers(-3, 4, 4).astype(float).tolist(), 0) for i in ids]
+    x = 256 * np.array([r[1] for r in data], np.int64)
+    want = Counter()
+    for i, v in enumerate(ids):
+        if v is not None and v % 50 == 0:
+            scored = sorted((-int(x[i] @ x[j]), w is None, w or 0, w) for j, w in enumerate(ids) if j != i)
+            want.update((v, rank, w, -s) for rank, (s, _, _, w) in enumerate(scored[:5], 1))
+    one = vectors(spark, data).coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert Counter(map(tuple, topk.top_k(one).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    found = topk.Search(np.array([-(2**63)]), np.array([[1, 0]]), 2)
+    found.add(np.array([-(2**63) + 1, 2**63 - 1]), np.array([[5, 0], [4, 0]]))
+    found.add(np.array([0, 7]), np.array([[1, 0], [2, 0]]), np.array([True, False]))
+    assert found.best.tolist() == [[-(2**63) + 1, 2**63 - 1]]
+
+
 def test_bounds_discard_pairs_of_structured_vectors():
     rng = np.random.default_rng(12)
     x = np.cumsum(rng.normal(size=(6000, 64)), axis=1)
