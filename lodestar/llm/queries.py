@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import embed_dedup, langid, licenses, line_dedup, mixing, simhash, topk, toxicity
+from lodestar.llm import alignment, embed_dedup, langid, licenses, line_dedup, mixing, sharding, simhash, spelling, topk, toxicity
 from lodestar.llm.common import table
 from lodestar.llm.packing import pack
 from lodestar.llm.token_counts import token_counts
@@ -55,6 +55,18 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -66,8 +78,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_spelling": op11_spelling,
+    "op12_sharding": op12_sharding,
+    "op13_alignment": op13_alignment,
 }
 
+
+def crc32_sql(data: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a list of bytes, by halves of a byte."""
+    remainders = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        remainders.append(i)
+    half = f"xor(c >> 4, ({remainders}::BIGINT[])[1 + (xor(c, b) & 15)])"
+    whole = f"xor(({half}) >> 4, ({remainders}::BIGINT[])[1 + (xor({half}, b >> 4) & 15)])"
+    return f"xor(4294967295, list_reduce({data}, lambda c, b: {whole}, 4294967295::BIGINT))"
+
+
+def bytes_sql(text: str) -> str:
+    """DuckDB SQL for the list of a text's UTF-8 bytes."""
+    return f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": r"""
 WITH docs AS (
@@ -104,4 +137,45 @@ WITH rows AS (
   SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM hits
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_spelling": f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT *, {crc32_sql(bytes_sql("coalesce(doc_id::VARCHAR, '') || ':' || run"))} AS h FROM counted
+), words AS (
+  SELECT word, sum(times)::BIGINT AS n
+  FROM (SELECT times, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), gone AS (
+  SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM gone a JOIN gone b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, w.word FROM gone g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word FROM gone g JOIN words w ON g.rest = w.word
+), ranked AS (
+  SELECT x.word, x.other, w.n AS other_n, count(*) OVER (PARTITION BY x.word) AS n_near,
+    row_number() OVER (PARTITION BY x.word ORDER BY w.n DESC, x.other) AS rank
+  FROM near x JOIN words w ON x.other = w.word
+), formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.other_n >= 10 * w.n THEN r.other END AS form, CASE WHEN r.other_n >= 10 * w.n THEN r.other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.rank = 1
+), followed AS (
+  SELECT word, word AS root FROM formed WHERE form IS NULL
+  UNION ALL SELECT f.word, r.root FROM formed f JOIN followed r ON f.form = r.word
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN followed r ON f.word = r.word""",
+    "op12_sharding": f"""
+WITH sized AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, {crc32_sql(bytes_sql("coalesce(text, '')"))} AS text_crc32 FROM documents
+), summed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS stop, sum(size) OVER () AS total,
+    row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) AS nth
+  FROM sized
+), placed AS (
+  SELECT *, ((2 * stop - size) * 40 // (2 * total))::INTEGER AS shard FROM summed
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard FROM placed""",
 }
