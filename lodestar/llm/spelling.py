@@ -2,8 +2,9 @@
 
 The shorter word of a pair gives two disjoint chunks, its halves; the other one its
 positional grams of the same length. One edit leaves a half as it is, at its place or
-shifted by one, so that an equality join of chunks and grams meets every pair, and
-the distance is verified on what has met.
+shifted by one. What is left of both words is one edit apart again, so chunks and grams are
+taken of it, too: a chunk and a chunk of the rest, some three quarters of a word, make the key of
+an equality join, and the distance is verified on what has met.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import cut, small_batches
 
-#: Letters of Latin scripts, two signs among them (× and ÷).
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
+#: Runs of letters of Latin scripts (two signs among them, × and ÷), long enough to be a word.
+RUN = re.compile("[A-Za-zÀ-ÿ]{7,}")
 OTHER = re.compile("[^A-Za-zÀ-ÿ]")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: A run in so many loses a code point.
@@ -29,14 +30,14 @@ EVERY = 31
 LEAST_CHARS, LEAST_TIMES = 7, 2
 #: A form is so many times as frequent as the word.
 RATIO = 10
-#: Words that may meet at one chunk; at larger chunks the rest of the word decides, too.
-MOST = 256
+#: Words that may meet at one key; at larger ones what the key leaves of the words decides, too.
+MOST = 64
 #: Characters of a text that are split at a time, and words that a task counts before it hands them on.
 SLICE, MOST_WORDS = 1_000_000, 200_000
 
 
 def runs_of(text: str) -> Counter:
-    """The runs of letters in a text, A-Z lower-cased, and how often each stands there."""
+    """The runs of at least LEAST_CHARS letters in a text, A-Z lower-cased, and how often each stands there."""
     found: Counter = Counter()
     at = 0
     while at < len(text):
@@ -75,7 +76,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seed = zlib.crc32(f"{doc_id}:".encode())
                 for run, n in runs_of(text).items():
-                    if len(run) >= LEAST_CHARS and len(word := word_of(seed, run)) >= LEAST_CHARS:
+                    if len(word := word_of(seed, run)) >= LEAST_CHARS:
                         words[word] += n
                 if len(words) >= MOST_WORDS:
                     yield out()
@@ -91,74 +92,77 @@ def _without(word: Column, at: Column) -> Column:
     return F.concat(F.substring(word, F.lit(1), at - 1), F.substring(word, at + 1, F.length(word)))
 
 
-def chunks(words: DataFrame) -> DataFrame:
-    """size, place and gram of the two chunks of each word: its halves, a middle code point in neither."""
-    q = F.floor(F.length("word") / 2).cast("int")
-    halves = F.array(*(F.struct(place.alias("place"), F.substring(F.col("word"), place + 1, q).alias("gram")) for place in (F.lit(0), q)))
-    return words.select("word", "n", F.length("word").alias("size"), F.inline(halves))
+def _split(word: Column, size: Column, second: bool, shift: int) -> tuple[Column, Column]:
+    """A chunk of a word of `size` code points, or the gram of the same length of one with `shift` more, and the rest.
 
-
-def grams(words: DataFrame) -> DataFrame:
-    """size, place, shift and gram of the positional grams of each word that a chunk of a word may meet.
-
-    Of all positional grams, those can meet a chunk that lie where one edit leaves it. A
+    Of all positional grams, those can equal a chunk that lie where one edit leaves it: a
     word of the same size (shift 0) keeps either half at its place; in a word that is longer by
     one code point (shift 1) the first half stays or the second one moves up by one.
     """
-    length = F.length("word")
+    q = F.floor(size / 2).cast("int")
+    if not second:
+        return F.substring(word, F.lit(1), q), F.substring(word, q + 1, size)
+    return F.substring(word, q + shift + 1, q), F.concat(F.substring(word, F.lit(1), q + shift), F.substring(word, 2 * q + shift + 1, size))
 
-    def gram(size: Column, second: bool, shift: int) -> Column:
-        q = F.floor(size / 2).cast("int")
-        place = q if second else F.lit(0)
-        start = place + (shift if second else 0) + 1
-        return F.struct(size.alias("size"), place.alias("place"), F.lit(shift).alias("shift"), F.substring(F.col("word"), start, q).alias("gram"))
 
-    found = F.array(*(gram(length - shift, second, shift) for shift in (0, 1) for second in (False, True)))
-    return words.select("word", "n", F.inline(found))
+#: A key's way: whether its chunk is the second half, and whether the rest's is.
+WAYS = [(False, False), (False, True), (True, False), (True, True)]
 
 
-KEY = ["size", "place", "gram"]
+def keys(words: DataFrame, shift: int) -> DataFrame:
+    """key, way and free (what the key leaves of the word) of each word, as one of the key's size or of `shift` code points more."""
+    size = F.length("word") - shift
+    out = []
+    for number, (second, last) in enumerate(WAYS):
+        chunk, rest = _split(F.col("word"), size, second, shift)
+        part, free = _split(rest, size - F.floor(size / 2).cast("int"), last, shift)
+        out.append(F.struct(F.xxhash64(size, F.lit(number), chunk, part).alias("key"), F.lit(number).alias("way"), free.alias("free")))
+    return words.select("word", "n", F.lit(shift).alias("shift"), F.inline(F.array(*out)))
 
 
-def _rest(word: Column, shift: Column | int) -> Column:
-    """What a word holds besides its chunk (or the gram equal to it)."""
-    q, place = F.length("gram"), F.col("place")
-    return F.concat(F.substring(word, F.lit(1), F.when(place == 0, 0).otherwise(place + shift)), F.when(place == 0, F.substring(word, q + 1, F.length(word))).otherwise(F.substring(word, place + shift + q + 1, F.length(word))))
+def _way(a: Column, b: Column, shift: Column) -> Column:
+    """The one way of a pair of near words: the first halves, of the words and of what is left, count if they are equal."""
+    size, q = F.length(a), F.floor(F.length(a) / 2).cast("int")
+    h = F.floor((size - q) / 2).cast("int")
+    first = lambda w, n: F.substring(w, F.lit(1), n)
+    same = first(a, q) == first(b, q)
+    rest_a = F.when(same, F.substring(a, q + 1, size)).otherwise(F.concat(first(a, q), F.substring(a, 2 * q + 1, size)))
+    rest_b = F.when(same, F.substring(b, q + 1, size + 1)).otherwise(F.concat(first(b, q + shift), F.substring(b, 2 * q + shift + 1, size)))
+    return F.when(same, 0).otherwise(2) + F.when(first(rest_a, h) == first(rest_b, h), 0).otherwise(1)
 
 
 def near_pairs(words: DataFrame, most: int = MOST) -> DataFrame:
     """a, a_n, b, b_n of every pair of words (word, n) that one edit apart, each pair once.
 
-    Words that share a chunk meet and are verified. Chunks at which over `most` words
-    stand are never met as a whole: there the words' rests meet that are equal but for one
+    Words that share a key meet and are verified. Keys at which over `most` words stand are
+    never met as a whole: there meet the parts that the key leaves of the words, equal but for one
     place, or after the longer one has lost a code point. No more words than there are
-    letters share such a rest, so the work stays in proportion to the pairs found.
+    letters share such a part, so the work stays in proportion to the words and the pairs found.
+    Keys are hashes; two that collide let words meet that the verification keeps apart.
     """
-    left, right = cut(chunks(words)), cut(grams(words))
-    sizes = left.select(*KEY, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(right.select(*KEY, F.lit(0).alias("x"), F.lit(1).alias("y")))
-    hot = cut(sizes.groupBy(*KEY).agg(F.sum("x").alias("x"), F.sum("y").alias("y")).where((F.col("x") > most) | (F.col("y") > most)).select(*KEY))
-    a = left.withColumnsRenamed({"word": "a", "n": "a_n"})
-    b = right.withColumnsRenamed({"word": "b", "n": "b_n"})
-
-    met = a.join(hot, KEY, "left_anti").join(b.join(hot, KEY, "left_anti"), KEY)
-    met = met.where((F.col("shift") == 1) | (F.col("a") < F.col("b"))).where("levenshtein(a, b, 1) = 1")
-
-    # at hot chunks: rests of one size equal but for one place, or one rest equal to the other one less a code point
-    a, b = a.join(hot, KEY, "left_semi"), b.join(hot, KEY, "left_semi")
-    rest_a, rest_b = _rest(F.col("a"), 0), _rest(F.col("b"), F.col("shift"))
-    places = lambda rest: F.sequence(F.lit(1), F.length(rest))
-    open_at = lambda rest: F.transform(places(rest), lambda i: F.struct(i.alias("at"), _without(rest, i).alias("rest")))
-    less = lambda rest: F.array_distinct(F.transform(places(rest), lambda i: F.struct(F.lit(0).alias("at"), _without(rest, i).alias("rest"))))
-    same = a.select("*", F.lit(0).alias("shift"), F.inline(open_at(rest_a)))
-    whole = a.select("*", F.lit(1).alias("shift"), F.inline(F.array(F.struct(F.lit(0).alias("at"), rest_a.alias("rest")))))
-    split = b.select("*", F.inline(F.when(F.col("shift") == 0, open_at(rest_b)).otherwise(less(rest_b))))
-    apart = same.unionByName(whole).join(split, [*KEY, "shift", "at", "rest"]).where((F.col("shift") == 1) | (F.col("a") < F.col("b"))).where("levenshtein(a, b, 1) = 1")
-
-    # a pair that meets at both halves counts at the first
-    q = F.floor(F.col("size") / 2).cast("int")
-    again = (F.col("place") > 0) & (F.substring(F.col("a"), F.lit(1), q) == F.substring(F.col("b"), F.lit(1), q))
-    columns = ["a", "a_n", "b", "b_n"]
-    return met.where(~again).select(*columns).unionByName(apart.where(~again).select(*columns))
+    left, right = keys(words, 0), keys(words, 0).unionByName(keys(words, 1))
+    counted = left.select("key", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(right.select("key", F.lit(0).alias("x"), F.lit(1).alias("y")))
+    hot = cut(counted.groupBy("key").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).where((F.col("x") > most) | (F.col("y") > most)).select("key"))
+    a = left.withColumnsRenamed({"word": "a", "n": "a_n"}).drop("shift")
+    b = right.withColumnsRenamed({"word": "b", "n": "b_n"}).drop("way")
+    each_once = (F.col("shift") == 1) | (F.col("a") < F.col("b"))
+    near = F.expr("levenshtein(a, b, 1) = 1")
+
+    met = a.drop("free").join(hot, "key", "left_anti").join(b.drop("free").join(hot, "key", "left_anti"), "key")
+
+    # at hot keys: parts of one size equal but for one place, or one part equal to the other one less a code point
+    a, b = a.join(hot, "key", "left_semi"), b.join(hot, "key", "left_semi")
+    places = F.sequence(F.lit(1), F.length("free"))
+    open_at = F.transform(places, lambda i: F.struct(i.alias("at"), _without(F.col("free"), i).alias("part")))
+    less = F.array_distinct(F.transform(places, lambda i: F.struct(F.lit(0).alias("at"), _without(F.col("free"), i).alias("part"))))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("free").alias("part")))
+    mine = a.select("key", "way", "a", "a_n", F.lit(0).alias("shift"), F.inline(open_at)).unionByName(a.select("key", "way", "a", "a_n", F.lit(1).alias("shift"), F.inline(whole)))
+    theirs = b.select("key", "b", "b_n", "shift", F.inline(F.when(F.col("shift") == 0, open_at).otherwise(less)))
+    apart = mine.join(theirs, ["key", "shift", "at", "part"])
+
+    columns = ["way", "shift", "a", "a_n", "b", "b_n"]
+    found = met.select(columns).unionByName(apart.select(columns)).where(each_once).where(near)
+    return found.where(F.col("way") == _way(F.col("a"), F.col("b"), F.col("shift"))).select("a", "a_n", "b", "b_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
