@@ -102,17 +102,30 @@ def with_portal_facts(canonical: DataFrame, portals: DataFrame) -> DataFrame:
     ).drop("__url", "__name", "__language", "__type")
 
 
-def snapshot_rows(catalog: DataFrame, portals: DataFrame, *, resource_lists: bool = True) -> DataFrame:
+#: The order of a snapshot's rows: newest first; the rest tells rows of one moment apart.
+NEWEST_FIRST = ["last_updated_at", "id", "source_portal", "original_id", "content_hash"]
+
+
+def newest_first(rows: DataFrame) -> DataFrame:
+    """The rows in ranges of NEWEST_FIRST (of its columns that are there), each range sorted."""
+    order = [F.col(c).desc_nulls_last() if c == "last_updated_at" else F.col(c) for c in NEWEST_FIRST if c in rows.columns]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def snapshot_rows(catalog: DataFrame, portals: DataFrame, *, resource_lists: bool = True, ordered: bool = False) -> DataFrame:
     """The curated catalog: duplicates flagged over all rows, noise left out, one flat row each.
 
     Without resource_lists the column resources, a large expression, is neither planned nor there.
+    ordered deals the rows newest first; they are dealt before the flat rows are derived, as the
+    ranges' bounds take a pass of their own.
 
     The alias and portal dimensions are joined by broadcast if counted small; the one
     shuffle is that of the duplicate titles.
     """
     flagged = dedupe.with_duplicate_flag(dedupe.with_canonical_portal(catalog, portals))
     clean = flagged.where(~is_noise(F.col("title"), F.col("description")))
-    facts = with_portal_facts(clean, portals).withColumn("__m", V.parsed(F.col("metadata")))
+    facts = with_portal_facts(clean, portals)
+    facts = (newest_first(facts) if ordered else facts).withColumn("__m", V.parsed(F.col("metadata")))
     m = F.col("__m")
     derived = [resources.summaries(resources.resources_of("__m")).alias("resources")] if resource_lists else []
     return facts.select(

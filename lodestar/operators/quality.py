@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import non_blank, rate
@@ -47,21 +47,12 @@ def resource_buckets(snapshot: DataFrame) -> DataFrame:
     return pairs.select("p.facet", "p.bucket").where("bucket is not null").groupBy("facet", "bucket").agg(F.count("*").alias("n")).orderBy("facet", F.col("n").desc(), "bucket")
 
 
-def resource_quality(snapshot: DataFrame, *, buckets: bool = False) -> DataFrame:
-    """For each portal its datasets, those with resources and with a field schema, and its resources.
-
-    With buckets also by_format and by_media_type: key and count, largest first, then by key.
-    """
+def resource_quality(snapshot: DataFrame) -> DataFrame:
+    """For each portal its datasets, those with resources and with a field schema, and its resources."""
     some = F.exists("resources", lambda r: r["field_count"] > 0)
-    counted = snapshot.groupBy("source_portal").agg(
+    return snapshot.groupBy("source_portal").agg(
         F.count("*").alias("datasets"), F.count_if(F.size("resources") > 0).alias("with_resources"), F.count_if(some).alias("with_fields"), F.sum(F.size("resources")).alias("resources")
     )
-    if not buckets:
-        return counted
-    sizes = portal_buckets(snapshot)
-    entry = F.struct((-F.col("n")).alias("less"), F.col("bucket").alias("key"))
-    of = lambda facet: F.transform(F.array_sort(F.collect_list(F.when(F.col("facet") == facet, entry))), lambda e: F.struct(e["key"].alias("key"), (-e["less"]).alias("count"))).alias(f"by_{facet}")
-    return counted.join(sizes.groupBy("source_portal").agg(of("format"), of("media_type")), "source_portal", "left")
 
 
 def portal_buckets(snapshot: DataFrame) -> DataFrame:
@@ -72,6 +63,23 @@ def portal_buckets(snapshot: DataFrame) -> DataFrame:
     return pairs.where("bucket is not null").groupBy("source_portal", "facet", "bucket").agg(F.count("*").alias("n"))
 
 
+def portal_top_buckets(sizes: DataFrame, limit: int = 15) -> DataFrame:
+    """Of portal_buckets the largest of each portal and facet, and what the others make.
+
+    One row each: rank (from 1, larger first, then by key), bucket and n; and where there are more than
+    `limit` buckets a row of rank limit + 1 with a null bucket, the others' resources (n) and their
+    number (more). Tasks keep `limit` rows of a portal and facet before they are ranked.
+    """
+    keys = ["source_portal", "facet"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc(), "bucket"))
+    first = sizes.withColumn("rank", rank).where(F.col("rank") <= limit)
+    total = sizes.groupBy(*keys).agg(F.count("*").alias("buckets"), F.sum("n").alias("total"))
+    shown = first.groupBy(*keys).agg(F.count("*").alias("shown"), F.sum("n").alias("sum"))
+    others = total.join(shown, keys).where("buckets > shown")
+    rest = others.select(*keys, F.lit(limit + 1).alias("rank"), F.lit(None).cast("string").alias("bucket"), (F.col("total") - F.col("sum")).alias("n"), (F.col("buckets") - F.col("shown")).alias("more"))
+    return first.select(*keys, "rank", "bucket", "n", F.lit(0).cast("bigint").alias("more")).unionByName(rest)
+
+
 def completeness(snapshot: DataFrame) -> DataFrame:
     """A10: for each facet the rows that have it, and their rate."""
     present: dict[str, Column] = {c: non_blank(F.col(c)).isNotNull() for c in COMPLETE}

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as X
@@ -140,28 +140,81 @@ def s17_portals(spark: SparkSession, d: str) -> DataFrame:
     return portals.where("enabled").join(bad, "url", "left").select("name", "url", "type", "profile", "language", "reason")
 
 
+def _written_snapshot(spark: SparkSession, d: str) -> str:
+    folder = _shared(spark, "snapshot")
+    sinks.write_snapshot(fixtures.catalog(spark, d), fixtures.portals(spark, d), folder, "2026-06-01")
+    return folder
+
+
+FILE = "path string, kind string, row_count bigint, size_bytes bigint, sha256 string"
+
+
 @query
 def s18_snapshot_files(spark: SparkSession, d: str) -> DataFrame:
-    """Writes a snapshot folder and lists its Parquet files with their checksums."""
-    folder = _shared(spark, "snapshot")
-    sinks.write_snapshot(fixtures.catalog(spark, d), fixtures.portals(spark, d), folder, "2026-06-01", scans.identity(fixtures.previous(spark, d)))
-    return scans.files(spark, folder, "*.parquet").drop("path").withColumn("snapshot_id", F.lit(scans.previous_snapshot_id(spark, folder)))
+    """Writes a snapshot folder; for each of its data sets the rows of its files, and whether sizes, checksums and the snapshot's id are those of the files as they lie there."""
+    folder = _written_snapshot(spark, d)
+    listed = spark.read.schema(f"files array<struct<{FILE.replace(' ', ':').replace(',:', ', ')}>>, snapshot_id string").json(f"{folder}/metadata.json")
+    files = listed.select(F.inline("files"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    own = found.select(F.regexp_extract("path", r"/((all\.parquet|identity\.parquet|by_portal)/.*)$", 1).alias("path"), F.col("length"), F.sha2("content", 256).alias("sum"))
+    both = files.join(own, "path", "full")
+    name = F.coalesce(F.nullif(F.regexp_extract("path", "^by_portal/portal_file=([^/]+)/", 1), F.lit("")), F.col("kind"))
+    same = (F.col("length") == F.col("size_bytes")) & (F.col("sum") == F.col("sha256"))
+    parts = both.where("kind = 'canonical'").agg(F.array_join(F.sort_array(F.collect_list("sum")), "\n").alias("parts")).join(listed, F.lit(True))
+    kept = parts.select((F.concat(F.lit("snapshot-2026-06-01-"), F.substring(F.sha2("parts", 256), 1, 12)) == F.col("snapshot_id")).alias("id_agrees"))
+    return both.groupBy("kind", name.alias("data")).agg(F.sum("row_count").alias("rows"), F.coalesce(F.bool_and(same), F.lit(False)).alias("files_agree")).join(kept, F.lit(True))
+
+
+@query
+def k4_snapshot_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all.parquet as written, each with its position: newest first."""
+    return scans.with_positions(spark, f"{_written_snapshot(spark, d)}/all.parquet").drop("resources")
+
+
+@query
+def k5_portal_files(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of each portal's files as written, and those that lie in another portal's."""
+    rows = spark.read.parquet(f"{_written_snapshot(spark, d)}/by_portal")
+    return rows.groupBy("portal_file").agg(F.count("*").alias("rows"), F.count_if(X.file_name(F.col("portal_name")) != F.col("portal_file")).alias("strays"))
+
+
+@query
+def k6_identity(spark: SparkSession, d: str) -> DataFrame:
+    """The identity file as written: keys, hashes and positions."""
+    return spark.read.parquet(f"{_written_snapshot(spark, d)}/identity.parquet")
+
+
+@query
+def k7_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest's counts of rows and of each portal, as written."""
+    portal = "struct<source_portal:string,portal_name:string,portal_type:string,portal_profile:string,n:bigint,file:string>"
+    schema = f"schema_version string, canonical_file string, row_counts struct<raw:bigint,exported:bigint,filtered:bigint,duplicate_flagged:bigint>, portals array<{portal}>"
+    found = spark.read.schema(schema).json(f"{_written_snapshot(spark, d)}/metadata.json")
+    return found.select("canonical_file", "row_counts.*", F.explode("portals").alias("p")).select("canonical_file", "raw", "exported", "filtered", "duplicate_flagged", "p.*")
+
+
+@query
+def k8_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The reports' buckets and totals, as written."""
+    schema = "coverage array<struct<dimension:string,bucket:string,n:bigint>>, totals struct<datasets:bigint,portals:bigint>, distinct_buckets struct<format:bigint,media_type:bigint>"
+    found = spark.read.schema(schema).json(f"{_written_snapshot(spark, d)}/reports.json")
+    return found.select("totals.*", "distinct_buckets.*", F.explode("coverage").alias("c")).select("datasets", "portals", "format", "media_type", "c.*")
 
 
 @query
 def k9_snapshot_changelog(spark: SparkSession, d: str) -> DataFrame:
-    """A snapshot, then another against the identity file of the first: rows gone, changed and new, and repeats under a folded alias."""
+    """A snapshot, then another compared with the first: rows gone, changed and new, and repeats under a folded alias, of other hashes and newer, older or as old as what they repeat."""
     rows, portals = fixtures.catalog(spark, d), fixtures.portals(spark, d)
     first, second = _shared(spark, "snapshot"), _shared(spark, "snapshot")
-    sinks.write_snapshot(rows, portals, first, "2026-06-01")
+    name = sinks.write_snapshot(rows, portals, first, "2026-06-01")["snapshot_id"]
     changed = F.when(F.col("doc_id") % 8 == 2, F.concat(F.lit("changed"), "content_hash")).otherwise(F.col("content_hash"))
     now = rows.where("doc_id % 9 <> 4").withColumn("content_hash", changed)
     added = rows.where("doc_id % 31 = 5").withColumn("original_id", F.concat("original_id", F.lit("n")))
-    repeats = now.where("doc_id % 6 = 0 and source_portal like 'https://src0.example.org%'").withColumn("source_portal", F.lit("https://src1.example.org"))
-    previous = spark.read.parquet(f"{first}/identity.parquet")
-    sinks.write_snapshot(now.unionByName(added).unionByName(repeats), portals, second, "2026-06-02", previous)
-    log = spark.read.schema("portals array<struct<source_portal:string,added:bigint,changed:bigint,removed:bigint,unchanged:bigint>>").json(f"{second}/changelog.json")
-    return log.select(F.explode("portals").alias("p")).select("p.*")
+    moved = F.expr("last_updated_at + make_dt_interval(0, cast(doc_id % 3 as int) - 1)")
+    repeats = now.where("doc_id % 2 = 0 and source_portal like 'https://src0.example.org%'").withColumns({"source_portal": F.lit("https://src1.example.org"), "last_updated_at": moved, "content_hash": F.lit("repeat")})
+    sinks.write_snapshot(now.unionByName(added).unionByName(repeats).repartition(5, "title"), portals, second, "2026-06-02", first)
+    log = spark.read.schema("previous_snapshot_id string, portals array<struct<source_portal:string,added:bigint,changed:bigint,removed:bigint,unchanged:bigint>>").json(f"{second}/changelog.json")
+    return log.select((F.col("previous_snapshot_id") == name).alias("compared_with_first"), F.explode("portals").alias("p")).select("compared_with_first", "p.*")
 
 
 # sinks
@@ -443,10 +496,15 @@ def a9_resource_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def a9_portal_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """Formats and media types of each portal's resources, taken from the lists of its quality row."""
-    rows = quality.resource_quality(_resource_snapshot(spark, d), buckets=True)
-    of = lambda facet: rows.select("source_portal", F.lit(facet).alias("facet"), F.posexplode(f"by_{facet}").alias("pos", "b"))
-    return of("format").unionByName(of("media_type")).select("source_portal", "facet", F.col("pos").cast("bigint").alias("pos"), F.col("b.key").alias("bucket"), F.col("b.count").alias("n"))
+    """Formats and media types of each portal's resources, largest first."""
+    place = F.row_number().over(Window.partitionBy("source_portal", "facet").orderBy(F.col("n").desc(), "bucket"))
+    return quality.portal_buckets(_resource_snapshot(spark, d)).withColumn("pos", place.cast("bigint") - 1)
+
+
+@query
+def a9_portal_top_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The largest format and media type of each portal, and what the others make."""
+    return quality.portal_top_buckets(quality.portal_buckets(_resource_snapshot(spark, d)), 1)
 
 
 @query

@@ -46,14 +46,16 @@ canonical AS (
   SELECT c.*, d.title_key IS NOT NULL AS is_duplicate,
     strlen(title) < 5 OR trim(coalesce(description, '')) = '' OR lower(title) LIKE '%test%' OR lower(title) LIKE '%prova%' OR lower(title) LIKE '%esempio%' AS noise
   FROM canonical c LEFT JOIN duplicates d ON lower(c.title) = d.title_key
-), snapshot AS (
-  SELECT original_id, canonical_portal AS source_portal, p.name AS portal_name, f.url, title, coalesce(description, '') AS description, record_kind,
+), placed0 AS (
+  SELECT last_updated_at, id, original_id, canonical_portal AS source_portal, p.name AS portal_name, f.url, title, coalesce(description, '') AS description, record_kind,
     CASE WHEN doc_id % 3 = 0 THEN concat(lang, ', ', source) ELSE '' END AS tags,
     CASE WHEN doc_id % 4 < 2 THEN source ELSE '' END AS organization,
     CASE doc_id % 5 WHEN 0 THEN 'CC BY' WHEN 1 THEN 'cc-by' ELSE '' END AS license,
     '' AS metadata_created, CASE WHEN doc_id % 7 < 4 THEN concat('2026-02-0', doc_id % 7 + 1) ELSE '' END AS metadata_modified,
     strftime(first_seen_at, '%Y-%m-%dT%H:%M:%S+00:00') AS first_seen_at, p.language, is_duplicate, p.type AS portal_type, p.profile AS portal_profile, content_hash
   FROM flagged f LEFT JOIN portals p ON p.url = f.canonical_portal WHERE NOT noise
+), snapshot AS (SELECT * EXCLUDE (last_updated_at, id) FROM placed0
+), placed AS (SELECT *, row_number() OVER (ORDER BY last_updated_at DESC, id) - 1 AS pos FROM placed0
 )"""
 JOBS = """
 jobs AS (
@@ -179,10 +181,32 @@ SQL: dict[str, str] = NORMALIZED | {
     "s14_mismatching_pages": f"{L} SELECT 'https://csw.example.org/' AS portal_url, page::INTEGER AS page, count(*) + 1 AS declared, count(*) AS parsed FROM d WHERE page % 7 = 6 GROUP BY page",
     "k1_jsonl": f"{C} SELECT id, original_id, title, description, strftime(first_seen_at, '%Y-%m-%dT%H:%M:%S+00:00') AS first_seen_at FROM catalog",
     "k2_json_array": f"{C} SELECT id, original_id, title, description, strftime(last_updated_at, '%Y-%m-%dT%H:%M:%S+00:00') AS last_updated_at, row_number() OVER (ORDER BY id DESC) > 1 AS comma FROM catalog",
-    "k9_snapshot_changelog": f"""{CD}, s1 AS (SELECT source_portal, original_id, content_hash AS was FROM snapshot), s2 AS (
-        SELECT source_portal, original_id, CASE WHEN CAST(original_id AS BIGINT) % 8 = 2 THEN 'changed' || content_hash ELSE content_hash END AS now FROM snapshot WHERE CAST(original_id AS BIGINT) % 9 <> 4
-        UNION ALL SELECT source_portal, original_id || 'n', content_hash FROM snapshot WHERE CAST(original_id AS BIGINT) % 31 = 5)
-      SELECT source_portal, count(*) FILTER (WHERE s1.original_id IS NULL) AS added, count(*) FILTER (WHERE s1.original_id IS NOT NULL AND s2.original_id IS NOT NULL AND now IS DISTINCT FROM was) AS changed,
+    "s18_snapshot_files": f"""{CD}, files AS (SELECT 'canonical' AS kind, 'canonical' AS data, source_portal FROM snapshot UNION ALL SELECT 'identity', 'identity', source_portal FROM snapshot
+        UNION ALL SELECT 'portal', regexp_replace(lower(portal_name), '[^a-z0-9-]', '-', 'g'), source_portal FROM snapshot)
+      SELECT kind, data, count(*) AS rows, true AS files_agree, true AS id_agrees FROM files GROUP BY ALL""",
+    "k4_snapshot_rows": f"{CD} SELECT * EXCLUDE (last_updated_at, id) FROM placed",
+    "k5_portal_files": f"{CD} SELECT regexp_replace(lower(portal_name), '[^a-z0-9-]', '-', 'g') AS portal_file, count(*) AS rows, 0 AS strays FROM snapshot GROUP BY 1",
+    "k6_identity": f"{CD} SELECT source_portal, original_id, content_hash, pos FROM placed",
+    "k7_manifest": f"""{CD} SELECT 'all.parquet' AS canonical_file, (SELECT count(*) FROM catalog) AS raw, sum(count(*)) OVER ()::BIGINT AS exported, (SELECT count(*) FROM catalog) - sum(count(*)) OVER ()::BIGINT AS filtered,
+        sum(count(*) FILTER (WHERE is_duplicate)) OVER ()::BIGINT AS duplicate_flagged, source_portal, portal_name, portal_type, portal_profile, count(*) AS n,
+        'by_portal/portal_file=' || regexp_replace(lower(portal_name), '[^a-z0-9-]', '-', 'g') AS file
+      FROM snapshot GROUP BY source_portal, portal_name, portal_type, portal_profile""",
+    "k8_reports": f"""{CD}, buckets AS (SELECT 'type' AS dimension, portal_type AS bucket FROM snapshot UNION ALL SELECT 'profile', coalesce(portal_profile, 'none') FROM snapshot
+        UNION ALL SELECT 'language', language FROM snapshot UNION ALL SELECT 'portal', portal_name FROM snapshot)
+      SELECT (SELECT count(*) FROM snapshot) AS datasets, (SELECT count(DISTINCT source_portal) FROM snapshot) AS portals, 0 AS format, 0 AS media_type, dimension, bucket, count(*) AS n FROM buckets GROUP BY ALL""",
+    "a9_portal_top_buckets": f"""{R}, buckets AS (
+        SELECT source_portal, 'format' AS facet, format AS bucket, count(*) AS n FROM lines WHERE format IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT source_portal, 'media_type', media_type, count(*) FROM lines WHERE media_type IS NOT NULL GROUP BY ALL),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY source_portal, facet ORDER BY n DESC, bucket) AS rank FROM buckets)
+      SELECT source_portal, facet, least(rank, 2) AS rank, CASE WHEN rank = 1 THEN bucket END AS bucket, sum(n)::BIGINT AS n, sum(CASE WHEN rank = 1 THEN 0 ELSE 1 END)::BIGINT AS more
+      FROM ranked GROUP BY source_portal, facet, least(rank, 2), CASE WHEN rank = 1 THEN bucket END""",
+    "k9_snapshot_changelog": f"""{CD}, s1 AS (SELECT source_portal, original_id, content_hash AS was FROM snapshot), now0 AS (
+        SELECT source_portal, original_id, CASE WHEN CAST(original_id AS BIGINT) % 8 = 2 THEN 'changed' || content_hash ELSE content_hash END AS now, last_updated_at, id, 1 AS way FROM placed WHERE CAST(original_id AS BIGINT) % 9 <> 4
+        UNION ALL SELECT source_portal, original_id || 'n', content_hash, last_updated_at, id, 1 FROM placed WHERE CAST(original_id AS BIGINT) % 31 = 5
+        UNION ALL SELECT source_portal, original_id, 'repeat', last_updated_at + to_hours(CAST(CAST(original_id AS BIGINT) % 3 - 1 AS INTEGER)), id, 2 FROM placed
+          WHERE CAST(original_id AS BIGINT) % 9 <> 4 AND CAST(original_id AS BIGINT) % 2 = 0 AND url LIKE 'https://src0.example.org/%'),
+      s2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_portal, original_id ORDER BY last_updated_at DESC, id, CASE way WHEN 1 THEN 'https://src0' ELSE 'https://src1' END) AS rn FROM now0) WHERE rn = 1)
+      SELECT true AS compared_with_first, source_portal, count(*) FILTER (WHERE s1.original_id IS NULL) AS added, count(*) FILTER (WHERE s1.original_id IS NOT NULL AND s2.original_id IS NOT NULL AND now IS DISTINCT FROM was) AS changed,
         count(*) FILTER (WHERE s2.original_id IS NULL) AS removed, count(*) FILTER (WHERE s1.original_id IS NOT NULL AND s2.original_id IS NOT NULL AND now IS NOT DISTINCT FROM was) AS unchanged
       FROM s1 FULL JOIN s2 USING (source_portal, original_id) GROUP BY source_portal""",
     "k3_csv": f"{C} SELECT id, original_id, source_portal, url, title, description, strftime(first_seen_at, '%Y-%m-%dT%H:%M:%SZ') AS first_seen_at, strftime(last_updated_at, '%Y-%m-%dT%H:%M:%SZ') AS last_updated_at FROM catalog",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.dedupe import keep_first
@@ -25,6 +25,21 @@ def hashes(catalog: DataFrame, portal: Column) -> DataFrame:
     return catalog.where(F.col("source_portal") == portal).select("original_id", "content_hash")
 
 
+def with_positions(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a Parquet folder with pos: how many rows stand before each in the order of the parts' numbers.
+
+    A row's place in its part comes from the reader, however the parts are split
+    into tasks; the parts' row counts, added up, give the places at which parts begin. So positions
+    depend on what was written alone. Only the counts, a row for each part, meet in one task.
+    """
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("__part"), F.col("_metadata.row_index").alias("__row"))
+    counts = rows.groupBy("__part").agg(F.count("*").alias("n"))
+    number = F.regexp_extract("__part", r"part-([0-9]+)[^/]*$", 1).cast("int")
+    before = F.sum("n").over(Window.orderBy(number, "__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    begins = counts.select("__part", before.alias("__before"))
+    return rows.join(begins, "__part").withColumn("pos", F.col("__before") + F.col("__row")).drop("__part", "__row", "__before")
+
+
 def identity(snapshot: DataFrame) -> DataFrame:
     """The first row of each key of an identity file, by its position (pos); without positions by hash."""
     order = [F.col(c) for c in ("pos", "content_hash") if c in snapshot.columns]

@@ -6,23 +6,26 @@ import hashlib
 import json
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import csv_time, file_name, rfc3339
 from lodestar.operators import curate, quality, runlog, store
 from lodestar.sources import catalog as scans
-from lodestar.sources.catalog import files
+from lodestar.sources.catalog import files, previous_snapshot_id
 
 JSON_FIELDS = ["id", "original_id", "source_portal", "url", "title", "description", "metadata", "first_seen_at", "last_updated_at"]
 CSV_FIELDS = ["id", "original_id", "source_portal", "url", "title", "description", "first_seen_at", "last_updated_at"]
 BUCKETS_SHOWN = 15
 #: Version of the manifest and of the rows.
 SCHEMA_VERSION = "1"
-#: Rows of a written Parquet part, so that its bytes can be read as one value for its checksum.
+#: Rows of a written Parquet part at most.
 MOST_RECORDS = 500_000
 #: Formats and media types that reports.json lists; resource_buckets.json has all.
 MOST_BUCKETS = 1000
+#: What counts as changed, as the changelog says it.
+CHANGED = "content_hash differs from that of the earlier snapshot's row of the same source_portal and original_id; the source's own times of modification aren't used"
 
 
 def json_rows(catalog: DataFrame) -> DataFrame:
@@ -97,27 +100,39 @@ def _data_files(spark: SparkSession, folder: str) -> list[dict]:
     return [r.asDict() for r in named.select("path", kind.alias("kind"), F.coalesce("row_count", F.lit(0)).alias("row_count"), "size_bytes", "sha256").orderBy("path").collect()]
 
 
-def write_snapshot(catalog: DataFrame, portals: DataFrame, folder: str, date: str, previous: DataFrame | None = None, generated_at: str | None = None) -> dict:
+def _earlier(spark: SparkSession, previous: DataFrame | str | None) -> tuple[DataFrame | None, str | None]:
+    """The identity of an earlier snapshot, if there is one to compare with, and its id, if known."""
+    if not isinstance(previous, str):
+        return previous, None
+    try:
+        return spark.read.parquet(f"{previous}/identity.parquet"), previous_snapshot_id(spark, previous)
+    except AnalysisException:
+        return None, None
+
+
+def write_snapshot(catalog: DataFrame, portals: DataFrame, folder: str, date: str, previous: DataFrame | str | None = None, generated_at: str | None = None) -> dict:
     """K4-K9: a snapshot folder: all.parquet, by_portal, identity.parquet, manifest, reports and changelog.
 
-    Rows and reports come from the written all.parquet, so that the catalog is read once.
-    identity.parquet holds every written row's key and hash with its position (pos); the
-    changelog compares the first row of each key on both sides (W3), so a record that a
-    folded alias repeats counts once. previous is an earlier identity file, as scans.identity
-    reads it. What comes to the driver are the reports' aggregates, a few rows for each
-    portal, and a row for each file; the buckets of formats and media types, which data may
-    make many, are written by Spark (resource_buckets.json, resource_quality.json).
+    all.parquet holds the rows newest first, in the order of its parts' numbers. Everything else
+    comes from what is written there, so that the catalog is read once.
+    identity.parquet holds every row's key and hash with its position (pos) in that order; the
+    changelog compares the first row of each key on both sides (W3), so of a record that a
+    folded alias repeats the newest counts, however the catalog was partitioned. previous is the
+    folder of an earlier snapshot, or an identity table as scans.identity reads it. What comes to the
+    driver are the reports' aggregates, a few rows for each portal, and a row for each file; the
+    buckets of formats and media types, which data may make many, are written by Spark
+    (resource_buckets.json, resource_quality.json, portal_buckets.json).
     """
     spark = catalog.sparkSession
     generated_at = generated_at or datetime.now(UTC).isoformat(timespec="seconds")
     parquet = {"compression": "zstd", "maxRecordsPerFile": str(MOST_RECORDS)}
-    curate.snapshot_rows(catalog, portals).write.mode("overwrite").options(**parquet).parquet(f"{folder}/all.parquet")
+    curate.snapshot_rows(catalog, portals, ordered=True).write.mode("overwrite").options(**parquet).parquet(f"{folder}/all.parquet")
     written = spark.read.parquet(f"{folder}/all.parquet")
     if clash := file_collisions(written).first():
         raise ValueError(f"{clash['portals']} portals share the file name {clash['file']}")
-    by_portal = written.withColumn("portal_file", file_name(F.col("portal_name"))).repartition("portal_file", F.pmod(F.xxhash64("original_id"), F.lit(8)))
+    by_portal = written.withColumn("portal_file", file_name(F.col("portal_name"))).hint("rebalance", "portal_file")  # large portals are split by their bytes
     by_portal.write.mode("overwrite").partitionBy("portal_file").options(**parquet).parquet(f"{folder}/by_portal")
-    keys = written.select(*store.KEY, "content_hash").withColumn("pos", F.monotonically_increasing_id())
+    keys = scans.with_positions(spark, f"{folder}/all.parquet").select(*store.KEY, "content_hash", "pos")
     keys.write.mode("overwrite").options(**parquet).parquet(f"{folder}/identity.parquet")
     identity = spark.read.parquet(f"{folder}/identity.parquet")
     data = _data_files(spark, folder)
@@ -143,21 +158,30 @@ def write_snapshot(catalog: DataFrame, portals: DataFrame, folder: str, date: st
         "warnings": warnings,
     }
     quality.resource_buckets(written).write.mode("overwrite").json(f"{folder}/resource_buckets.json")
-    quality.resource_quality(written, buckets=True).write.mode("overwrite").json(f"{folder}/resource_quality.json")
+    quality.portal_buckets(written).write.mode("overwrite").json(f"{folder}/portal_buckets.json")
+    per_bucket = spark.read.schema("source_portal string, facet string, bucket string, n bigint").json(f"{folder}/portal_buckets.json")
+    quality.portal_top_buckets(per_bucket).write.mode("overwrite").json(f"{folder}/portal_top_buckets.json")
+    quality.resource_quality(written).write.mode("overwrite").json(f"{folder}/resource_quality.json")
     coverage = [r.asDict() for r in quality.coverage(written).collect()]
-    for facet in ("format", "media_type"):  # the largest; resource_buckets.json has all
-        top = quality.resource_buckets(written).where(F.col("facet") == facet).limit(MOST_BUCKETS)
-        coverage += [{"dimension": facet, "bucket": r["bucket"], "n": r["n"]} for r in top.collect()]
+    distinct = {"format": 0, "media_type": 0}
+    buckets = spark.read.schema("facet string, bucket string, n bigint").json(f"{folder}/resource_buckets.json")
+    for facet in distinct:  # the largest; resource_buckets.json has all
+        own = buckets.where(F.col("facet") == facet)
+        distinct[facet] = own.count()
+        coverage += [{"dimension": facet, "bucket": r["bucket"], "n": r["n"]} for r in own.orderBy(F.col("n").desc(), "bucket").limit(MOST_BUCKETS).collect()]
     reports = head | {
+        "totals": {"datasets": counts["exported"], "portals": len(per_portal)},
+        "distinct_buckets": distinct,
         "curation": curation | {"duplicate_detection_method": rule["method"], "duplicate_detection_version": rule["version"], "excluded_portals": excluded},
         "coverage": coverage,
         "completeness": [r.asDict() for r in quality.completeness(written).collect()],
         "resource_quality_by_portal": [r.asDict() for r in quality.resource_quality(written).orderBy("source_portal").collect()],
     }
-    log: dict = head | {"compared": previous is not None, "portals": []}
-    if previous is not None:
-        log["portals"] = [r.asDict() for r in store.changelog(store.changes(scans.identity(identity), scans.identity(previous))).collect()]
-        log["total"] = {k: sum(p[k] for p in log["portals"]) for k in ("added", "changed", "removed", "unchanged")}
+    before, before_id = _earlier(spark, previous)
+    log: dict = head | {"previous_snapshot_id": before_id, "compared": before is not None, "changed_definition": CHANGED, "portals": []}
+    if before is not None:
+        log["portals"] = [r.asDict() for r in store.changelog(store.changes(scans.identity(identity), scans.identity(before))).collect()]
+    log["total"] = {k: sum(p[k] for p in log["portals"]) for k in ("added", "changed", "removed", "unchanged")}
     for file, content in (("metadata.json", json.dumps(manifest)), ("reports.json", json.dumps(reports)), ("changelog.json", json.dumps(log)), ("report.md", report_markdown(name, reports)), ("changelog.md", changelog_markdown(name, log))):
         _write_text(catalog, f"{folder}/{file}", content)
     return manifest
@@ -168,11 +192,12 @@ def _write_text(catalog: DataFrame, path: str, content: str) -> None:
     catalog.sparkSession.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def _table(title: str, header: tuple[str, str], rows: list[tuple]) -> list[str]:
-    """A Markdown table of the first rows, and how many more there are."""
+def _table(title: str, header: tuple[str, str], rows: list[tuple], total: int | None = None) -> list[str]:
+    """A Markdown table of the first rows, and how many more there are (of total, where rows are the largest only)."""
     out = [f"## {title}", "", f"| {header[0]} | {header[1]} |", "| --- | --- |"]
     out += [f"| {a} | {b} |" for a, b in rows[:BUCKETS_SHOWN]]
-    return [*out, *([f"| {len(rows) - BUCKETS_SHOWN} more | |"] if len(rows) > BUCKETS_SHOWN else []), ""]
+    more = (len(rows) if total is None else total) - BUCKETS_SHOWN
+    return [*out, *([f"| {more} more | |"] if more > 0 else []), ""]
 
 
 def report_markdown(name: str, reports: dict) -> str:
@@ -181,7 +206,8 @@ def report_markdown(name: str, reports: dict) -> str:
     c = reports["curation"]
     out += _table("Curation", ("outcome", "rows"), [(k, c[k]) for k in ("raw", "exported", "filtered", "duplicate_flagged")])
     for dimension in ("type", "profile", "language", "portal", "format", "media_type"):
-        out += _table(f"Rows by {dimension}", (dimension, "rows"), [(r["bucket"], r["n"]) for r in reports["coverage"] if r["dimension"] == dimension])
+        rows = [(r["bucket"], r["n"]) for r in reports["coverage"] if r["dimension"] == dimension]
+        out += _table(f"Rows by {dimension}", (dimension, "rows"), rows, reports["distinct_buckets"].get(dimension))
     out += _table("Completeness", ("facet", "rate"), [(r["facet"], r["rate"]) for r in reports["completeness"]])
     return "\n".join(out + _table("Datasets with resources", ("portal", "datasets with resources of all"), [(r["source_portal"], f"{r['with_resources']} of {r['datasets']}") for r in reports["resource_quality_by_portal"]]))
 
@@ -191,4 +217,5 @@ def changelog_markdown(name: str, log: dict) -> str:
     if not log["compared"]:
         return f"# Changes in {name}\n\nNo earlier snapshot to compare with.\n"
     rows = [(p["source_portal"], f"+{p['added']} ~{p['changed']} -{p['removed']}") for p in log["portals"]]
-    return "\n".join([f"# Changes in {name}", "", *_table("Portals", ("portal", "changes"), rows)])
+    since = f"Compared with {log['previous_snapshot_id'] or 'an earlier snapshot'}. Changed: {log['changed_definition']}."
+    return "\n".join([f"# Changes in {name}", "", since, "", *_table("Portals", ("portal", "changes"), rows)])

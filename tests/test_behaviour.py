@@ -212,6 +212,54 @@ def test_snapshot_folder(spark, tmp_path):
     assert document("second/changelog.json")["total"] == {"added": 1, "changed": 0, "removed": 0, "unchanged": 20}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_positions_are_those_of_the_files_order(spark, tmp_path, parts):
+    rows = spark.createDataFrame([_row(str(i), "https://a", f"title {i}") for i in range(60)], CATALOG).repartition(parts, "title")
+    rows = rows.withColumn("last_updated_at", F.expr("timestamp'2026-01-01 00:00:00' + make_dt_interval(0, cast(original_id as int) % 20)"))
+    curate.newest_first(rows).write.option("maxRecordsPerFile", 7).parquet(str(tmp_path / "rows"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # tasks read parts of parts
+    try:
+        got = scans.with_positions(spark, str(tmp_path / "rows")).orderBy("pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.pos for r in got] == list(range(60))
+    assert [(r.last_updated_at, r.id) for r in got] == sorted(((r.last_updated_at, r.id) for r in got), key=lambda x: (-x[0].timestamp(), x[1]))
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_changelog_compares_the_newest_of_repeats(spark, tmp_path, parts):
+    portals = spark.createDataFrame([("a", "https://a", "ckan", None, "en", True, ["https://mirror"], 0)], PORTAL)
+    times = {"https://a": ("2026-01-02", "2026-01-01"), "https://mirror": ("2026-01-01", "2026-01-02")}
+
+    def snapshot(name, hashes, previous=None):
+        data = spark.createDataFrame([_row(str(i), portal, f"title {i}") for i in range(2) for portal in times], CATALOG)
+        stamp = F.element_at(F.create_map(*[F.lit(x) for (p, t) in times.items() for i in range(2) for x in (f"{p} {i}", t[i])]), F.concat_ws(" ", "source_portal", "original_id"))
+        value = F.element_at(F.create_map(*[F.lit(x) for p, h in hashes.items() for x in (p, h)]), F.col("source_portal"))
+        data = data.withColumns({"last_updated_at": F.to_timestamp(stamp), "content_hash": value}).repartition(parts, "title", "source_portal")
+        sinks.write_snapshot(data, portals, str(tmp_path / name), "2026-01-01", previous)
+        return json.loads(spark.read.text(str(tmp_path / name / "changelog.json"), wholetext=True).first()[0])
+
+    first = snapshot("first", {"https://a": "x", "https://mirror": "y"}, str(tmp_path / "none"))
+    assert (first["compared"], first["previous_snapshot_id"], first["total"]["added"]) == (False, None, 0)
+    # row 0 is newest on a, row 1 on the mirror: only row 1 changes with the mirror's hash
+    second = snapshot("second", {"https://a": "x", "https://mirror": "z"}, str(tmp_path / "first"))
+    assert second["total"] == {"added": 0, "changed": 1, "removed": 0, "unchanged": 1}
+    assert second["previous_snapshot_id"] == first["snapshot_id"]
+    assert "content_hash" in second["changed_definition"]
+
+
+def test_reports_count_all_formats(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "MOST_BUCKETS", 20)
+    portals = spark.createDataFrame([("a", "https://a", "ckan", None, "en", True, [], 0)], PORTAL)
+    nodes = [{"name": f"r{i}", "format": f"f{i}"} for i in range(5000)] + [{"name": "again", "format": "f7"}]
+    rows = spark.createDataFrame([_row("1", "https://a", "title 1")], CATALOG).withColumn("metadata", F.lit(json.dumps({"resources": nodes})))
+    sinks.write_snapshot(rows, portals, str(tmp_path), "2026-01-01")
+    report = spark.read.text(str(tmp_path / "report.md"), wholetext=True).first()[0]
+    assert "| 4985 more | |" in report and "| f7 | 2 |" in report
+    top = spark.read.json(str(tmp_path / "portal_top_buckets.json")).where("facet = 'format'").orderBy("rank").collect()
+    assert [(r.rank, r.n, r.more) for r in top] == [(1, 2, 0), *((i, 1, 0) for i in range(2, 16)), (16, 4985, 4985)]
+
+
 def test_file_name_collision_fails(spark, tmp_path):
     portals = spark.createDataFrame([("A b", "https://a", "ckan", None, "en", True, [], 0), ("a-b", "https://b", "ckan", None, "en", True, [], 1)], PORTAL)
     rows = spark.createDataFrame([_row("1", "https://a", "title 1"), _row("2", "https://b", "title 2")], CATALOG)
