@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from lodestar.operators import store
 from lodestar.operators.dedupe import keep_first
+from lodestar.streaming.table import Table as Catalog
 
 
 def landed(spark: SparkSession, folder: str, schema: StructType, *, files_per_batch: int = 1, pattern: str = "*") -> DataFrame:
@@ -24,54 +26,6 @@ def without_repeats(stream: DataFrame, keys: list[str], time: str, delay: str) -
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-class Catalog:
-    """A catalog table as a base and the changes of each batch since; a batch costs what it brings, not what is stored.
-
-    Batch n writes the changes of version n + 1. Every merge_every versions they are merged
-    into a new base, so that reading a version takes one base and a bounded number of
-    changes. A batch that is run again after a failure writes the same folders anew from the
-    same predecessors.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, merge_every: int = 16) -> None:
-        self.spark, self.folder, self.merge_every = spark, folder, merge_every
-
-    def _base(self, version: int) -> str:
-        return f"{self.folder}/base/version={version}"
-
-    def _changes(self, version: int) -> str:
-        return f"{self.folder}/changes/version={version}"
-
-    def read(self, version: int) -> DataFrame:
-        """The table at a version: the base before it, and of each key since then the last values, the last vector and the first time."""
-        start = version - version % self.merge_every
-        base = self.spark.read.parquet(self._base(start))
-        if version == start:
-            return base
-        paths = [self._changes(v) for v in range(start + 1, version + 1)]
-        changes = self.spark.read.parquet(*paths)
-        last = F.max_by(F.struct(*[c for c in store.VALUES if c != "embedding"], "now"), "number").alias("last")
-        vector = F.max_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("number"))).alias("embedding")
-        folded = changes.groupBy(*store.KEY).agg(last, vector, F.min_by("now", "number").alias("first")).select(*store.KEY, "last.*", "embedding", "first")
-        return store.upsert(base, folded, F.col("now"), F.col("first"))
-
-    def write(self, rows: DataFrame, version: int) -> None:
-        """Write a whole table as version 0 or another base."""
-        if version % self.merge_every:
-            raise ValueError(f"version {version} is no base")
-        rows.write.mode("overwrite").parquet(self._base(version))
-
-    def apply(self, rows: DataFrame, number: int, now: Column) -> None:
-        """Write a batch's rows (each key once) as the changes that make version number + 1."""
-        version = number + 1
-        stamped = rows.select(*store.KEY, *store.VALUES).withColumns({"number": F.lit(version), "now": now})
-        stamped.write.mode("overwrite").parquet(self._changes(version))
-        if version % self.merge_every == 0:
-            before = self.read(number)
-            merged = store.upsert(before, self.spark.read.parquet(self._changes(version)), F.col("now"))
-            merged.write.mode("overwrite").parquet(self._base(version))
-
-
 def upsert_batch(catalog: Catalog, seen: str, *, order: list[str], now: Column) -> Callable[[DataFrame, int], None]:
     """ST4, ST6: a foreachBatch function: keep the first of each key, upsert, and record the seen keys.
 
@@ -97,26 +51,40 @@ def run(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint:
     return query
 
 
+def _brought(spark: SparkSession, folder: str) -> DataFrame:
+    """The keys that a run's batches wrote; none if it had no batch."""
+    try:
+        return spark.read.parquet(folder).select(*store.KEY)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], "source_portal string, original_id string")
+
+
 def run_status(spark: SparkSession, seen: str, *, mode: str = "full", cancelled: bool = False, truncated: bool = False, failed: int = 0) -> DataFrame:
     """ST5, U13: one row for a run: status, synced and skipped rows, and whether it may retire rows (U8).
 
     A truncated run keeps its good rows and is partial; rows in quarantine count as skipped,
-    and either forbids retiring.
+    and either forbids retiring. A run that brought no batch has none of either.
     """
-    synced = spark.read.parquet(seen).agg(F.count("*").alias("synced"))
-    counts = synced.join(F.broadcast(spark.read.parquet(f"{seen}-quarantine").agg(F.count("*").alias("skipped"))), F.lit(True))
+    synced = _brought(spark, seen).agg(F.count("*").alias("synced"))
+    counts = synced.join(F.broadcast(_brought(spark, f"{seen}-quarantine").agg(F.count("*").alias("skipped"))), F.lit(True))
     ended = (F.lit(cancelled), F.lit(truncated))
     allowed = store.stale_allowed(F.lit(mode), *ended, F.lit(failed), F.col("skipped"))
     return counts.select(store.final_status(*ended).alias("status"), "synced", "skipped", F.lit(failed).cast("bigint").alias("failed"), allowed.alias("may_retire"))
 
 
-def finish(catalog: Catalog, version: int, seen: str, *, complete: bool) -> DataFrame:
-    """ST5, U8: the catalog at the end of a run; rows not seen are retired only if the run was complete (run_status: may_retire)."""
+def finish(catalog: Catalog, version: int, seen: str, *, complete: bool, portals: DataFrame | None = None) -> DataFrame:
+    """ST5, U8: the catalog at the end of a run; rows not seen are retired only if the run was complete (run_status: may_retire).
+
+    portals (source_portal) are those that the run covered, by default those of which it saw rows;
+    a portal of which a complete run saw nothing loses all.
+    """
     rows = catalog.read(version)
     if not complete:
         return rows
-    keys = catalog.spark.read.parquet(seen).select(*store.KEY)
-    return store.stale_by_exclusion(rows, keys, keys.select("source_portal")).drop("change")
+    keys = _brought(catalog.spark, seen)
+    return store.stale_by_exclusion(rows, keys, keys.select("source_portal") if portals is None else portals).drop("change")
 
 
 def high_water_mark(runs: DataFrame) -> DataFrame:

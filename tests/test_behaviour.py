@@ -300,6 +300,55 @@ def test_incomplete_run_saves_rows_but_retires_none(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "seen-quarantine")).count() == 1
 
 
+def test_a_run_without_a_batch(spark, tmp_path):
+    rows = spark.createDataFrame([_row("1", "p", "x"), _row("2", "q", "y")], CATALOG)
+    table = ingest.Catalog(spark, str(tmp_path / "table"))
+    table.write(rows, 0)
+    status = ingest.run_status(spark, str(tmp_path / "seen")).first().asDict()
+    assert status == {"status": "completed", "synced": 0, "skipped": 0, "failed": 0, "may_retire": True}
+    stale = lambda **k: {r.original_id: r.is_stale for r in ingest.finish(table, 0, str(tmp_path / "seen"), complete=True, **k).collect()}
+    assert stale() == {"1": False, "2": False}
+    assert stale(portals=spark.createDataFrame([("p",)], "source_portal string")) == {"1": True, "2": False}
+
+
+def test_bytes_written_grow_with_the_batch(spark, tmp_path):
+    """64 batches of one size: each row is written once for each size of runs, and old files are listed for removal."""
+    import math
+    import random
+
+    start = spark.createDataFrame([_row(str(i), "p", f"title {i}") for i in range(200)], CATALOG)
+    table = ingest.Catalog(spark, str(tmp_path / "t"), merge_every=3, buckets=1, least_bytes=16_000)
+    table.write(start, 0)
+    rng, want, written = random.Random(3), {str(i): f"title {i}" for i in range(200)}, 0
+    own = []
+    for n in range(64):
+        batch = {str(rng.randrange(20_000)): "".join(rng.choice("abcdefghijklmnop") for _ in range(200)) for _ in range(60)}
+        want |= batch
+        table.apply(spark.createDataFrame([_row(k, "p", t) for k, t in batch.items()], CATALOG).coalesce(1), n, F.current_timestamp())
+        here = {p: size for run in table.log(n + 1)["runs"] for files in run["files"].values() for p, size in files}
+        before = {p for run in table.log(n)["runs"] for files in run["files"].values() for p, _ in files}
+        own.append(sum(f.stat().st_size for f in (tmp_path / "t" / f"run={n + 1}").rglob("*.parquet")))
+        written += own[-1] + sum(size for p, size in here.items() if p not in before and f"run={n + 1}/" not in p)
+        assert len(table.log(n + 1)["runs"]) <= 3 * (2 + math.log(max(1, sum(own) / 16_000), 4))
+    assert written <= sum(own) * (2 + math.log(64, 4))
+    assert {r.original_id: r.title for r in table.read(64).collect()} == want
+    gone = table.removable(64, 64)
+    assert gone and not {p for run in table.log(64)["runs"] for files in run["files"].values() for p, _ in files} & set(gone)
+
+
+def test_merges_leave_other_buckets_alone(spark, tmp_path):
+    start = spark.createDataFrame([_row(str(i), "p", "old") for i in range(400)], CATALOG)
+    table = ingest.Catalog(spark, str(tmp_path / "t"), merge_every=1, buckets=8, least_bytes=1 << 30)
+    table.write(start, 0)
+    table.apply(start.where("original_id = '7'").withColumn("title", F.lit("new")), 0, F.current_timestamp())
+    files = [{p for run in table.log(v)["runs"] for own in run["files"].values() for p, _ in own} for v in (0, 1)]
+    assert len(files[0] - files[1]) == 1 and len(files[0] & files[1]) == 7
+    assert {r.original_id for r in table.read(1).where("title = 'new'").collect()} == {"7"}
+    table.mark(spark.createDataFrame([("p", "7", True), ("p", "none", True)], "source_portal string, original_id string, is_stale boolean"), 1)
+    assert [(r.original_id, r.title) for r in table.read(2).where("is_stale").collect()] == [("7", "new")]
+    assert table.read(2).count() == 400
+
+
 def test_observed_counts(spark):
     outcomes = spark.createDataFrame([("created",), ("updated",), ("created",)], "outcome string")
     rows, watch = ingest.observed(outcomes, "counts")
