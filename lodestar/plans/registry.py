@@ -16,7 +16,7 @@ from lodestar.plans import fixtures, payload_fixtures
 from lodestar.plans.sql import SQL
 from lodestar.sources import catalog as scans
 from lodestar.sources import payloads, sinks, xml
-from lodestar.streaming import ingest
+from lodestar.streaming import ingest, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -892,3 +892,23 @@ def st5_partial_run(spark: SparkSession, d: str) -> DataFrame:
     status = ingest.run_status(spark, seen, truncated=True)
     final = ingest.finish(table, done.lastProgress["batchId"] + 1, seen, complete=status.first()["may_retire"])
     return status.join(final.agg(F.count("*").alias("rows"), F.count_if("is_stale").alias("stale"), F.count_if(F.col("last_updated_at") == F.expr(NOW)).alias("fresh")), F.lit(True))
+
+
+@query
+def st6_runs(spark: SparkSession, d: str) -> DataFrame:
+    """ST5, ST6, U5: three runs over one checkpoint. The first ends for all portals, the second misses a quarter of the rows and ends for all but src2, the third brings no row and ends for src3."""
+    rows = fixtures.catalog(spark, d)
+    land, progress = _shared(spark, "landed"), _shared(spark, "progress")
+    table = ingest.Catalog(spark, _shared(spark, "catalog"))
+    table.write(rows, 0)
+    of = lambda source: F.coalesce(F.col("source_portal").rlike(f"^https://{source}[.]"), F.lit(False))
+    ends = rows.select("source_portal").distinct().withColumn("original_id", F.lit(None).cast("string"))
+    seen = rows.select(*store.KEY, "doc_id")
+    landed = [seen.where("doc_id % 10 <> 3").select(*store.KEY).unionByName(ends), seen.where("doc_id % 4 <> 1").select(*store.KEY).unionByName(ends.where(~of("src2"))), ends.where(of("src3"))]
+    version = 0
+    for number, events in enumerate(landed, 1):
+        events.withColumn("run", F.lit(number).cast("bigint")).coalesce(1).write.mode("append").parquet(land)
+        stream = ingest.landed(spark, land, spark.read.parquet(land).schema)
+        done = runs.start(runs.changes(stream, rows, shares=4), runs.marks_batch(table, 0), progress)
+        version = done.lastProgress["batchId"] + 1
+    return table.read(version).select("original_id", "is_stale")

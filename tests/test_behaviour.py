@@ -15,7 +15,7 @@ from lodestar.functions import variants as V
 from lodestar.operators import curate, dedupe, normalize, redact, resources, search, store
 from lodestar.sources import catalog as scans
 from lodestar.sources import payloads, sinks, xml
-from lodestar.streaming import ingest
+from lodestar.streaming import ingest, runs
 
 CATALOG = "id string, original_id string, source_portal string, url string, title string, description string, record_kind string, metadata string, content_hash string, embedding array<float>, first_seen_at timestamp, last_updated_at timestamp, is_stale boolean"
 PORTAL = "name string, url string, type string, profile string, language string, enabled boolean, aliases array<string>, config_index int"
@@ -349,6 +349,26 @@ def test_merges_leave_other_buckets_alone(spark, tmp_path):
     assert table.read(2).count() == 400
 
 
+def test_runs_over_one_checkpoint(spark, tmp_path):
+    """Ends retire what no run since has seen, also where a run brought nothing; late rows revive; other portals and the session's settings are left alone."""
+    schema = "source_portal string, original_id string, run bigint"
+    known = spark.createDataFrame([("p", "a", False), ("p", "b", True), ("p", "z", False), ("q", "x", False)], "source_portal string, original_id string, is_stale boolean")
+    steps = [
+        ([("p", "a", 1), ("p", "b", 1), ("p", "n", 1), ("p", "a", 1), ("p", None, 1)], {("b", "revived"), ("z", "retired"), ("n", "first")}),
+        ([("p", "a", 2), ("p", "z", 1), ("p", None, 1)], {("z", "revived")}),
+        ([("p", None, 2)], {("b", "retired"), ("z", "retired"), ("n", "retired")}),
+        ([("q", None, 3)], {("x", "retired")}),
+    ]
+    before = spark.conf.get(runs.PROVIDER, None)
+    for landed, want in steps:
+        spark.createDataFrame(landed, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "land"))
+        got = []
+        stream = ingest.landed(spark, str(tmp_path / "land"), spark.createDataFrame([], schema).schema)
+        runs.start(runs.changes(stream, known, shares=3), lambda batch, n, got=got: got.extend(batch.collect()), str(tmp_path / "check"))
+        assert {(r.original_id, r.change) for r in got} == want and len(got) == len(want)
+    assert spark.conf.get(runs.PROVIDER, None) == before
+
+
 def test_observed_counts(spark):
     outcomes = spark.createDataFrame([("created",), ("updated",), ("created",)], "outcome string")
     rows, watch = ingest.observed(outcomes, "counts")
