@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-from html.entities import html5
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +9,6 @@ from pyspark.sql import functions as F
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A text that begins and ends with a visible ASCII sign.
 VISIBLE = r"(?s)^[!-~](?:.*[!-~])?$"
-#: Signs that stand in no entity.
-EDGE, INSIDE = "\x1e", "\x1f"
 #: Service names in the order in which they are looked for (fixed values).
 SERVICES = [
     ("wmts", "web map tile service"),
@@ -119,41 +114,6 @@ def is_url(value: Column) -> Column:
     return F.try_parse_url(value, F.lit("PROTOCOL")).isNotNull() & F.try_parse_url(value, F.lit("HOST")).isNotNull()
 
 
-@cache
-def entities() -> str:
-    """The named entities of HTML and the numbers that it reads as Windows signs, as text for str_to_map: pairs end with EDGE, INSIDE stands between."""
-    windows = {f"#{n}": bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
-    return EDGE.join(f"{name}{INSIDE}{sign}" for name, sign in (html5 | windows).items())
-
-
-def decoded_entities(text: Column) -> Column:
-    """Text with its entities (named, decimal and hexadecimal) replaced once; what is none stays as it is."""
-    named = F.str_to_map(F.lit(entities()), F.lit(EDGE), F.lit(INSIDE))
-
-    def one(part: Column) -> Column:
-        """What an ampersand and the text up to the next one become."""
-        name = F.regexp_extract(part, r"^(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]*);?", 1)
-        whole = F.regexp_extract(part, r"^(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]*);?", 0)
-        code = F.when(name.rlike("^#[0-9]"), F.substr(name, F.lit(2)).cast("bigint")).when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10).cast("bigint"))
-        known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-        numeric = F.when(code.isNotNull(), F.coalesce(F.try_element_at(named, F.concat(F.lit("#"), code.cast("string"))), sign))
-        found = F.when(F.startswith(name, F.lit("#")), numeric).when(name != "", F.try_element_at(named, whole))
-        return F.when(found.isNotNull(), F.concat(found, F.substr(part, F.length(whole) + 1))).otherwise(F.concat(F.lit("&"), part))
-
-    parts = F.split(text, "&", -1)
-    decoded = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
-
-
-def html_to_text(html: Column) -> Column:
-    """Tags out, entities decoded, white space collapsed."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
-    return F.trim(F.regexp_replace(decoded_entities(out), f"[{WHITE}]+", " "))
-
-
 def parsed_date(value: Column, *, bare_offset: bool = False) -> Column:
     """RFC 3339 or a date at midnight (UTC), else null; D2 also takes an offset without a colon."""
     rfc = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as X
 from lodestar.functions import variants as V
+from lodestar.functions.html import html_to_text
 from lodestar.operators.curate import kind_of_scope
 from lodestar.operators.dedupe import keep_first
 
@@ -38,7 +39,7 @@ def _first_date(node: Column, paths: list[str]) -> Column:
 
 
 def _html(value: Column) -> Column:
-    return F.nullif(X.html_to_text(value), F.lit(""))
+    return F.nullif(html_to_text(value), F.lit(""))
 
 
 def _no_date() -> Column:

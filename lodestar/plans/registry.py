@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as X
 from lodestar.functions import variants as V
+from lodestar.functions.html import html_to_text
 from lodestar.operators import curate, dedupe, normalize, quality, redact, resources, runlog, search, store
 from lodestar.plans import fixtures, payload_fixtures
 from lodestar.plans.sql import SQL
@@ -591,7 +592,18 @@ def x_urls(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def x1_html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.read(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+    return fixtures.read(spark, d, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+
+
+@query
+def x1_html_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Tags with quoted signs, comparisons, comments, scripts, cut tags and inline tags around each page's id."""
+    i = F.col("page_id").cast("string")
+    case = F.concat(
+        F.lit("<head><title>no</title></head><body><p class=a title=\"x>y\">"), i, F.lit("</p>a < b and c > d<!-- > "), i, F.lit(" -->&lt;b&gt;&amp;lt; w<b>o</b>rd<br/>"),
+        F.lit("<script>if (a</b/.test(x)) '<p>'</script ><a href='>'>"), i, F.lit("</a>&#233;&eacute &notit; &#x41;<?php echo > 1 ?>\u00a0\n x<i\ndata-x = \"</i>\">y</i> <img alt="), i,
+    )
+    return fixtures.read(spark, d, "pages").select("page_id", html_to_text(case).alias("text"))
 
 
 @query

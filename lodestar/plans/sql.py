@@ -282,8 +282,10 @@ SQL: dict[str, str] = NORMALIZED | {
     "t10_config_order": f"{JD} SELECT p.name, p.config_index, s.sync_status, s.datasets_synced FROM status s JOIN portals p ON p.url = s.portal_url",
     "x_urls": f"""{C} SELECT original_id, rtrim(source_portal, '/') AS trimmed, replace(concat(source, '.example.org'), '.', '-') AS portal_name,
       regexp_replace(lower(title), '[^a-z0-9-]', '-', 'g') AS file_name, original_id AS last_segment, 'https' AS scheme, true AS safe, true AS valid FROM catalog""",
+    "x1_html_cases": "SELECT page_id, concat(page_id, ' a < b and c > d<b>&lt; word ', page_id, 'éé ¬it; A 1 ?> xy') AS text FROM pages",
     "x1_html_to_text": r"""SELECT page_id, trim(regexp_replace(replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
-      regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head\s*>', ' ', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)</?(article|body|br|div|footer|h[1-6]|html|li|nav|p|ul)\b[^>]*>', ' ', 'g'),
+        '<[/!]?[A-Za-z][^>]*>', '', 'g'), '</?[A-Za-z][^>]*$|<!.*$|</$', ''),
       '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp([^A-Za-z0-9;]|$)', '&amp;\1', 'g'), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages""",
     "x2_non_blank": f"{C} SELECT original_id, nullif(trim(coalesce(description, ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160), chr(12288), chr(8195))), '') AS description, nullif(trim(description, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160), chr(12288), chr(8195))), '') AS plain FROM catalog",
     "x6_formats": "SELECT p_partkey, p_name AS plain, p_brand AS short FROM part",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as X
 from lodestar.functions import variants as V
+from lodestar.functions.html import html_to_text, plain_text
 from lodestar.operators import curate, dedupe, normalize, redact, resources, search, store
 from lodestar.sources import catalog as scans
 from lodestar.sources import payloads, sinks, xml
@@ -420,11 +421,32 @@ def test_times_do_not_depend_on_the_sessions_zone(spark, zone):
         spark.conf.set("spark.sql.session.timeZone", was)
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<a title="x>y">z</a>', "z"), ("a < b and c > d", "a < b and c > d"), ("1<2", "1<2"), ("a<b>c</b>d", "acd"), ("<p>a</p>b<br>c", "a b c"), ("<li>one<li>two", "one two"),
+        ("x<!-- > -- -->y<!-->z<!--a--!>b", "xyzb"), ("<script>a<b && '</p>'</script>t", "t"), ("<style>p>a{}</style >u", "u"), ("<SCRIPT>x</sCript\n>v", "v"), ("<script>never ended", ""),
+        ("<p don't='a>b' x=y>q</p>", "q"), ("<p don't>q's</p>", "q's"), ('cut <a href="x>y', "cut"), ("cut <p", "cut"), ("cut <!-- x", "cut"), ("</ b>c", "c"), ("<>a</>", "<>a"), ("<!DOCTYPE html>d", "d"), ("<![CDATA[x]]>y", "y"),
+        ("<title>a <b> c</title>", "a <b> c"), ("<head><title>t</title><body>b", "b"), ("&lt;p&gt;&amp;amp;", "<p>&amp;"), ("&am<i></i>p;", "&amp;"), ("\u3000 a\u00a0\n b ", "a b"), ("<a href=/x/>l</a>", "l"), ("<br/>a", "a"), ("", ""), ("<", "<"), ("<p a = 'x>'>w", "w"),
+    ],
+)
+def test_html_tokens(html, want):
+    assert plain_text(html) == want
+
+
+def test_html_of_many_open_tags_is_linear(spark):
+    began = time.perf_counter()
+    assert plain_text("<a =\"" * 200_000) == plain_text("<!--" * 200_000) == plain_text("<p " * 200_000) == ""
+    assert len(plain_text("<" * 200_000)) == 200_000 and len(plain_text("<b a='" + "x" * 10**6 + "'>y" * 1)) == 1
+    assert time.perf_counter() - began < 5
+    assert [r[0] for r in spark.createDataFrame([(None,), (" no  tag ",), ("<p>x",)], "h string").select(html_to_text(F.col("h"))).collect()] == [None, "no tag", "x"]
+
+
 def test_entities(spark):
     import html
 
     texts = ["Caf&eacute; &#8217;s &#233; &#x41;&#X42;", "a &amp;lt; b && c &bogus; &", "&nbsp;x&nbsp;&nbsp;y", "&#146;&#0;&#55296;&#1114112;", "&copy 2020", "&equals;&semi;&NotEqualTilde;", "&", ""]
-    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, h string").orderBy("i").select(X.html_to_text(F.col("h"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, h string").orderBy("i").select(html_to_text(F.col("h"))).collect()]
     assert got == [" ".join(html.unescape(t).split()) for t in texts]
 
 
