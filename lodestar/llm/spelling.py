@@ -33,7 +33,7 @@ RATIO = 10
 #: Words that may meet at one key; at larger ones what the key leaves of the words decides, too.
 MOST = 64
 #: Characters of a text that are split at a time, and words that a task counts before it hands them on.
-SLICE, MOST_WORDS = 1_000_000, 200_000
+SLICE, MOST_WORDS = 1_000_000, 500_000
 
 
 def runs_of(text: str) -> Counter:
@@ -105,19 +105,26 @@ def _split(word: Column, size: Column, second: bool, shift: int) -> tuple[Column
     return F.substring(word, q + shift + 1, q), F.concat(F.substring(word, F.lit(1), q + shift), F.substring(word, 2 * q + shift + 1, size))
 
 
-#: A key's way: whether its chunk is the second half, and whether the rest's is.
-WAYS = [(False, False), (False, True), (True, False), (True, True)]
+def keys(words: DataFrame, *, free: bool = False) -> DataFrame:
+    """word, n, key, way and shift: four keys of each word as one of the key's size, and four as one of a code point more.
 
-
-def keys(words: DataFrame, shift: int) -> DataFrame:
-    """key, way and free (what the key leaves of the word) of each word, as one of the key's size or of `shift` code points more."""
-    size = F.length("word") - shift
+    A way is whether a key's chunk is the second half (2) and whether the rest's is (1). With `free` also what
+    the key leaves of the word.
+    """
+    halves, places = words.select("word", "n", F.length("word").alias("size")), [(shift, second) for shift in (0, 1) for second in (0, 1)]
+    for shift, second in places:
+        chunk, rest = _split(F.col("word"), F.col("size") - shift, bool(second), shift)
+        halves = halves.withColumns({f"chunk{shift}{second}": chunk, f"rest{shift}{second}": rest})
     out = []
-    for number, (second, last) in enumerate(WAYS):
-        chunk, rest = _split(F.col("word"), size, second, shift)
-        part, free = _split(rest, size - F.floor(size / 2).cast("int"), last, shift)
-        out.append(F.struct(F.xxhash64(size, F.lit(number), chunk, part).alias("key"), F.lit(number).alias("way"), free.alias("free")))
-    return words.select("word", "n", F.lit(shift).alias("shift"), F.inline(F.array(*out)))
+    for shift, second in places:
+        size = F.col("size") - shift
+        left = size - F.floor(size / 2).cast("int")
+        for last in (0, 1):
+            part, other = _split(F.col(f"rest{shift}{second}"), left, bool(last), shift)
+            way = F.lit(2 * second + last)
+            own = [F.xxhash64(size, way, F.col(f"chunk{shift}{second}"), part).alias("key"), way.alias("way"), F.lit(shift).alias("shift")]
+            out.append(F.struct(*own, *([other.alias("free")] if free else [])))
+    return halves.select("word", "n", F.inline(F.array(*out)))
 
 
 def _way(a: Column, b: Column, shift: Column) -> Column:
@@ -140,23 +147,26 @@ def near_pairs(words: DataFrame, most: int = MOST) -> DataFrame:
     letters share such a part, so the work stays in proportion to the words and the pairs found.
     Keys are hashes; two that collide let words meet that the verification keeps apart.
     """
-    left, right = keys(words, 0), keys(words, 0).unionByName(keys(words, 1))
-    counted = left.select("key", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(right.select("key", F.lit(0).alias("x"), F.lit(1).alias("y")))
-    hot = cut(counted.groupBy("key").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).where((F.col("x") > most) | (F.col("y") > most)).select("key"))
-    a = left.withColumnsRenamed({"word": "a", "n": "a_n"}).drop("shift")
-    b = right.withColumnsRenamed({"word": "b", "n": "b_n"}).drop("way")
+    counted = keys(words).groupBy("key").agg(F.count_if(F.col("shift") == 0).alias("own"), F.count("*").alias("all"))
+    hot = cut(counted.where((F.col("own") > 0) & (F.col("all") > most)).select("key"))
     each_once = (F.col("shift") == 1) | (F.col("a") < F.col("b"))
     near = F.expr("levenshtein(a, b, 1) = 1")
 
-    met = a.drop("free").join(hot, "key", "left_anti").join(b.drop("free").join(hot, "key", "left_anti"), "key")
+    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows as the shorter word or one of two of a size, and as the other one."""
+        a = rows.where("shift = 0").withColumnsRenamed({"word": "a", "n": "a_n"}).drop("shift")
+        return a, rows.withColumnsRenamed({"word": "b", "n": "b_n"}).drop("way")
+
+    a, b = sides(keys(words).join(hot, "key", "left_anti").repartition("key"))  # dealt once for both
+    met = a.join(b, "key")
 
     # at hot keys: parts of one size equal but for one place, or one part equal to the other one less a code point
-    a, b = a.join(hot, "key", "left_semi"), b.join(hot, "key", "left_semi")
+    a, b = sides(keys(words, free=True).join(hot, "key", "left_semi"))
     places = F.sequence(F.lit(1), F.length("free"))
     open_at = F.transform(places, lambda i: F.struct(i.alias("at"), _without(F.col("free"), i).alias("part")))
     less = F.array_distinct(F.transform(places, lambda i: F.struct(F.lit(0).alias("at"), _without(F.col("free"), i).alias("part"))))
     whole = F.array(F.struct(F.lit(0).alias("at"), F.col("free").alias("part")))
-    mine = a.select("key", "way", "a", "a_n", F.lit(0).alias("shift"), F.inline(open_at)).unionByName(a.select("key", "way", "a", "a_n", F.lit(1).alias("shift"), F.inline(whole)))
+    mine = a.select("key", "way", "a", "a_n", F.inline(F.concat(open_at, whole))).withColumn("shift", F.when(F.col("at") > 0, 0).otherwise(1))
     theirs = b.select("key", "b", "b_n", "shift", F.inline(F.when(F.col("shift") == 0, open_at).otherwise(less)))
     apart = mine.join(theirs, ["key", "shift", "at", "part"])
 
@@ -193,9 +203,8 @@ def variants(docs: DataFrame, ratio: int = RATIO, most: int = MOST) -> DataFrame
     """
     words = cut(count_words(docs))
     pairs = near_pairs(words, most)
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")).unionByName(
-        pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n"))
-    )
+    seen_from = lambda word, near: F.struct(F.col(word).alias("word"), F.col(near).alias("near"), F.col(f"{near}_n").alias("near_n"))
+    both = pairs.select(F.inline(F.array(seen_from("a", "b"), seen_from("b", "a"))))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
     enough = -F.col("best.less") >= ratio * F.col("n")
     found = cut(words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n")))
