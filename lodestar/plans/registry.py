@@ -370,6 +370,20 @@ def f8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return clean.select("doc_id", F.col("metadata").rlike(pattern).cast("int").alias("had_secret"), F.col("clean").rlike(pattern).cast("int").alias("has_secret"), F.contains("clean", F.lit('"doc"')).cast("int").alias("keeps_doc"))
 
 
+@query
+def f8_redacted_json(spark: SparkSession, d: str) -> DataFrame:
+    """The redacted JSON itself: keys with escapes, numbers as written, white space, nesting of a thousand lists, and broken texts."""
+    doc = F.col("doc_id").cast("string")
+    cases = [
+        F.concat(F.lit('{"a":1.50, "API_KEY":[{"x":"}"}], "b": {"Secret_'), doc, F.lit('":"\\\\","c":[1e400,-0.0,{"password" : null}]}}')),
+        F.concat(F.lit('{"passwor\\u0064":1,"n":'), doc, F.lit(', "password2":"kept \\ud800"}')),
+        F.concat(F.repeat(F.lit("["), F.lit(1500)), F.lit('{"secret_":'), doc, F.lit(',"k":"password"}'), F.repeat(F.lit("]"), F.lit(1500))),
+        F.concat(F.lit('{"api_key":1,}'), doc),
+    ]
+    case = F.element_at(F.array(*cases), (F.col("doc_id") % 4 + 1).cast("int"))
+    return fixtures.read(spark, d, "documents").select("doc_id", redact.deep(case, ["api_key", "secret_*", "password"]).alias("metadata"))
+
+
 @query
 def p1_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return _snapshot(spark, d).drop("portal_type", "portal_profile", "content_hash")

@@ -221,6 +221,8 @@ SQL: dict[str, str] = NORMALIZED | {
       SELECT original_id, type FROM facts WHERE CASE type WHEN 'data_json' THEN m IS NULL OR m >= DATE '2026-02-03' WHEN 'sparql' THEN m IS NULL OR m > DATE '2026-02-03'
         WHEN 'dcat' THEN true WHEN 'stac' THEN true ELSE coalesce(m >= DATE '2026-02-03', false) END""",
     "f7_kinds": f"{C} SELECT original_id, CASE record_kind WHEN 'dataset' THEN 'dataset' WHEN 'series' THEN 'series' WHEN 'service' THEN 'service' WHEN 'map' THEN 'map' ELSE 'other' END AS by_scope, record_kind AS stored FROM catalog",
+    "f8_redacted_json": r"""SELECT doc_id, [CAST('{"a":1.50, "b": {"c":[1e400,-0.0,{}]}}' AS VARCHAR), concat('{"n":', doc_id, ', "password2":"kept \ud800"}'),
+        concat(repeat('[', 1500), '{"k":"password"}', repeat(']', 1500)), NULL][CAST(doc_id % 4 + 1 AS INTEGER)] AS metadata FROM documents""",
     "f8_redacted": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS had_secret, 0 AS has_secret, 1 AS keeps_doc FROM documents",
     "p1_snapshot": f"{CD} SELECT * EXCLUDE (portal_type, portal_profile, content_hash) FROM snapshot",
     "p3_details": f"""{C} SELECT id, original_id, title, record_kind, concat_ws(',', 'language', CASE WHEN doc_id % 7 < 4 THEN 'metadata_modified' END, CASE WHEN doc_id % 4 < 3 THEN 'organization' END, CASE WHEN doc_id % 3 < 2 THEN 'tags' END) AS keys,

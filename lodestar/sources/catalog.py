@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.dedupe import keep_first
 
 
+#: Bytes of a file that is read as one value at most, and of a block of a larger one.
+WHOLE_BYTES, BLOCK_BYTES = 64 << 20, 4 << 20
+
+
 def scan(catalog: DataFrame, portal: str | None = None, limit: int | None = None) -> DataFrame:
     """Rows (stale ones too), newest first; of one portal, up to a limit."""
     rows = catalog if portal is None else catalog.where(F.col("source_portal") == portal)
@@ -63,10 +73,29 @@ def previous_snapshot_id(spark: SparkSession, folder: str) -> str | None:
     return row[0] if row else None
 
 
-def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Path, name, size and SHA-256 of each file below a folder.
+def files(spark: SparkSession, folder: str, pattern: str = "*", whole: int = WHOLE_BYTES) -> DataFrame:
+    """Path, name, size and SHA-256 of each file below a folder, whatever its size.
 
-    A file is read as one value, so it must be below 2 GB; write_snapshot bounds its parts' rows.
+    Files up to `whole` bytes are read as one value; the content of larger ones isn't: a task for each streams
+    it through the digest in blocks, from any store that Arrow's file systems open. Spark lists no empty files.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    small = found.where(F.col("length") <= whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = found.where(F.col("length") > whole).select("path", F.col("length").alias("bytes")).repartition("path")
+    every = small.unionByName(large.mapInArrow(_streamed, "path string, bytes bigint, sha256 string"))
+    return every.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, bytes and SHA-256 of listed files, read block by block."""
+    for batch in batches:
+        sums = []
+        for path in batch.column(0).to_pylist():
+            local = re.sub("^file:/+", "/", path)
+            system, name = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(name, buffer_size=0) as content:
+                while block := content.read(BLOCK_BYTES):
+                    digest.update(block)
+            sums.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], ["path", "bytes", "sha256"])

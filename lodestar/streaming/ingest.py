@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -26,12 +27,34 @@ def without_repeats(stream: DataFrame, keys: list[str], time: str, delay: str) -
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_batch(catalog: Catalog, seen: str, *, order: list[str], now: Column) -> Callable[[DataFrame, int], None]:
+@dataclass(frozen=True)
+class Outcome:
+    """ST7: what a batch did with a portal's rows; skipped are bad rows and repeats of a key."""
+
+    batch: int
+    portal: str | None
+    created: int
+    updated: int
+    unchanged: int
+    skipped: int
+
+
+def outcomes(catalog: Catalog, batch: DataFrame, kept: DataFrame, number: int) -> list[Outcome]:
+    """ST7, A4: the outcomes of a batch for each portal, against the version before it: kept are its rows that go in."""
+    known = store.with_outcome(kept, catalog.read(number)).groupBy("source_portal").agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("created", "updated", "unchanged")])
+    came = batch.groupBy("source_portal").agg(F.count("*").alias("came")).withColumnRenamed("source_portal", "portal")
+    rows = came.join(known, F.col("portal").eqNullSafe(F.col("source_portal")), "left").drop("source_portal").na.fill(0, ["created", "updated", "unchanged"])
+    return [Outcome(number, r["portal"], r["created"], r["updated"], r["unchanged"], r["came"] - r["created"] - r["updated"] - r["unchanged"]) for r in rows.orderBy("portal").collect()]
+
+
+def upsert_batch(catalog: Catalog, seen: str, *, order: list[str], now: Column, report: Callable[[list[Outcome]], None] | None = None) -> Callable[[DataFrame, int], None]:
     """ST4, ST6: a foreachBatch function: keep the first of each key, upsert, and record the seen keys.
 
     Version 0 must exist; batch n makes version n + 1 and writes its keys to seen/batch=n.
     Rows with a null key go to quarantine/batch=n (ST5). now is the run's time, the same
-    for all its batches, so that a batch run again gives the same rows.
+    for all its batches, so that a batch run again gives the same rows. report (E4) is told the
+    outcomes of each batch, a row for each of its portals, once the batch is in the table; of a batch run again
+    it is told again.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -40,6 +63,8 @@ def upsert_batch(catalog: Catalog, seen: str, *, order: list[str], now: Column)
         catalog.apply(good, number, now)
         good.select(*store.KEY).write.mode("overwrite").parquet(f"{seen}/batch={number}")
         batch.where(bad).write.mode("overwrite").parquet(f"{seen}-quarantine/batch={number}")
+        if report is not None:
+            report(outcomes(catalog, batch, good, number))
 
     return apply
 

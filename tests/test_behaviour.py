@@ -156,6 +156,48 @@ def test_redaction_at_any_depth(spark):
     assert [r.m for r in got] == ['{"a":[{"keep":{"b":3}}]}', None, None]
 
 
+def test_redaction_of_any_nesting(spark):
+    deep = "[" * 100_000 + '{"token":1,"k":2}' + "]" * 100_000
+    bad = ['{"a":1,}', "[1,]", "[,1]", '{"a" 1}', "{a:1}", "[1 2]", "[1]]", "]", "", '{"a":}', "01", "[1", '{"a":1', '"\x01"', '["\\x"]', "nul", '{"token":[}', '{"token":1 "b":2}', "{]", "[}"]
+    good = {
+        deep: deep.replace('"token":1,', ""), ' { "token" : {"x":[1]} , "b" : 1.0 } ': ' { "b" : 1.0 }', '{"b":1,"token":2}': '{"b":1}', '{"token":2}': "{}", '["token",{"TOKEN":1},{"t":"token"}]': '["token",{},{"t":"token"}]',
+        "12345678901234567890.10": "12345678901234567890.10", '{"to\\u006ben":1,"x":"\\ud800"}': '{"x":"\\ud800"}', "[]": "[]", '{"a":{"token":{"token":1}},"secret_":[{"q":1}],"z":[]}': '{"a":{},"z":[]}',
+    }
+    texts = [*good, *bad]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, m string").select("i", redact.deep(F.col("m"), ["token", "secret_*"]).alias("m")).orderBy("i").collect()
+    want = [w.rstrip(" ") for w in good.values()] + [None] * len(bad)
+    assert [r.m for r in got] == want
+
+
+def test_checksums_of_files_of_any_size(spark, tmp_path):
+    sizes = {"some": 1000, "large": 100_000, "more than two gigabytes": (2 << 30) + 5}
+    for name, size in sizes.items():
+        with open(tmp_path / name, "wb") as f:
+            f.write(b"x" * min(size, 1000))
+            f.truncate(size)
+    got = {r.file: (r.bytes, r.sha256) for r in scans.files(spark, str(tmp_path), whole=1000).collect()}
+    assert {k: v[0] for k, v in got.items()} == sizes
+    for name in sizes:
+        with open(tmp_path / name, "rb") as f:
+            assert got[name][1] == hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def test_outcomes_of_every_batch(spark, tmp_path):
+    rows = spark.createDataFrame([_row("1", "p", "x"), _row("2", "p", "y"), _row("1", "q", "z", content_hash=None)], CATALOG)
+    table = ingest.Catalog(spark, str(tmp_path / "table"))
+    table.write(rows, 0)
+    told = []
+    apply = ingest.upsert_batch(table, str(tmp_path / "seen"), order=["title"], now=F.current_timestamp(), report=told.append)
+    batches = [
+        [_row("1", "p", "x"), _row("2", "p", "new", content_hash="n"), _row("3", "p", "w"), _row("3", "p", "w"), _row("1", "q", "z")],
+        [_row("3", "p", "w"), _row(None, "p", "bad"), _row("2", "p", "new", content_hash="n")],
+    ]
+    for number, batch in enumerate(batches):
+        apply(spark.createDataFrame(batch, CATALOG), number)
+    one = ingest.Outcome
+    assert told == [[one(0, "p", 1, 1, 1, 1), one(0, "q", 0, 1, 0, 0)], [one(1, "p", 0, 0, 2, 1)]]
+
+
 def test_search_leaves_out_rows_without_vector(spark):
     rows = spark.createDataFrame([_row("1", "p", "x"), _row("2", "p", "y"), _row("3", "p", "z", stale=True)], CATALOG)
     vector = F.when(F.col("original_id") != "2", F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float")))
