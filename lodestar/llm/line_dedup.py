@@ -93,40 +93,57 @@ def _ends(batches: Iterator[pd.DataFrame], least_docs: int) -> Iterator[pd.DataF
         yield pd.concat((first, last), ignore_index=True)
 
 
+def _packed(rows: pd.DataFrame) -> pa.Buffer:
+    """Rows as compressed bytes: those of one document differ in their positions only."""
+    batch, out = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue()
+
+
+def _unpacked(rows: pa.Buffer) -> pd.DataFrame:
+    return pa.ipc.open_stream(rows).read_pandas()
+
+
 def lost(dealt: DataFrame, ends: dict[tuple[int, int], int | None], least_docs: int) -> DataFrame:
     """doc_id, text_key, pos and n_lines of the lines that go, from partitions sorted by key, falling document and position.
 
     A task streams its partition: a key's first document keeps its lines, the following
-    ones lose theirs once least_docs documents are met. What a task holds is a key's lines
-    of fewer documents than that. ends has the keys at partitions' ends, which may lie in
-    several: their keeper, or None if they aren't repeated.
+    ones lose theirs once least_docs documents are met. What a task holds until then are, compressed, a key's
+    lines of fewer documents than that without the first; each is looked at once. ends has the keys
+    at partitions' ends, which may lie in several: their keeper, or None if they aren't repeated.
     """
     columns = ["doc_id", "text_key", "pos", "n_lines"]
     shared = dealt.sparkSession.sparkContext.broadcast(ends)
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, settled = None, None
+        name, docs, last, held = None, 0, None, []  # the key that goes on, its documents so far, the latest, and lines that may go
         for pdf in batches:
             if not len(pdf):
                 continue
-            now = pdf if held is None else pd.concat((held, pdf), ignore_index=True)
-            key, rank = _ranks(now)
-            docs = np.maximum.reduceat(rank, np.flatnonzero(np.append(True, key[1:] != key[:-1])))
-            gone = (docs[key] >= least_docs) & (rank > 1)
-            heads = [(0, "first"), (key[-1], "last")]
-            for k, place in heads:
-                own = key == k
-                name = tuple(int(x) for x in now[own].iloc[0][["h", "g"]])
-                if name in shared.value:
-                    keeper = shared.value[name]
-                    gone[own] = False if keeper is None else now["doc_id"].to_numpy()[own] != keeper
-                elif name == settled:
-                    gone[own] = True
-                if place == "last":
-                    tail, known = own, name in shared.value or name == settled or docs[-1] >= least_docs
-                    settled = name if known and name not in shared.value else None
-            held = None if known else now[tail]
-            yield now.loc[gone if known else gone & ~tail, columns]
+            key, rank = _ranks(pdf)
+            doc = pdf["doc_id"].to_numpy(np.int64)
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            names = [tuple(int(x) for x in pdf.iloc[i][["h", "g"]]) for i in (0, start[-1])]
+            if names[0] == name:
+                rank[key == 0] += docs - int(doc[0] == last)
+            else:
+                held.clear()
+            met = np.maximum.reduceat(rank, start)
+            gone = (met[key] >= least_docs) & (rank > 1)
+            for k, own in ((0, names[0]), (key[-1], names[1])):
+                if own in shared.value:
+                    keeper = shared.value[own]
+                    gone[key == k] = False if keeper is None else doc[key == k] != keeper
+            if met[0] >= least_docs:
+                yield from map(_unpacked, held)
+                held.clear()
+            if len(start) > 1:
+                held.clear()
+            name, docs, last = names[1], int(met[-1]), doc[-1]
+            if name not in shared.value and docs < least_docs:
+                held.append(_packed(pdf.loc[(key == key[-1]) & (rank > 1), columns]))
+            yield pdf.loc[gone, columns]
 
     return dealt.mapInPandas(stream, "doc_id bigint, text_key bigint, pos int, n_lines int")
 
