@@ -20,6 +20,8 @@ SMOOTHING = 0.5
 ROUNDS = 8
 #: Log-likelihood, times the log of the number of words, that a further language must gain.
 PENALTY = 3.0
+#: Share below which a language has no part in a document, after two rounds; what rounding may add to a likelihood.
+LEAST_SHARE, SLACK = 1e-3, 1.0
 BLANK = np.uint32(32)
 
 
@@ -90,31 +92,51 @@ def _em(words: np.ndarray, first: np.ndarray, count: np.ndarray, allowed: np.nda
     return share, base + np.add.reduceat(np.log(total), first)
 
 
+def _columns(words: np.ndarray, chosen: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of each document's words the columns of its chosen languages."""
+    return np.take_along_axis(words, np.repeat(chosen, count, axis=0), axis=1)
+
+
 def mixture(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Language shares of each document from its words' log-likelihoods.
 
-    Expectation-maximisation over all languages orders them by share; then the sets of the
-    1, 2, ... largest are fitted anew, and the set of the best penalised likelihood stays.
+    Two rounds of expectation-maximisation over all languages leave a document those with a share of
+    LEAST_SHARE; the full number of rounds orders them. Then the sets of the 1, 2, ... largest are
+    fitted, and the set of the best penalised likelihood stays. No set is likelier than all
+    languages together, so a document is done once the penalty of a further language outweighs what it could gain:
+    few sets are fitted, however many languages there are.
     """
     n, k = len(first), words.shape[1]
-    share, value = _em(words, first, count, np.ones((n, k), np.float32), ROUNDS)
-    price = PENALTY * np.log(count + 1.0)
-    best, found = value - price * (k - 1), share
+    share, _ = _em(words, first, count, np.ones((n, k), np.float32), 2)
+    ranked = np.argsort(-share, axis=1, kind="stable")
+    width = max(1, int((share >= LEAST_SHARE).sum(axis=1).max(initial=1)))
+    ranked = np.sort(ranked[:, :width], axis=1)
+    words = words if width == k else _columns(words, ranked, count)
+    share, most = _em(words, first, count, np.ones((n, width), np.float32), ROUNDS)
     order = np.argsort(-share, axis=1, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(k)[None, :], axis=1)
-    for size in range(k - 1, 0, -1):
-        allowed = (rank < size).astype(np.float32)
-        if size == 1:
-            alone = np.add.reduceat(words.astype(np.float64), first, axis=0)
-            share, value = allowed, alone[np.arange(n), order[:, 0]]
+    price = PENALTY * np.log(count + 1.0)
+    best = np.add.reduceat(words.astype(np.float64), first, axis=0)[np.arange(n), order[:, 0]]
+    found = np.zeros((n, width), np.float32)
+    found[np.arange(n), order[:, 0]] = 1
+    for size in range(2, width + 1):
+        at = np.flatnonzero(most + SLACK - price * (size - 1) > best)
+        if not len(at):
+            break
+        if size == width:
+            fitted, value = share[at], most[at]
         else:
-            share, value = _em(words, first, count, allowed, ROUNDS // 2)
-        value = value - price * (size - 1)
-        better = value >= best
-        best = np.where(better, value, best)
-        found = np.where(better[:, None], share, found)
-    return found
+            some = np.zeros(n, bool)
+            some[at] = True
+            own, top = count[at], order[at, :size]
+            part, value = _em(_columns(words[np.repeat(some, count)], top, own), np.cumsum(own) - own, own, np.ones((len(at), size), np.float32), ROUNDS // 2)
+            fitted = np.zeros((len(at), width), np.float32)
+            np.put_along_axis(fitted, top, part, axis=1)
+        value = value - price[at] * (size - 1)
+        better = value > best[at]
+        best[at[better]], found[at[better]] = value[better], fitted[better]
+    out = np.zeros((n, k), np.float32)
+    np.put_along_axis(out, ranked, found, axis=1)
+    return out
 
 
 def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:

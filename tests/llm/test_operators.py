@@ -210,6 +210,30 @@ def test_language_mixture_and_edges(spark):
     assert len(got) == len(EDGE)
 
 
+def test_mixtures_of_a_hundred_languages():
+    """The time a word grows no faster than the languages, and mixtures of two are found among a hundred."""
+    import time
+
+    rng = np.random.default_rng(4)
+    took = {}
+    for k in (4, 100):
+        count = np.full(40, 250)
+        first = np.cumsum(count) - count
+        words = rng.normal(-12, 1, (count.sum(), k)).astype(np.float32)
+        for i, f in enumerate(first):
+            a, b = i % k, (i + 1) % k
+            words[f : f + 150, a] += 8
+            words[f + 150 : f + 250, b] += 8
+        share = langid.mixture(words, first, count)
+        assert (share.argmax(axis=1) == np.arange(40) % k).all()
+        assert np.allclose(share.max(axis=1), 0.6, atol=0.05) and ((share > 0.05).sum(axis=1) == 2).all()
+        began = time.perf_counter()
+        for _ in range(5):
+            langid.mixture(words, first, count)
+        took[k] = time.perf_counter() - began
+    assert took[100] <= 25 * took[4]
+
+
 # 2, 9: tokens
 
 
@@ -551,6 +575,36 @@ def test_bitmaps_are_small(spark):
     assert all(len(r.bitmap) < 30 for r in maps)
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_lines_over_many_batches(spark, batch):
+    """Lines repeated over several batches in two documents stay, in three they go."""
+    rng = random.Random(batch)
+    data = [(d, "\n".join(rng.choice(["two documents hold this line", "three documents hold this line", "one document holds this line", f"line {d} of its own, very long"]) for _ in range(150)), "en", "a") for d in (7, 8, 9)]
+    data[0] = (7, data[0][1].replace("two documents", "no two documents"), "en", "a")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    line_dedup.small_batches, kept = lambda d: d, line_dedup.small_batches
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        assert Counter(map(tuple, line_dedup.line_report(make(spark, data)).collect())) == _lines_by_hand(data)
+    finally:
+        line_dedup.small_batches = kept
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_a_line_repeated_a_million_times_is_read_once(spark):
+    import time
+
+    columns = [F.lit(x).cast("bigint").alias(c) for c, x in (("h", 1), ("g", 2), ("doc_id", 5))]
+    dealt = spark.range(0, 1_000_000, 1, 1).select(*columns, F.col("id").cast("int").alias("pos"), F.lit(1).cast("bigint").alias("text_key"), F.lit(1_000_000).alias("n_lines"))
+    other = dealt.withColumn("doc_id", F.lit(4).cast("bigint"))
+    began = time.perf_counter()
+    assert line_dedup.lost(dealt.union(other).coalesce(1), {}, 3).count() == 0
+    assert time.perf_counter() - began < 30
+    third = dealt.limit(2).withColumn("doc_id", F.lit(3).cast("bigint"))
+    assert line_dedup.lost(dealt.union(other).union(third).coalesce(1), {}, 3).count() == 1_000_002
+
+
 # 6: licences
 
 
