@@ -7,8 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from lodestar.functions.text import content_hash
 from lodestar.operators.curate import is_pending, is_searchable
@@ -37,20 +40,95 @@ def with_norm(vectors: DataFrame) -> DataFrame:
 def search(catalog: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """For each query (query_id, query) the searchable rows of the largest cosine, score as float.
 
-    Ties go to the smaller id. At most MOST_LIMIT rows for each query. Queries that are
-    counted to be few are broadcast; more go to each slot that the rows are dealt to. Every
-    task keeps the best rows of each query before these are shuffled.
+    Ties go to the smaller id, rows without a cosine (a zero vector) come last. At most MOST_LIMIT rows for each
+    query. Up to BROADCAST_QUERIES queries are sent to all tasks, which take ids and vectors alone
+    in blocks and keep the best of each query; the columns shown are read for what is left, at
+    most queries x limit rows. More queries go to each slot that the rows are dealt to.
     """
     limit = max(1, min(limit, MOST_LIMIT))
+    asked = queries.select("query_id", "query").limit(BROADCAST_QUERIES + 1).collect()
+    if len(asked) > BROADCAST_QUERIES:
+        return _search_many(catalog, queries, limit)
+    rows = catalog.where(is_searchable())
+    kind = queries.schema["query_id"].dataType
+    found = rows.select("id", "embedding").mapInArrow(_best(asked, limit, kind), f"query_id {kind.simpleString()}, id string, similarity_score float")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc_nulls_last(), "id"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= limit)
+    shown = rows.select(*PROJECTION).join(F.broadcast(best), "id")  # at most BROADCAST_QUERIES x MOST_LIMIT rows
+    return shown.select("query_id", *PROJECTION, "similarity_score", "rank")
+
+
+def _best(asked: list, limit: int, kind: DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches (id, embedding) that gives the best rows of each query in a partition."""
+    arrow = to_arrow_type(kind)
+    by_size: dict[int, list] = {}
+    for q in asked:
+        if q["query"] is not None:
+            by_size.setdefault(len(q["query"]), []).append(q)
+    blocks = {d: (pa.array([q["query_id"] for q in own], arrow), np.array([q["query"] for q in own], np.float64).reshape(len(own), d)) for d, own in by_size.items()}
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {d: Best(matrix, limit) for d, (_, matrix) in blocks.items()}
+        for batch in batches:
+            vectors = batch.column(1)
+            ends = vectors.offsets.to_numpy()
+            sizes, flat = np.diff(ends), vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for d, best in kept.items():
+                at = np.flatnonzero(sizes == d)
+                if len(at):
+                    best.add(ids[at], flat[ends[at][:, None] + np.arange(d)])
+        for d, best in kept.items():
+            query, row, score = best.result()
+            columns = [blocks[d][0].take(pa.array(query, pa.int64())), pa.array(row, pa.string()), pa.array(score, pa.float32(), mask=np.isnan(score))]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "similarity_score"])
+
+    return apply
+
+
+class Best:
+    """The rows of the largest cosine with each query so far; equal scores by id, rows without a score last."""
+
+    def __init__(self, queries: np.ndarray, limit: int) -> None:
+        self.queries, self.limit = queries, limit
+        with np.errstate(invalid="ignore", divide="ignore"):
+            self.unit = queries / np.sqrt((queries**2).sum(axis=1, keepdims=True))
+        self.rows: list[list[tuple[float, str]]] = [[] for _ in queries]  # (-score, id); no score is infinite
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Meet more rows: one product of matrices tells which may be among the best, and those are scored exactly."""
+        with np.errstate(invalid="ignore", divide="ignore"):
+            norms = np.sqrt((x**2).sum(axis=1))
+            rough = self.unit @ (x / norms[:, None]).T
+        rough[~np.isfinite(rough)] = -2
+        for q, near in enumerate(rough):
+            own = self.rows[q]
+            floor = -own[-1][0] if len(own) >= self.limit else -np.inf
+            if len(near) > self.limit:
+                floor = max(floor, np.partition(near, -self.limit)[-self.limit])
+            at = np.flatnonzero(near >= floor - 1e-6)
+            if not len(at):
+                continue
+            with np.errstate(invalid="ignore", divide="ignore"):
+                exact = (x[at] * self.queries[q]).sum(axis=1) / (norms[at] * np.sqrt((self.queries[q] ** 2).sum()))
+            score = exact.astype(np.float32).astype(np.float64)
+            score[np.isnan(score)] = -np.inf
+            self.rows[q] = sorted([*own, *zip((-score).tolist(), ids[at].tolist(), strict=True)])[: self.limit]
+
+    def result(self) -> tuple[np.ndarray, list[str], np.ndarray]:
+        query = np.repeat(np.arange(len(self.rows)), [len(own) for own in self.rows])
+        score = np.array([-s for own in self.rows for s, _ in own], np.float32)
+        score[np.isneginf(score)] = np.nan
+        return query, [i for own in self.rows for _, i in own], score
+
+
+def _search_many(catalog: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     rows = with_norm(catalog.where(is_searchable()))
     asked = queries.withColumn("query_norm", F.sqrt(dot(F.col("query"), F.col("query"))))
-    if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        met = rows.join(F.broadcast(asked), F.size("embedding") == F.size("query"))
-    else:
-        slots = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        sent = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-        dealt = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int"))
-        met = dealt.join(sent, "slot").where(F.size("embedding") == F.size("query"))
+    slots = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    dealt = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int"))
+    met = dealt.join(sent, "slot").where(F.size("embedding") == F.size("query"))
     score = (dot(F.col("embedding"), F.col("query")) / F.nullif(F.col("norm") * F.col("query_norm"), F.lit(0.0))).cast("float")
     scored = met.select("query_id", *PROJECTION, score.alias("similarity_score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc_nulls_last(), "id"))

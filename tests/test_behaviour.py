@@ -216,6 +216,26 @@ def test_many_queries_give_the_same_result(spark, monkeypatch):
     assert sorted(map(tuple, search.search(rows, asked, 4).collect())) == want
 
 
+def test_search_equals_brute_force_over_blocks(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-2, 3, (700, 4)).astype(float)
+    rows = spark.createDataFrame([(*_row(str(i), "p", "x")[:9], v.tolist(), *_row("", "p", "x")[10:]) for i, v in enumerate(vectors)], CATALOG)
+    rows = rows.unionByName(rows.limit(1).withColumns({"id": F.lit("p|none"), "embedding": F.array(F.lit(1.0).cast("float"), F.lit(None), F.lit(0.0).cast("float"), F.lit(0.0).cast("float"))}))
+    asked = [(q, rng.integers(-2, 3, 4).astype(float).tolist()) for q in range(5)] + [(5, [0.0] * 4), (6, [1.0, 2.0])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        found = search.search(rows, spark.createDataFrame(asked, "query_id int, query array<float>"), 40).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q, vector in asked[:6]:
+        own = [(r.rank, r.id) for r in sorted(found, key=lambda r: r.rank) if r.query_id == q]
+        norm = lambda v: float(np.sqrt((np.array(v) ** 2).sum()))
+        score = [np.float32(v @ np.array(vector) / (norm(v) * norm(vector))) if norm(v) * norm(vector) else -np.inf for v in vectors]
+        want = sorted([(-s, f"p|{i}") for i, s in enumerate(score)] + [(np.inf, "p|none")])[:40]
+        assert own == [(k, i) for k, (_, i) in enumerate(want, 1)]
+    assert not [r for r in found if r.query_id == 6]
+
+
 def test_provider_must_answer_every_text(spark):
     rows = spark.createDataFrame([_row("1", "p", "x")], CATALOG)
     with pytest.raises(Exception, match="0 vectors for 1 texts"):
