@@ -131,6 +131,44 @@ original software.
 
 3. This notice may not be removed or altered from any source distribution."""
 
+MIT_ZERO_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
+code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all
+copyright interest in the software to the public domain. We make this dedication for the benefit of the
+public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt
+act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""
+UNLICENSE_LINKS = ["http://unlicense.org/", "http://unlicense.org", "https://unlicense.org/", "https://unlicense.org"]
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+and accompanying documentation covered by this license (the "Software") to use, reproduce, display,
+distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to
+permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this
+restriction and the following disclaimer, must be included in all copies of the Software, in whole or in
+part, and all derivative works of the Software, unless such copies or derivative works are solely in the
+form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT.
+IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR
+OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
 #: Public licence texts, without their titles and copyright lines (fixed values).
 TEXTS = [
     ("MIT", MIT_GRANT),
@@ -139,9 +177,15 @@ TEXTS = [
     ("BSD-2-Clause", BSD_TERMS + BSD_WARRANTY),
     ("BSD-3-Clause", BSD_TERMS + BSD_NAMES + BSD_WARRANTY),
     ("Zlib", ZLIB),
+    ("MIT-0", MIT_ZERO_GRANT + MIT_GRANT[MIT_GRANT.index("THE SOFTWARE") :]),
+    ("Unlicense", UNLICENSE),
+    *(("Unlicense", f"{UNLICENSE}\n\nFor more information, please refer to <{link}>") for link in UNLICENSE_LINKS),
+    ("BSL-1.0", BOOST),
 ]
 #: Titles that may stand above a licence text.
-TITLES = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
+TITLES = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"} | {
+    "MIT-0": "MIT No Attribution", "Unlicense": "The Unlicense", "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003",
+}
 
 
 #: SHA-256 of the canonical and of the wrapped form of long public licence texts (fixed values): as published ("whole"),
@@ -217,7 +261,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     digest is the SHA-256 of the whole text in canonical form, license_id the known
     licence that has the same one (of several the smallest), else the one that has the same
     form by wrapped_lines(), if only one has (null: none). The default table holds the whole
-    texts of TEXTS (MIT, ISC, 0BSD, BSD-2-Clause, BSD-3-Clause, Zlib), the digests of those of
+    texts of TEXTS (MIT, ISC, 0BSD, BSD-2-Clause, BSD-3-Clause, Zlib, MIT-0, Unlicense, BSL-1.0), the digests of those of
     DIGESTS (Apache, GPL, LGPL, GFDL, MPL, CC0, Artistic) and the notices of NAMES; the
     whole texts of AGPL-3.0 and of the other CC licences aren't in it and get no license_id
     unless known brings them. notices are the
