@@ -6,6 +6,7 @@ at once; the same expression made of column objects took ten times as long to bu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,15 @@ NODE = _struct(dict.fromkeys(NODE_KEYS, "variant") | _TAIL)
 METADATA = _struct(dict.fromkeys(SHAPE_KEYS, "variant") | {"fields": f"array<{FIELD_NODE}>"} | dict.fromkeys(LISTS, f"array<{NODE}>"))
 #: A node's fields by number: some names differ in case only, which a struct's names can't.
 NUMBERED = _struct({f"k{i}": "variant" for i in range(len(NODE_KEYS))} | _TAIL)
+#: The same, texts being read as strings, for metadata that holds lists of resources alone.
+PLAIN_FIELD = _struct(dict.fromkeys(FIELD_KEYS, "string"))
+_PLAIN_TAIL = {"schema": _struct({"fields": f"array<{PLAIN_FIELD}>"}), "fields": f"array<{PLAIN_FIELD}>"}
+PLAIN_NODE = _struct(dict.fromkeys(NODE_KEYS, "string") | _PLAIN_TAIL)
+PLAIN_NUMBERED = _struct({f"k{i}": "string" for i in range(len(NODE_KEYS))} | _PLAIN_TAIL)
+TABLE_KEYS = ["metas", "resource", "stac_version", "properties", "sdmx"]
+PLAIN = _struct(dict.fromkeys(TABLE_KEYS, "variant") | dict.fromkeys(LISTS, f"array<{PLAIN_NODE}>"))
+#: What the text of a value that is no string begins with, in any line: a number, an object, a list or a truth value as a whole.
+NO_STRING = r"(?m)^(-?[0-9][0-9.]*([eE][-+]?[0-9]+)?$|[{\[]|true$|false$)"
 NO_FIELDS = f"cast(array() AS array<{FIELD}>)"
 NO_RESOURCES = f"cast(array() AS array<{RESOURCE}>)"
 
@@ -104,7 +114,27 @@ def _field_list(nodes: str) -> str:
     return f"coalesce(filter(transform({nodes}, c -> {one}), f -> f.name IS NOT NULL), {NO_FIELDS})"
 
 
-def _node() -> str:
+def _plain_field_list(nodes: str) -> str:
+    """R7 where all texts are strings (PLAIN_FIELD)."""
+    first = lambda *keys: "coalesce(" + ", ".join(_non_blank(f"c.`{k}`") for k in keys) + ")"
+    one = f"cast(struct({first('name', 'id')}, {first('type', 'datastore_type')}, {first('description', 'title', 'label')}) AS {FIELD})"
+    return f"coalesce(filter(transform({nodes}, c -> {one}), f -> f.name IS NOT NULL), {NO_FIELDS})"
+
+
+def _plain_texts(struct: str, name: str, groups: list[tuple[bool, list[str]]], use: str) -> str:
+    """_texts() where all texts are strings: use, in which name[i] is the first one of group i that isn't blank."""
+    values = ", ".join("coalesce(" + ", ".join([_non_blank(f"{struct}`{k}`") for k in keys] + ["NULL"]) + ")" for _, keys in groups)
+    return _let(f"array({values})", name, use)
+
+
+def _all_strings(node: str) -> str:
+    """Whether all texts of a node (PLAIN_NUMBERED) and of its fields are strings; a text that only looks otherwise is none."""
+    looks = lambda struct, keys: f"concat_ws('\n', {', '.join(f'{struct}.`{k}`' for k in keys)}) RLIKE r'{NO_STRING}'"
+    own = looks(node, [f"k{i}" for i in range(len(NODE_KEYS))])
+    return f"NOT ({own} OR coalesce(exists(coalesce({node}.schema.fields, {node}.fields), c -> {looks('c', FIELD_KEYS)}), false))"
+
+
+def _node(texts: Callable[..., str] = _texts, field_list: Callable[[str], str] = _field_list) -> str:
     """One resource or distribution node n (NUMBERED)."""
     number = lambda refs, *keys: (refs, [f"k{NODE_KEYS.index(k)}" for k in keys])
     groups = [
@@ -117,9 +147,9 @@ def _node() -> str:
         "x[0]",
         f"coalesce(CASE WHEN contains(x[1], '://') THEN element_at(split(regexp_replace(x[1], '/+$', ''), '/'), -1) ELSE x[1] END, CASE WHEN {mime} THEN NULL {services} END)",
         f"coalesce(x[2], CASE WHEN {mime} THEN btrim(split_part(x[5], ';', 1), '{WHITE}') END)",
-        "x[3]", "x[4]", _field_list("coalesce(n.schema.fields, n.fields)"),
+        "x[3]", "x[4]", field_list("coalesce(n.schema.fields, n.fields)"),
     )
-    return _texts("n.", "x", groups, made)
+    return texts("n.", "x", groups, made)
 
 
 def _opendatasoft_table() -> str:
@@ -175,11 +205,20 @@ def resources_sql(metadata: str) -> str:
     """All resources of a metadata variant, in a fixed order of shapes."""
     there = lambda key, made: f"CASE WHEN m.`{key}` IS NOT NULL THEN {made} ELSE {NO_RESOURCES} END"
     table = _let(there("metas", _opendatasoft_table()), "o", f"CASE WHEN size(o) > 0 THEN o ELSE {there('resource', _socrata_table())} END")
-    lists = ", ".join(f"cast(m.`{k}` AS array<{NUMBERED}>)" for k in LISTS)
-    nodes = f"filter(flatten(filter(array({lists}), x -> x IS NOT NULL)), n -> n IS NOT NULL)"
-    listed = _kept(f"transform({nodes}, n -> {_node()})")
+    listed = _kept(f"transform({_nodes('m', NUMBERED)}, n -> {_node()})")
     shapes = [table, there("stac_version", _stac_assets()), there("properties", _arcgis_service()), there("sdmx", _sdmx_endpoint()), listed]
-    return f"coalesce({_let(_get(metadata, METADATA), 'm', f'concat({", ".join(shapes)})')}, {NO_RESOURCES})"
+    any_shape = f"coalesce({_let(_get(metadata, METADATA), 'm', f'concat({", ".join(shapes)})')}, {NO_RESOURCES})"
+    # most metadata holds lists of resources with texts alone; they are read at once
+    plain = _kept(f"transform(ns, n -> {_node(_plain_texts, _plain_field_list)})")
+    only_lists = " AND ".join(f"p.`{k}` IS NULL" for k in TABLE_KEYS)
+    chosen = f"CASE WHEN {only_lists} AND forall(ns, n -> {_all_strings('n')}) THEN {plain} ELSE {any_shape} END"
+    return _let(_get(metadata, PLAIN), "p", _let(_nodes("p", PLAIN_NUMBERED), "ns", chosen))
+
+
+def _nodes(metadata: str, kind: str) -> str:
+    """The nodes of all lists, in their fixed order."""
+    lists = ", ".join(f"cast({metadata}.`{k}` AS array<{kind}>)" for k in LISTS)
+    return f"filter(flatten(filter(array({lists}), x -> x IS NOT NULL)), n -> n IS NOT NULL)"
 
 
 def resources_of(name: str) -> Column:
