@@ -198,6 +198,26 @@ def test_outcomes_of_every_batch(spark, tmp_path):
     assert told == [[one(0, "p", 1, 1, 1, 1), one(0, "q", 0, 1, 0, 0)], [one(1, "p", 0, 0, 2, 1)]]
 
 
+def test_texts_that_look_like_other_values(spark):
+    """Strings count whatever they look like, other values don't, alone and beside plain nodes, in names, fields and all lists."""
+    texts = ["2024 data", "5", "-1.5e3", "true", "{x}", "[y]", "a\n5", " plain "]
+    docs, want = [], []
+    for i, text in enumerate(texts):
+        node = {"name": text, "format": "CSV", "schema": {"fields": [{"id": text, "type": text}]}}
+        docs.append(json.dumps({"resources": [{"title": "t", "url": "https://x"}, node], "distribution": [{"title": text}]}))
+        own = text.strip()
+        want.append([("t", []), (own, [(own, own)]), (own, [])])
+    for odd in (5, -0.5, True, None, {"a": 1}, {"@value": "v"}, [None, "w"], ["", {"@value": "v2"}]):
+        docs.append(json.dumps({"resources": [{"title": "t", "url": "https://x"}, {"name": odd, "format": "CSV", "fields": [{"name": odd}, {"name": "f"}]}]}))
+        own = {"{'@value': 'v'}": "v", "[None, 'w']": "w", "['', {'@value': 'v2'}]": "v2"}.get(str(odd))
+        want.append([("t", []), (own, [(own, None)] * bool(own) + [("f", None)])])
+    docs += ["[1]", "5", "{}", '{"resources":{}}', '{"resources":[1,"x",null]}', "no json"]
+    want += [[]] * 6
+    rows = spark.createDataFrame(list(enumerate(docs)), "i int, metadata string")
+    got = {r.i: [(x.name, [(f.name, f.type) for f in x.fields]) for x in r.resources] for r in resources.with_resources(rows).collect()}
+    assert [got[i] for i in range(len(docs))] == want
+
+
 def test_search_leaves_out_rows_without_vector(spark):
     rows = spark.createDataFrame([_row("1", "p", "x"), _row("2", "p", "y"), _row("3", "p", "z", stale=True)], CATALOG)
     vector = F.when(F.col("original_id") != "2", F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float")))
