@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import without_trailing_slashes
 
-#: Rows of a dimension under which it is sent to every task; a larger one is joined by shuffle.
-SMALL_ROWS = 100_000
+#: Rows and bytes of text up to which a dimension is sent to every task; a larger one is joined by shuffle.
+SMALL_ROWS, SMALL_BYTES = 100_000, 32 << 20
 
 
 def small(dimension: DataFrame) -> DataFrame:
-    """The dimension, marked for broadcast only if it has been counted to be small."""
-    return F.broadcast(dimension) if dimension.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else dimension
+    """The dimension, marked for broadcast only if it has been measured to be small, in rows and in bytes."""
+    text = F.octet_length(F.to_json(F.struct("*")))
+    size = dimension.limit(SMALL_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(dimension) if size["n"] <= SMALL_ROWS and size["bytes"] <= SMALL_BYTES else dimension
 
 
 def aliases(portals: DataFrame) -> DataFrame:

@@ -218,6 +218,26 @@ def test_texts_that_look_like_other_values(spark):
     assert [got[i] for i in range(len(docs))] == want
 
 
+def test_dimensions_are_sent_only_if_small(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    dimension = spark.range(10).select("id", F.repeat(F.lit("x"), F.lit(100)).alias("t"))
+    join = lambda: plan(spark.range(5).join(dedupe.small(dimension), "id"))
+    assert "strategy=broadcast" in join()
+    monkeypatch.setattr(dedupe, "SMALL_BYTES", 1000)
+    assert "strategy=broadcast" not in join()
+    monkeypatch.setattr(dedupe, "SMALL_BYTES", 10_000)
+    monkeypatch.setattr(dedupe, "SMALL_ROWS", 9)
+    assert "strategy=broadcast" not in join()
+
+
+def test_always_reprocess_policy(spark):
+    known = spark.createDataFrame([_row("1", "p", "x"), _row("2", "p", "y", content_hash=None)], CATALOG)
+    came = spark.createDataFrame([_row("1", "p", "x"), _row("2", "p", "y"), _row("3", "p", "z")], CATALOG)
+    of = lambda **k: {r.original_id: r.outcome for r in store.with_outcome(came, known, **k).collect()}
+    assert of() == {"1": "unchanged", "2": "updated", "3": "created"}
+    assert of(always=True) == {"1": "updated", "2": "updated", "3": "created"}
+
+
 def test_search_leaves_out_rows_without_vector(spark):
     rows = spark.createDataFrame([_row("1", "p", "x"), _row("2", "p", "y"), _row("3", "p", "z", stale=True)], CATALOG)
     vector = F.when(F.col("original_id") != "2", F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float")))
