@@ -314,6 +314,18 @@ def n11_union_all(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source_portal", "record_kind").agg(F.count("*").alias("n"))
 
 
+@query
+def w2_first_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page comes once more at the end of the run, in another language: of each id the first page's record stays."""
+    out = None
+    for family in ("socrata", "opendatasoft", "arcgis"):
+        pages = payload_fixtures.pages(spark, d, family)
+        again = pages.withColumns({"page": F.col("page") + 1_000_000, "language": F.lit("fr")})
+        rows = normalize.FAMILIES[family](payloads.records(pages.unionByName(again), family)).drop("metadata", "modified")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # filters and projections
 
 

@@ -333,6 +333,7 @@ SQL: dict[str, str] = NORMALIZED | {
     "v4_outcome": f"{J} SELECT portal_url, count(*) FILTER (WHERE status IN ('failed', 'cancelled')) AS bad, count(*) FILTER (WHERE status IN ('failed', 'cancelled')) = 0 AS success FROM jobs GROUP BY 1",
     "v5_title_overlap": f"""{CD}, t AS (SELECT DISTINCT lower(title) AS title_key, canonical_portal FROM canonical) SELECT t.canonical_portal, count(*) AS titles, count(d.title_key) AS shared, round(count(d.title_key) / count(*)::DOUBLE, 4) AS share
       FROM t LEFT JOIN duplicates d ON d.title_key = t.title_key GROUP BY 1""",
+    "w2_first_pages": " UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in (N_SOCRATA, N_ODS, N_ARCGIS)),
     "st6_runs": f"{C} SELECT original_id, source = 'src3' OR (doc_id % 4 = 1 AND (source <> 'src2' OR doc_id % 10 = 3)) AS is_stale FROM catalog",
     "st5_partial_run": f"""{C} SELECT 'partial' AS status, count(*) FILTER (WHERE doc_id % 10 = 5) AS synced, count(*) FILTER (WHERE doc_id % 10 = 0) AS skipped, CAST(0 AS BIGINT) AS failed, false AS may_retire,
       count(*) AS rows, count(*) FILTER (WHERE is_stale AND doc_id % 10 <> 5) AS stale, count(*) FILTER (WHERE doc_id % 10 = 5) AS fresh FROM catalog""",
