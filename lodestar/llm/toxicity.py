@@ -15,6 +15,8 @@ from lodestar.llm.common import Layout, chunks, held_out, mixed, run_hashes, sma
 
 #: Hash space of the features; the bias has the index after the last.
 BITS = 20
+#: Characters whose features a task lays out at a time; each takes some 60 bytes.
+CHUNK = 250_000
 #: Most labelled documents of each class that training reads.
 MOST_PER_CLASS = 4000
 EPOCHS = 6
@@ -43,7 +45,7 @@ class Weights:
             return np.zeros(len(texts))
         dense = np.zeros(1 << BITS)
         dense[self.index] = self.weight
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, CHUNK):
             for feature, owner in features(texts[a:b]):
                 hit = np.flatnonzero(dense[feature])
                 both = np.unique(owner[hit] << BITS | feature[hit])  # presence: once for each text
@@ -76,7 +78,7 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def feature_sets(texts: list[str]) -> list[np.ndarray]:
     """The distinct feature indices of each text."""
     out: list[np.ndarray] = []
-    for a, b in chunks(texts):
+    for a, b in chunks(texts, CHUNK):
         parts = [owner << BITS | feature for feature, owner in features(texts[a:b])]
         both = np.unique(np.concatenate(parts))
         cuts = np.searchsorted(both, np.arange(1, b - a) << BITS)
