@@ -929,7 +929,11 @@ def st5_partial_run(spark: SparkSession, d: str) -> DataFrame:
     done = ingest.run(ingest.landed(spark, land, landed.schema), ingest.upsert_batch(table, seen, order=["content_hash"], now=F.expr(NOW)), _shared(spark, "progress"))
     status = ingest.run_status(spark, seen, truncated=True)
     final = ingest.finish(table, done.lastProgress["batchId"] + 1, seen, complete=status.first()["may_retire"])
-    return status.join(final.agg(F.count("*").alias("rows"), F.count_if("is_stale").alias("stale"), F.count_if(F.col("last_updated_at") == F.expr(NOW)).alias("fresh")), F.lit(True))
+    at_now = F.col("last_updated_at").eqNullSafe(F.expr(NOW))
+    before = table.read(0).where(at_now).select(*store.KEY, F.lit(True).alias("before"))  # rows that had the run's time already aren't fresh
+    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"b.{k}")) for k in store.KEY]
+    marked = final.alias("f").join(before.alias("b"), same, "left")
+    return status.join(marked.agg(F.count("*").alias("rows"), F.count_if("is_stale").alias("stale"), F.count_if(at_now & F.col("before").isNull()).alias("fresh")), F.lit(True))
 
 
 @query
