@@ -17,8 +17,10 @@ from lodestar.functions.text import content_hash
 from lodestar.operators.curate import is_pending, is_searchable
 
 DEFAULT_LIMIT, MOST_LIMIT = 10, 100
-#: Queries that are sent to every task as one broadcast; more of them are joined by shuffle.
+#: Queries that are sent to every task as one broadcast; more of them meet the rows in blocks.
 BROADCAST_QUERIES = 1000
+#: Queries and rows of a block, about, and rows that meet a block's queries at a time.
+BLOCK_QUERIES, BLOCK_ROWS, STEP_ROWS = 1000, 20_000, 5000
 PROJECTION = ["id", "title", "description", "url", "source_portal", "record_kind"]
 
 
@@ -43,19 +45,30 @@ def search(catalog: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -
     Ties go to the smaller id, rows without a cosine (a zero vector) come last. At most MOST_LIMIT rows for each
     query. Up to BROADCAST_QUERIES queries are sent to all tasks, which take ids and vectors alone
     in blocks and keep the best of each query; the columns shown are read for what is left, at
-    most queries x limit rows. More queries go to each slot that the rows are dealt to.
+    most queries x limit rows. More queries are dealt to blocks, as are the rows, and each block of
+    queries meets each of rows in the same way, a pair of blocks at a time.
     """
     limit = max(1, min(limit, MOST_LIMIT))
     asked = queries.select("query_id", "query").limit(BROADCAST_QUERIES + 1).collect()
     if len(asked) > BROADCAST_QUERIES:
-        return _search_many(catalog, queries, limit)
+        return _search_many(catalog.where(is_searchable()), queries.select("query_id", "query"), limit)
     rows = catalog.where(is_searchable())
     kind = queries.schema["query_id"].dataType
-    found = rows.select("id", "embedding").mapInArrow(_best(asked, limit, kind), f"query_id {kind.simpleString()}, id string, similarity_score float")
+    found = rows.select("id", "embedding").mapInArrow(_best(asked, limit, kind), _found(kind))
+    return _with_columns_shown(rows, F.broadcast(_ranked(found, limit)))  # at most BROADCAST_QUERIES x MOST_LIMIT rows
+
+
+def _ranked(found: DataFrame, limit: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc_nulls_last(), "id"))
-    best = found.withColumn("rank", rank).where(F.col("rank") <= limit)
-    shown = rows.select(*PROJECTION).join(F.broadcast(best), "id")  # at most BROADCAST_QUERIES x MOST_LIMIT rows
-    return shown.select("query_id", *PROJECTION, "similarity_score", "rank")
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def _with_columns_shown(rows: DataFrame, best: DataFrame) -> DataFrame:
+    return rows.select(*PROJECTION).join(best, "id").select("query_id", *PROJECTION, "similarity_score", "rank")
+
+
+def _found(kind: DataType) -> str:
+    return f"query_id {kind.simpleString()}, id string, similarity_score float"
 
 
 def _best(asked: list, limit: int, kind: DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -122,17 +135,22 @@ class Best:
         return query, [i for own in self.rows for _, i in own], score
 
 
-def _search_many(catalog: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    rows = with_norm(catalog.where(is_searchable()))
-    asked = queries.withColumn("query_norm", F.sqrt(dot(F.col("query"), F.col("query"))))
-    slots = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    dealt = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int"))
-    met = dealt.join(sent, "slot").where(F.size("embedding") == F.size("query"))
-    score = (dot(F.col("embedding"), F.col("query")) / F.nullif(F.col("norm") * F.col("query_norm"), F.lit(0.0))).cast("float")
-    scored = met.select("query_id", *PROJECTION, score.alias("similarity_score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc_nulls_last(), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
+def _search_many(rows: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """The search for any number of queries: a task holds one block of rows and one of queries, whatever the number of either."""
+    kind = queries.schema["query_id"].dataType
+    slots, blocks = (max(1, -(-table.count() // most)) for table, most in ((rows.select("id"), BLOCK_ROWS), (queries, BLOCK_QUERIES)))
+    place = lambda n, *columns: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = rows.select("id", "embedding", place(slots, "id").alias("slot")).withColumn("block", every(blocks))
+    sent = queries.withColumn("block", place(blocks, "query_id", "query")).withColumn("slot", every(slots))
+
+    def meet(own: pa.Table, asked: pa.Table) -> pa.Table:
+        batches = own.select(["id", "embedding"]).to_batches(max_chunksize=STEP_ROWS)
+        out = list(_best(asked.select(["query_id", "query"]).to_pylist(), limit, kind)(iter(batches)))
+        return pa.Table.from_batches(out, pa.schema([("query_id", to_arrow_type(kind)), ("id", pa.string()), ("similarity_score", pa.float32())]))
+
+    found = dealt.groupBy("slot", "block").cogroup(sent.groupBy("slot", "block")).applyInArrow(meet, _found(kind))
+    return _with_columns_shown(rows, _ranked(found, limit))
 
 
 def pending(catalog: DataFrame, limit: int | None = None) -> DataFrame:

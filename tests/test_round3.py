@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from lodestar.operators import search
 from lodestar.plans import registry
 from tests.conftest import SF
 from tests.oracle import connect, rows
@@ -30,3 +32,14 @@ def test_a_row_that_has_the_runs_time_before_it_is_not_fresh(spark, tmp_path):
     """Document 217440 was last updated at the time of the run that doesn't touch it."""
     later = lambda t: t.unionByName(t.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 217_430))
     _agrees(spark, _tables(spark, tmp_path, documents=later), "st5_partial_run")
+
+
+def test_many_queries_meet_rows_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    given = [(f"i{i}", "t", "d", "u", "p", "dataset", False, [float(x) for x in v]) for i, v in enumerate(rng.integers(-3, 4, (60, 3)))]
+    rows = spark.createDataFrame(given, "id string, title string, description string, url string, source_portal string, record_kind string, is_stale boolean, embedding array<float>")
+    asked = spark.createDataFrame([(q, [float(x) for x in v]) for q, v in enumerate(rng.integers(-3, 4, (30, 3)))], "query_id int, query array<float>")
+    want = sorted(map(tuple, search.search(rows, asked, 4).collect()), key=str)
+    for name, n in (("BROADCAST_QUERIES", 0), ("BLOCK_QUERIES", 7), ("BLOCK_ROWS", 11), ("STEP_ROWS", 3)):
+        monkeypatch.setattr(search, name, n)
+    assert sorted(map(tuple, search.search(rows, asked, 4).collect()), key=str) == want
