@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestar.operators import search
 from lodestar.plans import registry
+from lodestar.sources import xml
 from tests.conftest import SF
 from tests.oracle import connect, rows
 
@@ -43,3 +45,13 @@ def test_many_queries_meet_rows_in_blocks(spark, monkeypatch):
     for name, n in (("BROADCAST_QUERIES", 0), ("BLOCK_QUERIES", 7), ("BLOCK_ROWS", 11), ("STEP_ROWS", 3)):
         monkeypatch.setattr(search, name, n)
     assert sorted(map(tuple, search.search(rows, asked, 4).collect()), key=str) == want
+
+
+def test_xml_rows_go_out_in_pieces(spark):
+    taken = []
+    given = ({"identifier": str(taken.append(i) or i)} for i in range(2 * xml.PIECE + 3))
+    pieces = xml._in_pieces(given, xml._RECORD)
+    assert next(pieces).num_rows == xml.PIECE and len(taken) == xml.PIECE
+    assert [p.num_rows for p in pieces] == [xml.PIECE, 3]
+    pages = xml._pages(iter([pa.RecordBatch.from_pylist([{"body": "a"}, {"body": None}]), pa.RecordBatch.from_pylist([{"body": "b"}])]))
+    assert [p["body"] for p in pages] == ["a", None, "b"]
