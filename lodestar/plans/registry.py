@@ -530,8 +530,10 @@ def a9_portal_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def a9_portal_top_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """The largest format and media type of each portal, and what the others make."""
-    return quality.portal_top_buckets(quality.portal_buckets(_resource_snapshot(spark, d)), 1)
+    """The largest format and media type of each portal, and what the others make; the sizes are written, as in a snapshot, so that resources are derived once."""
+    folder = _shared(spark, "buckets")
+    quality.portal_buckets(_resource_snapshot(spark, d)).write.parquet(folder)
+    return quality.portal_top_buckets(spark.read.parquet(folder), 1)
 
 
 @query

@@ -55,3 +55,8 @@ def test_xml_rows_go_out_in_pieces(spark):
     assert [p.num_rows for p in pieces] == [xml.PIECE, 3]
     pages = xml._pages(iter([pa.RecordBatch.from_pylist([{"body": "a"}, {"body": None}]), pa.RecordBatch.from_pylist([{"body": "b"}])]))
     assert [p["body"] for p in pages] == ["a", None, "b"]
+
+
+def test_largest_buckets_derive_resources_once(spark):
+    plan = registry.queries()["a9_portal_top_buckets"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan.lower() and "metadata" not in plan
