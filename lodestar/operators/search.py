@@ -34,11 +34,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def with_norm(vectors: DataFrame) -> DataFrame:
-    """The rows with the norm of their embedding, so that a search doesn't compute it for each query."""
-    return vectors.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-
-
 def search(catalog: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """For each query (query_id, query) the searchable rows of the largest cosine, score as float.
 
