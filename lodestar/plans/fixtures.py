@@ -18,8 +18,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C: one catalog row for each document, with its vector where there is one."""
     d = F.col("doc_id")
-    one = F.regexp_replace("text", "\n", " ")
-    description = F.when(d % 11 == 0, F.lit(None)).when(d % 13 == 0, F.lit("   ")).otherwise(F.substring(one, 41, 400))
+    line = lambda a, n: F.replace(F.substring("text", a, n), F.lit("\n"), F.lit(" "))  # noqa: E731  # cut first: texts are long, and this is computed again wherever a filter moves to
+    description = F.when(d % 11 == 0, F.lit(None)).when(d % 13 == 0, F.lit("   ")).otherwise(line(41, 400))
     portal = F.concat(F.lit("https://"), "source", F.lit(".example.org"), F.when(d % 2 == 0, "/").otherwise(""))
     stamp = F.expr("timestamp'2026-01-01 00:00:00' + make_dt_interval(0, 0, doc_id)")
     docs = read(spark, sf_dir, "documents").select(
@@ -28,7 +28,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         d.cast("string").alias("original_id"),
         portal.alias("source_portal"),
         F.concat(F.lit("https://"), "source", F.lit(".example.org/dataset/"), d.cast("string")).alias("url"),
-        F.substring(one, 1, 40).alias("title"),
+        line(1, 40).alias("title"),
         description.alias("description"),
         F.element_at(F.array(*map(F.lit, KINDS)), (d % 5 + 1).cast("int")).alias("record_kind"),
         metadata_json().alias("metadata"),
