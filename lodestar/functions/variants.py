@@ -11,7 +11,7 @@ from lodestar.functions.text import non_blank
 
 Entry = "map<string,variant>"
 #: Beginnings of what a number, a truth value, an object or a list is read as; any other text was a string.
-UNSURE = r"^([-0-9{\[]|true$|false$)"
+UNSURE = r"^([-0-9{\[]|true$|false$|Infinity$|NaN$)"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -40,27 +40,30 @@ def string_of(value: Column) -> Column:
 
 
 def string_at(value: Column, path: str) -> Column:
-    return string_of(at(value, path))
+    """string_of the part at a path; what is read as a string tells most strings at once, so the part isn't copied and written as JSON."""
+    text = F.try_variant_get(value, "$." + path, "string")
+    return F.when(text.rlike(UNSURE), string_of(at(value, path))).otherwise(text)
 
 
 def list_of(value: Column) -> Column:
     """The elements of a variant that is a list, null for any other."""
-    return let(value, lambda v: F.when(sign(v) == "[", F.try_variant_get(v, "$", "array<variant>")))
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def entries_of(value: Column) -> Column:
     """Key and value of each field of an object, by key; null for any other."""
-    fields = F.when(is_object(value), F.try_variant_get(value, "$", Entry))
+    fields = F.try_variant_get(value, "$", Entry)
     keys = F.array_sort(F.map_keys(fields))
     return F.transform(keys, lambda k: F.struct(k.alias("key"), fields[k].alias("value")))
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(sign(value) == "{", F.lit(False))
+    """Read as a struct, which only an object can be, and not as JSON, which writes all of it."""
+    return F.try_variant_get(value, "$", "struct<x:variant>").isNotNull()
 
 
 def is_list(value: Column) -> Column:
-    return F.coalesce(sign(value) == "[", F.lit(False))
+    return list_of(value).isNotNull()
 
 
 def present(value: Column, path: str) -> Column:
@@ -122,9 +125,9 @@ def first_reference(value: Column, keys: list[str]) -> Column:
 def localized(value: Column, language: Column) -> Column:
     """L1: a plain string, or of a map the preferred, the English, else the first non-empty text by key; '' if none."""
     fields = F.transform(entries_of(value), lambda e: F.struct(e["key"].alias("key"), string_of(e["value"]).alias("text")))
-    some = F.filter(fields, lambda e: e["text"] != "")
-    of = lambda k: _first(F.filter(some, lambda e: e["key"] == k))["text"]
-    return F.coalesce(string_of(value), of(language), of(F.lit("en")), _first(some)["text"], F.lit(""))
+    of = lambda some, k: _first(F.filter(some, lambda e: e["key"] == k))["text"]
+    chosen = let(F.filter(fields, lambda e: e["text"] != ""), lambda some: F.coalesce(of(some, language), of(some, F.lit("en")), _first(some)["text"]))
+    return F.coalesce(string_of(value), chosen, F.lit(""))
 
 
 def jsonld_text(value: Column, language: Column) -> Column:
@@ -134,12 +137,13 @@ def jsonld_text(value: Column, language: Column) -> Column:
         as_list,
         lambda v: F.struct(F.lower(string_at(v, "@language")).alias("lang"), F.coalesce(string_of(v), string_at(v, "@value")).alias("text")),
     )
-    some = F.filter(texts, lambda t: t["text"] != "")
     base = lambda x: F.split_part(x, F.lit("-"), F.lit(1))
     wanted = F.lower(language)
-    exact = lambda k: _first(F.filter(some, lambda t: t["lang"] == k))["text"]
-    near = lambda k: _first(F.filter(some, lambda t: base(t["lang"]) == base(k)))["text"]
-    return F.coalesce(exact(wanted), near(wanted), exact(F.lit("en")), near(F.lit("en")), _first(some)["text"], F.lit(""))
+    exact = lambda some, k: _first(F.filter(some, lambda t: t["lang"] == k))["text"]
+    near = lambda some, k: _first(F.filter(some, lambda t: base(t["lang"]) == base(k)))["text"]
+    choose = lambda some: F.coalesce(exact(some, wanted), near(some, wanted), exact(some, F.lit("en")), near(some, F.lit("en")), _first(some)["text"])
+    chosen = let(F.filter(texts, lambda t: t["text"] != ""), choose)
+    return F.coalesce(F.when(value.isNotNull(), chosen), F.lit(""))
 
 
 def dcat_us_text(value: Column, language: Column) -> Column:
@@ -147,7 +151,7 @@ def dcat_us_text(value: Column, language: Column) -> Column:
 
     def single(v: Column) -> Column:
         texts = F.filter(F.transform(entries_of(v), lambda e: string_of(e["value"])), lambda t: t.isNotNull())
-        fields = F.when(is_object(v), F.try_variant_get(v, "$", Entry))
+        fields = F.try_variant_get(v, "$", Entry)
         return F.coalesce(string_of(v), string_of(fields[language]), string_at(v, "en"), _first(texts))
 
     return F.coalesce(single(value), _first(F.filter(F.transform(list_of(value), single), lambda t: t.isNotNull())))

@@ -7,7 +7,7 @@ description). Records without their required fields are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as X
@@ -196,18 +196,22 @@ def with_distributions(graph: DataFrame) -> DataFrame:
     A reference is a string or {"@id"}; it resolves to the last node of its page with that
     @id and stays as it is if there is none. Datasets without distributions have null.
     """
-    page = ["portal_url", "page"]
-    identified = graph.select(*page, "pos", F.try_variant_get("node", "$['@id']", "string").alias("iri"), F.to_json("node").alias("json")).where("iri is not null")
-    nodes = identified.groupBy(*page, "iri").agg(F.max_by("json", "pos").alias("resolved"))
     from lodestar.sources.payloads import is_dataset_node
 
-    datasets = graph.where(is_dataset_node(F.col("node")))
+    page = ["portal_url", "page"]
     keys = ["dcat:distribution", "distribution"]
     field = F.coalesce(*[F.try_variant_get("node", f"$['{k}']", "variant") for k in keys])
-    listed = F.coalesce(V.list_of(field), F.when(field.isNotNull(), F.array(field)))
-    each = datasets.select(*page, "pos", F.posexplode(listed).alias("at", "ref"))
-    iri = F.coalesce(V.string_of(F.col("ref")), F.try_variant_get("ref", "$['@id']", "string"))
-    found = each.withColumn("iri", iri).withColumn("own", F.to_json("ref")).drop("ref").join(nodes, [*page, "iri"], "left")
+    listed = F.when(is_dataset_node(F.col("node")), F.coalesce(V.list_of(field), F.when(field.isNotNull(), F.array(field))))
+    one = lambda iri, value, at: F.struct(iri.alias("iri"), F.to_json(value).alias("json"), at.cast("int").alias("at"))
+    iri_of = lambda v: F.try_variant_get(v, "$['@id']", "string")
+    references = F.transform(listed, lambda r, i: one(F.coalesce(V.string_of(r), iri_of(r)), r, i))
+    # nodes (without at) and references to them meet by IRI in one pass over the pages
+    own = F.array(one(iri_of(F.col("node")), F.col("node"), F.lit(None)))
+    each = graph.select(*page, "pos", F.inline(F.concat(own, F.coalesce(references, F.slice(own, 1, 0))))).where("iri is not null or at is not null")
+    node = F.col("at").isNull()
+    resolved = F.max_by(F.when(node, F.col("json")), F.when(node, F.col("pos"))).over(Window.partitionBy(*page, "iri"))
+    found = each.withColumn("resolved", F.when(F.col("iri").isNotNull(), resolved)).where("at is not null").withColumnRenamed("json", "own")
+    datasets = graph.where(is_dataset_node(F.col("node")))
     lists = found.groupBy(*page, "pos").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("resolved", "own").alias("json")))).alias("all"))
     lists = lists.select(*page, "pos", F.transform("all", lambda x: x["json"]).alias("distributions"))
     return datasets.join(lists, [*page, "pos"], "left")
@@ -268,17 +272,20 @@ def sparql(bindings: DataFrame) -> DataFrame:
         "portal_url", "language", "page", "pos", term(n, "dataset")["value"].alias("uri"), term(n, "title").alias("t"), term(n, "description").alias("d"),
         F.nullif(term(n, "identifier")["value"], F.lit("")).alias("i"), term(n, "modified")["value"].alias("m"), binding_json(n).alias("json"),
     ).where("uri is not null")
-    order = lambda c: F.when(F.col(c)["value"] != "", F.struct(language_rank(F.col(c)["lang"], lang), "page", "pos"))
+    order = lambda c: F.struct(language_rank(F.col(c)["lang"], lang), "page", "pos")
+    best = lambda c: F.when(F.col(c)["value"] != "", F.struct(order(c).alias("rank"), F.col(c)["value"].alias("value")))
     place = F.struct("page", "pos")
-    # the first binding of each title; which title is chosen is known only after the grouping
-    texts = flat.groupBy("portal_url", "language", "uri", F.col("t.value").alias("title")).agg(F.min_by("json", place).alias("json"))
-    grouped = flat.groupBy("portal_url", "language", "uri").agg(
-        F.max_by(F.col("t.value"), order("t")).alias("title"), F.max_by(F.col("d.value"), order("d")).alias("description"),
-        F.min_by("i", F.when(F.col("i").isNotNull(), place)).alias("i"), F.max("m").alias("m"), F.min(place).alias("place"),
+    # the first binding of each title; which title is chosen is known only after the second grouping
+    texts = flat.groupBy("portal_url", "language", "uri", F.col("t.value").alias("title")).agg(
+        F.min_by("json", place).alias("json"), F.max(F.when(F.col("t.value") != "", order("t"))).alias("rank"), F.max(best("d")).alias("d"),
+        F.min(F.when(F.col("i").isNotNull(), F.struct(place.alias("place"), "i"))).alias("i"), F.max("m").alias("m"), F.min(place).alias("place"),
+    )
+    grouped = texts.groupBy("portal_url", "language", "uri").agg(
+        F.max(F.when(F.col("rank").isNotNull(), F.struct("rank", "title", "json"))).alias("t"), F.max("d").alias("d"), F.min("i").alias("i"), F.max("m").alias("m"), F.min("place").alias("place"),
     )
+    grouped = grouped.select("portal_url", "language", "uri", "t.title", "t.json", F.col("d.value").alias("description"), "i.i", "m", "place")
     named = grouped.withColumn("original_id", F.coalesce("i", X.last_segment(F.col("uri"))))
     first = keep_first(named.where("title is not null and title <> ''"), ["portal_url", "original_id"], [F.col("place"), F.col("uri")])
-    first = first.join(texts, ["portal_url", "language", "uri", "title"], "left")
     rows = _select(first, original_id=F.col("original_id"), url=F.col("uri"), title=F.col("title"), description=F.nullif(F.col("description"), F.lit("")), record_kind=F.lit("dataset"), metadata=F.col("json"), modified=X.parsed_date(F.col("m")))
     return _catalog(rows, ["original_id"])
 

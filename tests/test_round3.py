@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestar.operators import search
+from lodestar.functions import variants as V
+from lodestar.operators import normalize, search
 from lodestar.plans import fixtures, registry
 from lodestar.sources import xml
 from tests.conftest import SF
@@ -66,3 +67,20 @@ def test_titles_and_descriptions_are_cut_before_lines_are_joined(spark):
     """Joining the lines of whole texts, once for each use of a title, was most of a snapshot's time."""
     plan = fixtures.catalog(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace(text" not in plan and "replace(text" not in plan
+
+
+def test_pages_are_read_once_for_each_grouping(spark):
+    """Metadata of SPARQL bindings came from a second reading of the pages, distributions of JSON-LD from a third."""
+    for family, most in (("sparql", 1), ("dcat", 2)):
+        rows = normalize.FAMILIES[family](registry._records(spark, SF, family)).select("original_id", "metadata")
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") <= most
+
+
+def test_shapes_of_values(spark):
+    given = ['"a"', '"5"', '"true"', '"{x"', '"[1]"', '""', "5", "-1.5e300", "true", "null", "[]", '["a"]', "{}", '{"a":1}', '"Infinity"', '"NaN"', "1e400"]
+    v = F.col("v")
+    rows = spark.createDataFrame([(x, f'{{"k":{x}}}') for x in given], "json string, inside string").select("json", V.parsed(F.col("json")).alias("v"), V.parsed(F.col("inside")).alias("in"))
+    shown = V.sign(v)
+    same = [V.string_of(v).eqNullSafe(V.string_at(F.col("in"), "k")), V.string_of(v).isNotNull() == (shown == '"'), V.is_list(v) == (shown == "["), V.is_object(v) == (shown == "{")]
+    assert rows.where(~F.coalesce(same[0] & same[1] & same[2] & same[3], shown.isNull())).select("json").collect() == []
