@@ -136,7 +136,8 @@ def links(fps: DataFrame, most_in_signature: int = MOST_IN_SIGNATURE) -> DataFra
     # few bytes become many rows here, so the partitions must not be merged by their size
     signatures = _signatures(fps.repartition(parts, F.xxhash64("fp")))
     sizes = signatures.groupBy("sig", "rest").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(signatures.join(sizes, ["sig", "rest"]).select("sig", "rest", "fp", "n"))
+    # both sides are shuffled: Spark takes the signatures for as small as the fingerprints they are made of, and would broadcast them
+    shared = cut(signatures.hint("merge").join(sizes, ["sig", "rest"]).select("sig", "rest", "fp", "n"))
     few = shared.where(F.col("n") <= most_in_signature).select("sig", "rest", "fp")
     small = _close(few.repartition("sig", "rest").sortWithinPartitions("sig", "rest", "fp"))
     large = _large(shared.where(F.col("n") > most_in_signature).select("fp").distinct())
