@@ -14,6 +14,7 @@ structure nothing, on clustered ones most.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import small_batches
+
 #: Segments of each resolution, coarse to fine.
 RESOLUTIONS = (1, 4, 16)
 #: Queries and candidates that meet in one step.
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+#: Shares of the rows, to each of which all queries are sent, where few rows would make fewer.
+LEAST_SLOTS = 48
 #: Blocks of queries that a task keeps between blocks of rows, with the best rows so far.
 MOST_KEPT = 32
 #: Share of pairs left above which one product of matrices costs less than pair by pair.
@@ -89,6 +94,7 @@ class Search:
         self.best = np.zeros((len(ids), 0), np.int64)
         self.none = np.zeros((len(ids), 0), bool)  # best rows without an id
         self.own = np.zeros(len(ids), np.int64)  # rows equal to the query, itself included
+        self.keys = [hashlib.blake2b(v.astype("<i8").tobytes(), digest_size=16).digest() for v in x]  # tell queries of one id apart
         self.self_score = _exact(x, x).astype(np.float64)
         self.left = np.zeros(len(RESOLUTIONS) + 1, np.int64)  # pairs: all, and after each resolution
 
@@ -177,9 +183,9 @@ class Search:
             pa.array(np.concatenate((self.best[q, rank], self.ids[own])), pa.int64(), mask=np.append(self.none[q, rank], np.zeros(len(own), bool))),
             pa.array(np.concatenate((self.score[q, rank], _exact(self.x[own], self.x[own]))), pa.int64()),
             pa.array(np.concatenate((np.zeros(len(q), np.int64), self.own[own])), pa.int64()),
-            pa.array([self.x[i].astype("<i8").tobytes() for i in [*q.tolist(), *own.tolist()]], pa.binary()),
+            pa.array([self.keys[i] for i in [*q.tolist(), *own.tolist()]], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "own", "x"])
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "own", "key"])
 
 
 def _packed(dim: int, ids: np.ndarray, none: np.ndarray, x: np.ndarray) -> dict:
@@ -225,7 +231,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     query's own; equal scores go to the smaller vec_id. Queries and candidates meet block
     by block, every block of queries with every block of rows of the same dimension; a
     block holds a bounded number of vectors, and each pair of blocks returns at most k rows
-    for each query.
+    for each query. Both are shuffled, none is broadcast, and the search runs once; queries
+    are sent about as often as there are blocks of rows, or shuffle partitions if these are
+    fewer. The rows are counted first.
 
     Vectors that are null or hold null or non-finite components take no part, nor do those
     with a component whose floor doesn't fit into a long (2^63 / scale or more). A score that
@@ -234,14 +242,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     it is a candidate for its copies and, if a query, answered as often as it is there.
     Other columns are left out; an empty table gives an empty result.
     """
-    rows = integers(vectors, scale)
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "x").agg(F.count("*").alias("times"))
+    rows = integers(small_batches(vectors), scale)
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "x").distinct()
     spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    queries = _blocks(asked.select("vec_id", "x"), QUERY_BLOCK)
-    blocks = _blocks(rows, ROW_BLOCK).withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(spread)))
-    # every block of queries goes to all slots, a block of rows to one
-    sent = queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))).alias("slot"))
-    pairs = blocks.join(sent, ["slot", "dim"]).select("dim", "q_block", "q_ids", "q_x", "ids", "none", "x")
+    slots = min(spread, max(LEAST_SLOTS, -(-vectors.count() // ROW_BLOCK)))
+    blocks = _blocks(rows, ROW_BLOCK).withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)))
+    # every block of queries goes to all slots, a block of rows to one; Spark takes what explode makes for as
+    # small as what it is made of, and would broadcast it
+    queries = _blocks(asked, QUERY_BLOCK).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
+    sent = queries.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))))
+    pairs = blocks.join(sent.hint("merge"), ["slot", "dim"]).select("dim", "q_block", "q_ids", "q_x", "ids", "none", "x")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, Search] = {}
@@ -258,13 +268,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
         for found in kept.values():
             yield found.result()
 
-    hits = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint, own bigint, x binary")
-    # rows equal to the query come as counts; one of them is the query itself
-    copies = hits.where("own > 0").groupBy("query_id", "x", "vec_id", "score").agg(F.sum("own").alias("times"))
-    again = copies.where("times > 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.col("times") - 1, F.lit(k)).cast("int"))))
-    everything = hits.where("own = 0").select("query_id", "x", "vec_id", "score").unionByName(again.select("query_id", "x", "vec_id", "score"))
-    rank = F.row_number().over(Window.partitionBy("query_id", "x").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
-    best = everything.withColumn("rank", rank).where(F.col("rank") <= k)
-    out = best.join(copies.select("query_id", "x", "times"), ["query_id", "x"])
-    repeated = out.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    hits = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint, own bigint, key binary")
+    mine = Window.partitionBy("query_id", "key")
+    # rows equal to the query come as counts, one of them is the query itself; all other steps are windows of the same
+    # key, so that the hits are shuffled once and the search isn't repeated
+    counted = hits.withColumn("times", F.sum("own").over(mine)).withColumn("nth", F.row_number().over(mine.orderBy(F.col("own").desc())))
+    copies = F.when(F.col("own") == 0, 1).when(F.col("nth") == 1, F.least(F.col("times") - 1, F.lit(k))).otherwise(0)
+    each = counted.withColumn("n", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    best = each.withColumn("rank", F.row_number().over(mine.orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))).where(F.col("rank") <= k)
+    repeated = best.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return repeated.select("query_id", "rank", "vec_id", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import simhash
+from lodestar.llm import simhash, topk
 
 
 def test_signatures_are_not_broadcast(spark, monkeypatch):
@@ -13,3 +13,10 @@ def test_signatures_are_not_broadcast(spark, monkeypatch):
     fps = spark.range(300).selectExpr("xxhash64(id) AS fp")
     simhash.links(fps.unionByName(fps.selectExpr("fp ^ 5 AS fp"))).collect()
     assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
+def test_queries_sent_to_all_slots_are_not_broadcast(spark):
+    """Blocks of queries were sent once for each slot by way of the driver, and the search ran three times."""
+    vec = spark.range(0, 1200, 10).selectExpr("id AS vec_id", "array(cast(id AS float), 1f) AS embedding")
+    plan = topk.top_k(vec)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("search(") == plan.count("SortMergeJoin") == 1
